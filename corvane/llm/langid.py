@@ -1,6 +1,6 @@
 """Language identification by rank-order profiles of character n-grams.
 
-A language's profile is its most frequent n-grams (1 to 3 characters of words padded with ``_``) in order of frequency,
+A language's profile is its most frequent n-grams (2 and 3 characters of words padded with ``_``) in order of frequency,
 counted over every training document. A document is given the language whose profile is nearest by the out-of-place
 distance: for each of the document's most frequent n-grams the difference of ranks, or the profile's length if absent.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: N-grams in a profile.
-PROFILE = 400
+PROFILE = 300
 #: Profiles reach the driver and every task: so many languages are allowed at most (ISO 639-3 names about 8,000).
 MAX_LANGUAGES = 10_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -33,7 +33,7 @@ class Grams(dict):
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         w = f"_{word}_"
-        found = (*word, *(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2)))
+        found = (*[w[i : i + 2] for i in range(len(w) - 1)], *[w[i : i + 3] for i in range(len(w) - 2)])
         if len(word) <= 30:
             if len(self) > 100_000:
                 self.clear()
