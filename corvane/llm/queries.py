@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, licenses, quality, warc
+from . import bpe, chat, decontam, langid, licenses, ngram_join, quality, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op5_byte_bpe, op7_language_id, op9_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op5_byte_bpe, op6_ngram_join, op7_language_id, op9_warc, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
