@@ -225,12 +225,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines that go taken out of the text; ``n_chars`` follows where it is there."""
+    """``docs`` with the lines that go taken out of the text; ``n_chars`` follows where it is there. Documents that lose
+    their last word this way go, those without a word before stay."""
     gone = removed_lines(docs, doc_id, text).where(F.size("removed") > 0).select(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__"), F.col("removed").alias("__removed__"))
     same = (text_hash(text) == F.col("__hash__")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id__"))
     joined = docs.join(gone, same, "left")
     lines = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__removed__"), i.cast("long"))), "\n")
     out = joined.withColumn(text, F.when(F.col("__removed__").isNotNull(), kept).otherwise(F.col(text)))
-    out = out.drop("__id__", "__hash__", "__removed__")
+    out = out.where(F.col("__removed__").isNull() | F.col(text).rlike("[^ \t\n\x0b\x0c\r]")).drop("__id__", "__hash__", "__removed__")
     return out.withColumn("n_chars", F.char_length(text).cast("long")) if "n_chars" in docs.columns else out

@@ -6,7 +6,7 @@
     compares their classes in memory. A pair belongs to the first band in which it agrees, so it is judged once.
 3.  Signatures are compared a few values at a time. A pair is dropped once the posterior probability of reaching the
     threshold falls below a tolerance; the others are verified on the whole sets.
-4.  Tasks return a row for each class that they link (number of links, least linked class), never a row for each pair.
+4.  Tasks return a row for each class that they link (number of links, least class that they lead to), not one for each pair.
     Least labels are spread along these links until nothing changes, which gives the groups.
 
 Defined results: a text of fewer than n words is one n-gram of all its words; null texts and texts without a word have no
@@ -126,6 +126,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def _root(root: list[int], k: int) -> int:
+    while root[k] != k:
+        root[k] = root[root[k]]
+        k = root[k]
+    return k
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per document: id, hash of the text, digest of the n-gram set (null without words), size, signature."""
 
@@ -199,7 +206,7 @@ def _candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataF
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """digest, weight (linked documents), links (linked classes), least (least linked digest, or its own), by task."""
+    """digest, weight (linked documents), links (linked classes), least (least digest that the task's links reach), by task."""
     named = candidates.withColumn("task", F.expr("uuid()"))
     named = stored(named, "ngram-candidates")
     members = named.select("task", F.posexplode("digests").alias("k", "digest")).join(sets, "digest")
@@ -213,17 +220,18 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataF
                 grams = [np.frombuffer(m["grams"], dtype=np.uint64) for m in members]
                 names, copies = [m["digest"] for m in members], [m["copies"] for m in members]
                 a, b = np.frombuffer(a.as_py(), dtype=np.int32), np.frombuffer(b.as_py(), dtype=np.int32)
-                weight, links, least = [0] * len(names), [0] * len(names), list(names)
+                weight, links, root = [0] * len(names), [0] * len(names), list(range(len(names)))
                 for x, y in zip(a.tolist(), b.tolist()):
                     lo, hi = sorted((len(grams[x]), len(grams[y])))
                     if lo >= threshold * hi and jaccard(grams[x], grams[y]) >= threshold:
                         for p, q in ((x, y), (y, x)):
                             weight[p] += copies[q]
                             links[p] += 1
-                            least[p] = min(least[p], names[q])
+                        p, q = _root(root, x), _root(root, y)
+                        root[p] = root[q] = min(p, q, key=names.__getitem__)
                 for k, n in enumerate(links):
                     if n:
-                        for c, v in zip(out, (names[k], weight[k], n, least[k])):
+                        for c, v in zip(out, (names[k], weight[k], n, names[_root(root, k)])):
                             out[c].append(v)
             yield pa.RecordBatch.from_pydict({"digest": pa.array(out["digest"], pa.binary()), "weight": pa.array(out["weight"], pa.int64()), "links": pa.array(out["links"], pa.int64()), "least": pa.array(out["least"], pa.binary())})
 
