@@ -35,6 +35,8 @@ BANDS, ROWS = 27, 5
 STEP, TOLERANCE = 16, 1e-6
 #: Classes in a block: a task holds two blocks at a time.
 BLOCK = 512
+#: Up to so many classes with candidates (48 bytes each) their list is sent to all tasks; beyond, documents are shuffled.
+BROADCAST_ROWS = 500_000
 
 _K = BANDS * ROWS
 _SEED = np.random.Generator(np.random.PCG64(20_240_607))
@@ -166,19 +168,20 @@ def _sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFra
 
     rows = docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rep = chosen.select("digest", "copies", F.col("first.text_hash").alias("text_hash"), F.col("first.doc_id").alias("rep_id"))
+    rep = stored(rep, "ngram-active")
     same = (rows["text_hash"] == rep["text_hash"]) & rows["doc_id"].eqNullSafe(rep["rep_id"])
-    picked = rows.join(rep, same).select("digest", "copies", "text")
-    sets = picked.mapInArrow(run, "digest binary, copies long, grams binary")
-    return sets.groupBy("digest").agg(F.max("copies").alias("copies"), F.max("grams").alias("grams"))
+    picked = rows.join(F.broadcast(rep) if rep.count() <= BROADCAST_ROWS else rep, same).select("digest", "copies", "text")
+    return picked.mapInArrow(run, "digest binary, copies long, grams binary")
 
 
 def _candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(task, digests of block a, digests of block b, pairs as indexes) of what the pruning leaves."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.substring(F.col("signature"), k * (2 * ROWS) + 1, F.lit(2 * ROWS)), k).alias("key")))
-    keyed = classes.select("digest", "signature", F.explode(bands).alias("b")).select("digest", "signature", "b.band", "b.key")
-    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = shared.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    members = keyed.join(shared, ["band", "key"])
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.cast("byte").alias("band"), F.xxhash64(F.substring(F.col("signature"), k * (2 * ROWS) + 1, F.lit(2 * ROWS)), k).alias("key")))
+    keyed = classes.select("digest", F.explode(bands).alias("b")).select("digest", "b.band", "b.key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = shared.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    # Only classes that share a bucket carry their signature on.
+    members = keyed.join(shared, "key").join(classes.select("digest", "signature"), "digest")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     # A class goes to the tasks of its own block with each block: blocks i <= j.
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
@@ -210,13 +213,14 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataF
     named = candidates.withColumn("task", F.expr("uuid()"))
     named = stored(named, "ngram-candidates")
     members = named.select("task", F.posexplode("digests").alias("k", "digest")).join(sets, "digest")
-    whole = members.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "copies", "grams"))).alias("members")).join(named.select("task", "a", "b"), "task")
+    whole = members.groupBy("task").agg(F.collect_list(F.struct("k", "digest", "copies", "grams")).alias("members")).join(named.select("task", "a", "b"), "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"digest": [], "weight": [], "links": [], "least": []}
             for members, a, b in zip(*(batch.column(c) for c in range(3))):
-                members = members.as_py()
+                # Repeated rows of one id and text give their set twice.
+                members = [m for _, m in sorted({m["k"]: m for m in members.as_py()}.items())]
                 grams = [np.frombuffer(m["grams"], dtype=np.uint64) for m in members]
                 names, copies = [m["digest"] for m in members], [m["copies"] for m in members]
                 a, b = np.frombuffer(a.as_py(), dtype=np.int32), np.frombuffer(b.as_py(), dtype=np.int32)
