@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +49,40 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage without depending on any executor staying alive, and keeps non-deterministic or costly inputs from being
-    computed again by each consumer.
+    computed again by each consumer. Inside ``scratch`` the table goes when the block ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``stored``, for a result that outlives the current ``scratch`` block."""
+    inner = _SCOPES.pop() if _SCOPES else None
+    try:
+        return stored(df, tag)
+    finally:
+        if inner is not None:
+            _SCOPES.append(inner)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end; what is returned must be collected or ``kept``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
