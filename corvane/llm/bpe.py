@@ -22,7 +22,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch, stored
 from .quality import let
 
 #: White space as the tokenizer's pattern means it (Unicode White_Space), for Java's engine.
@@ -165,18 +165,19 @@ class Tokenizer:
     def head(self, docs: DataFrame, text: str, most: int = HEAD) -> dict[str, dict[str, str]]:
         """The most frequent distinct pieces, encoded. Counts are over the whole corpus; at most ``most`` pieces reach
         the driver: those above the least count that leaves no more."""
-        counts = docs.select(F.explode(self.pieces(F.col(text))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-        counts = stored(counts.where("n > 1 and octet_length(piece) <= 64"), "bpe-pieces")
-        sizes = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n"))
-        least, total = 0, 0
-        for n, k in sizes.limit(1 << 20).collect():
-            if (total := total + k) > most:
-                break
-            least = n
-        if not least:
-            return {}
-        rows = counts.where(F.col("n") >= least).select("piece", let(self.ranks, lambda r: let(self.tokens, lambda t: self.coded(F.col("piece"), r, t))).alias("c")).collect()
-        return {r["piece"]: {"i": r["c"]["i"], "d": r["c"]["d"]} for r in rows}
+        with scratch(docs.sparkSession):
+            counts = docs.select(F.explode(self.pieces(F.col(text))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+            counts = stored(counts.where("n > 1 and octet_length(piece) <= 64"), "bpe-pieces")
+            sizes = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n"))
+            least, total = 0, 0
+            for n, k in sizes.limit(1 << 20).collect():
+                if (total := total + k) > most:
+                    break
+                least = n
+            if not least:
+                return {}
+            rows = counts.where(F.col("n") >= least).select("piece", let(self.ranks, lambda r: let(self.tokens, lambda t: self.coded(F.col("piece"), r, t))).alias("c")).collect()
+            return {r["piece"]: {"i": r["c"]["i"], "d": r["c"]["d"]} for r in rows}
 
     def encode(self, docs: DataFrame, text: str = "text", most: int = HEAD) -> DataFrame:
         """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary, from the ids)."""

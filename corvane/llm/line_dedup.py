@@ -5,10 +5,11 @@ the other and the longer has at least ``MIN_WORDS`` words; shorter lines are com
 earlier line (by doc_id, then place in the text) is equal or near to it; the earliest of a neighbourhood stays.
 
 1.  Every line is reduced to 64-bit hashes: of all its words and of its halves. Equal lines become one, the earliest.
-2.  Two near lines agree in their first or in their last half, so only lines that share a half with another go on.
-3.  These emit all variants within one deletion as hashed keys. A substitution makes equal variants at the same place; an
+2.  Two near lines agree in their first or in their last half, so only lines that share a half with another go on; an
+    edit can only be outside the half that is shared.
+3.  These emit their variants within one deletion as hashed keys. A substitution makes equal variants at the same place; an
     insertion makes the shorter line a variant of the longer. Variants meet under their key, where each line's earliest
-    partner is a running minimum: no pairs are formed, however many lines share a key.
+    partner is a minimum over the key: no pairs are formed, however many lines share a key.
 4.  The lines that lose are verified against their partner word by word.
 
 Defined results: null texts have no lines; lines without a word are never removed and never count; rows that repeat doc_id
@@ -18,19 +19,24 @@ and text are one document, of which the repeated lines fall together; null doc_i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..operators.curate import numbered
+from ..session import kept, scratch, stored
 from .common import utf8
 
 MIN_WORDS = 8
-_P = np.uint64(0x9E3779B97F4A7C15)  # odd: positions are powers of it
-_MASK = 2**64 - 1
+#: Up to so many documents with candidate lines their list (some 100 bytes each) is sent to all tasks; beyond, documents
+#: are shuffled.
+BROADCAST_ROWS = 300_000
+_P = 0x9E3779B97F4A7C15  # odd: word hashes are weighted by powers of it, so that parts of a line can be moved
+_INVERSE = pow(_P, -1, 2**64)
 
 
 class _Hashes(dict):
@@ -41,76 +47,113 @@ class _Hashes(dict):
         return h
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _P, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+class _Powers:
+    """Powers of an odd number modulo 2**64, as many as were asked for."""
 
+    def __init__(self, base: int):
+        self.base, self.values = np.uint64(base), np.ones(1, dtype=np.uint64)
 
-class _Line:
-    """Hashes of a line: sums of word hashes times powers of the place, so that any part's hash is a difference."""
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.values) <= n:
+            self.values = np.full(max(2 * len(self.values), n + 1), self.base, dtype=np.uint64)
+            self.values[0] = 1
+            np.multiply.accumulate(self.values, out=self.values)
+        return self.values
 
-    def __init__(self, words: list[bytes], hashes: dict):
-        h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-        self.n, self.power = len(h), _powers(len(h) + 1)
-        self.terms = h * self.power[:-1]
-        self.prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.terms)])
-        self.h = h
 
-    def whole(self) -> int:
-        return int(self.prefix[-1] + np.uint64(self.n))
+_UP, _DOWN = _Powers(_P), _Powers(_INVERSE)
 
-    def half(self, n: int, last: bool) -> int:
-        """Hash of the first n // 2 words or of the last n - n // 2, as a line of n words would have it."""
-        k = n // 2
-        part = self.h[self.n - (n - k) :] if last else self.h[:k]
-        return int((part * self.power[: len(part)]).sum(dtype=np.uint64)) ^ ((2 * n + last + 1) * int(_P) & _MASK)
 
-    def substitutions(self) -> np.ndarray:
-        """For each place the hash of the line without that word, the others staying in place."""
-        return self.prefix[-1] - self.terms
+class Lines:
+    """Hashes of many lines at once. A line's hash is the sum of its word hashes times powers of their places, plus its
+    number of words; sums of any part come from one running sum."""
 
-    def deletions(self) -> np.ndarray:
-        """For each place the hash of the line of n - 1 words that is left, as ``whole`` would give it."""
-        moved = self.h[1:] * self.power[: self.n - 1]
-        tail = np.concatenate([np.cumsum(moved[::-1])[::-1], np.zeros(1, dtype=np.uint64)])
-        return self.prefix[:-1] + tail + np.uint64(self.n - 1)
+    def __init__(self, lines: list[list[bytes]], hashes: dict):
+        self.n = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+        total = int(self.n.sum())
+        self.h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), dtype=np.uint64, count=total)
+        self.start = np.cumsum(self.n) - self.n
+        self.place = np.arange(total) - np.repeat(self.start, self.n)
+        longest = int(self.n.max(initial=0)) + 1
+        self.up, self.down = _UP.upto(longest), _DOWN.upto(longest)
+        self.terms = self.h * self.up[self.place]
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.terms)])
 
+    def whole(self) -> np.ndarray:
+        return self.sums[self.start + self.n] - self.sums[self.start] + self.n.astype(np.uint64)
 
-def _signed(values) -> pa.Array:
-    return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
+    def halves(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first n // 2 and of the last n - n // 2 words, marked by n and side."""
+        k, end = n // 2, self.start + self.n
+        m = n - k
+        first = self.sums[self.start + k] - self.sums[self.start]
+        last = (self.sums[end] - self.sums[end - m]) * self.down[self.n - m]
+        mark = lambda side: (2 * n + side + 1).astype(np.uint64) * np.uint64(_P)
+        return first ^ mark(0), last ^ mark(1)
+
+    def variants(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, roles and line indexes of the deletion neighbourhoods of lines that share their first or last half.
+        Roles: 0 a place left out (substitution), 1 the line itself, 2 one word less."""
+        line = np.repeat(np.arange(len(self.n)), self.n)
+        n, all_ = self.n[line], self.whole()
+        open_ = (n >= MIN_WORDS) & ((first[line] & (self.place >= (n - 1) // 2)) | (last[line] & (self.place <= (n + 1) // 2)))
+        at = np.flatnonzero(open_)
+        line, n, place = line[at], n[at], self.place[at]
+        substituted = all_[line] - self.terms[at] + (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)) * np.uint64(_INVERSE)
+        end = self.start[line] + n
+        before, after = self.sums[at] - self.sums[self.start[line]], (self.sums[end] - self.sums[at + 1]) * self.down[1]
+        shorter = before + after + (n - 1).astype(np.uint64)
+        own = np.arange(len(self.n))
+        roles = np.repeat(np.array([0, 2, 1], dtype=np.int8), (len(at), len(at), len(own)))
+        return np.concatenate([substituted, shorter, all_]), roles, np.concatenate([line, line, own])
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per line with a word: doc_id, text_hash, line, n, whole, halves (as a line of n and of n - 1 words)."""
+    """One row per line with a word: doc_id, text_hash, line, whole, and at a line's first place in a batch its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            doc, place, size, whole, halves, ends = [], [], [], [], [], [0]
+            held: list[list[bytes]] = []
+            doc: list[int] = []
+            place: list[int] = []
+            words = 0
             for k, raw in enumerate(utf8(batch.column(2))):
                 for at, line in enumerate((raw or b"").split(b"\n")):
-                    words = line.split()
-                    if words:
-                        own = _Line(words, hashes)
+                    if one := line.split():
+                        held.append(one)
                         doc.append(k)
                         place.append(at)
-                        size.append(own.n)
-                        whole.append(own.whole())
-                        if own.n >= MIN_WORDS - 1:
-                            for n in (own.n,) if own.n < MIN_WORDS else (own.n - 1, own.n):
-                                halves += [own.half(n, False), own.half(n, True)]
-                        ends.append(len(halves))
-            index = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), batch.column(1).take(index), pa.array(place, pa.int64()), pa.array(size, pa.int32()), _signed(whole), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(halves))],
-                ["doc_id", "text_hash", "line", "n", "whole", "halves"],
-            )
+                        words += len(one)
+                        if words > 2_000_000:
+                            yield out(batch, held, doc, place, hashes)
+                            held, doc, place, words = [], [], [], 0
+            if held:
+                yield out(batch, held, doc, place, hashes)
+
+    def out(batch: pa.RecordBatch, held: list[list[bytes]], doc: list[int], place: list[int], hashes: dict) -> pa.RecordBatch:
+        lines = Lines(held, hashes)
+        whole = lines.whole()
+        new = np.zeros(len(whole), dtype=bool)
+        new[np.unique(whole, return_index=True)[1]] = True
+        own, less = new & (lines.n >= MIN_WORDS - 1), new & (lines.n >= MIN_WORDS)
+        n = np.maximum(lines.n, 2)
+        columns = [*lines.halves(lines.n), *lines.halves(n - 1)]
+        taken = np.stack([own, own, less, less], axis=1)
+        ends = np.concatenate([[0], np.cumsum(taken.sum(axis=1))]).astype(np.int32)
+        halves = np.stack(columns, axis=1)[taken]
+        index = pa.array(doc, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(index), batch.column(1).take(index), pa.array(place, pa.int64()), _signed(whole), pa.ListArray.from_arrays(pa.array(ends), _signed(halves))],
+            ["doc_id", "text_hash", "line", "whole", "halves"],
+        )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), F.col(text))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, line long, n int, whole long, halves array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, line long, whole long, halves array<long>")
 
 
 def text_hash(text: str) -> Column:
@@ -122,48 +165,37 @@ def _place() -> Column:
 
 
 def _texts(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """whole, at, words of the chosen lines, fetched by the place of their first occurrence."""
-    wanted = chosen.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.struct("at.line", "whole")).alias("lines"))
+    """whole, first, last, o, text of the chosen lines, fetched at the place of their first occurrence."""
+    wanted = chosen.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.struct("at.line", "whole", "first", "last", "o")).alias("lines"))
+    wanted = stored(wanted, "lines-wanted")
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), text_hash(text).alias("h"), F.col(text).alias("text"))
     same = (rows["h"] == wanted["text_hash"]) & rows["d"].eqNullSafe(wanted["doc_id"])
-    picked = rows.join(wanted, same).select("doc_id", "text_hash", F.split("text", "\n").alias("all"), "lines")
-    line = picked.select("doc_id", "text_hash", F.explode(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["whole"].alias("whole"), F.get("all", x["line"].cast("int")).alias("text")))).alias("x"))
+    picked = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, same).select(F.split("text", "\n").alias("all"), "lines")
     # Rows that repeat id and text give their lines twice.
-    return line.select(F.col("x.whole").alias("whole"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", F.col("x.line").alias("line")).alias("at"), F.col("x.text").alias("text")).dropDuplicates(["whole"])
+    line = picked.select(F.explode(F.transform("lines", lambda x: x.withField("text", F.get("all", x["line"].cast("int"))))).alias("x"))
+    return line.select("x.whole", "x.first", "x.last", "x.o", "x.text").dropDuplicates(["o"])
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """key, role, whole, at: the deletion neighbourhood of each line. Roles: 0 a place left out (substitution), 1 the
-    line itself, 2 one word less."""
+    """key, role and order of the deletion neighbourhood of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            index, keys, roles, held = [], [], [], 0
-            for k, raw in enumerate(utf8(batch.column(1))):
-                own = _Line(raw.split(), hashes)
-                if own.n >= MIN_WORDS:
-                    place = np.arange(own.n, dtype=np.uint64) * np.uint64(2) + np.uint64(2 * own.n * 1_000_003)
-                    keys += [own.substitutions() ^ (place + np.uint64(1)) * _P, np.array([own.whole()], dtype=np.uint64), own.deletions()]
-                    roles += [np.repeat(np.array([0, 1, 2], dtype=np.int8), (own.n, 1, own.n))]
-                    index += [np.full(2 * own.n + 1, k)]
-                    held += 2 * own.n + 1
-                else:
-                    keys += [np.array([own.whole()], dtype=np.uint64)]
-                    roles += [np.array([1], dtype=np.int8)]
-                    index += [np.array([k])]
-                    held += 1
-                if held > 500_000:
-                    yield out(batch, index, keys, roles)
-                    index, keys, roles, held = [], [], [], 0
-            if held:
-                yield out(batch, index, keys, roles)
-
-    def out(batch: pa.RecordBatch, index: list, keys: list, roles: list) -> pa.RecordBatch:
-        whole = batch.column(0).take(pa.array(np.concatenate(index)))
-        return pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(roles)), whole], ["key", "role", "whole"])
-
-    return lines.select("whole", "text").mapInArrow(run, "key long, role byte, whole long")
+            lines, at = utf8(batch.column(3)), 0
+            while at < batch.num_rows:  # so many lines that their variants stay few
+                end, words = at, 0
+                held = []
+                while end < batch.num_rows and words < 200_000:
+                    held.append(lines[end].split())
+                    words += len(held[-1])
+                    end += 1
+                flag = lambda c: batch.column(c).slice(at, end - at).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                keys, roles, index = Lines(held, hashes).variants(flag(1), flag(2))
+                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(roles), batch.column(0).slice(at, end - at).take(pa.array(index))], ["key", "role", "o"])
+                at = end
+
+    return lines.select("o", "first", "last", "text").mapInArrow(run, "key long, role byte, o long")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -176,46 +208,40 @@ def _near(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same <= 1).when(F.size(long) - F.size(short) == 1, inserted == short).otherwise(F.lit(False))
 
 
-def _losers(first: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """whole of each distinct line to which an earlier distinct line is near. ``first``: whole, n, at, halves."""
-    halves = first.where(F.size("halves") > 0).select("whole", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("whole").distinct()
-    lines = stored(_texts(docs, first.select("whole", "at").join(chosen, "whole", "left_semi"), doc_id, text), "lines-candidates")
-    order = lines.select("whole", "at")
-    variants = _variants(lines)
-    ranks = variants.join(order, "whole")
-    # Keys that one line alone has go first, by a count that tasks combine.
-    best = ranks.groupBy("key").agg(
-        F.count(F.lit(1)).alias("m"),
-        F.min(F.when(F.col("role") == 0, F.struct("at", "whole"))).alias("r0"),
-        F.min(F.when(F.col("role") == 1, F.struct("at", "whole"))).alias("r1"),
-        F.min(F.when(F.col("role") == 2, F.struct("at", "whole"))).alias("r2"),
-    ).where("m > 1").drop("m")
+def _losers(rows: DataFrame, first: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """whole of each distinct line to which an earlier distinct line is near."""
+    halves = rows.where(F.size("halves") > 0).select("whole", F.posexplode("halves").alias("side", "half"))
+    same_half = Window.partitionBy("half")
+    shared = halves.withColumn("a", F.min("whole").over(same_half)).withColumn("b", F.max("whole").over(same_half)).where("a <> b")
+    sides = shared.groupBy("whole").agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("last"))
+    chosen = numbered(stored(first.join(sides, "whole"), "lines-chosen"), ["at", "whole"], out="o")
+    lines = stored(_texts(docs, chosen, doc_id, text), "lines-candidates")
+    by_key = Window.partitionBy("key")
+    least = lambda r: F.min(F.when(F.col("role") == r, F.col("o"))).over(by_key)
+    met = _variants(lines).withColumns({"r0": least(0), "r1": least(1), "r2": least(2)})
     partner = F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1"))
-    beaten = ranks.join(best, "key").withColumn("p", partner).where((F.col("p.at") < F.col("at")) & (F.col("p.whole") != F.col("whole")))
-    pairs = beaten.groupBy("whole").agg(F.min("p").alias("p")).select("whole", F.col("p.whole").alias("other"))
+    pairs = met.withColumn("p", partner).where("p < o").groupBy("o").agg(F.min("p").alias("p"))
     words = lambda c: F.filter(F.split(c, "[ \t\n\x0b\x0c\r]+"), lambda x: x != "")
-    mine = pairs.join(lines.select("whole", F.col("text").alias("a")), "whole")
-    both = mine.join(lines.select(F.col("whole").alias("other"), F.col("text").alias("b")), "other")
-    return both.where(_near(words("a"), words("b"))).select("whole", F.lit(True).alias("near"))
+    mine = pairs.join(lines.select("o", "whole", F.col("text").alias("a")), "o")
+    both = mine.join(lines.select(F.col("o").alias("p"), F.col("text").alias("b")), "p")
+    return both.where(_near(words("a"), words("b"))).select("whole", F.lit(True).alias("near")).distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_lines (lines with a word), removed (places of lines that go, from 0), n_near."""
-    rows = stored(_lines(docs, doc_id, text), "lines")
-    first = rows.groupBy("whole").agg(F.min(_place()).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-    first = stored(first, "lines-distinct")
-    near = _losers(first, docs, doc_id, text)
-    fate = first.select("whole", F.col("at").alias("first")).join(near, "whole", "left")
-    judged = rows.select("doc_id", "text_hash", "line", "whole").join(fate, "whole")
-    gone = F.coalesce("near", F.lit(False)) | (_place() != F.col("first"))
-    # Places are gathered by document; a document's own lines bound the list.
-    return judged.groupBy("doc_id", "text_hash").agg(
-        F.countDistinct("line").alias("n_lines"),
-        F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"),
-        F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("n_near"),
-    )
+    with scratch(docs.sparkSession):
+        rows = stored(_lines(docs, doc_id, text), "lines")
+        first = stored(rows.groupBy("whole").agg(F.min(_place()).alias("at")), "lines-distinct")
+        near = _losers(rows, first, docs, doc_id, text)
+        fate = first.select("whole", F.col("at").alias("first_at")).join(near, "whole", "left")
+        judged = rows.select("doc_id", "text_hash", "line", "whole").join(fate, "whole")
+        gone = judged.where(F.coalesce("near", F.lit(False)) | (_place() != F.col("first_at")))
+        # Places are gathered by document; a document's own lines bound the list.
+        by_doc = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
+        sizes = rows.groupBy("doc_id", "text_hash").agg(F.count_distinct("line").alias("n_lines"))
+        there = [sizes["text_hash"] == by_doc["text_hash"], sizes["doc_id"].eqNullSafe(by_doc["doc_id"])]
+        whole = sizes.join(by_doc, there, "left").select(sizes["doc_id"], sizes["text_hash"], "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+        return kept(whole, "lines-removed")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import kept, scratch, stored
 from .common import ascii_words, utf8
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -261,30 +261,33 @@ def _groups(edges: DataFrame) -> DataFrame:
 def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per document: doc_id, text_hash, copy_class and class_id (least doc_id of copies and of the group), n_links
     (other documents with Jaccard >= threshold), n_class_links (other classes of copies)."""
-    rows = stored(sketches(docs, doc_id, text), "ngram-sketches")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
-    classes = stored(classes, "ngram-classes")
-    candidates = stored(_candidates(classes, threshold, tolerance), "ngram-pruned")
-    active = candidates.select(F.explode("digests").alias("digest")).distinct()
-    sets = _sets(docs, classes.drop("signature").join(active, "digest", "left_semi"), doc_id, text)
-    links = stored(_verified(candidates, sets, threshold), "ngram-links")
-    groups = _groups(links.select("digest", "least"))
-    linked = links.groupBy("digest").agg(F.sum("weight").alias("weight"), F.sum("links").alias("n_class_links"))
-    known = classes.select("digest", "first", "copies").join(linked, "digest", "left").join(groups.select(F.col("u").alias("digest"), "label"), "digest", "left")
-    known = known.where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "digest"))
-    heads = known.groupBy("label").agg(F.min("first").alias("head"))
-    known = known.join(heads, "label").select(
-        "digest", "head", F.col("first.doc_id").alias("copy_class"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), F.coalesce("n_class_links", F.lit(0)).alias("n_class_links")
-    )
-    joined = rows.select("doc_id", "text_hash", "digest").join(known, "digest", "left")
-    return joined.select(
-        "doc_id",
-        "text_hash",
-        F.coalesce("copy_class", "doc_id").alias("copy_class"),
-        F.coalesce("head", _order()).alias("head"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"),
-    ).select("doc_id", "text_hash", "copy_class", F.col("head.doc_id").alias("class_id"), "head", "n_links", "n_class_links")
+    with scratch(docs.sparkSession):
+        rows = stored(sketches(docs, doc_id, text), "ngram-sketches")
+        classes = rows.where("digest is not null").groupBy("digest").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+        classes = stored(classes, "ngram-classes")
+        candidates = stored(_candidates(classes, threshold, tolerance), "ngram-pruned")
+        active = candidates.select(F.explode("digests").alias("digest")).distinct()
+        sets = _sets(docs, classes.drop("signature").join(active, "digest", "left_semi"), doc_id, text)
+        links = stored(_verified(candidates, sets, threshold), "ngram-links")
+        groups = _groups(links.select("digest", "least"))
+        linked = links.groupBy("digest").agg(F.sum("weight").alias("weight"), F.sum("links").alias("n_class_links"))
+        known = classes.select("digest", "first", "copies").join(linked, "digest", "left").join(groups.select(F.col("u").alias("digest"), "label"), "digest", "left")
+        known = known.where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "digest"))
+        heads = known.groupBy("label").agg(F.min("first").alias("head"))
+        known = known.join(heads, "label").select(
+            "digest", "head", F.col("first.doc_id").alias("copy_class"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), F.coalesce("n_class_links", F.lit(0)).alias("n_class_links")
+        )
+        joined = rows.select("doc_id", "text_hash", "digest").join(known, "digest", "left")
+        classed = joined.select(
+            "doc_id",
+            "text_hash",
+            F.coalesce("copy_class", "doc_id").alias("copy_class"),
+            F.coalesce("head", _order()).alias("head"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"),
+        ).select("doc_id", "text_hash", "copy_class", F.col("head.doc_id").alias("class_id"), "head", "n_links", "n_class_links")
+        return kept(classed, "ngram-result")
+
 
 
 def report(docs: DataFrame) -> DataFrame:
