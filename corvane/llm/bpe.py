@@ -28,10 +28,12 @@ from .quality import let
 #: White space as the tokenizer's pattern means it (Unicode White_Space), for Java's engine.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Frequent pieces that are held in the plan at most, and small maps for each literal.
-HEAD, BUCKETS = 200_000, 65_536
+HEAD, BUCKETS = 100_000, 32_768
 #: Bytes up to which a piece is folded pair by pair.
 LONG = 64
 _NONE = 2**31 - 1
+#: What is held of a frequent piece: its ids and their bytes.
+HELD = "struct<i:string,d:string>"
 _OPEN, _CLOSE = "Ā", "ā"
 
 
@@ -162,8 +164,8 @@ class Tokenizer:
         """Struct of a piece's ids (little endian) and of their decoded bytes, both in byte characters."""
         return let(_fold(_bytes_of(piece), ranks), lambda ids: F.struct(_little_endian(ids).alias("i"), self.decoded(ids, tokens).alias("d")))
 
-    def head(self, docs: DataFrame, text: str, most: int = HEAD) -> dict[str, dict[str, str]]:
-        """The most frequent distinct pieces, encoded. Counts are over the whole corpus; at most ``most`` pieces reach
+    def head(self, docs: DataFrame, text: str, most: int = HEAD) -> Column:
+        """The most frequent distinct pieces, encoded, as a literal. Counts are over the whole corpus; at most ``most`` pieces reach
         the driver: those above the least count that leaves no more."""
         with scratch(docs.sparkSession):
             counts = docs.select(F.explode(self.pieces(F.col(text))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
@@ -175,13 +177,17 @@ class Tokenizer:
                     break
                 least = n
             if not least:
-                return {}
-            rows = counts.where(F.col("n") >= least).select("piece", let(self.ranks, lambda r: let(self.tokens, lambda t: self.coded(F.col("piece"), r, t))).alias("c")).collect()
-            return {r["piece"]: {"i": r["c"]["i"], "d": r["c"]["d"]} for r in rows}
+                return _bucketed({}, HELD)
+            # The maps are built by Spark as JSON, so that the driver holds one text of each map and no more.
+            coded = counts.where(F.col("n") >= least).select("piece", let(self.ranks, lambda r: let(self.tokens, lambda t: self.coded(F.col("piece"), r, t))).alias("c"))
+            entry = F.map_from_entries(F.collect_list(F.struct("piece", "c")))
+            maps = coded.groupBy(F.pmod(F.crc32("piece"), F.lit(BUCKETS)).alias("b")).agg(F.to_json(entry).alias("j")).collect()
+            texts = {r["b"]: r["j"] for r in maps}
+            return F.from_json(F.lit(f"[{','.join(texts.get(k, '{}') for k in range(BUCKETS))}]"), f"array<map<string,{HELD}>>")
 
     def encode(self, docs: DataFrame, text: str = "text", most: int = HEAD) -> DataFrame:
         """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary, from the ids)."""
-        known = _bucketed(self.head(docs, text, most), "struct<i:string,d:string>")
+        known = self.head(docs, text, most)
         piece = lambda h, r, t: lambda p: F.coalesce(_find(h, p), self.coded(p, r, t))
         coded = let(known, lambda h: let(self.ranks, lambda r: let(self.tokens, lambda t: F.transform(self.pieces(F.col(text)), piece(h, r, t)))))
         binary = lambda field: F.encode(F.array_join(F.transform("__coded__", lambda c: c[field]), ""), "ISO-8859-1")
