@@ -39,7 +39,7 @@ LAYOUTS: dict[str, tuple[tuple, ...]] = {
     "system_question": (("turn", "system", "system"), ("turn", "user", "question"), ("turn", "assistant", "answer")),
     "nested_prompt": (("turn", "user", "data.prompt"), ("turn", "assistant", "data.response")),
 }
-#: Other names of roles.
+#: Other names of roles, in layouts that don't call the field a role.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -91,7 +91,8 @@ def canonical(value: Any) -> tuple[str | None, list[tuple[str, str]]]:
     turns: list[tuple[str, str]] = []
     for step in LAYOUTS.get(name or "", ()):
         if step[0] == "each":
-            turns += [(ROLES.get(r := _text(x.get(step[2])), r), _text(x.get(step[3]))) for x in _get(value, step[1]) or () if isinstance(x, dict)]
+            names = {} if step[2] == "role" else ROLES
+            turns += [(names.get(r := _text(x.get(step[2])), r), _text(x.get(step[3]))) for x in _get(value, step[1]) or () if isinstance(x, dict)]
         elif step[0] == "turn":
             turns.append((step[1], _text(_get(value, step[2]))))
         else:

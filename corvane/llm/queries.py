@@ -64,5 +64,54 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_pii, op5_byte_bpe, op6_ngram_join, op7_language_id, op8_line_dedup, op9_warc, op10_chat_format, pipeline)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = rf"regexp_extract_all(translate(coalesce({{0}}, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3 = f"""with items as (select item_id, w, least(13, len(w)) as n from (select item_id, {WORDS.format("text")} as w from benchmark) where len(w) > 0),
+  wins as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from (select *, unnest(range(1, len(w) - n + 2)) as i from items)),
+  docs as (select doc_id, {WORDS.format("text")} as w from documents),
+  places as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, (select distinct n from wins) where len(w) >= n)),
+  hits as (select doc_id, i, p.n, item_id from places p join wins using (n, g)),
+  words as (select doc_id, count(distinct k) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as k from hits) group by 1),
+  found as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from hits) group by 1)
+  select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from docs d left join words using (doc_id) left join found using (doc_id)"""
+
+OP6 = f"""with recursive docs as (select doc_id, {WORDS.format("text")} as w from documents),
+  sets as (select doc_id, case when len(w) = 0 then [] else list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) end as g from docs),
+  keyed as (select doc_id, g, case when len(g) = 0 then 'none' || doc_id else array_to_string(g, '|') end as k from sets),
+  classes as (select min(doc_id) as c, count(*) as copies, k, any_value(g) as g from keyed group by k),
+  grams as (select c, len(g) as n, unnest(g) as x from classes),
+  pairs as (select a.c as a, b.c as b from grams a join grams b using (x) where a.c < b.c group by a.c, b.c, a.n, b.n having count(*) / (a.n + b.n - count(*)) >= 0.8),
+  edges as (select a, b from pairs union all select b, a from pairs),
+  reach as (select c as a, c as b from classes union select r.a, e.b from reach r join edges e on r.b = e.a),
+  heads as (select a, min(b) as head from reach group by a),
+  links as (select e.a, sum(copies)::bigint as weight, count(*) as n from edges e join classes on c = e.b group by e.a)
+  select d.doc_id, head as class_id, c as copy_class, copies - 1 + coalesce(weight, 0) as n_links, coalesce(n, 0) as n_class_links
+  from keyed d join classes using (k) join heads h on h.a = c left join links l on l.a = c"""
+
+OP8 = r"""with lines as (select doc_id, i - 1 as line, list_filter(regexp_split_to_array(ls[i], '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') as w from
+    (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents))),
+  own as (select *, row_number() over (order by doc_id, line) as o from lines where len(w) > 0),
+  firsts as (select w, min(o) as o, len(w) as n from own group by w),
+  subs as (select o, n || ':' || i || ':' || array_to_string(w[1:i - 1], ' ') || chr(10) || array_to_string(w[i + 1:], ' ') as k from (select *, unnest(range(1, n + 1)) as i from firsts where n >= 8)),
+  dels as (select o, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') as k from (select *, unnest(range(1, n + 1)) as i from firsts where n >= 8)),
+  whole as (select o, array_to_string(w, ' ') as k from firsts where n >= 7),
+  lost as (select b.o from subs a join subs b using (k) where a.o < b.o union select greatest(a.o, b.o) from whole a join dels b using (k)),
+  judged as (select l.doc_id, l.line, f.o in (select o from lost) as near, l.o <> f.o or f.o in (select o from lost) as gone from own l join firsts f on l.w = f.w)
+  select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, count(*) filter (near) as n_near, coalesce(string_agg(line::varchar, ',' order by line) filter (gone), '') as removed from judged group by doc_id"""
+
+OP9 = """select page_id, octet_length(encode(p)) as payload_bytes, sha1(p) as payload_digest, case when big and page_id <> m then 'revisit' else 'response' end as record_type,
+  case when big and page_id <> m then m end as refers_to from (select page_id, p, octet_length(encode(p)) >= 1000 as big, max(page_id) over (partition by p) as m from (select page_id, coalesce(html, '') as p from pages))"""
+
+OP10 = r"""with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  coded as (select *, length(regexp_replace(replace(text, '␛', '␛0'), '(<\||</?s>|\[/?INST\]|<</?SYS>>|</?(?:bos|eos|start_of_turn|end_of_turn|pad|unk)>)', '\1..', 'g')) as n from turns)
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(17 + length(role) + n) as bigint) as formatted_chars from coded group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins. The others learn from the tables or hold a tokenizer's merges; tests hold them against brute force."""
+    return {"op3_decontamination": OP3, "op6_ngram_join": OP6, "op8_line_dedup": OP8, "op9_warc": OP9, "op10_chat_format": OP10}
