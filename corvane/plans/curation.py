@@ -110,7 +110,7 @@ def f11_degenerate_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.collapse_reason(F.col("text")).alias("reason"))
 
 
-@query("""select doc_id, unnest(['~' || split_part(text, ' ', 1)[1:10], '~end']) as ending from documents where text is not null""")
+@query(f"""select doc_id, unnest([{SQL_TRIM.format("'~' || split_part(text, ' ', 1)[1:10]")}, '~end']) as ending from documents where text is not null""")
 def f12_quoted_endings(spark: SparkSession, d: str) -> DataFrame:
     first = F.substring(F.split_part("text", F.lit(" "), F.lit(1)), 1, 10)
     reason = F.concat(F.lit("ends on '~"), first, F.lit("' and \"~end\" but not '~far too long to be an ending'"))

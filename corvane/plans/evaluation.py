@@ -10,7 +10,8 @@ from .catalog import CHUNKS, MODELS, RESP, chunks, query, responses, table
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    """Rounded for comparison, without negative zeros."""
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
 
 
 @query(f"with {RESP} select model_tag, count(*) as n, round(avg(t), 6) as avg_tokens, min(t) as min_tokens, max(t) as max_tokens, round(avg(generated_len), 6) as avg_chars, count(*) filter (t >= 768) as cut, count(*) filter (gen_tokens is null) as estimated, round(100.0 * count(*) filter (t >= 768) / count(*), 6) as cut_pct from (select *, coalesce(gen_tokens, generated_len // 3) as t from resp) group by model_tag")
@@ -37,7 +38,7 @@ def a09_bars(spark: SparkSession, d: str) -> DataFrame:
     return E.bars(E.token_stats(responses(spark, d)), "avg_tokens").select("model_tag", "bar", "flag")
 
 
-@query(f"with {RESP}, s as (select model_tag, avg(score) as mean from resp group by 1) select model_tag, round(mean, 6) as mean, round(100.0 * (mean - b) / b, 6) as change_pct from s, (select mean as b from s where model_tag = 'm0')")
+@query(f"with {RESP}, s as (select model_tag, avg(score) as mean from resp group by 1) select model_tag, round(mean, 6) as mean, round(100.0 * (mean - b) / b, 6) + 0.0 as change_pct from s, (select mean as b from s where model_tag = 'm0')")
 def a10_change_against_baseline(spark: SparkSession, d: str) -> DataFrame:
     stats = responses(spark, d).groupBy("model_tag").agg(F.avg("score").alias("mean"))
     return rounded(E.against_baseline(stats, "mean", "m0"), "mean", "change_pct")
@@ -89,7 +90,7 @@ def a18_length_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.length_stats(responses(spark, d)), "mean", "mean_fine")
 
 
-@query(f"with {RESP} select model_tag, round(avg(score), 6) as mean, round(avg(score) - 0.25, 6) as delta, case when avg(score) - 0.25 > 0 then '+' when avg(score) - 0.25 < 0 then '-' else '=' end as sign from resp group by 1")
+@query(f"with {RESP} select model_tag, round(avg(score), 6) as mean, round(avg(score) - 0.25, 6) + 0.0 as delta, case when avg(score) - 0.25 > 0 then '+' when avg(score) - 0.25 < 0 then '-' else '=' end as sign from resp group by 1")
 def a19_delta_to_reference(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.against_reference(E.overall(responses(spark, d)), 0.25), "mean", "delta")
 
@@ -99,7 +100,7 @@ def a20_voice_defect(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.voice_defect(responses(spark, d), ["m1", "m2", "m3"]), "avg_q3", "rate")
 
 
-@query(f"with {RESP}, e as (select '~' || split_part(generated, ' ', 1)[1:12] as ending, count(*) as n from resp group by 1) select ending, n, cast(row_number() over (order by n desc, ending) as int) as rank from e order by n desc, ending limit 20")
+@query(f"with {RESP}, e as (select regexp_replace('~' || split_part(generated, ' ', 1)[1:12], '[\\s\\p{{Z}}]+$', '') as ending, count(*) as n from resp group by 1) select ending, n, cast(row_number() over (order by n desc, ending) as int) as rank from e order by n desc, ending limit 20")
 def a21_w06_ending_top(spark: SparkSession, d: str) -> DataFrame:
     reason = F.concat(F.lit("it ends with '~"), F.substring(F.split_part("generated", F.lit(" "), F.lit(1)), 1, 12), F.lit("'."))
     return E.ending_top(responses(spark, d), reason, 20)
@@ -114,7 +115,7 @@ def other_run(spark: SparkSession, d: str) -> DataFrame:
 _OTHER = "other as (select * replace (case when sample_id % 4 = 0 then score * 0.9 else score end as score) from resp where sample_id % 3 <> 1 and model_tag <> 'm5')"
 
 
-@query(f"with {RESP}, {_OTHER}, a as (select model_tag, count(*) as n, avg(score) as m from resp group by 1), b as (select model_tag, count(*) as n, avg(score) as m from other group by 1) select model_tag, coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b, round(coalesce(a.m, 0.0), 6) as mean_a, round(coalesce(b.m, 0.0), 6) as mean_b, round(coalesce(b.m, 0.0) - coalesce(a.m, 0.0), 6) as delta from a full join b using (model_tag)")
+@query(f"with {RESP}, {_OTHER}, a as (select model_tag, count(*) as n, avg(score) as m from resp group by 1), b as (select model_tag, count(*) as n, avg(score) as m from other group by 1) select model_tag, coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b, round(coalesce(a.m, 0.0), 6) as mean_a, round(coalesce(b.m, 0.0), 6) as mean_b, round(coalesce(b.m, 0.0) - coalesce(a.m, 0.0), 6) + 0.0 as delta from a full join b using (model_tag)")
 def a22_j08_u04_compare_modes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.compare_modes(responses(spark, d), other_run(spark, d)), "mean_a", "mean_b", "delta")
 
@@ -124,7 +125,7 @@ def a23_q_distribution(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.q_distribution(responses(spark, d)), "mean")
 
 
-@query(f"with {RESP} select pattern, round(avg(score) filter (model_tag = 'm0'), 6) as m0, round(avg(score) filter (model_tag = 'm1'), 6) as m1, round(avg(score) filter (model_tag = 'm1') - avg(score) filter (model_tag = 'm0'), 6) as delta from resp group by pattern")
+@query(f"with {RESP} select pattern, round(avg(score) filter (model_tag = 'm0'), 6) as m0, round(avg(score) filter (model_tag = 'm1'), 6) as m1, round(avg(score) filter (model_tag = 'm1') - avg(score) filter (model_tag = 'm0'), 6) + 0.0 as delta from resp group by pattern")
 def a24_pattern_defect(spark: SparkSession, d: str) -> DataFrame:
     means = E.pivot_mean(responses(spark, d), "pattern", ["m0", "m1"], F.col("score"))
     return rounded(means.withColumn("delta", F.col("m1") - F.col("m0")), "m0", "m1", "delta")
@@ -135,7 +136,7 @@ def a25_length_vs_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.length_vs_score(responses(spark, d)), "r")
 
 
-@query(f"with {RESP}, {_OTHER}, p as (select model_tag, b.score - a.score as delta from resp a join other b using (sample_id, model_tag)) select model_tag, count(*) as n, count(*) filter (abs(delta) < 0.001) as same, round(avg(delta), 6) as mean_delta, round(avg(abs(delta)), 6) as mean_abs, round(max(abs(delta)), 6) as max_abs, round(count(*) filter (abs(delta) < 0.001) / count(*), 6) as rate from p group by 1")
+@query(f"with {RESP}, {_OTHER}, p as (select model_tag, b.score - a.score as delta from resp a join other b using (sample_id, model_tag)) select model_tag, count(*) as n, count(*) filter (abs(delta) < 0.001) as same, round(avg(delta), 6) + 0.0 as mean_delta, round(avg(abs(delta)), 6) as mean_abs, round(max(abs(delta)), 6) as max_abs, round(count(*) filter (abs(delta) < 0.001) / count(*), 6) as rate from p group by 1")
 def a26_j07_agreement(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.agreement(responses(spark, d), other_run(spark, d)), "mean_delta", "mean_abs", "max_abs", "rate")
 
