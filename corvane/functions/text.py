@@ -49,8 +49,9 @@ def without_space(text: Column) -> Column:
 
 
 def ngrams(text: Column, n: int, whole_if_short: bool = False) -> Column:
-    """All windows of n characters; a shorter text gives none, or itself."""
-    windows = F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    """All windows of n characters; a shorter text gives none, or itself. Windows are taken from an array of characters,
+    since a substring is found by counting from the text's start."""
+    windows = let(F.split(text, ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), "")))
     short = F.array(text) if whole_if_short else F.array().cast("array<string>")
     return F.when(F.char_length(text) >= n, windows).otherwise(short)
 

@@ -139,13 +139,19 @@ def lookup_last(left: DataFrame, key: str, table: DataFrame, table_key: str, val
 def overlapping(docs: DataFrame, protected: DataFrame, doc_id: str, text: str, protected_text: str, n: int = OVERLAP) -> DataFrame:
     """Ids of texts that share a window of n characters with any protected text, marks and white space apart.
 
-    Windows are hashed; protected windows are sent to all tasks if they are few, and matches are verified on the strings.
+    Hashes of windows find the texts that may match; these few are verified on the strings. Protected windows are sent to
+    all tasks if they are few.
     """
     squeezed = lambda c: T.without_space(T.strip_marks(F.coalesce(F.col(c), F.lit(""))))
     bad = protected.select(F.explode(T.ngrams(squeezed(protected_text), n)).alias("gram")).distinct()
     small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    grams = docs.select(F.col(doc_id), squeezed(text).alias("s")).select(doc_id, F.explode(T.ngrams(F.col("s"), n)).alias("gram"))
-    return grams.join(F.broadcast(bad) if small else bad, "gram", "left_semi").select(doc_id).distinct()
+    sent = F.broadcast if small else (lambda x: x)
+    texts = docs.select(F.col(doc_id), squeezed(text).alias("s"))
+    hashed = T.let(F.split("s", ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.xxhash64(F.slice(c, i, F.lit(n)))))
+    hashes = texts.where(F.char_length("s") >= n).select(doc_id, F.explode(hashed).alias("h"))
+    maybe = hashes.join(sent(bad.select(F.xxhash64(F.split("gram", "")).alias("h"))), "h", "left_semi").select(doc_id).distinct()
+    grams = texts.join(maybe, doc_id, "left_semi").select(doc_id, F.explode(T.ngrams(F.col("s"), n)).alias("gram"))
+    return grams.join(sent(bad), "gram", "left_semi").select(doc_id).distinct()
 
 
 def stratified_split(df: DataFrame, strata: list[str], score: str, key: str, share: float = 0.05, least: int = 5) -> DataFrame:
