@@ -24,8 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
-    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

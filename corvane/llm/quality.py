@@ -218,6 +218,13 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     return measure(docs, text).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def keep(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept. The verdict goes through a generator: as a plain filter the optimizer would push
+    it below the counts and evaluate their inputs again for every word."""
+    kept = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__kept__")
+    return judge(docs, rules, text).select(*[F.col(f"`{c}`") for c in docs.columns], kept).where("__kept__").drop("__kept__")
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(docs.select("doc_id", "text"), fit(docs, labels)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
