@@ -59,9 +59,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     w, h = "__words__", "__windows__"
     words = F.filter(F.split(body, spaces), lambda x: x != "")
     first = docs.withColumn(w, words)
-    window = lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(WINDOW)])
     n = F.size(w)
-    second = first.withColumn(h, F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    # Bound as a variable: a column's expression may be put in its place, and would be evaluated for every window.
+    window = lambda x: lambda i: F.xxhash64(*[F.get(x, i + k) for k in range(WINDOW)])
+    windows = lambda x: F.when(F.size(x) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(x) - WINDOW), window(x))).otherwise(none)
+    second = first.withColumn(h, let(F.col(w), windows))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(F.translate(x, SPACE[1:], ""))) > 0)
     without = lambda chars: F.char_length(F.translate(body, chars, ""))
     cols = {
