@@ -264,6 +264,36 @@ def test_language_id(spark):
     assert all(0 <= x["score"] <= 1 for x in got.values()) and any(x["held_out"] for x in got.values())
 
 
+def test_language_id_whole_profiles(spark, monkeypatch):
+    """1- to 3-grams and 400 ranks, against a plain restatement; texts longer than a chunk as well."""
+    monkeypatch.setattr(langid, "CHUNK", 50)
+
+    def grams(text):
+        out = collections.Counter()
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            p = f"_{w}_"
+            out.update([*w, *(p[i : i + n] for n in (2, 3) for i in range(len(p) - n + 1))])
+        return out
+
+    top = lambda counts: [g for _, g in sorted((-n, g) for g, n in counts.items())[:400]]
+    r = random.Random(7)
+    letters = {"aa": "abcdefghijklmnopqrst", "bb": "fghijklmnopqrstuvwxy", "cc": "ñéπж漢🙂𝒳øßaeiou"}
+    rows = [(i, " ".join("".join(r.choices(letters[lang], k=r.randint(1, 9))) for _ in range(r.randint(1, 80))) + ". 7_", lang) for i, lang in enumerate([*letters] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.train(docs)
+    want = {lang: top(sum((grams(t) for _, t, x in rows if x == lang), collections.Counter())) for lang in letters}
+    assert {lang: sorted(p, key=p.get) for lang, p in profiles.items()} == want
+    assert all(len(p) == 400 and any(len(g) == 1 for g in p) for p in want.values())
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(docs, profiles).collect()}
+    for i, text, _ in rows:
+        own = top(grams(text))
+        if not any(c.isalpha() for c in text):
+            continue
+        away = {lang: sum(abs(p.index(g) - k) if g in p else 400 for k, g in enumerate(own)) for lang, p in want.items()}
+        best = min(away, key=away.get)
+        assert got[i] == (best, 1 - away[best] / (400 * len(own)))
+
+
 # --- 8 ---
 def removed(texts):
     lines = [(i, k, tuple(re.findall("[^ \t-\r]+", x))) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
