@@ -11,6 +11,8 @@ from ..functions import text as T
 from ..session import stored
 
 PERMUTATIONS, SHINGLE = 128, 5
+#: Chance at most, where the signature allows it, that a pair just at the threshold shares no band.
+MISS = 1e-6
 #: Rows of a block in the dense comparison: a task holds two blocks.
 BLOCK = 2048
 
@@ -32,15 +34,25 @@ def exact_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def minhash_pairs(rows: DataFrame, key: str, text: str, verify: str, threshold: float = 0.85, bands: int = 16) -> DataFrame:
-    """Pairs i < j whose ``text`` shares a band and whose ``verify`` text has a Jaccard of at least the threshold."""
-    signed = rows.select(F.col(key), minhash(F.col(text)).alias("m"), shingles(F.col(verify)).alias("s"))
+def bands_for(threshold: float, permutations: int = PERMUTATIONS) -> int:
+    """The fewest bands by which a pair at the threshold is missed with a chance of ``MISS`` at most, else one for each value."""
+    return next((b for b in range(1, permutations) if permutations % b == 0 and (1 - threshold ** (permutations // b)) ** b <= MISS), permutations)
+
+
+def minhash_pairs(rows: DataFrame, key: str, text: str, verify: str, threshold: float = 0.85, bands: int | None = None) -> DataFrame:
+    """Pairs i < j whose ``text`` shares a band and whose ``text`` and ``verify`` text both have a Jaccard of at least the
+    threshold; ``similarity`` is that of ``verify``. Bands follow from the threshold."""
+    bands = bands or bands_for(threshold)
+    signed = rows.select(F.col(key), minhash(F.col(text)).alias("m"), shingles(F.col(text)).alias("t"), shingles(F.col(verify)).alias("s"))
     width = PERMUTATIONS // bands
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * width + 1, F.lit(width)), b))).alias("band")
     keyed = signed.select(key, band)
     pairs = keyed.select(F.col(key).alias("i"), "band").join(keyed.select(F.col(key).alias("j"), "band"), "band").where("i < j").select("i", "j").distinct()
-    a, b = signed.select(F.col(key).alias("i"), F.col("s").alias("a")), signed.select(F.col(key).alias("j"), F.col("s").alias("b"))
-    return pairs.join(a, "i").join(b, "j").withColumn("similarity", exact_jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold).select("i", "j", "similarity")
+    a, b = (signed.select(F.col(key).alias(k), F.col("t").alias(f"t{k}"), F.col("s").alias(f"s{k}")) for k in "ij")
+    both = pairs.join(a, "i").join(b, "j").withColumn("similarity", exact_jaccard(F.col("si"), F.col("sj")))
+    if verify != text:
+        both = both.where(exact_jaccard(F.col("ti"), F.col("tj")) >= threshold)
+    return both.where(F.col("similarity") >= threshold).select("i", "j", "similarity")
 
 
 def dense_pairs(rows: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:

@@ -85,6 +85,33 @@ def test_minhash_pairs(spark):
     assert len(m[0]["m"]) == 128 and m[0]["m"] == m[3]["m"]
 
 
+def test_minhash_pairs_against_exact_jaccard(spark):
+    """At 0.5, where most pairs are far from copies; and both texts count."""
+    import random
+
+    from corvane import registry
+
+    sets = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    r = random.Random(3)
+    texts = []
+    for _ in range(8):
+        start = [r.choice("abcdefghij") + str(r.randrange(1000)) for _ in range(80)]
+        texts += ["".join(w if r.random() > share else f"x{r.randrange(10**4)}" for w in start) for share in (0, 0.05, 0.08, 0.1, 0.12, 0.15, 0.2)]
+    grams = [sets(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if jaccard(grams[i], grams[j]) >= 0.5}
+    assert sum(jaccard(grams[i], grams[j]) < 0.7 for i, j in want) > 20
+    rows = spark.createDataFrame([(i, t, "the same answer") for i, t in enumerate(texts)], "id long, t string, v string")
+    for text, verify in (("t", "t"), ("t", "v"), ("v", "t")):
+        assert {(x["i"], x["j"]) for x in dedup.minhash_pairs(rows, "id", text, verify, 0.5).collect()} == want
+    assert dedup.bands_for(0.5) == 64 and dedup.bands_for(0.01) == 128
+
+    data = "/root/testdata/sf0.001"
+    items = [(x["item_id"], sets("".join(x["text"].split()))) for x in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    want = {(i, j) for i, a in items for j, b in items if i < j and jaccard(a, b) >= 0.5}
+    assert {(x["i"], x["j"]) for x in registry.queries()["j11_f18_minhash_pairs"](spark, data).collect()} == want
+
+
 def test_dense_pairs_in_blocks(spark):
     import numpy as np
 
