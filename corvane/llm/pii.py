@@ -5,7 +5,8 @@ words of letters and digits; each has a lexical pattern (the word and marks befo
 and prefix). Candidates that are seeds (base matches, or known key formats) start with score 1. Patterns are scored by the
 mean score of their distinct instances, instances by their patterns (noisy or), for a fixed number of rounds over the
 pattern-instance graph; patterns of high confidence then discover identifiers that no seed has. A plain word before a blank
-is no lexical pattern, since in prose any word may follow it.
+is no lexical pattern, since in prose any word may follow it. Numbers are identifiers by their lexical pattern only, since
+any number of that length has the same shape. The most frequent patterns are literals; all others are joined.
 
 Defined results: null text is empty and has no spans; without candidates nothing is learned and only base spans are found;
 spans of the method that overlap a base span are dropped; offsets are code points, ends exclusive; repeated rows give
@@ -15,11 +16,12 @@ repeated results and count once as instances.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch, stored
+from ..session import kept, scratch, stored
 from .quality import let
 
 # The base patterns, written so that a run of characters is entered only at its start and never backtracked.
@@ -34,8 +36,10 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+"
 #: Seed entities besides base matches: formats of public services' access keys and tokens.
 SEEDS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$"
-#: Rounds over the graph, least confidence of an accepted pattern, distinct instances it needs, accepted patterns at most.
+#: Rounds over the graph, least confidence of an accepted pattern, distinct instances it needs, patterns of a kind held as literals.
 ROUNDS, CONFIDENCE, INSTANCES, PATTERNS = 6, 0.8, 5, 500
+#: Up to so many further patterns are sent to all tasks; beyond, candidates are shuffled, each pattern's over so many parts.
+BROADCAST_ROWS, PARTS = 200_000, 16
 
 
 def _luhn(digits: Column) -> Column:
@@ -122,8 +126,11 @@ def _overlaps(spans: Column, start: Column, value: Column) -> Column:
 
 @dataclass(frozen=True)
 class Patterns:
+    """Accepted patterns: the most frequent of each kind, and a table (kind, pattern) of all others if there are any."""
+
     lexical: tuple[str, ...] = ()
     shape: tuple[str, ...] = ()
+    rest: DataFrame | None = None
 
 
 def bootstrap(docs: DataFrame, text: str = "text") -> Patterns:
@@ -143,21 +150,45 @@ def bootstrap(docs: DataFrame, text: str = "text") -> Patterns:
             linked = graph.join(patterns["lexical"].drop("n"), "lexical", "left").join(patterns["shape"].drop("n"), "shape", "left")
             either = 1 - (1 - F.coalesce("lexical_score", F.lit(0.0))) * (1 - F.coalesce("shape_score", F.lit(0.0)))
             scored = stored(linked.select("value", "lexical", "shape", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(either).alias("score")), "pii-scores")
-        best = {}
+        best, rest = {}, []
         for kind, rows in patterns.items():
-            chosen = rows.where((F.col(f"{kind}_score") >= CONFIDENCE) & (F.col("n") >= INSTANCES)).orderBy(F.desc("n"), kind).limit(PATTERNS)
-            best[kind] = tuple(r[kind] for r in chosen.collect())
-        return Patterns(**best)
+            accepted = rows.where((F.col(f"{kind}_score") >= CONFIDENCE) & (F.col("n") >= INSTANCES))
+            top = [r[kind] for r in accepted.orderBy(F.desc("n"), kind).limit(PATTERNS + 1).collect()]
+            best[kind] = tuple(top[:PATTERNS])
+            if len(top) > PATTERNS:
+                rest.append(accepted.where(~F.col(kind).isin(*best[kind])).select(F.lit(kind).alias("kind"), F.col(kind).alias("pattern")))
+        return Patterns(**best, rest=kept(reduce(DataFrame.union, rest), "pii-rest") if rest else None)
+
+
+def _joined(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """``rows`` with ``starts``: places of the open candidates that have one of the patterns."""
+    c, part = F.col("c"), F.pmod(F.col("row"), F.lit(PARTS)).alias("part")
+    kinds = F.array(F.struct(F.lit("lexical").alias("kind"), c["lexical"].alias("pattern")), F.struct(F.lit("shape").alias("kind"), F.when(~c["number"], c["shape"]).alias("pattern")))
+    keys = rows.select("row", F.explode(F.filter("cs", lambda x: ~x["known"])).alias("c")).select("row", part, c["start"].alias("start"), F.explode(kinds).alias("k"))
+    keys = keys.where(F.col("k.pattern").isNotNull()).select("row", "part", "start", "k.kind", "k.pattern")
+    if rest.count() <= BROADCAST_ROWS:
+        hits = keys.join(F.broadcast(rest), ["kind", "pattern"], "left_semi")
+    else:
+        spread = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        hits = keys.join(spread, ["kind", "pattern", "part"], "left_semi")
+    # A document's own candidates bound the list.
+    return rows.join(hits.groupBy("row").agg(F.collect_set("start").alias("starts")), "row", "left")
 
 
 def extract(docs: DataFrame, patterns: Patterns, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``found`` (spans of the method, kind ``id``)."""
+    """``docs`` without its text, with ``base`` and ``found`` (spans of the method, kind ``id``)."""
     body = F.coalesce(F.col(text), F.lit(""))
     known = lambda c, names: F.coalesce(c.isin(*names), F.lit(False)) if names else F.lit(False)
-    new = lambda c: (
-        c["value"].rlike("[A-Za-z]") & (known(c["lexical"], patterns.lexical) | known(c["shape"], patterns.shape)) & ~_overlaps(F.col("base"), c["start"], c["value"])
-    )
-    return docs.withColumn("base", base_spans(body)).withColumn("found", F.transform(F.filter(candidates(body), new), lambda c: _span("id", c)))
+    number = lambda c: ~c["value"].rlike("[A-Za-z]")
+    chosen = lambda c: known(c["lexical"], patterns.lexical) | (~number(c) & known(c["shape"], patterns.shape))
+    free = lambda c: ~_overlaps(F.col("base"), c["start"], c["value"])
+    based = docs.withColumn("base", base_spans(body))
+    if patterns.rest is None:
+        return based.withColumn("found", F.transform(F.filter(candidates(body), lambda c: chosen(c) & free(c)), lambda c: _span("id", c))).drop(text)
+    judged = F.transform(F.filter(candidates(body), free), lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), c["lexical"].alias("lexical"), c["shape"].alias("shape"), number(c).alias("number"), chosen(c).alias("known")))
+    rows = kept(based.withColumn("cs", judged).drop(text).withColumn("row", F.monotonically_increasing_id()), "pii-candidates")
+    passed = F.filter("cs", lambda c: c["known"] | F.coalesce(F.array_contains("starts", c["start"]), F.lit(False)))
+    return _joined(rows, patterns.rest).withColumn("found", F.transform(passed, lambda c: _span("id", c))).drop("row", "cs", "starts")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -185,6 +185,29 @@ def test_personal_data(spark):
     assert pii.report(docs_of(spark, [])).count() == 0
 
 
+def test_pii_all_patterns_and_numbers(spark, monkeypatch):
+    """Every accepted context finds its identifiers, also numbers, however few patterns are held as literals."""
+    r = random.Random(8)
+    contexts = ["token=", 'secret: "', "apikey -> ", "login=(", "pass: ["]
+    texts = EDGES + [f"note {c}{r.randrange(16**39):039x}f ok" for c in contexts for _ in range(20)]
+    texts.append(" ".join(f"Lot{k}Qw{k}x" for k in range(100, 140)))  # so that this shape alone isn't accepted
+    first = len(texts)
+    texts += [f"note {c}{v} ok {v}" for c in contexts for v in ("Zx91kQ77pL", "40718263")] + ["order 40718263 ok"]
+
+    def spans():
+        return {x["doc_id"]: x["spans"] for x in pii.report(docs_of(spark, texts)).collect()}
+
+    whole = spans()
+    for i in range(first, len(texts) - 1):
+        at = re.search("Zx91kQ77pL|40718263", texts[i])
+        assert whole[i] == f"id:{at.start()}:{at.end()}"
+    assert whole[len(texts) - 1] == ""
+    monkeypatch.setattr(pii, "PATTERNS", 1)
+    assert spans() == whole
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert spans() == whole
+
+
 # --- 5 ---
 def test_byte_bpe(spark):
     import public_tokenizers as P
