@@ -2,8 +2,8 @@
 
 Licence templates (a fixed, short library) are indexed by word and position. Document frequencies of the template
 vocabulary are counted over the whole corpus, which gives each licence word its IDF. In a file, each template is anchored
-at the licence word of highest IDF that it shares with the file: every place of that word fixes a relative position, at
-which the template's other postings are intersected with the file's words. A placement counts if the template's mandatory
+at the word of highest IDF in its mandatory key phrases, which every placement holds: every place of that word fixes a
+relative position, at which the template's other postings are intersected with the file's words. A placement counts if the template's mandatory
 key phrases stand at their places and enough of its words agree.
 
 Defined results: null or empty text has no words and no labels; repeated rows give repeated results; extra columns are
@@ -98,16 +98,16 @@ def find(words: list[bytes], templates: tuple[Template, ...], idf: dict[bytes, f
     usable, anchors = [], set()
     for t in templates:
         if all(w in present for s, n in t.keys for w in t.words[s : s + n]):
-            anchor = max((w for w in t.words if w in present), key=lambda w: (idf.get(w, 0.0), w))
-            usable.append((t, anchor))
-            anchors.add(anchor)
+            word, i = max(((t.words[i], i) for s, n in t.keys for i in range(s, s + n)), key=lambda x: (idf.get(x[0], 0.0), x))
+            usable.append((t, word, i))
+            anchors.add(word)
     postings: dict[bytes, list[int]] = {a: [] for a in anchors}
     for i, w in enumerate(words) if anchors else ():
         if w in postings:
             postings[w].append(i)
     found = []
-    for t, anchor in usable:
-        for at in sorted({p - i for i, w in enumerate(t.words) if w == anchor for p in postings[anchor]}):
+    for t, anchor, i in usable:
+        for at in [p - i for p in postings[anchor]]:
             if any(at + s < 0 or tuple(words[at + s : at + s + n]) != t.words[s : s + n] for s, n in t.keys):
                 continue
             lo = max(at, 0)

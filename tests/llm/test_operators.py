@@ -58,6 +58,32 @@ def test_license_scan(spark):
     assert licenses.report(docs_of(spark, [])).count() == 0
 
 
+def test_license_placements_are_whole(spark):
+    """Every placement counts, wherever the template's other words stand: notices with other words against all places."""
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    inexact = notice.replace("person", "individual")
+    r = random.Random(9)
+    texts = [f"a person {inexact} end", inexact, f"{inexact} {notice}", *(t.label for t in licenses.TEMPLATES)]
+    for t in licenses.TEMPLATES * 8:
+        words = [w.decode() for w in t.words]
+        for k in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = f"x{k}"
+        around = [w.decode() for w in r.sample(r.choice(licenses.TEMPLATES).words, 2)]
+        texts.append(" ".join([*around, *words[r.randint(0, 1) :], "and", *r.sample([w.decode() for w in t.words], 1), *words]))
+    texts += ["a person of note"] * 3
+    got = {x["doc_id"]: x["places"] for x in licenses.scan(docs_of(spark, texts).select("doc_id", "text")).collect()}
+    for k, text in enumerate(texts):
+        words, want = [w.encode() for w in WORDS.findall(low(text))], set()
+        for t in licenses.TEMPLATES:
+            for at in range(-len(t.words), len(words)):
+                here = [words[at + i] if 0 <= at + i < len(words) else None for i in range(len(t.words))]
+                same = [a == b for a, b in zip(here, t.words)]
+                if all(all(same[s : s + n]) for s, n in t.keys) and sum(same) / len(same) >= t.share:
+                    want.add((t.label, max(at, 0)))
+        assert {(p["label"], p["start"]) for p in got[k]} == want
+    assert [p["label"] for p in got[0]] == ["mit-notice"] and [p["label"] for p in got[2]] == ["mit-notice"] * 2
+
+
 # --- 2 ---
 def counts(t):
     ws = re.compile("[^\x20\x09-\x0d]+")
