@@ -1,40 +1,48 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A text is split by the tokenizer's pattern. Ranks are a literal in the plan: an array of small maps, dealt by the hash of the
-token, so that a look-up costs the same for any vocabulary. A piece's bytes are folded: each step merges the adjacent pair of
-lowest rank until none has a rank. The most frequent distinct pieces of the corpus, up to a bound, are folded once and held
-in a second literal; every other piece is folded where it stands. No document is shuffled. Decoding looks up the ids' bytes
-in the vocabulary and concatenates them.
+A text is split by the tokenizer's pattern. Ranks are an array of small maps, dealt by the hash of the token, so that a look-up
+costs the same for any vocabulary. It is a table of one row that expressions read as a scalar subquery: when a query runs
+Spark puts the value into the plan as a literal, but neither the plan's text nor the optimizer holds it. A piece's bytes are folded: each step merges the leftmost adjacent
+pair of lowest rank until none has a rank. Distinct pieces are counted over the whole corpus and folded once each; the most
+frequent ones, up to a bound in bytes, are held in a second such table. Pieces beyond the bound, and those that stand once only, are folded where they stand. No document is shuffled. Decoding looks up the ids'
+bytes in the vocabulary and concatenates them.
 
 Inside expressions a byte is a character from U+0000 to U+00FF; results are turned into binary at the end.
 
-Defined results: null and empty texts have no tokens, and their digests are those of no bytes; repeated rows give repeated
-results; extra columns are left alone; special tokens are ordinary text.
+Defined results: null and empty texts have no tokens, and their digests are those of no bytes; an empty table gives an empty
+table; repeated rows give repeated results; extra columns are kept, but for ones named ``ids`` and ``decoded``, which are
+replaced; special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-import zlib
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, stored
-from .quality import let
+from ..session import kept, scratch, stored
 
 #: White space as the tokenizer's pattern means it (Unicode White_Space), for Java's engine.
 _SPACE = r"\t-\r \x85\xa0  -     　"
-#: Frequent pieces that are held in the plan at most, and small maps for each literal.
-HEAD, BUCKETS = 100_000, 32_768
-#: Bytes up to which a piece is folded pair by pair.
+#: Bytes of the table of frequent pieces (by estimate: what an entry takes besides its texts, and for each byte of a piece).
+HELD_BYTES, ENTRY, EACH = 96 << 20, 88, 4
+#: Small maps of the ranks, and of the table of frequent pieces.
+BUCKETS, HELD_BUCKETS = 32_768, 131_072
+#: Bytes from which on all places of a pair are merged in one step where that gives the same parts.
 LONG = 64
-_NONE = 2**31 - 1
+#: More than any list holds: a slice of so many takes what is left.
+_REST = 1 << 30
 #: What is held of a frequent piece: its ids and their bytes.
 HELD = "struct<i:string,d:string>"
-_OPEN, _CLOSE = "Ā", "ā"
+_OPEN, _CLOSE, _FENCE = "Ā", "ā", "Ă"
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. Unlike a transform, an aggregate over nothing doesn't copy what it returns."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 def java_pattern(pattern: str) -> str:
@@ -61,75 +69,78 @@ def load_ranks(path: str) -> dict[str, int]:
     return {base64.b64decode(t).decode("latin-1"): int(r) for t, r in (x.split() for x in lines if x.strip())}
 
 
-def _bucketed(entries: dict[str, object], kind: str, buckets: int = BUCKETS) -> Column:
-    """A literal array of maps; key k stands in map crc32(k) mod ``buckets``."""
-    maps: list[dict[str, object]] = [{} for _ in range(buckets)]
-    for k, v in entries.items():
-        maps[zlib.crc32(k.encode()) % buckets][k] = v
-    return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), f"array<map<string,{kind}>>")
+def _one_row(entries: DataFrame, kind: str, buckets: int, tag: str) -> DataFrame:
+    """A table of one row: array ``a`` of maps; key k of the entries (k, v) stands in map hash(k) mod ``buckets``."""
+    maps = entries.groupBy(F.pmod(F.hash("k"), F.lit(buckets)).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    rows = entries.sparkSession.range(buckets).withColumnRenamed("id", "b").join(stored(maps, tag), "b", "left")
+    all_ = F.collect_list(F.struct("b", F.coalesce("m", F.create_map().cast(f"map<string,{kind}>")).alias("m")))
+    placed = rows.agg(F.array_sort(all_, lambda x, y: (x["b"] - y["b"]).cast("int")).alias("a"))
+    return kept(placed.select(F.transform("a", lambda x: x["m"]).alias("a")), tag)
 
 
-def _find(table: Column, key: Column, buckets: int = BUCKETS) -> Column:
-    return F.get(table, F.pmod(F.crc32(key), F.lit(buckets)).cast("int"))[key]
+def _find(table: Column, key: Column, buckets: int | None = None) -> Column:
+    return F.get(table, F.pmod(F.hash(key), F.lit(buckets or BUCKETS)))[key]
 
 
-def _rank(ranks: Column, token: Column) -> Column:
-    return F.coalesce(_find(ranks, token), F.lit(_NONE))
+def _pairs(p: Column, ranks: Column) -> Column:
+    """Ranks of the adjacent pairs of parts, null for pairs that have none."""
+    return F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), _REST), lambda a, b: _find(ranks, F.concat(a, b)))
 
 
-def _merge_one(piece: Column, ranks: Column) -> Column:
-    """Parts of a piece: each step merges the leftmost pair of lowest rank and looks up the two pairs that this makes.
-    Parts are fenced by a character that no token has, so that every pair has neighbours."""
-    fence = F.array(F.lit(_OPEN))
-    start = let(
-        F.concat(fence, F.split(piece, ""), fence),
-        lambda p: F.struct(p.alias("p"), F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: _rank(ranks, F.concat(a, b))).alias("r")),
-    )
-
-    def merged(p: Column, r: Column, i: Column) -> Column:  # i: the pair's place, from 1
-        body = lambda ab: F.struct(
-            F.concat(F.slice(p, F.lit(1), i - 1), F.array(ab), F.slice(p, i + 2, F.size(p) - i - 1)).alias("p"),
-            F.concat(
+def _at_place(p: Column, r: Column, i: Column, ranks: Column) -> Column:
+    """Parts and ranks after the pair at place i (from 1) is merged; only the two pairs that this makes are looked up."""
+    body = lambda ab: F.struct(
+        F.flatten(F.array(F.slice(p, F.lit(1), i - 1), F.array(ab), F.slice(p, i + 2, _REST))).alias("p"),
+        F.flatten(
+            F.array(
                 F.slice(r, F.lit(1), i - 2),
-                F.array(_rank(ranks, F.concat(F.get(p, i - 2), ab)), _rank(ranks, F.concat(ab, F.get(p, i + 1)))),
-                F.slice(r, i + 2, F.size(r) - i - 1),
-            ).alias("r"),
-        )
-        return let(F.concat(F.get(p, i - 1), F.get(p, i)), body)
+                F.array(_find(ranks, F.concat(F.get(p, i - 2), ab)), _find(ranks, F.concat(ab, F.get(p, i + 1)))),
+                F.slice(r, i + 2, _REST),
+            )
+        ).alias("r"),
+    )
+    return bind(F.concat(F.get(p, i - 1), F.get(p, i)), body)
 
-    def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
-        return let(F.array_min(r), lambda m: F.when(m == _NONE, state).otherwise(let(F.array_position(r, m).cast("int"), lambda i: merged(p, r, i))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(piece)), start, step, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
+def _at_all(p: Column, r: Column, i: Column, ranks: Column) -> Column:
+    """Parts and ranks after all places of the pair at place i are merged, if one after another would give the same: no
+    other pair has its rank m, and no pair that a merge makes, for good or until the next merge, comes before the rest."""
+    a, b, m = F.get(p, i - 1), F.get(p, i), F.get(r, i - 1)
+    alone = ~F.exists(F.zip_with(r, F.slice(p, F.lit(1), F.size(r)), lambda x, y: F.coalesce((x == m) & (y != a), F.lit(False))), lambda x: x)
+    text = F.concat(F.lit(_OPEN), F.array_join(p, _CLOSE + _OPEN), F.lit(_CLOSE))
+    pair, whole = F.concat(F.lit(_OPEN), a, F.lit(_CLOSE + _OPEN), b, F.lit(_CLOSE)), F.concat(F.lit(_OPEN), a, b, F.lit(_CLOSE))
+    parts = bind(F.replace(text, pair, whole), lambda t: F.split(F.substring(t, F.lit(2), F.char_length(t) - 2), _CLOSE + _OPEN))
+    above = lambda x: F.coalesce(x > m, F.lit(True))
+    one = _at_place(p, r, i, ranks)
+    both = lambda q: bind(_pairs(q, ranks), lambda s: F.when(above(F.array_min(s)) & above(_find(ranks, F.concat(a, b, a))), F.struct(q.alias("p"), s.alias("r"))).otherwise(one))
+    return F.when(alone, bind(parts, both)).otherwise(one)
 
 
-def _merge_all(piece: Column, ranks: Column) -> Column:
-    """Parts of a piece: each step merges all places of the pair of lowest rank, which takes few steps for long pieces."""
+def _parts(piece: Column, ranks: Column) -> Column:
+    """Parts of a piece: each step merges the leftmost pair of lowest rank. The ends are fenced by a character that no token
+    has, so that every pair has neighbours."""
+    fence, steps = F.array(F.lit(_FENCE)), F.sequence(F.lit(1), F.char_length(piece))
+    start = bind(F.concat(fence, F.split(piece, ""), fence), lambda p: F.struct(p.alias("p"), _pairs(p, ranks).alias("r")))
+    inner = lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2)
 
-    def parts(text: Column) -> Column:
-        return F.split(F.substring(text, F.lit(2), F.char_length(text) - 2), _CLOSE + _OPEN)
+    def lowest(s: Column, merge: Callable[[Column], Column], end: Column) -> Column:
+        place = F.array_position(s["r"], F.array_min(s["r"])).cast("int")  # null where no pair has a rank
+        return bind(place, lambda i: F.when(i.isNull(), end).otherwise(merge(i)))
 
-    def lowest(p: Column) -> Column:
-        ranked = lambda a, b: let(_find(ranks, F.concat(a, b)), lambda r: F.when(r.isNotNull(), F.struct(r.alias("r"), a.alias("a"), b.alias("b"))))
-        return F.array_min(F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), ranked))
+    def short(s: Column, _: Column) -> Column:
+        return lowest(s, lambda i: _at_place(s["p"], s["r"], i, ranks), s)
 
-    def step(state: Column, _: Column) -> Column:
-        text = state["text"]
-        joined = lambda b: F.replace(
-            text, F.concat(F.lit(_OPEN), b["a"], F.lit(_CLOSE + _OPEN), b["b"], F.lit(_CLOSE)), F.concat(F.lit(_OPEN), b["a"], b["b"], F.lit(_CLOSE))
-        )
-        merge = lambda b: F.when(b.isNull(), F.struct(text.alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(joined(b).alias("text"), F.lit(False).alias("done")))
-        return F.when(state["done"], state).otherwise(let(let(parts(text), lowest), merge))
+    def long(s: Column, _: Column) -> Column:
+        state = lambda x, done: F.struct(x["p"].alias("p"), x["r"].alias("r"), F.lit(done).alias("done"))
+        return F.when(s["done"], s).otherwise(lowest(s, lambda i: bind(_at_all(s["p"], s["r"], i, ranks), lambda x: state(x, False)), state(s, True)))
 
-    start = F.struct(F.regexp_replace(piece, "(?s)(.)", f"{_OPEN}$1{_CLOSE}").alias("text"), F.lit(False).alias("done"))
-    return parts(F.aggregate(F.sequence(F.lit(1), F.char_length(piece)), start, step, lambda s: s["text"]))
+    begin = bind(start, lambda s: F.struct(s["p"].alias("p"), s["r"].alias("r"), F.lit(False).alias("done")))
+    return F.when(F.char_length(piece) <= LONG, F.aggregate(steps, start, short, inner)).otherwise(F.aggregate(steps, begin, long, inner))
 
 
 def _fold(piece: Column, ranks: Column) -> Column:
     """Ids of a piece (in byte characters): merges in order of rank."""
-    folded = F.when(F.char_length(piece) <= LONG, _merge_one(piece, ranks)).otherwise(_merge_all(piece, ranks))
-    return let(_find(ranks, piece), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(folded, lambda p: _find(ranks, p))))
+    return bind(_find(ranks, piece), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(_parts(piece, ranks), lambda p: _find(ranks, p))))
 
 
 def _bytes_of(text: Column) -> Column:
@@ -145,13 +156,17 @@ def _little_endian(ids: Column) -> Column:
 class Tokenizer:
     """Ranks and pattern, with the expressions that encode and decode."""
 
-    def __init__(self, ranks: dict[str, int], pattern: str):
+    def __init__(self, spark: SparkSession, ranks: dict[str, int], pattern: str):
         self.pattern = java_pattern(pattern)
-        self.ranks = _bucketed(ranks, "int")
-        tokens: list[str | None] = [None] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            tokens[r] = t
-        self.tokens = F.from_json(F.lit(json.dumps(tokens, ensure_ascii=False)), "array<string>")
+        # Placed by rank; a vocabulary is bounded. Ranks that no token has stay null.
+        rows = spark.createDataFrame(list(ranks.items()), "k string, v int")
+        with scratch(spark):
+            self.ranks = _one_row(rows, "int", BUCKETS, "bpe-ranks")
+            known = F.map_from_entries(F.collect_list(F.struct("v", "k")))
+            every = F.array_sort(F.collect_list(F.struct("v", "k")))
+            dense = max(ranks.values()) + 1 == len(set(ranks.values())) == len(ranks)
+            tokens = F.transform(every, lambda x: x["k"]) if dense else bind(known, lambda m: F.transform(F.sequence(F.lit(0), F.lit(max(ranks.values()))), lambda i: m[i]))
+            self.tokens = kept(rows.agg(tokens.alias("a")), "bpe-tokens")
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -162,40 +177,50 @@ class Tokenizer:
 
     def coded(self, piece: Column, ranks: Column, tokens: Column) -> Column:
         """Struct of a piece's ids (little endian) and of their decoded bytes, both in byte characters."""
-        return let(_fold(_bytes_of(piece), ranks), lambda ids: F.struct(_little_endian(ids).alias("i"), self.decoded(ids, tokens).alias("d")))
+        return bind(_fold(_bytes_of(piece), ranks), lambda ids: F.struct(_little_endian(ids).alias("i"), self.decoded(ids, tokens).alias("d")))
 
-    def head(self, docs: DataFrame, text: str, most: int = HEAD) -> Column:
-        """The most frequent distinct pieces, encoded, as a literal. Counts are over the whole corpus; at most ``most`` pieces reach
-        the driver: those above the least count that leaves no more."""
+    def held(self, docs: DataFrame, text: str, most: int = HELD_BYTES) -> DataFrame | None:
+        """The most frequent distinct pieces, encoded, as one row: an array of small maps. Counts are over the whole corpus;
+        the pieces that are held take at most ``most`` bytes by estimate, of the last count that fits in part those of least
+        hash. None if no piece stands twice."""
+        size = F.lit(ENTRY) + EACH * F.octet_length("piece")
         with scratch(docs.sparkSession):
             counts = docs.select(F.explode(self.pieces(F.col(text))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-            counts = stored(counts.where("n > 1 and octet_length(piece) <= 64"), "bpe-pieces")
-            sizes = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n"))
-            least, total = 0, 0
-            for n, k in sizes.limit(1 << 20).collect():
-                if (total := total + k) > most:
+            counts = stored(counts.where("n > 1 and octet_length(piece) <= 64").withColumn("n", F.least("n", F.lit(1 << 16))), "bpe-pieces")
+            least, share, room = 1, 1.0, most
+            for n, b in counts.groupBy("n").agg(F.sum(size).alias("b")).orderBy(F.desc("n")).collect():
+                least, share = n, min(1.0, room / b)
+                if (room := room - b) <= 0:
                     break
-                least = n
-            if not least:
-                return _bucketed({}, HELD)
-            # The maps are built by Spark as JSON, so that the driver holds one text of each map and no more.
-            coded = counts.where(F.col("n") >= least).select("piece", let(self.ranks, lambda r: let(self.tokens, lambda t: self.coded(F.col("piece"), r, t))).alias("c"))
-            entry = F.map_from_entries(F.collect_list(F.struct("piece", "c")))
-            maps = coded.groupBy(F.pmod(F.crc32("piece"), F.lit(BUCKETS)).alias("b")).agg(F.to_json(entry).alias("j")).collect()
-            texts = {r["b"]: r["j"] for r in maps}
-            return F.from_json(F.lit(f"[{','.join(texts.get(k, '{}') for k in range(BUCKETS))}]"), f"array<map<string,{HELD}>>")
-
-    def encode(self, docs: DataFrame, text: str = "text", most: int = HEAD) -> DataFrame:
+            if least == 1:
+                return None
+            parts = 1 << 20
+            chosen = counts.where((F.col("n") > least) | ((F.col("n") == least) & (F.pmod(F.xxhash64("piece"), F.lit(parts)) < int(share * parts))))
+            # Few counts are read, but each piece is costly: dealt out by hash over all cores.
+            chosen = chosen.select("piece").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4, "piece")
+            coded = self.with_tables(chosen, "v", lambda r, t, _: self.coded(F.col("piece"), r, t))
+            return _one_row(coded.withColumnRenamed("piece", "k"), HELD, HELD_BUCKETS, "bpe-held")
+
+    def with_tables(self, rows: DataFrame, out: str, body: Callable[[Column, Column, Column], Column], held: DataFrame | None = None) -> DataFrame:
+        """``rows`` with a column of an expression over the ranks, the tokens and the frequent pieces. The tables are columns of
+        their own for the analyser, which allows no subquery inside higher-order functions; each is named once, so the
+        optimizer puts the subquery in its place and no row carries a table."""
+        tables = {"__ranks__": self.ranks.scalar(), "__tokens__": self.tokens.scalar(), "__held__": F.lit(None) if held is None else held.scalar()}
+        bound = bind(F.col("__held__"), lambda h: bind(F.col("__ranks__"), lambda r: bind(F.col("__tokens__"), lambda t: body(r, t, h))))
+        return rows.withColumns(tables).withColumn(out, bound).drop(*tables)
+
+    def encode(self, docs: DataFrame, text: str = "text", most: int = HELD_BYTES) -> DataFrame:
         """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary, from the ids)."""
-        known = self.head(docs, text, most)
-        piece = lambda h, r, t: lambda p: F.coalesce(_find(h, p), self.coded(p, r, t))
-        coded = let(known, lambda h: let(self.ranks, lambda r: let(self.tokens, lambda t: F.transform(self.pieces(F.col(text)), piece(h, r, t)))))
+        held = self.held(docs, text, most)
+        known = (lambda h, p: F.lit(None).cast(HELD)) if held is None else (lambda h, p: _find(h, p, HELD_BUCKETS))
+        piece = lambda r, t, h: lambda p: F.coalesce(known(h, p), self.coded(p, r, t))
+        coded = self.with_tables(docs, "__coded__", lambda r, t, h: F.transform(self.pieces(F.col(text)), piece(r, t, h)), held)
         binary = lambda field: F.encode(F.array_join(F.transform("__coded__", lambda c: c[field]), ""), "ISO-8859-1")
-        return docs.withColumn("__coded__", coded).withColumns({"ids": binary("i"), "decoded": binary("d")}).drop("__coded__")
+        return coded.withColumns({"ids": binary("i"), "decoded": binary("d")}).drop("__coded__")
 
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    coded = Tokenizer(load_ranks(path), pattern).encode(docs.select("doc_id", "text"))
+    coded = Tokenizer(docs.sparkSession, load_ranks(path), pattern).encode(docs.select("doc_id", "text"))
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -4,9 +4,13 @@ Each JSON record is fingerprinted: the hash of its sorted nested field paths, re
 layout names. The fingerprint selects a declarative mapping that yields canonical turns; these are put into a template whose
 control strings are escaped inside roles and texts, so that the formatted text can be parsed back exactly.
 
-Defined results: null texts and roles are empty; a record whose fingerprint no layout has, or that is no JSON object, gets
-layout null and no turns; extra fields don't change the fingerprint; turns with equal numbers go by role, then text, null
-turns come first; repeated rows are kept as turns of their own.
+A record of several layouts' paths takes the one of most paths.
+
+Defined results: null texts and roles are empty; a record in which no layout has all its paths, that is no JSON object or
+that nests too deeply to be read, gets layout null and no turns (``layout_counts`` counts them); extra fields don't change
+the layout; turns with equal numbers go by role, then text, null turns come first; repeated rows are kept as turns of their
+own; a null conv_id is a conversation; extra columns are kept by ``format_records`` but for ones named like what it adds,
+and ignored by the report; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .common import map_batches
 LAYOUTS: dict[str, tuple[tuple, ...]] = {
     "messages": (("each", "messages", "role", "content"),),
     "messages_text": (("each", "messages", "role", "text"),),
+    "messages_parts": (("each", "messages", "role", "content[].text"),),
+    "messages_system": (("turn", "system", "system"), ("each", "messages", "role", "content")),
     "sharegpt": (("each", "conversations", "from", "value"),),
     "sharegpt_system": (("turn", "system", "system"), ("each", "conversations", "from", "value")),
     "dialogue": (("each", "dialogue", "speaker", "text"),),
@@ -72,7 +78,17 @@ def fingerprint(found: Iterator[str] | set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(KNOWN.intersection(found))).encode()).hexdigest()
 
 
-MAPPINGS = {fingerprint(_declared(steps)): name for name, steps in LAYOUTS.items()}
+MAPPINGS: dict[str, str | None] = {fingerprint(_declared(steps)): name for name, steps in LAYOUTS.items()}
+
+
+def layout_of(found: set[str]) -> str | None:
+    """The layout that the fingerprint of a record's paths selects. For a fingerprint that isn't declared as such it is the
+    layout of most paths, all of which are there (the first declared on ties); the choice is remembered with it."""
+    key = fingerprint(found)
+    if key not in MAPPINGS:
+        fits = [(len(d), name) for name, steps in LAYOUTS.items() if (d := _declared(steps)) <= found]
+        MAPPINGS[key] = max(fits, key=lambda x: x[0])[1] if fits else None
+    return MAPPINGS[key]
 
 
 def _get(value: Any, path: str) -> Any:
@@ -85,14 +101,23 @@ def _text(value: Any) -> str:
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
+def _field(item: dict, path: str) -> str:
+    """A list item's text; ``a[].b`` joins the field b of all parts of a, and takes a plain text as it is."""
+    name, parts, inner = path.partition("[].")
+    value = item.get(name)
+    if not parts or not isinstance(value, list):
+        return _text(value)
+    return "".join(_text(x.get(inner) if isinstance(x, dict) else x) for x in value)
+
+
 def canonical(value: Any) -> tuple[str | None, list[tuple[str, str]]]:
     """The layout of a record and its turns as (role, text)."""
-    name = MAPPINGS.get(fingerprint(paths(value))) if isinstance(value, dict) else None
+    name = layout_of(set(paths(value))) if isinstance(value, dict) else None
     turns: list[tuple[str, str]] = []
     for step in LAYOUTS.get(name or "", ()):
         if step[0] == "each":
             names = {} if step[2] == "role" else ROLES
-            turns += [(names.get(r := _text(x.get(step[2])), r), _text(x.get(step[3]))) for x in _get(value, step[1]) or () if isinstance(x, dict)]
+            turns += [(names.get(r := _text(x.get(step[2])), r), _field(x, step[3])) for x in _get(value, step[1]) or () if isinstance(x, dict)]
         elif step[0] == "turn":
             turns.append((step[1], _text(_get(value, step[2]))))
         else:
@@ -146,10 +171,9 @@ def format_records(records: DataFrame, record: str = "record") -> DataFrame:
         layouts, texts, masks = [], [], []
         for raw in batch.column(len(names)).to_pylist():
             try:
-                value = json.loads(raw) if raw else None
-            except ValueError:
-                value = None
-            layout, turns = canonical(value)
+                layout, turns = canonical(json.loads(raw) if raw else None)
+            except (ValueError, RecursionError):  # no JSON, or nested deeper than any layout
+                layout, turns = None, []
             text, spans = render(turns)
             layouts.append(layout)
             texts.append(text)
@@ -164,13 +188,47 @@ def format_records(records: DataFrame, record: str = "record") -> DataFrame:
 PART = 64
 
 
+#: Layouts in which conversations are written, by what their turns allow.
+LISTS, PAIRS = ("messages", "messages_text", "messages_parts", "sharegpt", "dialogue"), ("prompt_response", "prompt_completion", "instruction", "question_answer", "nested_prompt")
+
+
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """Flat rows (conv_id, turn, role, text) as records of at most ``PART`` turn numbers each, so that a conversation
-    with very many rows is first gathered in parts by many tasks."""
+    """Flat rows (conv_id, turn, role, text) as JSON records of different layouts, dealt by conv_id. A record has at most
+    ``PART`` turn numbers, so that a conversation with very many rows is first gathered in parts by many tasks. Layouts
+    that rename roles take conversations of plain roles only; pairs take a user's and then an assistant's turn."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     parts = rows.groupBy("conv_id", F.floor(F.col("turn") / PART).alias("part")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return parts.select("conv_id", "part", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    renamed = lambda t: F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"])
+    each = lambda name, role, text, body=lambda t: t["content"], of=lambda t: t["role"]: F.struct(F.transform("turns", lambda t: F.struct(of(t).alias(role), body(t).alias(text))).alias(name))
+    said = lambda k: F.get("turns", F.lit(k))["content"]
+    two = lambda a, b, first=0: F.struct(said(first).alias(a), said(first + 1).alias(b))
+    shaped = {
+        "messages": each("messages", "role", "content"),
+        "messages_text": each("messages", "role", "text"),
+        "messages_parts": each("messages", "role", "content", lambda t: F.array(F.struct(F.lit("text").alias("type"), t["content"].alias("text")))),
+        "sharegpt": each("conversations", "from", "value", of=renamed),
+        "dialogue": each("dialogue", "speaker", "text", of=renamed),
+        "prompt_response": two("prompt", "response"),
+        "prompt_completion": two("prompt", "completion"),
+        "instruction": two("instruction", "output"),
+        "question_answer": two("question", "answer"),
+        "nested_prompt": F.struct(two("prompt", "response").alias("data")),
+        "system_question": F.struct(said(0).alias("system"), said(1).alias("question"), said(2).alias("answer")),
+    }
+    roles = F.transform("turns", lambda t: t["role"])
+    is_ = lambda *names: roles == F.array(*map(F.lit, names))
+    dealt = lambda names: F.get(F.array(*map(F.lit, names)), F.pmod(F.xxhash64("conv_id"), F.lit(len(names))).cast("int"))
+    plain = F.forall("turns", lambda t: t["role"].isin("user", "assistant", "system"))
+    layout = F.when(is_("user", "assistant"), dealt(PAIRS)).when(is_("system", "user", "assistant"), F.lit("system_question")).when(plain, dealt(LISTS)).otherwise(F.lit("messages"))
+    record = F.lit(None).cast("string")
+    for name, shape in shaped.items():
+        record = F.when(F.col("layout") == name, F.to_json(shape)).otherwise(record)
+    return parts.withColumn("layout", layout).select("conv_id", "part", record.alias("record"))
+
+
+def layout_counts(formatted: DataFrame) -> DataFrame:
+    """layout, n: how many records each layout took; null counts those that none fits, whose turns are not formatted."""
+    return formatted.groupBy("layout").agg(F.count(F.lit(1)).alias("n"))
 
 
 def join_parts(formatted: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ sampled suffix positions, and covered words are merged into removal spans. Docum
 The benchmark is searched in blocks of bounded size; one block is what a task holds of it.
 
 Defined results: null and empty texts have no words and no hits; items without a word are ignored; an item with a null id
-counts for hits but not for the list of items; repeated rows give repeated results; items that repeat an id count once;
-extra columns are kept.
+counts for hits but not for the list of items; ids of any type are strings in it; repeated rows give repeated results; items
+that repeat an id count once; without items nothing is hit; an empty table gives an empty table; extra columns are kept, but
+for ones with the names that are added.
 """
 
 from __future__ import annotations
@@ -19,10 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..session import stored
 from .common import ascii_words, utf8
 
 WINDOW = 13
@@ -249,16 +249,15 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-ADDED = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-_NAMES = ("n_words", "spans", "items")
+NAMES = ("n_words", "spans", "items")
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _search(docs: DataFrame, text: str, items: list[Row]) -> DataFrame:
-    """One pass over ``docs`` with one block; results of earlier blocks are merged."""
+def _search(docs: DataFrame, text: str, items: list[Row], added: tuple[str, str, str]) -> DataFrame:
+    """One pass over ``docs`` with one block."""
     held = [(r["id"], r["text"].encode("utf-8", "surrogatepass")) for r in items]
-    keep = [f for f in docs.schema.fields if f.name not in _NAMES]
-    names, earlier = [f.name for f in keep], "spans" in docs.columns
+    keep = [f for f in docs.schema.fields if f.name not in added or f.name == text]
+    names = [f.name for f in keep]
     made: list[Windows] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,42 +268,69 @@ def _search(docs: DataFrame, text: str, items: list[Row]) -> DataFrame:
             for k, raw in enumerate(utf8(batch.column(names.index(text)))):
                 shard.add(k, raw)
             shard.flush()
-            if earlier:
-                for k, (spans, found) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())):
-                    shard.spans[k] += [(s["start"], s["end"]) for s in spans]
-                    shard.items[k].update(found)
             spans = [[{"start": a, "end": b} for a, b in merge(s)] for s in shard.spans]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(shard.n_words), pa.array(spans, _SPANS), pa.array([sorted(x) for x in shard.items], pa.list_(pa.int64()))], [*names, *_NAMES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.n_words), pa.array(spans, _SPANS), pa.array([sorted(x) for x in shard.items], pa.list_(pa.string()))], [*names, *added])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), ADDED])
-    return docs.select(*[F.col(f"`{n}`") for n in names], *(["spans", "items"] if earlier else [])).mapInArrow(run, ddl)
+    new = zip(added, ("long", "array<struct<start:long,end:long>>", "array<string>"))
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"`{n}` {t}" for n, t in new)])
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, ddl)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words``, ``spans`` (word spans that benchmark windows cover, merged) and ``items`` (ids)."""
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
+def _union(a: Column, b: Column) -> Column:
+    """Two lists of spans as one list of spans that don't touch."""
+    longer = lambda x, s: F.struct(x["start"].alias("start"), F.greatest(x["end"], s["end"]).alias("end"))
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer(last, s)))
+        return F.when(F.size(out) == 0, F.array(s)).when(s["start"] <= last["end"], joined).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.array_sort(F.concat(a, b)), F.array().cast("array<struct<start:bigint,end:bigint>>"), add)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", added: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with ``n_words``, ``spans`` (word spans that benchmark windows cover, merged) and ``items`` (ids as strings),
+    under the names in ``added``.
+
+    The first block is searched in the pass that returns the documents. Further blocks return their hits only, by the
+    text's hash, since equal texts have equal hits; these few rows are joined back. No text is written again.
+    """
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    out = docs.drop("spans", "items")
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        out = _search(out, text, block.collect())
-        if blocks > 1:
-            out = stored(out, "decontam")
-    return out
+    block = lambda k: (items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)).collect()
+    out = _search(docs, text, block(0), added)
+    if blocks == 1:
+        return out
+    hashes = lambda c: (F.xxhash64(c), F.hash(c))
+    key = ["__h__", "__g__"]
+    texts = docs.select(F.col(f"`{text}`").alias("t"))
+    hits = None
+    for k in range(1, blocks):
+        one = _search(texts, "t", block(k), NAMES).where(F.size("spans") > 0).select(*[h.alias(n) for h, n in zip(hashes("t"), key)], "spans", "items")
+        one = one.groupBy(*key).agg(F.first("spans").alias("s"), F.first("items").alias("i"))  # copies of a text
+        hits = one if hits is None else hits.unionByName(one)
+    flat = F.flatten(F.collect_list("s")), F.array_distinct(F.flatten(F.collect_list("i")))
+    hits = hits.groupBy(*key).agg(flat[0].alias("__s__"), flat[1].alias("__i__"))  # at most a list of each block
+    joined = out.withColumns(dict(zip(key, hashes(f"`{text}`")))).join(hits, key, "left")
+    with_more = {
+        added[1]: F.when(F.col("__s__").isNull(), F.col(added[1])).otherwise(_union(F.col(added[1]), F.col("__s__"))),
+        added[2]: F.when(F.col("__i__").isNull(), F.col(added[2])).otherwise(F.array_sort(F.array_union(added[2], "__i__"))),
+    }
+    return joined.withColumns(with_more).drop(*key, "__s__", "__i__")
 
 
 def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def n_hit():
-    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+def n_hit(spans: str = "spans"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = decontaminate(docs.select("doc_id", "text"), benchmark).drop("text").withColumn("n_hit", n_hit())
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("items"), ",")
     return found.select(
         "doc_id",
         "n_words",

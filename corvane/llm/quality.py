@@ -7,7 +7,8 @@ the other, and emitted as one ordered conditional expression.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; rows without a label don't
 train; with fewer than ``MIN_CELL`` bad rows the list is empty and the base rules decide; repeated rows give repeated
-results; repeated or conflicting labels count each; extra columns are left alone.
+results; repeated or conflicting labels count each; an empty table gives an empty table. ``keep`` returns all columns of the
+caller's as they are; ``measure`` and ``judge`` replace columns that are named like the counts and verdicts they add.
 """
 
 from __future__ import annotations
@@ -225,7 +226,9 @@ def keep(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept. The verdict goes through a generator: as a plain filter the optimizer would push
     it below the counts and evaluate their inputs again for every word."""
     kept = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__kept__")
-    return judge(docs, rules, text).select(*[F.col(f"`{c}`") for c in docs.columns], kept).where("__kept__").drop("__kept__")
+    # Rows travel as one struct, so that no count takes the place of a column of the caller's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row__"), F.col(f"`{text}`").alias("__text__"))
+    return judge(rows, rules, "__text__").select("__row__", kept).where("__kept__").select("__row__.*")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

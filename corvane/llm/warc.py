@@ -6,13 +6,15 @@ of lost or repeated task attempts are never read. Reading: each archive is read
 decompression, records are framed by Content-Length, and payload digests are verified.
 
 Defined results: a null payload is empty; a null page_id is written as such and read back as null, and is never the target
-of a revisit; rows that repeat the largest page_id of a payload are responses too; extra columns are ignored; an empty
-table gives no archive and no rows.
+of a revisit; rows that repeat the largest page_id of a payload are responses too; control characters of a URL are
+percent-encoded in its header and come back as they were; extra columns are ignored; an empty table gives no archive and no
+rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, stored
+from ..session import shared_path, stored
 
 #: Equal payloads of fewer bytes are all stored.
 MIN_REVISIT = 1000
@@ -38,8 +40,23 @@ class WarcError(ValueError):
     """A record that doesn't keep to its framing or digest."""
 
 
+#: Schemes of Hadoop's file systems, by the name that Arrow gives to the same storage.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfss"}
+
+
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """Arrow's file system for a URI, and the path inside it; tasks have no Hadoop classes of their own."""
+    scheme, sep, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{sep}{rest}")
+
+
+def header_text(value: str) -> str:
+    """A value that stays one header line: control characters, blanks at the ends and ``%`` itself are percent-encoded."""
+    return re.sub(r"[\x00-\x1f\x7f-\x9f%  ]|^\s+|\s+$", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+
+
+def from_header(value: str) -> str:
+    return re.sub(r"(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode(), value)
 
 
 def record(kind: str, uri: str, page_id: int | None, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
@@ -49,7 +66,7 @@ def record(kind: str, uri: str, page_id: int | None, payload: bytes, digest: str
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {header_text(uri)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {length}",
         *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []),
@@ -180,7 +197,7 @@ def read(spark: SparkSession, manifest: DataFrame, payload: bool = True) -> Data
                 kind = head["warc-type"]
                 size = len(block) if kind == "response" else int(head["warc-payload-length"])
                 digest = head["warc-payload-digest"].removeprefix("sha1:")
-                yield number("warc-record-id"), head["warc-target-uri"], size, digest, kind, number("warc-refers-to"), block if payload else None
+                yield number("warc-record-id"), from_header(head["warc-target-uri"]), size, digest, kind, number("warc-refers-to"), block if payload else None
 
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
     names = [x.split()[0] for x in RECORDS.split(", ")]
@@ -205,5 +222,5 @@ def read(spark: SparkSession, manifest: DataFrame, payload: bool = True) -> Data
 def report(pages: DataFrame) -> DataFrame:
     """Write all pages, read the archives back, one row per page."""
     spark = pages.sparkSession
-    manifest = write(plan(pages), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    manifest = write(plan(pages), shared_path(spark, "warc"))
     return read(spark, manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -252,13 +252,38 @@ def test_byte_bpe(spark):
         *["".join(r.choice("abcethé漢🙂 1.'\n") for _ in range(200)) for _ in range(10)],
     ]
     docs = docs_of(spark, texts)
-    for most in (0, 50):
-        coded = bpe.Tokenizer(bpe.load_ranks(path), P.PATTERN).encode(docs, most=most)
+    for most in (0, 4000, bpe.HELD_BYTES):
+        coded = bpe.Tokenizer(spark, bpe.load_ranks(path), P.PATTERN).encode(docs, most=most)
         for row in coded.collect():
             t = texts[row["doc_id"]] or ""
             ids = own.encode_ordinary(t)
             assert bytes(row["ids"]) == struct.pack(f"<{len(ids)}I", *ids), t
             assert bytes(row["decoded"]) == t.encode()
+    assert bpe.Tokenizer(spark, bpe.load_ranks(path), P.PATTERN).encode(docs_of(spark, [])).count() == 0
+
+
+def test_byte_bpe_order_of_merges(spark, monkeypatch):
+    """Ranks in any order, so that merges at all places of a pair at once would often differ from one after another."""
+    import tiktoken
+
+    r = random.Random(5)
+    tables = [[b"aba", b"ab"], [b"aaa", b"aa"], [b"bab", b"ab", b"abab"]]
+    for _ in range(4):
+        made = [bytes([x]) for x in b"abc"]
+        for _ in range(14):
+            made.append(r.choice(made) + r.choice(made))
+        made = sorted({x for x in made if 1 < len(x) < 9})
+        r.shuffle(made)
+        tables.append(made)
+    texts = ["".join(r.choice("abc"[: r.choice((2, 3))]) for _ in range(n)) for n in (1, 2, 7, 63, 64, 65, 90, 200)] + ["ab" * 60, "a" * 133, "aab" * 40]
+    monkeypatch.setattr(bpe, "BUCKETS", 64)
+    for made in tables:
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(made)}
+        own = tiktoken.Encoding("own", pat_str=r"\p{L}+|\s+", mergeable_ranks=ranks, special_tokens={})
+        coded = bpe.Tokenizer(spark, {t.decode("latin-1"): k for t, k in ranks.items()}, r"\p{L}+|\s+").encode(docs_of(spark, texts))
+        for row in coded.collect():
+            ids = own.encode_ordinary(texts[row["doc_id"]])
+            assert bytes(row["ids"]) == struct.pack(f"<{len(ids)}I", *ids), (made, texts[row["doc_id"]])
 
 
 # --- 6 ---
