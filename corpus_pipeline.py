@@ -39,13 +39,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontam.contaminated(decontam.n_hit(), F.col("n_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    added = ("__n_words__", "__spans__", "__items__")
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), added=added)
+    return found.where(~decontam.contaminated(decontam.n_hit("__spans__"), F.col("__n_words__"))).drop(*added)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the text that the ids decode to."""
-    tokenizer = bpe.Tokenizer(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    tokenizer = bpe.Tokenizer(spark, bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     coded = tokenizer.encode(docs.select("doc_id", "text"))
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
 
