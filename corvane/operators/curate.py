@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +51,8 @@ GATES = {
 }
 #: Characters that a text may not share with protected text.
 OVERLAP = 15
-#: Rows of a lookup that may be sent to all tasks.
-BROADCAST_ROWS = 1_000_000
+#: Characters of protected text that may be sent to all tasks.
+BROADCAST_CHARS = 4_000_000
 
 
 def mapped(value: Column, table: dict[str, str]) -> Column:
@@ -136,33 +140,119 @@ def lookup_last(left: DataFrame, key: str, table: DataFrame, table_key: str, val
     return joined.withColumn(out, F.coalesce("__v__", F.lit(""))).drop("__k__", "__v__")
 
 
-def overlapping(docs: DataFrame, protected: DataFrame, doc_id: str, text: str, protected_text: str, n: int = OVERLAP) -> DataFrame:
-    """Ids of texts that share a window of n characters with any protected text, marks and white space apart.
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
+_SLICE = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+class Windows:
+    """All windows of n characters of some texts, by a hash that rolls over code points; look-ups are verified."""
+
+    def __init__(self, texts: list[str], n: int):
+        self.n = n
+        self.up, self.down = _powers(_BASE, _SLICE + n), _powers(pow(_BASE, -1, 2**64), _SLICE + n)
+        long = [c for c in map(self.codes, texts) if len(c) >= n]
+        self.text = np.concatenate(long) if long else np.zeros(0, dtype=np.uint32)
+        starts = np.cumsum([0, *map(len, long)])[:-1]
+        places = [np.arange(len(c) - n + 1) + s for c, s in zip(long, starts)]
+        hashes = [np.concatenate([h for _, h in self.hashes(c)]) for c in long]
+        place, key = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (places, hashes))
+        order = np.argsort(key, kind="stable")
+        self.keys, self.places = key[order].astype(np.uint64), place[order]
+
+    @staticmethod
+    def codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+    def hashes(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Start and window hashes of slices of bounded size."""
+        for at in range(0, len(codes) - self.n + 1, _SLICE):
+            part = codes[at : at + _SLICE + self.n - 1].astype(np.uint64) + np.uint64(1)
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(part * self.up[: len(part)])])
+            yield at, (sums[self.n :] - sums[: -self.n]) * self.down[: len(part) - self.n + 1]
+
+    def shared(self, text: str) -> bool:
+        """Whether the text holds one of the windows."""
+        codes = self.codes(text)
+        if not len(self.keys):
+            return False
+        for at, h in self.hashes(codes):
+            low = np.searchsorted(self.keys, h)
+            for k in np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == h):
+                own = codes[at + k : at + k + self.n]
+                for j in range(low[k], np.searchsorted(self.keys, h[k], side="right")):
+                    if np.array_equal(own, self.text[self.places[j] : self.places[j] + self.n]):
+                        return True
+        return False
+
 
-    Hashes of windows find the texts that may match; these few are verified on the strings. Protected windows are sent to
-    all tasks if they are few.
+def with_overlap(docs: DataFrame, protected: DataFrame, key: str, text: str, protected_text: str, n: int = OVERLAP, out: str = "shares") -> DataFrame:
+    """``docs`` with a flag: the text shares a window of n characters with any protected text, marks and white space apart.
+
+    Protected texts of up to ``BROADCAST_CHARS`` characters go to all tasks, which judge each text in one pass without a
+    shuffle. Larger ones are joined by the hashes of their windows. Null texts share nothing.
     """
     squeezed = lambda c: T.without_space(T.strip_marks(F.coalesce(F.col(c), F.lit(""))))
-    bad = protected.select(F.explode(T.ngrams(squeezed(protected_text), n)).alias("gram")).distinct()
-    small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sent = F.broadcast if small else (lambda x: x)
-    texts = docs.select(F.col(doc_id), squeezed(text).alias("s"))
+    kept = protected.select(squeezed(protected_text).alias("t"))
+    if (kept.agg(F.sum(F.char_length("t"))).first()[0] or 0) > BROADCAST_CHARS:
+        flag = _overlapping(docs.select(key, squeezed(text).alias("s")), kept, key, n).select(F.col(key).alias("__k__"), F.lit(True).alias("__f__"))
+        return docs.join(flag, F.col(key) == F.col("__k__"), "left").withColumn(out, F.coalesce("__f__", F.lit(False))).drop("__k__", "__f__")
+    texts = [r["t"] for r in kept.collect()]
+    made: list[Windows] = []
+
+    @F.pandas_udf("boolean")
+    def shares(column: pd.Series) -> pd.Series:
+        if not made:
+            made.append(Windows(texts, n))
+        return pd.Series([made[0].shared(t) for t in column], dtype=bool)
+
+    return docs.withColumn(out, shares(squeezed(text)))
+
+
+def _overlapping(texts: DataFrame, protected: DataFrame, key: str, n: int) -> DataFrame:
+    """Keys of texts (key, s) that share a window with protected texts (t): hashes find those that may, strings verify them."""
+    bad = protected.select(F.explode(T.ngrams(F.col("t"), n)).alias("gram")).distinct()
     hashed = T.let(F.split("s", ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.xxhash64(F.slice(c, i, F.lit(n)))))
-    hashes = texts.where(F.char_length("s") >= n).select(doc_id, F.explode(hashed).alias("h"))
-    maybe = hashes.join(sent(bad.select(F.xxhash64(F.split("gram", "")).alias("h"))), "h", "left_semi").select(doc_id).distinct()
-    grams = texts.join(maybe, doc_id, "left_semi").select(doc_id, F.explode(T.ngrams(F.col("s"), n)).alias("gram"))
-    return grams.join(sent(bad), "gram", "left_semi").select(doc_id).distinct()
+    hashes = texts.where(F.char_length("s") >= n).select(key, F.explode(hashed).alias("h"))
+    maybe = hashes.join(bad.select(F.xxhash64(F.split("gram", "")).alias("h")), "h", "left_semi").select(key).distinct()
+    grams = texts.join(maybe, key, "left_semi").select(key, F.explode(T.ngrams(F.col("s"), n)).alias("gram"))
+    return grams.join(bad, "gram", "left_semi").select(key).distinct()
+
+
+def overlapping(docs: DataFrame, protected: DataFrame, doc_id: str, text: str, protected_text: str, n: int = OVERLAP) -> DataFrame:
+    """Ids of texts that share a window of n characters with any protected text."""
+    return with_overlap(docs.select(doc_id, text), protected, doc_id, text, protected_text, n).where("shares").select(doc_id)
 
 
 def stratified_split(df: DataFrame, strata: list[str], score: str, key: str, share: float = 0.05, least: int = 5) -> DataFrame:
     """``split``: of each stratum of at least ``least`` rows, the lowest max(1, round(share * n)) scores are for evaluation;
-    halves round to even."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(F.asc(score), F.asc(key)))
-    wanted = F.greatest(F.lit(1), F.bround(size * F.lit(share)).cast("int"))
-    ranked = df.withColumn("__n__", size).withColumn("__w__", wanted).withColumn("__r__", rank)
-    split = F.when((F.col("__n__") >= least) & (F.col("__r__") <= F.col("__w__")), "eval").otherwise("train")
-    return ranked.withColumn("split", split).drop("__n__", "__w__", "__r__")
+    halves round to even.
+
+    No stratum is gathered in one task: rows are counted by stratum and score, the running count over distinct scores gives
+    the score at the cut, and only the rows that tie there are ranked, by key.
+    """
+    names = [f"__s{k}__" for k in range(len(strata))]
+    counts = df.groupBy(*[F.col(s).alias(n) for s, n in zip(strata, names)], F.col(score).alias("__v__")).agg(F.count(F.lit(1)).alias("__c__"))
+    upto = Window.partitionBy(*names).orderBy(F.asc("__v__"))
+    below = F.sum("__c__").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c__")
+    size = F.sum("__c__").over(Window.partitionBy(*names))
+    cuts = counts.withColumn("__below__", below).withColumn("__n__", size)
+    wanted = F.greatest(F.lit(1), F.bround(F.col("__n__") * F.lit(share)).cast("int"))
+    cuts = cuts.withColumn("__w__", wanted).where((F.col("__n__") >= least) & (F.col("__below__") < F.col("__w__")) & (F.col("__below__") + F.col("__c__") >= F.col("__w__")))
+    same = [F.col(s).eqNullSafe(F.col(n)) for s, n in zip(strata, names)]
+    joined = df.join(cuts.select(*names, F.col("__v__").alias("__cut__"), (F.col("__w__") - F.col("__below__")).alias("__left__"), F.lit(True).alias("__has__")), same, "left")
+    lower = F.coalesce((F.col(score) < F.col("__cut__")) | (F.col(score).isNull() & F.col("__cut__").isNotNull()), F.lit(False))
+    tied = F.col("__has__") & F.col(score).eqNullSafe(F.col("__cut__"))
+    # Rows that don't tie are spread over windows of their own.
+    alone = F.when(tied, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(key), F.lit(1 << 20)))
+    rank = F.row_number().over(Window.partitionBy(*names, F.coalesce(alone, F.lit(1))).orderBy(F.asc(key)))
+    split = F.when(lower | (F.coalesce(tied, F.lit(False)) & (rank <= F.col("__left__"))), "eval").otherwise("train")
+    return joined.withColumn("split", split).drop(*names, "__cut__", "__left__", "__has__")
 
 
 def remaining(work: DataFrame, done: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:

@@ -31,10 +31,9 @@ def fixed_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judged_samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixed_samples(spark, d)
-    shared = C.overlapping(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "text").select(F.col("doc_id").alias("id"), F.lit(True).alias("shares"))
+    rows = C.with_overlap(fixed_samples(spark, d), table(spark, d, "benchmark"), "id", "text", "text")
     enum = C.enum_reason(F.col("p2"), F.col("c2"), F.col("question"), F.col("difficulty"))
-    return rows.join(shared, "id", "left").withColumn("reason", C.hygiene_reason(enum, F.col("text"), F.col("shares"), F.col("difficulty"), PHRASES))
+    return rows.withColumn("reason", C.hygiene_reason(enum, F.col("text"), F.col("shares"), F.col("difficulty"), PHRASES))
 
 
 # --- functions -------------------------------------------------------------------------------------------------------

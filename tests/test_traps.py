@@ -1,6 +1,7 @@
 """Semantics that are easy to lose: order, rounding, white space, nulls, greedy removal, state machines."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,21 @@ def test_commands(spark):
     with pytest.raises(KeyError):
         evaluate.run_command("nothing", spark.range(1))
     assert len(evaluate.COMMANDS) == 12
+
+
+# --- overlap with protected text -------------------------------------------------------------------------------------
+@pytest.mark.parametrize("chars", [curate.BROADCAST_CHARS, 0])
+def test_overlap_against_plain_windows(spark, monkeypatch, chars):
+    """Both ways, by windows in the tasks and by a join, against sets of windows; null, short and astral texts."""
+    monkeypatch.setattr(curate, "BROADCAST_CHARS", chars)
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abé🙂") for _ in range(n))
+    bad = [word(40), word(15), word(14), None, ""]
+    texts = [None, "", word(14), word(60), bad[0][3:18], bad[0][3:17], "x" * 30 + bad[1] + "y", "*" + bad[0][:20] + "* z", word(300)]
+    squeeze = lambda t: re.sub(r"\s+", "", re.sub(r"\*([^*]*)\*", r"\1", t or ""))
+    grams = lambda t: {t[i : i + 15] for i in range(len(t) - 14)}
+    wanted = {i for i, t in enumerate(texts) if grams(squeeze(t)) & set().union(*(grams(squeeze(b)) for b in bad))}
+    docs, protected = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(b,) for b in bad], "t string")
+    assert {x["id"] for x in curate.overlapping(docs, protected, "id", "text", "t").collect()} == wanted
+    assert curate.with_overlap(docs, protected, "id", "text", "t").where("shares is null").count() == 0
+    assert curate.overlapping(docs, protected.limit(0), "id", "text", "t").count() == 0
