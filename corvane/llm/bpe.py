@@ -27,16 +27,16 @@ from ..session import kept, scratch, stored
 
 #: White space as the tokenizer's pattern means it (Unicode White_Space), for Java's engine.
 _SPACE = r"\t-\r \x85\xa0  -     　"
-#: Bytes of the table of frequent pieces (by estimate: what an entry takes besides its texts, and for each byte of a piece).
-HELD_BYTES, ENTRY, EACH = 96 << 20, 88, 4
+#: Bytes of the table of frequent pieces (by estimate: what an entry takes besides its piece and ids, and for each byte of a piece).
+HELD_BYTES, ENTRY, EACH = 54 << 20, 56, 2
 #: Small maps of the ranks, and of the table of frequent pieces.
 BUCKETS, HELD_BUCKETS = 32_768, 131_072
 #: Bytes from which on all places of a pair are merged in one step where that gives the same parts.
 LONG = 64
 #: More than any list holds: a slice of so many takes what is left.
 _REST = 1 << 30
-#: What is held of a frequent piece: its ids and their bytes.
-HELD = "struct<i:string,d:string>"
+#: What is held of a frequent piece: its ids.
+HELD = "array<int>"
 _OPEN, _CLOSE, _FENCE = "Ā", "ā", "Ă"
 
 
@@ -147,10 +147,10 @@ def _bytes_of(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def _little_endian(ids: Column) -> Column:
-    """Ids as byte characters, four for each."""
-    part = lambda x, k: F.chr(F.shiftright(x, k).bitwiseAND(F.lit(255)))
-    return F.array_join(F.transform(ids, lambda x: F.concat(part(x, 0), part(x, 8), part(x, 16), part(x, 24))), "")
+def _little_endian(i: Column) -> Column:
+    """An id as four byte characters."""
+    part = lambda k: F.chr(F.shiftright(i, k).bitwiseAND(F.lit(255)))
+    return F.concat(part(0), part(8), part(16), part(24))
 
 
 class Tokenizer:
@@ -162,23 +162,16 @@ class Tokenizer:
         rows = spark.createDataFrame(list(ranks.items()), "k string, v int")
         with scratch(spark):
             self.ranks = _one_row(rows, "int", BUCKETS, "bpe-ranks")
-            known = F.map_from_entries(F.collect_list(F.struct("v", "k")))
-            every = F.array_sort(F.collect_list(F.struct("v", "k")))
-            dense = max(ranks.values()) + 1 == len(set(ranks.values())) == len(ranks)
-            tokens = F.transform(every, lambda x: x["k"]) if dense else bind(known, lambda m: F.transform(F.sequence(F.lit(0), F.lit(max(ranks.values()))), lambda i: m[i]))
-            self.tokens = kept(rows.agg(tokens.alias("a")), "bpe-tokens")
+            # Dense arrays by id: each token's bytes, and each id as bytes.
+            known, last = F.map_from_entries(F.collect_list(F.struct("v", "k"))), max(ranks.values(), default=0)
+            ids = F.sequence(F.lit(0), F.lit(last))
+            dense = sorted(ranks.values()) == list(range(len(ranks)))
+            tokens = F.transform(F.array_sort(F.collect_list(F.struct("v", "k"))), lambda x: x["k"]) if dense else bind(known, lambda m: F.transform(ids, lambda i: m[i]))
+            self.tokens = kept(rows.agg(F.struct(tokens.alias("d"), F.transform(ids, _little_endian).alias("i")).alias("a")), "bpe-tokens")
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def decoded(self, ids: Column, tokens: Column) -> Column:
-        """Bytes of ids, as byte characters."""
-        return F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")
-
-    def coded(self, piece: Column, ranks: Column, tokens: Column) -> Column:
-        """Struct of a piece's ids (little endian) and of their decoded bytes, both in byte characters."""
-        return bind(_fold(_bytes_of(piece), ranks), lambda ids: F.struct(_little_endian(ids).alias("i"), self.decoded(ids, tokens).alias("d")))
-
     def held(self, docs: DataFrame, text: str, most: int = HELD_BYTES) -> DataFrame | None:
         """The most frequent distinct pieces, encoded, as one row: an array of small maps. Counts are over the whole corpus;
         the pieces that are held take at most ``most`` bytes by estimate, of the last count that fits in part those of least
@@ -198,7 +191,7 @@ class Tokenizer:
             chosen = counts.where((F.col("n") > least) | ((F.col("n") == least) & (F.pmod(F.xxhash64("piece"), F.lit(parts)) < int(share * parts))))
             # Few counts are read, but each piece is costly: dealt out by hash over all cores.
             chosen = chosen.select("piece").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4, "piece")
-            coded = self.with_tables(chosen, "v", lambda r, t, _: self.coded(F.col("piece"), r, t))
+            coded = self.with_tables(chosen, "v", lambda r, _t, _h: _fold(_bytes_of(F.col("piece")), r))
             return _one_row(coded.withColumnRenamed("piece", "k"), HELD, HELD_BUCKETS, "bpe-held")
 
     def with_tables(self, rows: DataFrame, out: str, body: Callable[[Column, Column, Column], Column], held: DataFrame | None = None) -> DataFrame:
@@ -213,10 +206,11 @@ class Tokenizer:
         """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary, from the ids)."""
         held = self.held(docs, text, most)
         known = (lambda h, p: F.lit(None).cast(HELD)) if held is None else (lambda h, p: _find(h, p, HELD_BUCKETS))
-        piece = lambda r, t, h: lambda p: F.coalesce(known(h, p), self.coded(p, r, t))
-        coded = self.with_tables(docs, "__coded__", lambda r, t, h: F.transform(self.pieces(F.col(text)), piece(r, t, h)), held)
-        binary = lambda field: F.encode(F.array_join(F.transform("__coded__", lambda c: c[field]), ""), "ISO-8859-1")
-        return coded.withColumns({"ids": binary("i"), "decoded": binary("d")}).drop("__coded__")
+        piece = lambda r, h: lambda p: F.coalesce(known(h, p), _fold(_bytes_of(p), r))
+        joined = lambda ids, table: F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")
+        both = lambda t: lambda ids: F.struct(joined(ids, t["i"]).alias("i"), joined(ids, t["d"]).alias("d"))
+        coded = self.with_tables(docs, "__coded__", lambda r, t, h: bind(F.flatten(F.transform(self.pieces(F.col(text)), piece(r, h))), both(t)), held)
+        return coded.withColumns({"ids": F.col("__coded__.i"), "decoded": F.col("__coded__.d")}).drop("__coded__")
 
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -8,7 +8,8 @@ pattern-instance graph; patterns of high confidence then discover identifiers th
 is no lexical pattern, since in prose any word may follow it. Numbers are identifiers by their lexical pattern only, since
 any number of that length has the same shape. The most frequent patterns are literals; all others are joined.
 
-Defined results: null text is empty and has no spans; without candidates nothing is learned and only base spans are found;
+Defined results: null text is empty and has no spans; an empty table gives an empty table; ``extract`` keeps extra columns but
+for ones named ``base`` and ``found``; without candidates nothing is learned and only base spans are found;
 spans of the method that overlap a base span are dropped; offsets are code points, ends exclusive; repeated rows give
 repeated results and count once as instances.
 """
@@ -32,10 +33,11 @@ KINDS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: Words of at least eight letters and digits, one of them a digit.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+"
-#: Seed entities besides base matches: formats of public services' access keys and tokens.
-SEEDS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$"
+#: Words of at least eight letters, digits, ``_``, ``-`` or ``/``, one of them a digit, with a letter or digit at both ends.
+CANDIDATE = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_/-]{6,}(?<=[A-Za-z0-9])(?![A-Za-z0-9])"
+#: Seed entities besides base matches: a public format of access keys, and what is assigned to a name of a secret. A run of
+#: hex digits alone is none: checksums look the same.
+SEEDS, SECRETS = r"^AKIA[0-9A-Z]{16}$", r"^(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|apikey|auth)[^\p{L}\p{N}_]{1,5}$\z"
 #: Rounds over the graph, least confidence of an accepted pattern, distinct instances it needs, patterns of a kind held as literals.
 ROUNDS, CONFIDENCE, INSTANCES, PATTERNS = 6, 0.8, 5, 500
 #: Up to so many further patterns are sent to all tasks; beyond, candidates are shuffled, each pattern's over so many parts.
@@ -107,7 +109,7 @@ def _lexical(before: Column) -> Column:
 def _shape(value: Column) -> Column:
     return (
         F.when(value.rlike("^[0-9]+$"), F.concat(F.lit("digits:"), F.char_length(value)))
-        .when(value.rlike("^[0-9a-f]+$"), F.lit("hex"))
+        .when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.concat(F.lit("hex:"), F.char_length(value)))
         .when(value.rlike("^[A-Z]{3,5}[0-9A-Z]+$"), F.concat(F.lit("key:"), F.left(value, F.lit(4)), F.lit(":"), F.char_length(value)))
         .otherwise(F.lit("mixed"))
     )
@@ -139,7 +141,7 @@ def bootstrap(docs: DataFrame, text: str = "text") -> Patterns:
     with scratch(docs.sparkSession):
         arrays = docs.where(body.rlike("[0-9]")).select(base_spans(body).alias("b"), candidates(body).alias("cs"))
         found = arrays.select("b", F.explode("cs").alias("c"))
-        seed = F.col("c.value").rlike(SEEDS) | _overlaps(F.col("b"), F.col("c.start"), F.col("c.value"))
+        seed = F.col("c.value").rlike(SEEDS) | F.coalesce(F.col("c.lexical").rlike(SECRETS), F.lit(False)) | _overlaps(F.col("b"), F.col("c.start"), F.col("c.value"))
         graph = stored(found.select("c.value", "c.lexical", "c.shape", seed.alias("seed")).groupBy("value", "lexical", "shape").agg(F.max("seed").alias("seed")), "pii-graph")
         scored = graph.withColumn("score", F.col("seed").cast("double"))
         patterns: dict[str, DataFrame] = {}
@@ -147,7 +149,11 @@ def bootstrap(docs: DataFrame, text: str = "text") -> Patterns:
             for kind in ("lexical", "shape"):
                 rows = scored.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"))
                 patterns[kind] = stored(rows.select(kind, (F.col("s") / (F.col("n") + 1)).alias(f"{kind}_score"), "n"), "pii-patterns")
-            linked = graph.join(patterns["lexical"].drop("n"), "lexical", "left").join(patterns["shape"].drop("n"), "shape", "left")
+            # Most instances have no lexical pattern: a key of their own each, so that nulls don't meet in one task.
+            keyed = graph.withColumn("__l__", F.coalesce("lexical", F.concat(F.lit("\x00"), "value")))
+            linked = keyed.join(patterns["lexical"].drop("n").withColumnRenamed("lexical", "__l__"), "__l__", "left").drop("__l__")
+            # Shapes are few: the kinds of ``_shape`` by the length of a candidate at most.
+            linked = linked.join(patterns["shape"].drop("n"), "shape", "left")
             either = 1 - (1 - F.coalesce("lexical_score", F.lit(0.0))) * (1 - F.coalesce("shape_score", F.lit(0.0)))
             scored = stored(linked.select("value", "lexical", "shape", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(either).alias("score")), "pii-scores")
         best, rest = {}, []
@@ -201,4 +207,7 @@ def report(docs: DataFrame) -> DataFrame:
         *[count(k) for k in KINDS],
         F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         shown(F.concat("base", "found")).alias("spans"),
+        F.size("found").cast("long").alias("n_id"),
+        (F.size("base") + F.size("found")).cast("long").alias("n_spans"),
+        (F.size("base") + F.size("found") > 0).alias("private"),
     )
