@@ -44,10 +44,14 @@ class WarcError(ValueError):
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfss"}
 
 
+def arrow_uri(uri: str) -> str:
+    scheme, sep, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{sep}{rest}"
+
+
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system for a URI, and the path inside it; tasks have no Hadoop classes of their own."""
-    scheme, sep, rest = uri.partition("://")
-    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{sep}{rest}")
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def header_text(value: str) -> str:
