@@ -100,21 +100,46 @@ def components(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
 
 def greedy_removed(rows: DataFrame, edges: DataFrame, key: str, score: str) -> DataFrame:
     """Keys that a sequential pass removes: pairs in order of i, then j; a row that is removed before its turn is skipped,
-    one that loses during its turn still beats later rows. Components are independent, so each is passed alone."""
+    one that loses during its turn still beats later rows. Components are independent, so each is passed alone. Edges may
+    have a ``rule``: each removed key then has the rule of the edge that removed it."""
     labels = components(edges)
+    edges = edges if "rule" in edges.columns else edges.withColumn("rule", F.lit(None).cast("string"))
     scored = edges.join(rows.select(F.col(key).alias("i"), F.col(score).alias("si")), "i").join(rows.select(F.col(key).alias("j"), F.col(score).alias("sj")), "j")
     named = scored.join(labels.select(F.col("node").alias("i"), "component"), "i")
 
     def passed(pdf: pd.DataFrame) -> pd.DataFrame:
-        removed: set[int] = set()
+        removed: dict[int, str | None] = {}
         turn, skipped = None, False
-        for i, j, si, sj in pdf.sort_values(["i", "j"])[["i", "j", "si", "sj"]].itertuples(index=False):
+        for i, j, si, sj, rule in pdf.sort_values(["i", "j"])[["i", "j", "si", "sj", "rule"]].itertuples(index=False):
             if i != turn:
                 turn, skipped = i, i in removed
             if skipped or j in removed:
                 continue
-            removed.add(i if si < sj else j)
-        return pd.DataFrame({"removed": sorted(removed)}, dtype="int64")
+            removed[i if si < sj else j] = rule
+        return pd.DataFrame({"removed": pd.Series(list(removed), dtype="int64"), "rule": pd.Series(list(removed.values()), dtype="object")})
 
-    return named.groupBy("component").applyInPandas(passed, "removed long")
+    return named.groupBy("component").applyInPandas(passed, "removed long, rule string")
+
+
+# Least similarities of the semantic rules (answer alone; question together with answer).
+ANSWER, QUESTION, BOTH = 0.93, 0.92, 0.85
+
+
+def rule_edges(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """i, j, rule of the pairs that a semantic rule calls near, from pairs (i, j, similarity) of answers, at least ``BOTH``
+    similar, and of questions, at least ``QUESTION`` similar."""
+    asked = questions.where(F.col("similarity") >= QUESTION).select("i", "j", F.lit(True).alias("__q__"))
+    both = answers.where(F.col("similarity") >= BOTH).join(asked, ["i", "j"], "left")
+    rule = F.when(F.col("similarity") >= ANSWER, "answer").when(F.col("__q__"), "question_answer")
+    return both.select("i", "j", rule.alias("rule")).where("rule is not null")
+
+
+def removed_by_rules(rows: DataFrame, key: str, score: str, surface: DataFrame, semantic: DataFrame) -> DataFrame:
+    """removed, rule: a pass over the surface pairs (i, j), then one over the semantic edges (i, j, rule) of the rows that are
+    left. Counters are the counts of each rule."""
+    first = stored(greedy_removed(rows, surface.select("i", "j", F.lit("surface").alias("rule")), key, score), "removed-surface")
+    gone = first.select("removed")
+    left = semantic.join(gone, semantic["i"] == gone["removed"], "left_anti")
+    left = left.join(gone, left["j"] == gone["removed"], "left_anti")
+    return first.unionByName(greedy_removed(rows, left, key, score))
 

@@ -6,6 +6,7 @@ Every operator is one aggregation, or one per side of a comparison; none collect
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -161,6 +162,25 @@ def by_grade(rows: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).withColumn("pct", S.percent(F.col("n"), F.col("total"))).drop("total")
 
 
+def reason_search(rows: DataFrame, keywords: list[str], axes: tuple[str, ...] = AXES, models: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """A row for each record and axis whose reason (column ``<axis>_reason``) holds one of the keywords; with ``limit`` the
+    first by sample, model and axis."""
+    long = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value"), F.col(f"{a}_reason").alias("reason")) for a in axes]))
+    chosen = rows if models is None else rows.where(F.col("model_tag").isin(models))
+    found = chosen.select("sample_id", "model_tag", long.alias("x")).select("sample_id", "model_tag", "x.axis", "x.value", T.truncate(F.col("x.reason"), 200).alias("shown"), F.col("x.reason").alias("__r__"))
+    held = F.lit(False)
+    for k in keywords:
+        held = held | F.contains("__r__", F.lit(k))
+    found = found.where(held).drop("__r__")
+    return found if limit is None else found.orderBy("sample_id", "model_tag", "axis").limit(limit)
+
+
+def per_pattern_defect(rows: DataFrame, models: list[str]) -> DataFrame:
+    """Means of the score by pattern, a column for each model, and the second model's change against the first."""
+    out = pivot_mean(scored(rows), "pattern", models, F.col("score"))
+    return out.withColumn("delta", F.col(f"`{models[1]}`") - F.col(f"`{models[0]}`"))
+
+
 #: Sub-commands by name; each takes the judged rows and keyword options.
 COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "voice-defect": voice_defect,
@@ -173,12 +193,14 @@ COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "agreement": agreement,
     "voice-pattern-cross": cross,
     "sample-deepdive": deep_dive,
-    "overall": overall,
-    "length-stats": length_stats,
+    "reason-search": reason_search,
+    "per-pattern-defect": per_pattern_defect,
 }
 
 
 def run_command(name: str, rows: DataFrame, **options) -> DataFrame:
+    """A command's result. Options that a command doesn't have are ignored, so that one set of options serves several."""
     if name not in COMMANDS:
         raise KeyError(f"unknown command {name}; there are {', '.join(COMMANDS)}")
-    return COMMANDS[name](rows, **options)
+    known = inspect.signature(COMMANDS[name]).parameters
+    return COMMANDS[name](rows, **{k: v for k, v in options.items() if k in known})

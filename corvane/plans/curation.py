@@ -122,10 +122,9 @@ def f13_clean_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.clean_rewrite(raw).alias("q"))
 
 
-@query("select vec_id, '[' || row_number() over (order by vec_id) || '] (' || case when label % 2 = 0 then 'Original' else 'Commentary' end || ' / ' || vec_id || ')' || chr(10) || label as snippet from embeddings where vec_id < 20")
+@query("select vec_id, '[' || row_number() over (order by vec_id) || '] (' || case when label % 2 = 0 then 'Original' else 'Commentary' end || ' / ' || vec_id || ')' || chr(10) || label as snippet from embeddings")
 def f17_snippets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").where("vec_id < 20").orderBy("vec_id").limit(20)
-    ranked = C.numbered(rows, ["vec_id"], out="rank")
+    ranked = C.numbered(table(spark, d, "embeddings"), ["vec_id"], out="rank")
     label = F.when(F.col("label") % 2 == 0, "Original").otherwise("Commentary")
     return ranked.select("vec_id", T.snippet(F.col("rank"), label, F.col("vec_id").cast("string"), F.col("label").cast("string")).alias("snippet"))
 

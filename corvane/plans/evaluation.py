@@ -263,9 +263,9 @@ def o03_longest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(3)
 
 
-@query("select event_id, ts from events order by ts, event_id limit 100")
+@query("select event_id, ts from events order by ts, event_id")
 def o05_by_time(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "ts").orderBy("ts", "event_id").limit(100)
+    return table(spark, d, "events").select("event_id", "ts").orderBy("ts", "event_id")
 
 
 @query("select doc_id as id, lang as kind, cast(null as int) as label from documents union all select vec_id, null, label from embeddings")

@@ -53,12 +53,12 @@ def p24_nearest_with_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TERMS = "select {0} as id, term, count(*) as weight from (select {0}, unnest(string_split(text, ' ')) as term from {1}) group by all"
-_SPARSE = f"c as ({_TERMS.format('doc_id', 'documents')}), q as (select id as query, term, weight as w from ({_TERMS.format('item_id', 'benchmark')}) where id < 10), s as (select query, id, sum(weight * w)::bigint as score from c join q using (term) group by all)"
+_SPARSE = f"c as ({_TERMS.format('doc_id', 'documents')}), q as (select id as query, term, weight as w from ({_TERMS.format('item_id', 'benchmark')})), s as (select query, id, sum(weight * w)::bigint as score from c join q using (term) group by all)"
 
 
 def sparse(spark: SparkSession, d: str) -> DataFrame:
     terms = lambda name, key: table(spark, d, name).select(F.col(key).alias("id"), F.explode(F.split("text", " ")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    asked = terms("benchmark", "item_id").where("id < 10").withColumnRenamed("id", "query")
+    asked = terms("benchmark", "item_id").withColumnRenamed("id", "query")
     return R.sparse_scores(terms("documents", "doc_id"), asked)
 
 
@@ -68,11 +68,11 @@ def f21_sparse_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_SPARSE}, a as (select * from (select query, id, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 10),
-  b as (select * from (select i.query, d.doc_id as id, row_number() over (partition by i.query order by abs(d.n_chars - i.n), d.doc_id) as rank from documents d, (select item_id as query, length(text) as n from benchmark where item_id < 10) i) where rank <= 10),
+  b as (select * from (select i.query, d.doc_id as id, row_number() over (partition by i.query order by abs(d.n_chars - i.n), d.doc_id) as rank from documents d, (select item_id as query, length(text) as n from benchmark) i) where rank <= 10),
   f as (select query, id, sum(1.0::double / (60 + rank)) as score from (select * from a union all select * from b) group by all)
   select query, id, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by query order by round(score, 9) desc, id) as rank from f) where rank <= 5""")
 def f22_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.broadcast(table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query"), F.char_length("text").alias("n")))
+    asked = F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.char_length("text").alias("n")))
     near = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars").crossJoin(asked).withColumn("score", -F.abs(F.col("n_chars") - F.col("n")))
     fused = R.fuse(R.top(sparse(spark, d), 10), R.top(near, 10), 1000)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
@@ -119,7 +119,36 @@ def j18_loser_of_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def j18_greedy_removal(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
-    return D.greedy_removed(rows, D.dense_pairs(rows, "vec_id", "embedding", 0.5), "vec_id", "label")
+    return D.greedy_removed(rows, D.dense_pairs(rows, "vec_id", "embedding", 0.5), "vec_id", "label").select("removed")
+
+
+def _unit(part: str) -> str:
+    return f"list_transform({part}, lambda x: x / sqrt(list_inner_product({part}, {part})))"
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Two vectors for each row: its first six dimensions stand for the answer, the next six for the question."""
+    return vectors(spark, d).select("vec_id", "label", F.slice("embedding", F.lit(1), F.lit(6)).alias("answer"), F.slice("embedding", F.lit(7), F.lit(6)).alias("question"))
+
+
+def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = parts(spark, d)
+    return D.rule_edges(D.dense_pairs(rows, "vec_id", "answer", D.BOTH), D.dense_pairs(rows, "vec_id", "question", D.QUESTION))
+
+
+@query(f"""with v as (select vec_id, {_unit(_V + '[1:6]')} as a, {_unit(_V + '[7:12]')} as q from embeddings),
+  p as (select x.vec_id as i, y.vec_id as j, list_inner_product(x.a, y.a) as a, list_inner_product(x.q, y.q) as q from v x join v y on x.vec_id < y.vec_id)
+  select i, j, case when a >= {D.ANSWER} then 'answer' when q >= {D.QUESTION} and a >= {D.BOTH} then 'question_answer' end as rule from p where a >= {D.ANSWER} or (q >= {D.QUESTION} and a >= {D.BOTH})""")
+def j18_rule_edges(spark: SparkSession, d: str) -> DataFrame:
+    return semantic_edges(spark, d)
+
+
+@query()
+def j18_two_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Surface pairs are those whose question vectors are nearly the same."""
+    rows = parts(spark, d)
+    surface = D.dense_pairs(rows, "vec_id", "question", 0.95)
+    return D.removed_by_rules(rows, "vec_id", "label", surface, semantic_edges(spark, d))
 
 
 # --- segmentation: a document is a book, lines of few words are headers ----------------------------------------------

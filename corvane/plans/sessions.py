@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators import plugins as X
 from ..operators import sessions as P
-from ..session import shared_dir
+from ..session import shared_path
 from ..sources import jsonl, tables
+from ..sources.prompts import text_file
 from ..streaming import twins
 from .catalog import query, table
 
@@ -20,7 +21,7 @@ _KINDS = ("click", "view")
 
 
 def place(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return shared_path(spark, tag)
 
 
 def conversations(spark: SparkSession, d: str) -> DataFrame:
@@ -241,11 +242,11 @@ def s08_first_rows(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.first_rows(table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"], 50)
 
 
-@query("select conv_id, turn from conversations where turn < 2 union all select conv_id, turn from conversations where turn = 1")
+@query("select conv_id, turn from conversations union all select conv_id, turn from conversations where turn = 1")
 def s10_s16_append(spark: SparkSession, d: str) -> DataFrame:
     path = place(spark, "s10")
     rows = conversations(spark, d).select("conv_id", "turn")
-    jsonl.append(rows.where("turn < 2"), path)
+    jsonl.append(rows, path)
     jsonl.append(rows.where("turn = 1"), path)
     return jsonl.read_strict(spark, path, "conv_id long, turn long")
 
@@ -255,27 +256,29 @@ def s12_json_report(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.report(conversations(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("select label, count(*) as n from embeddings where vec_id % 2 = 0 group by label")
+@query("select label, count(*) as n from embeddings group by label")
 def s14_vector_table(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     store = tables.VectorTable(spark, place(spark, "s14"), 64)
     store.insert(rows)
     store.clear()
-    store.insert(rows.where("vec_id % 4 = 0"))
-    store.insert(rows.where("vec_id % 4 = 2"))
+    store.insert(rows.where("vec_id % 2 = 0"))
+    store.insert(rows.where("vec_id % 2 <> 0"))
     return store.read().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select vec_id, label from embeddings where vec_id < 100")
+@query("select vec_id, label from embeddings")
 def s15_s17_recreated_table(spark: SparkSession, d: str) -> DataFrame:
     name = f"vectors_{uuid.uuid4().hex}"
     rows = table(spark, d, "embeddings").select("vec_id", "label")
     tables.create(spark, name, "vec_id long")
-    tables.recreate(rows.where("vec_id < 100"), name)
+    tables.recreate(rows, name)
     return spark.table(name)
 
 
 @query("select conv_id, turn, 'Answer briefly. ' || text as prompt from conversations where role = 'user'")
 def s18_prompt_constant(spark: SparkSession, d: str) -> DataFrame:
-    prompt = "Answer briefly. "  # prompts are small files that the driver reads once
+    path = place(spark, "s18")
+    spark.createDataFrame([("Answer briefly. ",)], "value string").coalesce(1).write.text(path)
+    prompt = text_file(spark, path)
     return conversations(spark, d).where("role = 'user'").select("conv_id", "turn", F.concat(F.lit(prompt), F.col("text")).alias("prompt"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, curation, evaluation, retrieval, sessions  # noqa: F401
+from .plans import books, catalog, curation, evaluation, retrieval, sessions  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 

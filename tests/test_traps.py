@@ -241,7 +241,35 @@ def test_scorer_failures_become_nulls(spark):
 def test_commands(spark):
     with pytest.raises(KeyError):
         evaluate.run_command("nothing", spark.range(1))
-    assert len(evaluate.COMMANDS) == 12
+    cols = "sample_id long, model_tag string, voice string, pattern string, generated string, generated_len long, collapsed boolean, collapse_reason string, q1 int, q2 int, q3 int, q1_reason string, q2_reason string, q3_reason string, score double, grade string"
+    rows = spark.createDataFrame(
+        [
+            (1, "m0", "v", "p", "aaa", 3, False, None, 3, 4, 1, "ends on '~x'", "dull tone", None, 0.5, "C"),
+            (1, "m1", "v", "p", "bbbb", 4, False, None, 4, 4, 5, "fine", "fine", "dull", 0.9, "A"),
+            (2, "m0", "v", "q", "", 0, True, "empty", None, None, None, None, None, None, 0.0, "F"),
+            (3, "m0", "v", "p", "cc", 2, False, None, 5, 5, 2, "good", "good", "good", 0.8, "B"),
+        ],
+        cols,
+    )
+    options = dict(models=["m0", "m1"], threshold=2, top=3, n=1, keywords=["dull"], model="m0", a="voice", b="pattern", values=["p"], texts=rows, condition=F.col("grade") == "C", reason=F.col("q1_reason"))
+    got = {}
+    for name in evaluate.COMMANDS:
+        pair = {"compare-modes": evaluate.compare_modes, "agreement": evaluate.agreement}.get(name)
+        got[name] = (pair(rows, rows) if pair else evaluate.run_command(name, rows, **options)).collect()
+        assert got[name], name
+    assert {(r["sample_id"], r["model_tag"], r["axis"]) for r in got["reason-search"]} == {(1, "m0", "q2"), (1, "m1", "q3")}
+    assert len(evaluate.run_command("reason-search", rows, keywords=["dull", "good"], axes=("q3",), limit=1).collect()) == 1
+    assert [(r["pattern"], round(r["delta"], 6)) for r in got["per-pattern-defect"]] == [("p", 0.25)]
+    assert [r["low"] for r in got["voice-defect"]] == [2]
+
+
+def test_two_rules_of_removal(spark):
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate([0.5, 0.9, 0.4, 0.7, 0.6, 0.3])], "id long, s double")
+    pairs = lambda *x: spark.createDataFrame(x, "i long, j long, similarity double")
+    edges = dedup.rule_edges(pairs((1, 3, 0.95), (3, 4, 0.86), (4, 5, 0.9)), pairs((3, 4, 0.93), (4, 5, 0.91)))
+    assert {tuple(r) for r in edges.collect()} == {(1, 3, "answer"), (3, 4, "question_answer")}
+    got = dedup.removed_by_rules(rows, "id", "s", pairs((0, 1, 1.0), (0, 2, 1.0)), edges)
+    assert {tuple(r) for r in got.collect()} == {(0, "surface"), (2, "surface"), (3, "answer")}
 
 
 # --- overlap with protected text -------------------------------------------------------------------------------------
