@@ -3,7 +3,8 @@
 A text is split by the tokenizer's pattern. Ranks are an array of small maps, dealt by the hash of the token, so that a look-up
 costs the same for any vocabulary. It is a table of one row that expressions read as a scalar subquery: when a query runs
 Spark puts the value into the plan as a literal, but neither the plan's text nor the optimizer holds it. A piece's bytes are folded: each step merges the leftmost adjacent
-pair of lowest rank until none has a rank. Distinct pieces are counted over the whole corpus and folded once each; the most
+pair of lowest rank until none has a rank. Up to 64 bytes the state is one array of numbers (rank of the pair that a part begins,
+place, id), and pairs of ids are looked up; longer pieces hold parts as texts, so that all places of a pair can merge in one step. Distinct pieces are counted over the whole corpus and folded once each; the most
 frequent ones, up to a bound in bytes, are held in a second such table. Pieces beyond the bound, and those that stand once only, are folded where they stand. No document is shuffled. Decoding looks up the ids'
 bytes in the vocabulary and concatenates them.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +31,8 @@ from ..session import kept, scratch, stored
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Bytes of the table of frequent pieces (by estimate: what an entry takes besides its piece and ids, and for each byte of a piece).
 HELD_BYTES, ENTRY, EACH = 54 << 20, 56, 2
-#: Small maps of the ranks, and of the table of frequent pieces.
-BUCKETS, HELD_BUCKETS = 32_768, 131_072
+#: Small maps of the ranks, of the pairs of ids, and of the table of frequent pieces.
+BUCKETS, PAIR_BUCKETS, HELD_BUCKETS = 32_768, 131_072, 262_144
 #: Bytes from which on all places of a pair are merged in one step where that gives the same parts.
 LONG = 64
 #: More than any list holds: a slice of so many takes what is left.
@@ -38,6 +40,9 @@ _REST = 1 << 30
 #: What is held of a frequent piece: its ids.
 HELD = "array<int>"
 _OPEN, _CLOSE, _FENCE = "Ā", "ā", "Ă"
+#: A part as a number: rank of the pair it begins, its place (of ``LONG`` bytes and two fences), its id. The last id stands for none.
+ID_BITS, PLACE_BITS = 24, 7
+_NONE, _LOW = (1 << ID_BITS) - 1, ID_BITS + PLACE_BITS
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,10 +75,10 @@ def load_ranks(path: str) -> dict[str, int]:
 
 
 def _one_row(entries: DataFrame, kind: str, buckets: int, tag: str) -> DataFrame:
-    """A table of one row: array ``a`` of maps; key k of the entries (k, v) stands in map hash(k) mod ``buckets``."""
+    """A table of one row: array ``a`` of maps of type ``kind``; key k of the entries (k, v) stands in map hash(k) mod ``buckets``."""
     maps = entries.groupBy(F.pmod(F.hash("k"), F.lit(buckets)).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     rows = entries.sparkSession.range(buckets).withColumnRenamed("id", "b").join(stored(maps, tag), "b", "left")
-    all_ = F.collect_list(F.struct("b", F.coalesce("m", F.create_map().cast(f"map<string,{kind}>")).alias("m")))
+    all_ = F.collect_list(F.struct("b", F.coalesce("m", F.create_map().cast(kind)).alias("m")))
     placed = rows.agg(F.array_sort(all_, lambda x, y: (x["b"] - y["b"]).cast("int")).alias("a"))
     return kept(placed.select(F.transform("a", lambda x: x["m"]).alias("a")), tag)
 
@@ -116,31 +121,62 @@ def _at_all(p: Column, r: Column, i: Column, ranks: Column) -> Column:
     return F.when(alone, bind(parts, both)).otherwise(one)
 
 
-def _parts(piece: Column, ranks: Column) -> Column:
-    """Parts of a piece: each step merges the leftmost pair of lowest rank. The ends are fenced by a character that no token
+def _long(piece: Column, ranks: Column) -> Column:
+    """Ids of a long piece: each step merges the leftmost pair of lowest rank. The ends are fenced by a character that no token
     has, so that every pair has neighbours."""
     fence, steps = F.array(F.lit(_FENCE)), F.sequence(F.lit(1), F.char_length(piece))
-    start = bind(F.concat(fence, F.split(piece, ""), fence), lambda p: F.struct(p.alias("p"), _pairs(p, ranks).alias("r")))
-    inner = lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2)
+    start = bind(F.concat(fence, F.split(piece, ""), fence), lambda p: F.struct(p.alias("p"), _pairs(p, ranks).alias("r"), F.lit(False).alias("done")))
+    state = lambda x, done: F.struct(x["p"].alias("p"), x["r"].alias("r"), F.lit(done).alias("done"))
 
-    def lowest(s: Column, merge: Callable[[Column], Column], end: Column) -> Column:
+    def step(s: Column, _: Column) -> Column:
         place = F.array_position(s["r"], F.array_min(s["r"])).cast("int")  # null where no pair has a rank
-        return bind(place, lambda i: F.when(i.isNull(), end).otherwise(merge(i)))
+        merged = lambda i: bind(_at_all(s["p"], s["r"], i, ranks), lambda x: state(x, False))
+        return F.when(s["done"], s).otherwise(bind(place, lambda i: F.when(i.isNull(), state(s, True)).otherwise(merged(i))))
 
-    def short(s: Column, _: Column) -> Column:
-        return lowest(s, lambda i: _at_place(s["p"], s["r"], i, ranks), s)
+    return F.aggregate(steps, start, step, lambda s: F.transform(F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2), lambda p: _find(ranks, p)))
 
-    def long(s: Column, _: Column) -> Column:
-        state = lambda x, done: F.struct(x["p"].alias("p"), x["r"].alias("r"), F.lit(done).alias("done"))
-        return F.when(s["done"], s).otherwise(lowest(s, lambda i: bind(_at_all(s["p"], s["r"], i, ranks), lambda x: state(x, False)), state(s, True)))
 
-    begin = bind(start, lambda s: F.struct(s["p"].alias("p"), s["r"].alias("r"), F.lit(False).alias("done")))
-    return F.when(F.char_length(piece) <= LONG, F.aggregate(steps, start, short, inner)).otherwise(F.aggregate(steps, begin, long, inner))
+def _short(piece: Column, pairs: Column, singles: Column) -> Column:
+    """Ids of a piece of up to ``LONG`` bytes, by the same merges. As places grow from left to right and no two parts have the
+    same, the least number is the leftmost pair of lowest rank."""
+    fence, low, end = F.array(F.lit(_NONE).cast("long")), F.lit((1 << _LOW) - 1), F.lit(_NONE << _LOW)
+    whose = lambda x: x.bitwiseAND(F.lit(_NONE))
+    rank = lambda a, b: F.shiftleft(F.coalesce(_find(pairs, F.shiftleft(a, ID_BITS).bitwiseOR(b), PAIR_BUCKETS), F.lit(_NONE).cast("long")), _LOW)
+    part = lambda f: lambda x, k: rank(x, F.get(f, k + 1)).bitwiseOR(F.shiftleft(k.cast("long"), ID_BITS)).bitwiseOR(x)
+    ids = F.transform(F.split(piece, ""), lambda c: F.get(singles, F.ascii(c)))
+    start = bind(F.concat(fence, ids, fence), lambda f: F.transform(f, part(f)))
 
+    def merged(s: Column, least: Column, i: Column) -> Column:
+        before, new, after = F.get(s, i - 2), F.shiftright(least, _LOW), F.get(s, i + 1)
+        two = bind(
+            new,
+            lambda n: F.array(
+                rank(whose(before), n).bitwiseOR(before.bitwiseAND(low)),
+                rank(n, whose(after)).bitwiseOR(least.bitwiseAND(F.lit((1 << _LOW) - 1 - _NONE))).bitwiseOR(n),
+            ),
+        )
+        return F.flatten(F.array(F.slice(s, F.lit(1), i - 2), two, F.slice(s, i + 2, _REST)))
 
-def _fold(piece: Column, ranks: Column) -> Column:
-    """Ids of a piece (in byte characters): merges in order of rank."""
-    return bind(_find(ranks, piece), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(_parts(piece, ranks), lambda p: _find(ranks, p))))
+    def step(s: Column, _: Column) -> Column:
+        return bind(F.array_min(s), lambda least: F.when(least >= end, s).otherwise(bind(F.array_position(s, least).cast("int"), lambda i: merged(s, least, i))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(piece)), start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: whose(x).cast("int")))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """What expressions look up: ranks by token, merged ids by pair of ids, ids of single bytes, bytes and code by id, ids of
+    frequent pieces."""
+
+    ranks: Column
+    pairs: Column
+    tokens: Column
+    held: Column
+
+    def fold(self, piece: Column) -> Column:
+        """Ids of a piece (in byte characters): merges in order of rank."""
+        known = F.when(F.char_length(piece) <= LONG, _short(piece, self.pairs, self.tokens["b"])).otherwise(_long(piece, self.ranks))
+        return bind(_find(self.ranks, piece), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(known))
 
 
 def _bytes_of(text: Column) -> Column:
@@ -157,17 +193,27 @@ class Tokenizer:
     """Ranks and pattern, with the expressions that encode and decode."""
 
     def __init__(self, spark: SparkSession, ranks: dict[str, int], pattern: str):
+        missing = [b for b in range(256) if chr(b) not in ranks]
+        if missing or max(ranks.values()) >= _NONE:
+            raise ValueError(f"every byte needs a rank (none for {missing[:5]}), and ranks must be below {_NONE}")
         self.pattern = java_pattern(pattern)
         # Placed by rank; a vocabulary is bounded. Ranks that no token has stay null.
         rows = spark.createDataFrame(list(ranks.items()), "k string, v int")
         with scratch(spark):
-            self.ranks = _one_row(rows, "int", BUCKETS, "bpe-ranks")
-            # Dense arrays by id: each token's bytes, and each id as bytes.
-            known, last = F.map_from_entries(F.collect_list(F.struct("v", "k"))), max(ranks.values(), default=0)
+            self.ranks = _one_row(rows, "map<string,int>", BUCKETS, "bpe-ranks")
+            # A token may be cut wherever both halves are tokens.
+            long = F.col("v").cast("long")
+            cuts = rows.where(F.char_length("k") > 1).select(long.alias("v"), "k", F.explode(F.sequence(F.lit(1), F.char_length("k") - 1)).alias("n"))
+            cuts = cuts.select("v", F.left("k", F.col("n")).alias("a"), F.substring("k", F.col("n") + 1, F.lit(_REST)).alias("b"))
+            cuts = cuts.join(rows.select(F.col("k").alias("a"), long.alias("x")), "a").join(rows.select(F.col("k").alias("b"), long.alias("y")), "b")
+            self.pairs = _one_row(cuts.select(F.shiftleft("x", ID_BITS).bitwiseOR(F.col("y")).alias("k"), "v"), "map<bigint,bigint>", PAIR_BUCKETS, "bpe-pairs")
+            # Dense arrays by id: each token's bytes, and each id as bytes; by byte: the ids of single bytes.
+            known, last = F.map_from_entries(F.collect_list(F.struct("v", "k"))), max(ranks.values())
             ids = F.sequence(F.lit(0), F.lit(last))
             dense = sorted(ranks.values()) == list(range(len(ranks)))
             tokens = F.transform(F.array_sort(F.collect_list(F.struct("v", "k"))), lambda x: x["k"]) if dense else bind(known, lambda m: F.transform(ids, lambda i: m[i]))
-            self.tokens = kept(rows.agg(F.struct(tokens.alias("d"), F.transform(ids, _little_endian).alias("i")).alias("a")), "bpe-tokens")
+            singles = F.array(*[F.lit(ranks[chr(b)]).cast("long") for b in range(256)])
+            self.tokens = kept(rows.agg(F.struct(tokens.alias("d"), F.transform(ids, _little_endian).alias("i"), singles.alias("b")).alias("a")), "bpe-tokens")
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -191,25 +237,28 @@ class Tokenizer:
             chosen = counts.where((F.col("n") > least) | ((F.col("n") == least) & (F.pmod(F.xxhash64("piece"), F.lit(parts)) < int(share * parts))))
             # Few counts are read, but each piece is costly: dealt out by hash over all cores.
             chosen = chosen.select("piece").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4, "piece")
-            coded = self.with_tables(chosen, "v", lambda r, _t, _h: _fold(_bytes_of(F.col("piece")), r))
-            return _one_row(coded.withColumnRenamed("piece", "k"), HELD, HELD_BUCKETS, "bpe-held")
+            coded = self.with_tables(chosen, "v", lambda t: t.fold(_bytes_of(F.col("piece"))))
+            return _one_row(coded.withColumnRenamed("piece", "k"), f"map<string,{HELD}>", HELD_BUCKETS, "bpe-held")
+
+    def with_tables(self, rows: DataFrame, out: str, body: Callable[[Tables], Column], held: DataFrame | None = None) -> DataFrame:
+        """``rows`` with a column of an expression over the tables. They are columns of their own for the analyser, which allows
+        no subquery inside higher-order functions; each is named once, so the optimizer puts the subquery in its place and no
+        row carries a table."""
+        tables = {"__ranks__": self.ranks.scalar(), "__pairs__": self.pairs.scalar(), "__tokens__": self.tokens.scalar(), "__held__": F.lit(None) if held is None else held.scalar()}
+
+        def bound(names: list[str], *columns: Column) -> Column:
+            return bind(F.col(names[0]), lambda c: bound(names[1:], *columns, c)) if names else body(Tables(*columns))
 
-    def with_tables(self, rows: DataFrame, out: str, body: Callable[[Column, Column, Column], Column], held: DataFrame | None = None) -> DataFrame:
-        """``rows`` with a column of an expression over the ranks, the tokens and the frequent pieces. The tables are columns of
-        their own for the analyser, which allows no subquery inside higher-order functions; each is named once, so the
-        optimizer puts the subquery in its place and no row carries a table."""
-        tables = {"__ranks__": self.ranks.scalar(), "__tokens__": self.tokens.scalar(), "__held__": F.lit(None) if held is None else held.scalar()}
-        bound = bind(F.col("__held__"), lambda h: bind(F.col("__ranks__"), lambda r: bind(F.col("__tokens__"), lambda t: body(r, t, h))))
-        return rows.withColumns(tables).withColumn(out, bound).drop(*tables)
+        return rows.withColumns(tables).withColumn(out, bound(list(tables))).drop(*tables)
 
     def encode(self, docs: DataFrame, text: str = "text", most: int = HELD_BYTES) -> DataFrame:
         """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary, from the ids)."""
         held = self.held(docs, text, most)
-        known = (lambda h, p: F.lit(None).cast(HELD)) if held is None else (lambda h, p: _find(h, p, HELD_BUCKETS))
-        piece = lambda r, h: lambda p: F.coalesce(known(h, p), _fold(_bytes_of(p), r))
+        known = (lambda t, p: F.lit(None).cast(HELD)) if held is None else (lambda t, p: _find(t.held, p, HELD_BUCKETS))
+        piece = lambda t: lambda p: F.coalesce(known(t, p), t.fold(_bytes_of(p)))
         joined = lambda ids, table: F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")
         both = lambda t: lambda ids: F.struct(joined(ids, t["i"]).alias("i"), joined(ids, t["d"]).alias("d"))
-        coded = self.with_tables(docs, "__coded__", lambda r, t, h: bind(F.flatten(F.transform(self.pieces(F.col(text)), piece(r, h))), both(t)), held)
+        coded = self.with_tables(docs, "__coded__", lambda t: bind(F.flatten(F.transform(self.pieces(F.col(text)), piece(t))), both(t.tokens)), held)
         return coded.withColumns({"ids": F.col("__coded__.i"), "decoded": F.col("__coded__.d")}).drop("__coded__")
 
 
