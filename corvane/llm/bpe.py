@@ -12,7 +12,7 @@ Inside expressions a byte is a character from U+0000 to U+00FF; results are turn
 
 Defined results: null and empty texts have no tokens, and their digests are those of no bytes; an empty table gives an empty
 table; repeated rows give repeated results; extra columns are kept, but for ones named ``ids`` and ``decoded``, which are
-replaced; special tokens are ordinary text.
+replaced; special tokens are ordinary text; a vocabulary without a rank for every byte is a ValueError.
 """
 
 from __future__ import annotations

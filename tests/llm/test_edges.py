@@ -79,3 +79,10 @@ def test_checksums_are_no_secrets(spark):
     got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(secret + sums + [(50, None)], "doc_id long, text string")).collect()}
     assert all(got[k]["private"] and got[k]["n_id"] == 1 for k, _ in secret)
     assert not any(got[k]["private"] for k, _ in sums) and not got[50]["private"]
+
+
+def test_every_byte_needs_a_rank(spark):
+    from corvane.llm import bpe
+
+    with pytest.raises(ValueError, match="every byte"):
+        bpe.Tokenizer(spark, {"a": 0}, r"\p{L}+")
