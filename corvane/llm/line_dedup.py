@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join over words.
 
 A line is the words between white space. Two lines are near if one word substituted, inserted or deleted turns one into
-the other and the longer has at least ``MIN_WORDS`` words; shorter lines are compared for equality only. A line goes if an
+the other and the longer has at least ``min_words`` words (``MIN_WORDS`` by default, 1 for all lines); shorter lines are compared for
+equality only. A line goes if an
 earlier line (by doc_id, then place in the text) is equal or near to it; the earliest of a neighbourhood stays.
 
 1.  Every line is reduced to 64-bit hashes: of all its words and of its halves. Equal lines become one, the earliest.
@@ -9,7 +10,8 @@ earlier line (by doc_id, then place in the text) is equal or near to it; the ear
     edit can only be outside the half that is shared.
 3.  These emit their variants within one deletion as hashed keys. A substitution makes equal variants at the same place; an
     insertion makes the shorter line a variant of the longer. Variants meet under their key, where each line's earliest
-    partner is a minimum over the key: no pairs are formed, however many lines share a key.
+    partner is a minimum over the key: no pairs are formed, however many lines share a key. Minima are combined in the tasks
+    before the shuffle, and rows come back to them by joins that deal out hot keys.
 4.  The lines that lose are verified against their partner word by word.
 
 Defined results: null texts have no lines; lines without a word are never removed and never count; rows that repeat doc_id
@@ -24,17 +26,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.curate import numbered
 from ..session import kept, scratch, stored
-from .common import utf8
+from .common import spread_join, utf8
 
 MIN_WORDS = 8
-#: Up to so many documents with candidate lines their list (some 100 bytes each) is sent to all tasks; beyond, documents
-#: are shuffled.
-BROADCAST_ROWS = 300_000
+#: Up to so many bytes (64 a document with candidate lines and 48 a line) their list is sent to all tasks; beyond, documents are
+#: shuffled.
+BROADCAST_BYTES = 64 << 20
 _P = 0x9E3779B97F4A7C15  # odd: word hashes are weighted by powers of it, so that parts of a line can be moved
 _INVERSE = pow(_P, -1, 2**64)
 
@@ -91,12 +93,12 @@ class Lines:
         mark = lambda side: (2 * n + side + 1).astype(np.uint64) * np.uint64(_P)
         return first ^ mark(0), last ^ mark(1)
 
-    def variants(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def variants(self, first: np.ndarray, last: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys, roles and line indexes of the deletion neighbourhoods of lines that share their first or last half.
         Roles: 0 a place left out (substitution), 1 the line itself, 2 one word less."""
         line = np.repeat(np.arange(len(self.n)), self.n)
         n, all_ = self.n[line], self.whole()
-        open_ = (n >= MIN_WORDS) & ((first[line] & (self.place >= (n - 1) // 2)) | (last[line] & (self.place <= (n + 1) // 2)))
+        open_ = (n >= min_words) & ((first[line] & (self.place >= (n - 1) // 2)) | (last[line] & (self.place <= (n + 1) // 2)))
         at = np.flatnonzero(open_)
         line, n, place = line[at], n[at], self.place[at]
         substituted = all_[line] - self.terms[at] + (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)) * np.uint64(_INVERSE)
@@ -112,7 +114,7 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
     """One row per line with a word: doc_id, text_hash, line, whole, and at a line's first place in a batch its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +142,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         whole = lines.whole()
         new = np.zeros(len(whole), dtype=bool)
         new[np.unique(whole, return_index=True)[1]] = True
-        own, less = new & (lines.n >= MIN_WORDS - 1), new & (lines.n >= MIN_WORDS)
+        own, less = new & (lines.n >= min_words - 1), new & (lines.n >= min_words)
         n = np.maximum(lines.n, 2)
         columns = [*lines.halves(lines.n), *lines.halves(n - 1)]
         taken = np.stack([own, own, less, less], axis=1)
@@ -170,13 +172,14 @@ def _texts(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFr
     wanted = stored(wanted, "lines-wanted")
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), text_hash(text).alias("h"), F.col(text).alias("text"))
     same = (rows["h"] == wanted["text_hash"]) & rows["d"].eqNullSafe(wanted["doc_id"])
-    picked = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, same).select(F.split("text", "\n").alias("all"), "lines")
+    size = wanted.agg(F.sum(F.size("lines") * 48 + 64)).first()[0] or 0
+    picked = rows.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, same).select(F.split("text", "\n").alias("all"), "lines")
     # Rows that repeat id and text give their lines twice.
     line = picked.select(F.explode(F.transform("lines", lambda x: x.withField("text", F.get("all", x["line"].cast("int"))))).alias("x"))
     return line.select("x.whole", "x.first", "x.last", "x.o", "x.text").dropDuplicates(["o"])
 
 
-def _variants(lines: DataFrame) -> DataFrame:
+def _variants(lines: DataFrame, min_words: int) -> DataFrame:
     """key, role and order of the deletion neighbourhood of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +194,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                     words += len(held[-1])
                     end += 1
                 flag = lambda c: batch.column(c).slice(at, end - at).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                keys, roles, index = Lines(held, hashes).variants(flag(1), flag(2))
+                keys, roles, index = Lines(held, hashes).variants(flag(1), flag(2), min_words)
                 yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(roles), batch.column(0).slice(at, end - at).take(pa.array(index))], ["key", "role", "o"])
                 at = end
 
@@ -208,33 +211,43 @@ def _near(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same <= 1).when(F.size(long) - F.size(short) == 1, inserted == short).otherwise(F.lit(False))
 
 
-def _losers(rows: DataFrame, first: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _total(counted: DataFrame) -> int:
+    return counted.agg(F.sum("n")).first()[0] or 0
+
+
+def _losers(rows: DataFrame, first: DataFrame, docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
     """whole of each distinct line to which an earlier distinct line is near."""
     halves = rows.where(F.size("halves") > 0).select("whole", F.posexplode("halves").alias("side", "half"))
-    same_half = Window.partitionBy("half")
-    shared = halves.withColumn("a", F.min("whole").over(same_half)).withColumn("b", F.max("whole").over(same_half)).where("a <> b")
-    sides = shared.groupBy("whole").agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("last"))
-    chosen = numbered(stored(first.join(sides, "whole"), "lines-chosen"), ["at", "whole"], out="o")
+    ends = halves.groupBy("half").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = stored(ends.where("a <> b").select("half", "n"), "lines-halves")
+    sides = spread_join(halves, shared, "half", "n", _total(shared)).groupBy("whole").agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("last"))
+    chosen = numbered(stored(first.select("whole", "at").join(sides, "whole"), "lines-chosen"), ["at", "whole"], out="o")
     lines = stored(_texts(docs, chosen, doc_id, text), "lines-candidates")
-    by_key = Window.partitionBy("key")
-    least = lambda r: F.min(F.when(F.col("role") == r, F.col("o"))).over(by_key)
-    met = _variants(lines).withColumns({"r0": least(0), "r1": least(1), "r2": least(2)})
+    variants = stored(_variants(lines, min_words), "lines-variants")
+    least = lambda r: F.min(F.when(F.col("role") == r, F.col("o"))).alias(f"r{r}")
+    keys = variants.groupBy("key").agg(least(0), least(1), least(2), F.max(F.when(F.col("role") == 0, F.col("o"))).alias("last0"), F.count(F.lit(1)).alias("n"))
+    keys = stored(keys.where("r0 < last0 or (r1 is not null and r2 is not null)").drop("last0"), "lines-keys")
     partner = F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1"))
-    pairs = met.withColumn("p", partner).where("p < o").groupBy("o").agg(F.min("p").alias("p"))
+    met = spread_join(variants, keys, "key", "n", _total(keys)).withColumn("p", partner).where("p < o")
+    pairs = stored(met.groupBy("o").agg(F.min("p").alias("p")), "lines-pairs")
     words = lambda c: F.filter(F.split(c, "[ \t\n\x0b\x0c\r]+"), lambda x: x != "")
     mine = pairs.join(lines.select("o", "whole", F.col("text").alias("a")), "o")
-    both = mine.join(lines.select(F.col("o").alias("p"), F.col("text").alias("b")), "p")
+    counted = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    partners = stored(counted.join(lines.select(F.col("o").alias("p"), F.col("text").alias("b")), "p"), "lines-partners")
+    both = spread_join(mine, partners, "p", "n", _total(partners))
     return both.where(_near(words("a"), words("b"))).select("whole", F.lit(True).alias("near")).distinct()
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, n_lines (lines with a word), removed (places of lines that go, from 0), n_near."""
     with scratch(docs.sparkSession):
-        rows = stored(_lines(docs, doc_id, text), "lines")
-        first = stored(rows.groupBy("whole").agg(F.min(_place()).alias("at")), "lines-distinct")
-        near = _losers(rows, first, docs, doc_id, text)
-        fate = first.select("whole", F.col("at").alias("first_at")).join(near, "whole", "left")
-        judged = rows.select("doc_id", "text_hash", "line", "whole").join(fate, "whole")
+        rows = stored(_lines(docs, doc_id, text, min_words), "lines")
+        first = stored(rows.groupBy("whole").agg(F.min(_place()).alias("at"), F.count(F.lit(1)).alias("n")), "lines-distinct")
+        near = _losers(rows, first, docs, doc_id, text, min_words)
+        fate = first.select("whole", F.col("at").alias("first_at"), "n").join(near, "whole", "left")
+        # Lines that stand once and are near to none stay.
+        fate = stored(fate.where("n > 1 or near"), "lines-fate")
+        judged = spread_join(rows.select("doc_id", "text_hash", "line", "whole"), fate, "whole", "n", _total(first))
         gone = judged.where(F.coalesce("near", F.lit(False)) | (_place() != F.col("first_at")))
         # Places are gathered by document; a document's own lines bound the list.
         by_doc = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
@@ -250,10 +263,10 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_near", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines that go taken out of the text; ``n_chars`` follows where it is there. Documents that lose
     their last word this way go, those without a word before stay."""
-    gone = removed_lines(docs, doc_id, text).where(F.size("removed") > 0).select(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__"), F.col("removed").alias("__removed__"))
+    gone = removed_lines(docs, doc_id, text, min_words).where(F.size("removed") > 0).select(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__"), F.col("removed").alias("__removed__"))
     same = (text_hash(text) == F.col("__hash__")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id__"))
     joined = docs.join(gone, same, "left")
     lines = F.split(F.col(text), "\n")
