@@ -12,7 +12,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, decontam, langid, licenses, line_dedup, ngram_join, pii, quality, warc
+from corvane.llm import bpe, chat, common, decontam, langid, licenses, line_dedup, ngram_join, pii, quality, warc
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 DOCS = "doc_id long, text string, lang string, n_words string, spans string"
@@ -35,6 +35,21 @@ def prose(seed, n, vocabulary=400):
 EDGES = [None, "", " \n\t ", "word", "é ß 漢字 🙂 a", prose(1, 4000), "same text here", "same text here"]
 
 
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    monkeypatch.setattr(common, "PART_ROWS", 1)
+    keys = [1] * 40 + [2] * 30 + [3, 4, 4, 5] + [None] * 9
+    rows = spark.createDataFrame(list(enumerate(keys)), "i long, k long")
+    counted = collections.Counter(k for k in keys if k not in (None, 5))
+    facts = spark.createDataFrame([(k, n, f"f{k}") for k, n in counted.items()], "k long, n long, f string")
+    for how in ("inner", "left"):
+        got = common.spread_join(rows, facts, "k", "n", len(keys), how)
+        assert got.columns == ["k", "i", "f"]
+        want = [(k, i, f"f{k}" if k in counted else None) for i, k in enumerate(keys) if how == "left" or k in counted]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert common.spread_join(rows.limit(0), facts.limit(0), "k", "n", 0).count() == 0
+
+
 # --- 1 ---
 def test_license_scan(spark):
     texts = EDGES + [
@@ -326,6 +341,17 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.report(docs_of(spark, [])).count() == 0
 
 
+def test_ngram_join_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 8)
+    monkeypatch.setattr(common, "PART_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    base = prose(30, 120).split()
+    near = [" ".join([*base[:k], f"other{k}", *base[k + 1 :]]) for k in range(60)]
+    texts = near + [near[0]] * 40 + [None] * 20 + [prose(100 + k, 60) for k in range(30)]
+    got = {x["doc_id"]: (x["n_links"], x["class_id"]) for x in ngram_join.report(docs_of(spark, texts)).collect()}
+    assert got == links_of(texts)
+
+
 # --- 7 ---
 def test_language_id(spark):
     r = random.Random(6)
@@ -369,13 +395,13 @@ def test_language_id_whole_profiles(spark, monkeypatch):
 
 
 # --- 8 ---
-def removed(texts):
+def removed(texts, min_words=8):
     lines = [(i, k, tuple(re.findall("[^ \t-\r]+", x))) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if x[2]]
 
     def near(a, b):
         a, b = sorted((a, b), key=len)
-        if len(b) < 8:
+        if len(b) < min_words:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) <= 1
@@ -411,6 +437,23 @@ def test_line_dedup(spark):
     assert line_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_hot_and_short_lines(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 8)
+    monkeypatch.setattr(common, "PART_ROWS", 2)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    r = random.Random(8)
+    first = "this half is the same in all of these lines"
+    texts = [f"common line\n{first} {prose(k, 8, 3)}\n{first} {r.randrange(6)}\n{prose(k % 40, r.randint(1, 4), 2)}" for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    for least in (8, 1):
+        found = line_dedup.removed_lines(docs, min_words=least).where("size(removed) > 0").collect()
+        assert {x["doc_id"]: x["removed"] for x in found} == {i: lines for i, lines in removed(texts, least).items() if lines}
+    twice = docs.union(docs)  # rows that repeat id and text, and null ids, are one document each
+    assert {tuple(x) for x in line_dedup.report(twice).collect()} == {tuple(x) for x in line_dedup.report(docs).collect()}
+    nameless = docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(x["n_removed"] for x in line_dedup.report(docs.where("doc_id < 3").union(nameless)).where("doc_id is null").collect()) == [4, 4, 4]
+
+
 # --- 9 ---
 def test_warc(spark):
     big, other = "é" * 600, "b" * 999
