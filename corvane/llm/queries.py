@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, licenses, line_dedup, ngram_join, pii, quality, warc
+from . import bpe, chat, decontam, langid, licenses, line_dedup, ngram_join, periodic, pii, quality, urls, warc, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_pii, op5_byte_bpe, op6_ngram_join, op7_language_id, op8_line_dedup, op9_warc, op10_chat_format, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_pii, op5_byte_bpe, op6_ngram_join, op7_language_id, op8_line_dedup, op9_warc, op10_chat_format, op11_url_filter, op12_periodic_runs, op13_whitening, pipeline)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,6 +124,32 @@ OP10 = r"""with turns as (select conv_id, turn, coalesce(role, '') as role, coal
   cast(sum(17 + length(role) + n) as bigint) as formatted_chars from coded group by conv_id"""
 
 
+_RULES = ", ".join(str(x) for x in [*urls.BASE, *((name, "", "block") for name in urls.SPECIAL)])
+OP11 = f"""with rules(rh, rp, verdict) as (values {_RULES}),
+  tails as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as t from pages),
+  parts as (select page_id, translate(regexp_replace(t, '(?s)[/?#].*$', ''), '{UPPER}', '{LOWER}') as host, case when regexp_matches(t, '^[^/?#]*/') then regexp_replace(substr(t, strpos(t, '/')), '(?s)[?#].*$', '') else '' end as path from tails),
+  best as (select page_id, host, path, arg_max({{'r': rh || rp, 'v': verdict}}, length(rh || rp)) as b from parts join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by all)
+  select p.page_id, p.host, p.path, b.r as rule, coalesce(b.v, 'allow') as verdict from parts p left join best using (page_id)"""
+
+
+_CRC32 = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda e, k: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295)"
+OP12 = rf"""with own as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') as w, {_CRC32} as h from documents),
+  sized as (select doc_id, w, len(w) as n, h, h // 10 as g from own),
+  spots as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from sized),
+  docs as (select doc_id, n, case when a is null then w else list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) end as w from spots),
+  grids as (select doc_id, p, w[1:n:p] as g from (select *, unnest(range(1, n // 4 + 1)) as p from docs)),
+  probed as (select doc_id, p from grids where len(list_filter(range(1, len(g) - 2), lambda k: g[k] = g[k + 1] and g[k + 1] = g[k + 2] and g[k + 2] = g[k + 3])) > 0),
+  same as (select doc_id, p, i from (select doc_id, p, w, unnest(range(1, n - p + 1)) as i from probed join docs using (doc_id)) where w[i] = w[i + p]),
+  islands as (select doc_id, p, min(i) - 1 as start, count(*) + p as length from (select *, i - row_number() over (partition by doc_id, p order by i) as k from same) group by doc_id, p, k),
+  runs as (select doc_id, start, length, min(p) as period from islands where length >= greatest(6, 4 * p) group by doc_id, start, length),
+  listed as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as s, arg_max({{'start': start, 'length': length, 'period': period}}, [length, -start, -period]) as b from runs group by doc_id),
+  gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+  words as (select doc_id, unnest(range(n)) as i, unnest(w) as x from docs),
+  kept as (select doc_id, string_agg(x, ' ' order by i) as s from words anti join gone using (doc_id, i) group by doc_id)
+  select d.doc_id, coalesce(n_runs, 0) as n_runs, b.start as start, b.length as length, b.period as period, 1000 * b.length // b.period as exponent_milli, sha256(coalesce(l.s, '')) as runs_sha256, sha256(coalesce(k.s, '')) as collapsed_sha256
+  from docs d left join listed l using (doc_id) left join kept k using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins. The others learn from the tables or hold a tokenizer's merges; tests hold them against brute force."""
-    return {"op3_decontamination": OP3, "op6_ngram_join": OP6, "op8_line_dedup": OP8, "op9_warc": OP9, "op10_chat_format": OP10}
+    return {"op3_decontamination": OP3, "op6_ngram_join": OP6, "op8_line_dedup": OP8, "op9_warc": OP9, "op10_chat_format": OP10, "op11_url_filter": OP11, "op12_periodic_runs": OP12}

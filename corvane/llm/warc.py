@@ -49,7 +49,7 @@ def arrow_uri(uri: str) -> str:
     return f"{SCHEMES.get(scheme, scheme)}{sep}{rest}"
 
 
-def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system for a URI, and the path inside it; tasks have no Hadoop classes of their own."""
     return pafs.FileSystem.from_uri(arrow_uri(uri))
 
@@ -160,7 +160,7 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, n, size = None, "", 0, 0
-        fs, root = _file_system(folder)
+        fs, root = file_system(folder)
         done: list[tuple[str, int]] = []
         for batch in batches:
             for page_id, url, html, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -194,7 +194,7 @@ def read(spark: SparkSession, manifest: DataFrame, payload: bool = True) -> Data
     """The records of the archives in ``manifest``; an archive is read by one task."""
 
     def rows(path: str) -> Iterator[tuple]:
-        fs, name = _file_system(path)
+        fs, name = file_system(path)
         with fs.open_input_stream(name, compression=None) as stream:
             for head, block in read_records(stream):
                 number = lambda k: (int(x) if (x := head.get(k, "").removeprefix("<urn:page:").removesuffix(">")) else None)
