@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,11 @@ def l2(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
+
+
+def matrix(column: pa.Array, dimension: int | None = None) -> np.ndarray:
+    """An Arrow column of lists of equal length, without nulls, as the rows of a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(len(column), dimension or (len(values) // max(1, len(column))))

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import stored
+from . import setjoin
 
 PERMUTATIONS, SHINGLE = 128, 5
-#: Chance at most, where the signature allows it, that a pair just at the threshold shares no band.
-MISS = 1e-6
 #: Rows of a block in the dense comparison: a task holds two blocks.
 BLOCK = 2048
 
@@ -34,25 +33,14 @@ def exact_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def bands_for(threshold: float, permutations: int = PERMUTATIONS) -> int:
-    """The fewest bands by which a pair at the threshold is missed with a chance of ``MISS`` at most, else one for each value."""
-    return next((b for b in range(1, permutations) if permutations % b == 0 and (1 - threshold ** (permutations // b)) ** b <= MISS), permutations)
-
-
-def minhash_pairs(rows: DataFrame, key: str, text: str, verify: str, threshold: float = 0.85, bands: int | None = None) -> DataFrame:
-    """Pairs i < j whose ``text`` shares a band and whose ``text`` and ``verify`` text both have a Jaccard of at least the
-    threshold; ``similarity`` is that of ``verify``. Bands follow from the threshold."""
-    bands = bands or bands_for(threshold)
-    signed = rows.select(F.col(key), minhash(F.col(text)).alias("m"), shingles(F.col(text)).alias("t"), shingles(F.col(verify)).alias("s"))
-    width = PERMUTATIONS // bands
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * width + 1, F.lit(width)), b))).alias("band")
-    keyed = signed.select(key, band)
-    pairs = keyed.select(F.col(key).alias("i"), "band").join(keyed.select(F.col(key).alias("j"), "band"), "band").where("i < j").select("i", "j").distinct()
-    a, b = (signed.select(F.col(key).alias(k), F.col("t").alias(f"t{k}"), F.col("s").alias(f"s{k}")) for k in "ij")
-    both = pairs.join(a, "i").join(b, "j").withColumn("similarity", exact_jaccard(F.col("si"), F.col("sj")))
-    if verify != text:
-        both = both.where(exact_jaccard(F.col("ti"), F.col("tj")) >= threshold)
-    return both.where(F.col("similarity") >= threshold).select("i", "j", "similarity")
+def minhash_pairs(rows: DataFrame, key: str, text: str, verify: str, threshold: float = 0.85) -> DataFrame:
+    """Pairs i < j whose ``text`` and ``verify`` text both have a Jaccard of at least the threshold; ``similarity`` is that of
+    ``verify``, ``estimate`` the one by signatures. Candidates come from the exact set join, so none is missed; copies are expanded."""
+    pairs, members = setjoin.similar_pairs(rows, key, [text] if text == verify else [text, verify], threshold, SHINGLE)
+    both = setjoin.expanded(pairs, members)
+    signed = rows.select(F.col(key).alias("k"), minhash(F.col(verify)).alias("m"))
+    named = both.join(signed.toDF("i", "mi"), "i").join(signed.toDF("j", "mj"), "j")
+    return named.select("i", "j", "similarity", estimated_jaccard(F.col("mi"), F.col("mj")).alias("estimate"))
 
 
 def dense_pairs(rows: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -98,27 +86,41 @@ def components(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
+def removals(rows: DataFrame, edges: DataFrame, key: str, score: str) -> tuple[DataFrame, DataFrame]:
+    """What a sequential pass over pairs in order of i, then j does: ``removed`` (removed, rule), and ``events`` (i, j, rule), the
+    pairs that it judges. A row that is removed before its turn is skipped; one that loses during its turn still beats later rows.
+
+    A row j is removed before its turn exactly if an earlier neighbour that isn't skipped has at least its score. So rows are decided
+    in rounds: a row without undecided stronger earlier neighbours isn't skipped, and those that it beats are. Every
+    round is joins over the undecided edges, which are written out; there are as many rounds as the longest chain of
+    decisions that depend on each other, some tens at most unless the pairs are a long path.
+    """
+    rule = F.col("rule") if "rule" in edges.columns else F.lit(None).cast("string").alias("rule")
+    named = edges.where("i < j").select("i", "j", rule).groupBy("i", "j").agg(F.min("rule").alias("rule"))
+    score_of = rows.select(F.col(key).alias("k"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))
+    scored = named.join(score_of.toDF("i", "si"), "i").join(score_of.toDF("j", "sj"), "j")
+    scored = stored(scored.select("i", "j", "rule", (F.col("si") >= F.col("sj")).alias("first")), "removal-edges")
+    left = scored.where("first").select("i", "j")
+    skipped = None
+    while True:
+        sure = left.select("i").distinct().join(left.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+        beaten = stored(left.join(sure, "i", "left_semi").select("j").distinct(), "removal-beaten")
+        skipped = beaten if skipped is None else skipped.union(beaten)
+        left = stored(left.join(beaten, "j", "left_anti").join(beaten.toDF("i"), "i", "left_anti"), "removal-left")
+        if not left.limit(1).count():
+            break
+    skipped = stored(skipped, "removal-skipped")
+    active = scored.join(skipped.toDF("i"), "i", "left_anti")
+    # The first active neighbour that beats j, with the rule of their pair.
+    killers = stored(active.where("first").groupBy("j").agg(F.min(F.struct("i", "rule")).alias("k")).select("j", F.col("k.i").alias("killer"), F.col("k.rule").alias("rule")), "removal-killers")
+    judged = stored(active.join(killers.select("j", "killer"), "j", "left").where("killer is null or killer >= i").drop("killer"), "removal-events")
+    lost = judged.where("not first").groupBy(F.col("i").alias("removed")).agg(F.min(F.struct("j", "rule")).alias("k")).select("removed", F.col("k.rule").alias("rule"))
+    return killers.select(F.col("j").alias("removed"), "rule").unionByName(lost), judged.select("i", "j", "rule")
+
+
 def greedy_removed(rows: DataFrame, edges: DataFrame, key: str, score: str) -> DataFrame:
-    """Keys that a sequential pass removes: pairs in order of i, then j; a row that is removed before its turn is skipped,
-    one that loses during its turn still beats later rows. Components are independent, so each is passed alone. Edges may
-    have a ``rule``: each removed key then has the rule of the edge that removed it."""
-    labels = components(edges)
-    edges = edges if "rule" in edges.columns else edges.withColumn("rule", F.lit(None).cast("string"))
-    scored = edges.join(rows.select(F.col(key).alias("i"), F.col(score).alias("si")), "i").join(rows.select(F.col(key).alias("j"), F.col(score).alias("sj")), "j")
-    named = scored.join(labels.select(F.col("node").alias("i"), "component"), "i")
-
-    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
-        removed: dict[int, str | None] = {}
-        turn, skipped = None, False
-        for i, j, si, sj, rule in pdf.sort_values(["i", "j"])[["i", "j", "si", "sj", "rule"]].itertuples(index=False):
-            if i != turn:
-                turn, skipped = i, i in removed
-            if skipped or j in removed:
-                continue
-            removed[i if si < sj else j] = rule
-        return pd.DataFrame({"removed": pd.Series(list(removed), dtype="int64"), "rule": pd.Series(list(removed.values()), dtype="object")})
-
-    return named.groupBy("component").applyInPandas(passed, "removed long, rule string")
+    """Keys that the sequential pass removes, with the ``rule`` of the edge that first removed each (null without rules)."""
+    return removals(rows, edges, key, score)[0]
 
 
 # Least similarities of the semantic rules (answer alone; question together with answer).
@@ -134,12 +136,16 @@ def rule_edges(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return both.select("i", "j", rule.alias("rule")).where("rule is not null")
 
 
-def removed_by_rules(rows: DataFrame, key: str, score: str, surface: DataFrame, semantic: DataFrame) -> DataFrame:
+def removed_by_rules(rows: DataFrame, key: str, score: str, surface: DataFrame, semantic: DataFrame) -> tuple[DataFrame, DataFrame]:
     """removed, rule: a pass over the surface pairs (i, j), then one over the semantic edges (i, j, rule) of the rows that are
-    left. Counters are the counts of each rule."""
-    first = stored(greedy_removed(rows, surface.select("i", "j", F.lit("surface").alias("rule")), key, score), "removed-surface")
-    gone = first.select("removed")
-    left = semantic.join(gone, semantic["i"] == gone["removed"], "left_anti")
-    left = left.join(gone, left["j"] == gone["removed"], "left_anti")
-    return first.unionByName(greedy_removed(rows, left, key, score))
-
+    left. With it the counters: rule, pairs judged, rows removed, for each rule that judged a pair."""
+    first, seen = removals(rows, surface.select("i", "j", F.lit("surface").alias("rule")), key, score)
+    first = stored(first, "removed-surface")
+    left = semantic
+    for side in "ij":
+        left = left.join(first.select(F.col("removed").alias(side)), side, "left_anti")
+    second, judged = removals(rows, left, key, score)
+    removed = first.unionByName(second)
+    events = seen.unionByName(judged).groupBy("rule").agg(F.count(F.lit(1)).alias("pairs"))
+    counted = removed.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+    return removed, events.join(counted, "rule", "left").select("rule", "pairs", F.coalesce("rows", F.lit(0)).alias("rows"))

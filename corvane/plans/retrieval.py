@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import dedup as D
+from ..operators import planes as P
 from ..operators import retrieve as R
 from ..operators import segment as G
-from .catalog import query, table
+from ..operators import setjoin as J
+from .catalog import SQL_SQUEEZE, SQL_STRIP, query, table
 
 _V = "cast(embedding as double[])"
 
@@ -85,7 +87,7 @@ def j15_grounding(spark: SparkSession, d: str) -> DataFrame:
     return R.grounding(rows, "vec_id", "targets", vectors(spark, d).select(F.col("vec_id").alias("original"), "label"), "original")
 
 
-# --- near-duplicates -------------------------------------------------------------------------------------------------
+# --- near-duplicates ---
 @query(f"with v as (select vec_id, list_transform({_V}, lambda x: x / sqrt(list_inner_product({_V}, {_V}))) as u from embeddings) select a.vec_id as i, b.vec_id as j, round(list_inner_product(a.u, b.u), 6) as similarity from v a join v b on a.vec_id < b.vec_id where list_inner_product(a.u, b.u) >= 0.5")
 def j10_dense_pairs(spark: SparkSession, d: str) -> DataFrame:
     return D.dense_pairs(vectors(spark, d), "vec_id", "embedding", 0.5).withColumn("similarity", F.round("similarity", 6))
@@ -103,9 +105,65 @@ def j11_exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("similarity", F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).where("similarity >= 0.1").select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+def _shingles_sql(text: str) -> str:
+    s = SQL_SQUEEZE.format(SQL_STRIP.format(f"coalesce({text}, '')"))
+    return f"(select list_sort(list_distinct(list_transform(range(1, greatest(length(s) - 3, 2)), lambda i: substring(s, i, 5)))) from (select {s} as s))"
+
+
+# Classes of equal sets, and class pairs at the threshold, from (id, g).
+_CLASSES = """classes as (select min(id) as c, count(*) as n, g from sets where g <> [''] group by g),
+  grams as (select c, len(g) as k, unnest(g) as x from classes),
+  pairs as (select a.c as i, b.c as j, count(*) / (a.k + b.k - count(*)) as similarity from grams a join grams b using (x) where a.c < b.c and a.k >= 0.85 * b.k and b.k >= 0.85 * a.k group by a.c, b.c, a.k, b.k having count(*) / (a.k + b.k - count(*)) >= 0.85)"""
+_DOC_SETS = f"sets as (select doc_id as id, {_shingles_sql('text')} as g from documents)"
+_LINKS = "edges as (select i as c, j as o from pairs union all select j, i from pairs), others as (select b.c, sum(n)::bigint as l from edges b join classes o on o.c = b.o group by b.c)"
+
+
+@query(f"with {_DOC_SETS}, {_CLASSES} select i, j, round(similarity, 6) as similarity from pairs")
+def j11_surface_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different whole texts whose 5-character shingles have a Jaccard of at least 0.85; copies stand for each other."""
+    pairs, _ = J.similar_pairs(table(spark, d, "documents"), "doc_id", ["text"])
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"with {_DOC_SETS}, {_CLASSES}, {_LINKS} select id as key, k.c as class_id, n - 1 + coalesce(l, 0) as n_links from sets join classes k using (g) left join others o on o.c = k.c")
+def j11_surface_links(spark: SparkSession, d: str) -> DataFrame:
+    return J.linked(*J.similar_pairs(table(spark, d, "documents"), "doc_id", ["text"]))
+
+
+def exchanges(spark: SparkSession, d: str) -> DataFrame:
+    """Samples: of each document's text the first half stands for the question, the rest for the answer."""
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    rows = table(spark, d, "documents").withColumn("half", half)
+    return rows.select(F.col("doc_id").alias("id"), F.substr("text", F.lit(1), F.col("half")).alias("question"), F.substr("text", F.col("half") + 1).alias("answer"))
+
+
+_BOTH = f"""samples as (select doc_id as id, substring(text, 1, length(text) // 2) as question, substring(text, length(text) // 2 + 1) as answer from documents),
+  parts as (select id, {_shingles_sql('question')} as q, {_shingles_sql('answer')} as a from samples), real as (select * from parts where q <> [''] and a <> ['']),
+  grams as (select id, len(a) as k, unnest(a) as x from real),
+  near as (select x.id as i, y.id as j, count(*) / (x.k + y.k - count(*)) as similarity from grams x join grams y using (x) where x.id < y.id and x.k >= 0.85 * y.k and y.k >= 0.85 * x.k group by x.id, y.id, x.k, y.k having count(*) / (x.k + y.k - count(*)) >= 0.85),
+  surface as (select i, j, similarity from near join real x on x.id = i join real y on y.id = j where len(list_intersect(x.q, y.q)) / (len(x.q) + len(y.q) - len(list_intersect(x.q, y.q))) >= 0.85)"""
+
+
+@query(f"with {_BOTH} select i, j, round(similarity, 6) as similarity from surface")
+def j18_surface_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Samples whose questions and whose answers both are nearly the same; copies are expanded."""
+    pairs, members = J.similar_pairs(exchanges(spark, d), "id", ["question", "answer"])
+    return J.expanded(pairs, members).withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def j11_f18_minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return D.minhash_pairs(table(spark, d, "benchmark"), "item_id", "text", "text", 0.5)
+    """The similar samples with their similarity and its estimate by signatures of 128 minimum hashes."""
+    return D.minhash_pairs(exchanges(spark, d), "id", "question", "answer")
+
+
+_ANSWERS = f"v as (select vec_id, {_V}[1:6] as x from embeddings), u as (select vec_id, list_transform(x, lambda e: e / sqrt(list_inner_product(x, x))) as u, x from v), k as (select min(vec_id) as c, count(*) as n, x, any_value(u) as u from u group by x)"
+
+
+@query(f"with {_ANSWERS}, p as (select a.c, sum(b.n)::bigint as l from k a join k b on a.c <> b.c and list_inner_product(a.u, b.u) >= 0.85 group by a.c) select vec_id as key, k.c as class_id, n - 1 + coalesce(l, 0) as n_links from u join k using (x) left join p on p.c = k.c")
+def j10_semantic_links(spark: SparkSession, d: str) -> DataFrame:
+    """For each row its class of equal answer vectors and the number of rows with a cosine of at least 0.85."""
+    return J.linked(*P.near_pairs(parts(spark, d), "vec_id", "answer", D.BOTH))
 
 
 @query(f"with v as (select vec_id, label, list_transform({_V}, lambda x: x / sqrt(list_inner_product({_V}, {_V}))) as u from embeddings) select a.vec_id as i, b.vec_id as j, case when a.label < b.label then a.vec_id else b.vec_id end as loser from v a join v b on a.vec_id < b.vec_id where list_inner_product(a.u, b.u) >= 0.5")
@@ -133,7 +191,8 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
     rows = parts(spark, d)
-    return D.rule_edges(D.dense_pairs(rows, "vec_id", "answer", D.BOTH), D.dense_pairs(rows, "vec_id", "question", D.QUESTION))
+    near = lambda part, threshold: J.expanded(*P.near_pairs(rows, "vec_id", part, threshold))
+    return D.rule_edges(near("answer", D.BOTH), near("question", D.QUESTION))
 
 
 @query(f"""with v as (select vec_id, {_unit(_V + '[1:6]')} as a, {_unit(_V + '[7:12]')} as q from embeddings),
@@ -143,15 +202,24 @@ def j18_rule_edges(spark: SparkSession, d: str) -> DataFrame:
     return semantic_edges(spark, d)
 
 
+def two_rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Surface pairs of samples, then semantic edges of vectors, with ids in common."""
+    surface, members = J.similar_pairs(exchanges(spark, d), "id", ["question", "answer"])
+    return D.removed_by_rules(parts(spark, d), "vec_id", "label", J.expanded(surface, members), semantic_edges(spark, d))
+
+
 @query()
 def j18_two_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Surface pairs are those whose question vectors are nearly the same."""
-    rows = parts(spark, d)
-    surface = D.dense_pairs(rows, "vec_id", "question", 0.95)
-    return D.removed_by_rules(rows, "vec_id", "label", surface, semantic_edges(spark, d))
+    return two_rules(spark, d)[0]
+
+
+@query()
+def j18_rule_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs judged and rows removed by each rule."""
+    return two_rules(spark, d)[1]
 
 
-# --- segmentation: a document is a book, lines of few words are headers ----------------------------------------------
+# --- segmentation: a document is a book, lines of few words are headers ---
 _LINES = "lines as (select doc_id as book, cast(n - 1 as int) as line_no, list_extract(ls, n) as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as n from (select doc_id, string_split(text, chr(10)) as ls from documents)))"
 _HEAD = "heads as (select *, case when len(string_split(line, ' ')) <= 2 then cast(1 + length(line) % 7 as int) end as num from lines)"
 

@@ -90,8 +90,6 @@ def test_minhash_pairs_against_exact_jaccard(spark):
     """At 0.5, where most pairs are far from copies; and both texts count."""
     import random
 
-    from corvane import registry
-
     sets = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
     jaccard = lambda a, b: len(a & b) / len(a | b)
     r = random.Random(3)
@@ -105,12 +103,6 @@ def test_minhash_pairs_against_exact_jaccard(spark):
     rows = spark.createDataFrame([(i, t, "the same answer") for i, t in enumerate(texts)], "id long, t string, v string")
     for text, verify in (("t", "t"), ("t", "v"), ("v", "t")):
         assert {(x["i"], x["j"]) for x in dedup.minhash_pairs(rows, "id", text, verify, 0.5).collect()} == want
-    assert dedup.bands_for(0.5) == 64 and dedup.bands_for(0.01) == 128
-
-    data = "/root/testdata/sf0.001"
-    items = [(x["item_id"], sets("".join(x["text"].split()))) for x in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    want = {(i, j) for i, a in items for j, b in items if i < j and jaccard(a, b) >= 0.5}
-    assert {(x["i"], x["j"]) for x in registry.queries()["j11_f18_minhash_pairs"](spark, data).collect()} == want
 
 
 def test_dense_pairs_in_blocks(spark):
@@ -268,11 +260,11 @@ def test_two_rules_of_removal(spark):
     pairs = lambda *x: spark.createDataFrame(x, "i long, j long, similarity double")
     edges = dedup.rule_edges(pairs((1, 3, 0.95), (3, 4, 0.86), (4, 5, 0.9)), pairs((3, 4, 0.93), (4, 5, 0.91)))
     assert {tuple(r) for r in edges.collect()} == {(1, 3, "answer"), (3, 4, "question_answer")}
-    got = dedup.removed_by_rules(rows, "id", "s", pairs((0, 1, 1.0), (0, 2, 1.0)), edges)
+    got, _ = dedup.removed_by_rules(rows, "id", "s", pairs((0, 1, 1.0), (0, 2, 1.0)), edges)
     assert {tuple(r) for r in got.collect()} == {(0, "surface"), (2, "surface"), (3, "answer")}
 
 
-# --- overlap with protected text -------------------------------------------------------------------------------------
+# --- overlap with protected text ---
 @pytest.mark.parametrize("chars", [curate.BROADCAST_CHARS, 0])
 def test_overlap_against_plain_windows(spark, monkeypatch, chars):
     """Both ways, by windows in the tasks and by a join, against sets of windows; null, short and astral texts."""
