@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -21,7 +23,7 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def l2(a: Column, b: Column) -> Column:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries searched at once: a task holds so many query vectors.
-QUERY_BLOCK = 1024
+from ..functions import vectors as V
+from . import nearest
+
 #: Constant of reciprocal-rank fusion, from the paper that introduced it.
 RRF = 60
 
@@ -22,47 +19,18 @@ def dimension_checked(vectors: DataFrame, vector: str, size: int) -> DataFrame:
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "id", query_id: str = "id", vector: str = "embedding", metric: str = "l2", where: Column | None = None) -> DataFrame:
-    """The k nearest of the corpus for each query: query, id, distance, rank; ties by id.
+    """The k nearest of the corpus for each query: query, id, distance, rank; ties by id. Null vectors are left out, with the
+    cosine metric also zero ones.
 
-    The metadata filter comes before the search. Each task keeps its k best for a block of queries, so the shuffle carries
-    k rows for each query and task, not all pairs. Queries are searched in blocks, whatever their number.
+    The metadata filter comes before the search. Queries are rows like the corpus: one plan for any number of them.
     """
     base = corpus if where is None else corpus.where(where)
-    base = base.select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.select(F.col(query_id).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("q"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).collect()
-        part = _block(base, [r["query"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64), k, metric)
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _block(base: DataFrame, names: list[int], asked: np.ndarray, k: int, metric: str) -> DataFrame:
-    names_ = np.array(names, dtype=np.int64)
-
-    def distances(v: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            return 1 - (asked @ v.T) / np.outer(np.linalg.norm(asked, axis=1), np.linalg.norm(v, axis=1))
-        return np.sqrt(np.maximum(0, (asked**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * asked @ v.T))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, best = np.empty((len(names_), 0), dtype=np.int64), np.empty((len(names_), 0))
-        for batch in batches:
-            if not batch.num_rows or not len(names_):
-                continue
-            v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            near = distances(v)
-            ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), near.shape)], axis=1)
-            best = np.concatenate([best, near], axis=1)
-            order = np.lexsort((ids, best), axis=1)[:, :k]
-            ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-        n = ids.shape[1]
-        yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(names_, n)), "id": pa.array(ids.ravel()), "distance": pa.array(best.ravel())})
-
-    return base.mapInArrow(run, "query long, id long, distance double")
+    base = base.select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select(F.col(query_id).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("q")).where("q is not null")
+    if metric != "cosine":
+        return nearest.nearest_vectors(base, asked, k)
+    base, asked = (df.where(F.exists(c, lambda x: x != 0)).withColumn(c, V.unit(F.col(c))) for df, c in ((base, "v"), (asked, "q")))
+    return nearest.nearest_vectors(base, asked, k).withColumn("distance", F.col("distance") * F.col("distance") / 2)
 
 
 def sparse_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ SPARE = 0.25
 #: Bits of the parity sketches.
 SKETCH = 2048
 #: The first parts' 16-bit fingerprints travel along: of a pair of which so many agree, later parts don't speak again.
-LANES, AGREED = 8, 4
+LANES, AGREED = 4, 3
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -131,8 +131,8 @@ class Parts:
         """The least size of a class."""
         return math.ceil(self.threshold ** (-2 * g) - 1e-9)
 
-    def keys(self, s: np.ndarray, g: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes and numbers of the parts that a set speaks of in class g, and its fingerprints as two numbers."""
+    def keys(self, s: np.ndarray, g: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the parts that a set speaks of in class g, and with each the fingerprints of the first parts."""
         most = math.floor((self.first(g + 1) - 1) * (1 - self.threshold) / self.threshold + 1e-9)
         spare = math.ceil(SPARE * (most + 1))
         parts = most + 1 + 2 * spare
@@ -144,14 +144,13 @@ class Parts:
         held = ((held ^ (numbers + np.uint64(g << 32))) + _ODD) * _MIX
         held ^= held >> np.uint64(31)
         speaks = np.sort(np.argpartition(told, spare)[spare:])
-        # Parts that aren't spoken of never agree: they have bits of the row's key.
-        lanes = (np.arange(1, LANES + 1, dtype=np.uint64) * _ODD + np.uint64(key & (1 << 64) - 1)) * _MIX
-        lanes ^= lanes >> np.uint64(32)
-        first = speaks[speaks < LANES]
+        # Parts that aren't spoken of have bits of the row's key, which agree with nobody's; so do all lanes of the first parts themselves.
+        own = (np.arange(1, LANES + 1, dtype=np.uint64) * _ODD + np.uint64(key & (1 << 64) - 1)) * _MIX
+        own ^= own >> np.uint64(32)
+        lanes, first = own.copy(), speaks[speaks < LANES]
         lanes[first] = held[first]
-        lanes &= np.uint64(0xFFFF)
-        fingers = [int((lanes[k : k + 4] << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(dtype=np.uint64)) for k in (0, 4)]
-        return held[speaks], speaks.astype(np.int32), np.array(fingers, dtype=np.uint64)
+        packed = [((x & np.uint64(0xFFFF)) << (np.arange(LANES, dtype=np.uint64) * np.uint64(16))).sum(dtype=np.uint64) for x in (own, lanes)]
+        return held[speaks], np.where(speaks < LANES, packed[0], packed[1])
 
 
 def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float = 0.85, n: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -173,42 +172,39 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
     dealt = Parts(threshold, -np.log((weights + 1) / (total + SLOTS)))
 
     def spoken(keys: pa.Array, *columns: pa.Array) -> tuple:
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        out: list[list[np.ndarray]] = [[], [], []]
         for k, own in zip(keys.to_pylist(), zip(*(c.to_pylist() for c in columns))):
             s = _tagged(own, n)
             g = dealt.class_of(len(s))
             for c in (g, g - 1) if g and threshold * len(s) < dealt.first(g) else (g,):
-                held, part, fingers = dealt.keys(s, c, k)
-                full = lambda x, kind: np.full(len(held), x, dtype=kind)  # noqa: B023, E731
-                for column, x in zip(out, (held.view(np.int64), full(k, np.int64), full(len(s), np.int32), part, *(full(f, np.uint64).view(np.int64) for f in fingers))):
+                held, fingers = dealt.keys(s, c, k)
+                for column, x in zip(out, (held.view(np.int64), np.full(len(held), k, dtype=np.int64), fingers.view(np.int64))):
                     column.append(x)
         return tuple(np.concatenate(x) for x in out)
 
     def sketches(keys: pa.Array, *columns: pa.Array) -> tuple:
-        out = []
-        for own in zip(*(c.to_pylist() for c in columns)):
-            odd = np.bincount((_tagged(own, n) >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
-            out.append(np.packbits(odd.astype(np.uint8)).tobytes())
-        return keys, out
+        sets = [_tagged(own, n) for own in zip(*(c.to_pylist() for c in columns))]
+        odd = [np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1 for s in sets]
+        return keys, np.array([len(s) for s in sets], dtype=np.int32), [np.packbits(x.astype(np.uint8)).tobytes() for x in odd]
 
-    index = _map(reps, spoken, "part long, key long, n int, p int, f long, h long")
-    a, b = (index.toDF("part", f"{x}", f"n{x}", f"p{x}", f"f{x}", f"h{x}") for x in "ij")
-    near = (F.col("i") < F.col("j")) & (F.col("ni") >= F.col("nj") * threshold - 1e-9) & (F.col("nj") >= F.col("ni") * threshold - 1e-9)
+    index = _map(reps, spoken, "part long, key long, f long")
+    a, b = (index.toDF("part", x, f"f{x}") for x in "ij")
     lane = lambda c, k: F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(0xFFFF)
-    agreed = sum(((lane(f"{c}i", k) == lane(f"{c}j", k)).cast("int") for c in "fh" for k in range(4)), F.lit(0))
-    near = near & ((F.col("pi") < LANES) | (agreed < AGREED))
-    pairs = a.join(b, "part").where(near).select("i", "j", "ni", "nj").distinct()
+    agreed = sum(((lane("fi", k) == lane("fj", k)).cast("int") for k in range(LANES)), F.lit(0))
+    pairs = a.join(b, "part").where((F.col("i") < F.col("j")) & (agreed < AGREED)).select("i", "j").distinct()
     # Bits that differ are fewer than shingles that differ.
-    sketched = stored(_map(reps, sketches, "key long, bits binary"), "set-sketches")
+    sketched = stored(_map(reps, sketches, "key long, n int, bits binary"), "set-sketches")
     for x in "ij":
-        pairs = pairs.join(sketched.toDF(x, f"b{x}"), x)
+        pairs = pairs.join(sketched.toDF(x, f"n{x}", f"b{x}"), x)
 
-    def bounded(i: pa.Array, j: pa.Array, sizes: pa.Array, bi: pa.Array, bj: pa.Array) -> tuple:
+    def bounded(i: pa.Array, j: pa.Array, ni: pa.Array, nj: pa.Array, bi: pa.Array, bj: pa.Array) -> tuple:
         x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(len(i), -1) for c in (bi, bj))
-        at = pa.array(np.flatnonzero(np.bitwise_count(x ^ y).sum(axis=1) <= sizes.to_numpy() * (1 - threshold) / (1 + threshold) + 1e-9))
+        a, b = ni.to_numpy(), nj.to_numpy()
+        near = np.bitwise_count(x ^ y).sum(axis=1) <= (a + b) * (1 - threshold) / (1 + threshold) + 1e-9
+        at = pa.array(np.flatnonzero(near & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)))
         return i.take(at), j.take(at)
 
-    pairs = stored(_map(pairs.select("i", "j", F.col("ni") + F.col("nj"), "bi", "bj"), bounded, "i long, j long"), "set-candidates")
+    pairs = stored(_map(pairs.select("i", "j", "ni", "nj", "bi", "bj"), bounded, "i long, j long"), "set-candidates")
     both = pairs
     for x in "ij":
         both = both.join(reps.toDF(x, *[f"{x}{t}" for t in names]), x)

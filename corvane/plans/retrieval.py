@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import dedup as D
+from ..operators import nearest as N
 from ..operators import planes as P
 from ..operators import retrieve as R
 from ..operators import segment as G
@@ -58,15 +59,14 @@ _TERMS = "select {0} as id, term, count(*) as weight from (select {0}, unnest(st
 _SPARSE = f"c as ({_TERMS.format('doc_id', 'documents')}), q as (select id as query, term, weight as w from ({_TERMS.format('item_id', 'benchmark')})), s as (select query, id, sum(weight * w)::bigint as score from c join q using (term) group by all)"
 
 
-def sparse(spark: SparkSession, d: str) -> DataFrame:
+def sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
     terms = lambda name, key: table(spark, d, name).select(F.col(key).alias("id"), F.explode(F.split("text", " ")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    asked = terms("benchmark", "item_id").withColumnRenamed("id", "query")
-    return R.sparse_scores(terms("documents", "doc_id"), asked)
+    return N.sparse_top(terms("documents", "doc_id"), terms("benchmark", "item_id").withColumnRenamed("id", "query"), k)
 
 
 @query(f"with {_SPARSE} select query, id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 10")
 def f21_sparse_top(spark: SparkSession, d: str) -> DataFrame:
-    return R.top(sparse(spark, d), 10)
+    return sparse(spark, d, 10)
 
 
 @query(f"""with {_SPARSE}, a as (select * from (select query, id, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 10),
@@ -74,9 +74,9 @@ def f21_sparse_top(spark: SparkSession, d: str) -> DataFrame:
   f as (select query, id, sum(1.0::double / (60 + rank)) as score from (select * from a union all select * from b) group by all)
   select query, id, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by query order by round(score, 9) desc, id) as rank from f) where rank <= 5""")
 def f22_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.char_length("text").alias("n")))
-    near = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars").crossJoin(asked).withColumn("score", -F.abs(F.col("n_chars") - F.col("n")))
-    fused = R.fuse(R.top(sparse(spark, d), 10), R.top(near, 10), 1000)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.char_length("text").cast("long").alias("value"))
+    near = N.nearest_values(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("value")), asked, 10)
+    fused = R.fuse(sparse(spark, d, 10), near, 1000)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
     return fused.withColumn("rank", rank).where("rank <= 5").select("query", "id", F.round("score", 6).alias("score"), "rank")
 
