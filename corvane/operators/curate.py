@@ -195,13 +195,18 @@ def with_overlap(docs: DataFrame, protected: DataFrame, key: str, text: str, pro
     """``docs`` with a flag: the text shares a window of n characters with any protected text, marks and white space apart.
 
     Protected texts of up to ``BROADCAST_CHARS`` characters go to all tasks, which judge each text in one pass without a
-    shuffle. Larger ones are joined by the hashes of their windows. Null texts share nothing.
+    shuffle. Larger ones are joined by the hashes of their windows, with the same result. Null texts share nothing; null and repeated
+    keys are judged like others. A column of the caller named ``out`` is replaced.
     """
     squeezed = lambda c: T.without_space(T.strip_marks(F.coalesce(F.col(c), F.lit(""))))
-    kept = protected.select(squeezed(protected_text).alias("t"))
+    kept = protected.select(squeezed(protected_text).alias("t")).where(F.char_length("t") >= n).distinct()
     if (kept.agg(F.sum(F.char_length("t"))).first()[0] or 0) > BROADCAST_CHARS:
-        flag = _overlapping(docs.select(key, squeezed(text).alias("s")), kept, key, n).select(F.col(key).alias("__k__"), F.lit(True).alias("__f__"))
-        return docs.join(flag, F.col(key) == F.col("__k__"), "left").withColumn(out, F.coalesce("__f__", F.lit(False))).drop("__k__", "__f__")
+        # Texts are told apart by their hashes, whatever the keys; texts too short for a window have none and stay as they are.
+        own = squeezed(text)
+        marked = docs.withColumn("__h__", F.when(F.char_length(own) >= n, F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit(1), own).alias("b"))))
+        texts = marked.where("__h__ is not null").groupBy("__h__").agg(F.first(own).alias("s"))
+        flag = _overlapping(texts, kept, "__h__", n).withColumn("__f__", F.lit(True))
+        return marked.join(flag, "__h__", "left").withColumn(out, F.coalesce("__f__", F.lit(False))).select(*[c for c in docs.columns if c != out], out)
     texts = [r["t"] for r in kept.collect()]
     made: list[Windows] = []
 
@@ -229,32 +234,6 @@ def overlapping(docs: DataFrame, protected: DataFrame, doc_id: str, text: str, p
     return with_overlap(docs.select(doc_id, text), protected, doc_id, text, protected_text, n).where("shares").select(doc_id)
 
 
-def stratified_split(df: DataFrame, strata: list[str], score: str, key: str, share: float = 0.05, least: int = 5) -> DataFrame:
-    """``split``: of each stratum of at least ``least`` rows, the lowest max(1, round(share * n)) scores are for evaluation;
-    halves round to even.
-
-    No stratum is gathered in one task: rows are counted by stratum and score, the running count over distinct scores gives
-    the score at the cut, and only the rows that tie there are ranked, by key.
-    """
-    names = [f"__s{k}__" for k in range(len(strata))]
-    counts = df.groupBy(*[F.col(s).alias(n) for s, n in zip(strata, names)], F.col(score).alias("__v__")).agg(F.count(F.lit(1)).alias("__c__"))
-    upto = Window.partitionBy(*names).orderBy(F.asc("__v__"))
-    below = F.sum("__c__").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c__")
-    size = F.sum("__c__").over(Window.partitionBy(*names))
-    cuts = counts.withColumn("__below__", below).withColumn("__n__", size)
-    wanted = F.greatest(F.lit(1), F.bround(F.col("__n__") * F.lit(share)).cast("int"))
-    cuts = cuts.withColumn("__w__", wanted).where((F.col("__n__") >= least) & (F.col("__below__") < F.col("__w__")) & (F.col("__below__") + F.col("__c__") >= F.col("__w__")))
-    same = [F.col(s).eqNullSafe(F.col(n)) for s, n in zip(strata, names)]
-    joined = df.join(cuts.select(*names, F.col("__v__").alias("__cut__"), (F.col("__w__") - F.col("__below__")).alias("__left__"), F.lit(True).alias("__has__")), same, "left")
-    lower = F.coalesce((F.col(score) < F.col("__cut__")) | (F.col(score).isNull() & F.col("__cut__").isNotNull()), F.lit(False))
-    tied = F.col("__has__") & F.col(score).eqNullSafe(F.col("__cut__"))
-    # Rows that don't tie are spread over windows of their own.
-    alone = F.when(tied, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(key), F.lit(1 << 20)))
-    rank = F.row_number().over(Window.partitionBy(*names, F.coalesce(alone, F.lit(1))).orderBy(F.asc(key)))
-    split = F.when(lower | (F.coalesce(tied, F.lit(False)) & (rank <= F.col("__left__"))), "eval").otherwise("train")
-    return joined.withColumn("split", split).drop(*names, "__cut__", "__left__", "__has__")
-
-
 def remaining(work: DataFrame, done: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
     """Rows whose key isn't done yet; with ``null_safe`` null parts of a key are equal."""
     if not null_safe:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import curate as C
+from ..operators.split import stratified_split
 from .catalog import CHUNKS, RESP, SAMPLES, SQL_SENTENCES, SQL_SQUEEZE, SQL_STRIP, SQL_TRIM, chunks, query, responses, samples, sql_map, table
 
 #: Stand-in phrases: the tables hold no Korean.
@@ -346,7 +347,7 @@ _GOOD = f"with {RESP}, good as (select * from resp where q1 is not null), {_SPLI
 
 
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
-    return C.stratified_split(responses(spark, d).where("q1 is not null"), ["voice", "pattern", "difficulty"], "score", "sample_id")
+    return stratified_split(responses(spark, d).where("q1 is not null"), ["voice", "pattern", "difficulty"], "score", "sample_id")
 
 
 @query(f"{_GOOD} select sample_id, split from parted")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import render, scores
 from corvane.functions import text as T
-from corvane.operators import curate, dedup, evaluate, plugins, retrieve, segment, sessions
+from corvane.operators import curate, dedup, evaluate, plugins, retrieve, segment, sessions, split
 from corvane.sources import jsonl, tables
 from corvane.streaming import twins
 
@@ -54,7 +54,7 @@ def test_loose_correlation(spark):
 
 def test_split_sizes(spark):
     rows = [(f"s{n}", k, n * 1000 + k) for n in (4, 5, 10, 30, 50, 70) for k in range(n)]
-    df = curate.stratified_split(spark.createDataFrame(rows, "s string, score int, id int"), ["s"], "score", "id")
+    df = split.stratified_split(spark.createDataFrame(rows, "s string, score int, id int"), ["s"], "score", "id")
     got = {r["s"]: r["c"] for r in df.groupBy("s").agg(F.count_if(F.col("split") == "eval").alias("c")).collect()}
     assert got == {"s4": 0, "s5": 1, "s10": 1, "s30": 2, "s50": 2, "s70": 4}
     assert df.where("split = 'eval' and s = 's70'").agg(F.max("score")).first()[0] == 3
@@ -280,3 +280,8 @@ def test_overlap_against_plain_windows(spark, monkeypatch, chars):
     assert {x["id"] for x in curate.overlapping(docs, protected, "id", "text", "t").collect()} == wanted
     assert curate.with_overlap(docs, protected, "id", "text", "t").where("shares is null").count() == 0
     assert curate.overlapping(docs, protected.limit(0), "id", "text", "t").count() == 0
+    # Null and repeated keys tell nothing about texts.
+    same = spark.createDataFrame([(k, t, "x") for t in texts for k in (1, None)], "id long, text string, shares string")
+    got = curate.with_overlap(same, protected, "id", "text", "t")
+    assert got.columns == ["id", "text", "shares"] and got.count() == 2 * len(texts)
+    assert all(x["shares"] == (texts.index(x["text"]) in wanted) for x in got.collect())
