@@ -16,7 +16,7 @@ from ..functions.vectors import matrix
 from ..session import stored
 
 #: Cells at most, rows of the sample that places them (the cells change the work, not the result), and rounds of placing.
-CELLS, SAMPLE, ROUNDS = 1024, 16_384, 8
+CELLS, CELL_ROWS, SAMPLE, ROUNDS = 1024, 4096, 16_384, 8
 #: Rows and queries that a task compares at once.
 ROW_PART, QUERY_PART = 8192, 1024
 #: Allowance for rounding in the bounds, relative to the largest norm.
@@ -48,14 +48,14 @@ def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
 
 
 def vector_cells(base: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(id, v) with ``cell`` and ``far``, the distance from its cell's centre; and the centres."""
-    held = stored(base, "cell-rows")
-    n = held.count()
-    cells = min(CELLS, max(1, round(n**0.5)))
-    sample = held.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toArrow()["v"]
+    """(id, v) with ``cell`` and ``far``, the distance from its cell's centre; and the centres. A cell has ``CELL_ROWS`` rows on average,
+    so few rows are one cell."""
+    n = base.count()
+    cells = min(CELLS, max(1, n // CELL_ROWS))
+    sample = base.limit(1) if cells == 1 else base.orderBy(F.xxhash64("id")).limit(SAMPLE)
     if not n:
-        return held.select("id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("far")), np.zeros((0, 0))
-    centres = _centres(matrix(sample), cells)
+        return base.select("id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("far")), np.zeros((0, 0))
+    centres = _centres(matrix(sample.select("v").toArrow()["v"]), cells)
 
     def assign(batches):
         for batch in batches:
@@ -64,7 +64,7 @@ def vector_cells(base: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 own = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(own)), own])], ["id", "v", "cell", "far"])
 
-    return stored(held.mapInArrow(assign, "id long, v array<double>, cell int, far double"), "cells"), centres
+    return stored(base.mapInArrow(assign, "id long, v array<double>, cell int, far double"), "cells"), centres
 
 
 def _searched(rows: DataFrame, asked: DataFrame, cells: DataFrame, k: int) -> DataFrame:
@@ -98,7 +98,7 @@ def nearest_vectors(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     after a query has searched the nearest cells that hold k rows, only cells within its k-th distance are searched.
     """
     rows, centres = vector_cells(base)
-    cells = stored(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")), "cell-sizes")
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
     known = cells.toArrow()  # CELLS rows at most
     n, radius = np.zeros(len(centres), dtype=np.int64), np.full(len(centres), -np.inf)
     n[known["cell"].to_numpy()], radius[known["cell"].to_numpy()] = known["n"].to_numpy(), known["radius"].to_numpy()
@@ -128,7 +128,10 @@ def nearest_vectors(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     schema, names = "cell int, query long, q array<double>", ["cell", "query", "q"]
     asked = stored(asked.select("query", "q"), "cell-queries")
-    start = stored(_searched(rows, asked.mapInArrow(reached(names, True), schema), cells, k), "cell-first")
+    start = _searched(rows, asked.mapInArrow(reached(names, True), schema), cells, k)
+    if len(known) < 2:
+        return best(start, k, "query", ["distance", "id"])
+    start = stored(start, "cell-first")
     limits = start.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("limit"))
     more = asked.join(limits, "query").mapInArrow(reached(names, False), schema)
     return best(start.unionByName(_searched(rows, more, cells, k)), k, "query", ["distance", "id"])
@@ -141,7 +144,9 @@ BLOCK, STEPS = 256, 4
 
 def sparse_blocks(postings: DataFrame) -> DataFrame:
     """(id, term, weight) with ``block``: documents of about the same total weight stand together, ``BLOCK`` of them."""
-    mass = stored(postings.groupBy("id").agg(F.sum(F.abs("weight")).alias("m")).select("id", F.floor(F.log2(F.greatest(F.col("m"), F.lit(1e-9))) * STEPS).cast("int").alias("step")), "sparse-mass")
+    postings = stored(postings, "sparse-shared")
+    mass = postings.groupBy("id").agg(F.sum(F.abs("weight")).alias("m")).select("id", F.floor(F.log2(F.greatest(F.col("m"), F.lit(1e-9))) * STEPS).cast("int").alias("step"))
+    mass = stored(mass, "sparse-mass")
     sizes = mass.groupBy("step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))  # a row for each step
     own = mass.join(F.broadcast(sizes), "step").select("id", F.concat_ws(":", "step", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
     return stored(postings.join(own, "id"), "sparse-postings")
@@ -167,7 +172,7 @@ def sparse_top(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     queries = stored(queries.where("term is not null").select("query", "term", "weight"), "sparse-queries")
     postings = sparse_blocks(corpus.where("term is not null").join(queries.select("term").distinct(), "term", "left_semi").select("id", "term", "weight"))
-    most = stored(postings.groupBy("block", "term").agg(F.max("weight").alias("high"), F.min("weight").alias("low"), F.count(F.lit(1)).alias("df")), "sparse-bounds")
+    most = postings.groupBy("block", "term").agg(F.max("weight").alias("high"), F.min("weight").alias("low"), F.count(F.lit(1)).alias("df"))
     part = F.greatest(F.col("weight") * F.col("high"), F.col("weight") * F.col("low"), F.lit(0))
     # A block holds at least as many documents of the query as its most frequent shared term.
     bounds = stored(queries.join(most, "term").groupBy("query", "block").agg((F.sum(part.cast("double")) * (1 + 1e-9)).alias("bound"), F.max("df").alias("df")), "sparse-query-bounds")

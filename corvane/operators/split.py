@@ -13,9 +13,9 @@ BINS, SMALL, ROUNDS = 4096, 4096, 8
 BROADCAST_STRATA, SALTS = 50_000, 32
 
 
-def _joined(rows: DataFrame, facts: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` (with columns ``names``, null being equal to null) and one row of ``facts`` for each stratum."""
-    few = facts.count() <= BROADCAST_STRATA
+def _joined(rows: DataFrame, facts: DataFrame, names: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` (with columns ``names``, null being equal to null) and one row of ``facts`` for each stratum; ``few``: there are
+    at most ``BROADCAST_STRATA`` of them."""
     other = facts.select(*[F.col(n).alias(f"{n}o") for n in names], *[c for c in facts.columns if c not in names])
     same = [F.col(n).eqNullSafe(F.col(f"{n}o")) for n in names]
     if few:
@@ -27,30 +27,29 @@ def _joined(rows: DataFrame, facts: DataFrame, names: list[str], how: str = "inn
     return joined.drop(*[f"{n}o" for n in names])
 
 
-def _narrowed(rows: DataFrame, state: DataFrame, names: list[str], value: str) -> DataFrame:
+def _narrowed(rows: DataFrame, state: DataFrame, names: list[str], few: bool, value: str) -> DataFrame:
     """``state`` (names, w, below, n, low, high) after one histogram of ``value`` over the rows between low and high: the bin
     that holds the w-th row."""
-    inside = _joined(rows, state.select(*names, "low", "high"), names).where(F.col(value).between(F.col("low"), F.col("high")))
+    inside = _joined(rows, state.select(*names, "low", "high"), names, few).where(F.col(value).between(F.col("low"), F.col("high")))
     # Halves, since the difference of two doubles may be too large for one.
     place = (F.col(value).cast("double") / 2 - F.col("low").cast("double") / 2) / (F.col("high").cast("double") / 2 - F.col("low").cast("double") / 2)
     binned = inside.groupBy(*names, F.least(F.floor(place * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min(value).alias("l"), F.max(value).alias("h"))
     upto = Window.partitionBy(*names).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows at most
-    counted = _joined(binned.withColumn("upto", F.sum("c").over(upto)), state.select(*names, "w", "below"), names)
+    counted = _joined(binned.withColumn("upto", F.sum("c").over(upto)), state.select(*names, "w", "below"), names, few)
     hit = (F.col("below") + F.col("upto") >= F.col("w")) & (F.col("below") + F.col("upto") - F.col("c") < F.col("w"))
     return counted.where(hit).select(*names, "w", (F.col("below") + F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("n"), F.col("l").alias("low"), F.col("h").alias("high"))
 
 
-def _refined(rows: DataFrame, state: DataFrame, names: list[str], value: str) -> DataFrame:
+def _refined(rows: DataFrame, state: DataFrame, names: list[str], few: bool, value: str) -> DataFrame:
     """``state`` with low and high around the w-th row, until the rows between are few or all have one value."""
     done: DataFrame | None = None
     for _ in range(ROUNDS):
         open_ = (F.col("low") < F.col("high")) & (F.col("n") > SMALL)
+        if not state.where(open_).limit(1).count():
+            return state if done is None else done.unionByName(state)
         closed = state.where(~open_)
         done = closed if done is None else done.unionByName(closed)
-        state = stored(state.where(open_), "split-open")
-        if not state.limit(1).count():
-            return done
-        state = stored(_narrowed(rows, state, names, value), "split-bins")
+        state = stored(_narrowed(rows, state.where(open_), names, few, value), "split-bins")
     return done.unionByName(state)
 
 
@@ -83,25 +82,24 @@ def stratified_split(df: DataFrame, strata: list[str], score: str, key: str, sha
     kinds = kinds.where((F.col("total") >= least) & (F.col("below") < F.col("w")) & (F.col("upto") >= F.col("w")))
     first = stored(kinds.select(*names, "k", "w", "below", "n", "low", "high"), "split-kinds")
 
-    own = _joined(rows, first.select(*names, F.col("k").alias("own")), names).where("k = own").drop("own")
-    scored = stored(_refined(own, first.drop("k"), names, "x"), "split-scores")
+    few = first.count() <= BROADCAST_STRATA
+
+    own = _joined(rows, first.select(*names, F.col("k").alias("own")), names, few).where("k = own").drop("own")
+    scored = _refined(own, first.drop("k"), names, few, "x")
     # Where too many rows have one score, their keys are divided in the same way.
     many = scored.where((F.col("low") == F.col("high")) & (F.col("n") > SMALL))
-    tied = stored(_joined(own, many.select(*names, F.col("low").alias("cut")), names).where("x = cut").drop("cut"), "split-ties") if many.limit(1).count() else None
     cuts = scored.select(*names, "w", "below", F.col("low").alias("xl"), F.col("high").alias("xh"), F.lit(-(1 << 63)).cast("long").alias("yl"), F.lit((1 << 63) - 1).cast("long").alias("yh"))
-    if tied is not None:
+    if many.limit(1).count():
+        tied = stored(_joined(own, many.select(*names, F.col("low").alias("cut")), names, few).where("x = cut").drop("cut"), "split-ties")
         ends = tied.groupBy(*names).agg(F.min("y").alias("low"), F.max("y").alias("high"))
-        state = _joined(ends, many.select(*names, "w", "below", "n", F.col("low").alias("x")), names)
-        fine = _refined(tied, state.drop("x"), names, "y").select(*names, F.col("w").alias("w2"), F.col("below").alias("b2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-        cuts = _joined(cuts, stored(fine, "split-keys"), names, "left")
+        state = stored(_joined(ends, many.select(*names, "w", "below", "n"), names, few), "split-keys")
+        fine = _refined(tied, state, names, few, "y").select(*names, F.col("below").alias("b2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+        cuts = _joined(cuts, fine, names, few, "left")
         cuts = cuts.select(*names, "w", F.coalesce("b2", "below").alias("below"), "xl", "xh", F.coalesce("l2", "yl").alias("yl"), F.coalesce("h2", "yh").alias("yh"))
-    cuts = stored(cuts, "split-cuts")
-    inside = _joined(own, cuts, names).where(F.col("x").between(F.col("xl"), F.col("xh")) & F.col("y").between(F.col("yl"), F.col("yh")))
+    inside = _joined(own, cuts, names, few).where(F.col("x").between(F.col("xl"), F.col("xh")) & F.col("y").between(F.col("yl"), F.col("yh")))
     rank = F.row_number().over(Window.partitionBy(*names).orderBy("x", "y"))
-    exact = inside.withColumn("r", F.col("below") + rank).where("r = w").select(*names, F.col("x").alias("__cx__"), F.col("y").alias("__cy__"))
-    last = stored(_joined(first.select(*names, F.col("k").alias("__ck__")), stored(exact, "split-exact"), names), "split-last")
-
-    joined = _joined(keyed, last, names, "left")
+    exact = inside.withColumn("r", F.col("below") + rank).where("r = w").select(*names, F.col("k").alias("__ck__"), F.col("x").alias("__cx__"), F.col("y").alias("__cy__"))
+    joined = _joined(keyed, stored(exact, "split-cuts"), names, few, "left")
     y = F.coalesce("__y__", F.lit(-(1 << 63)))
     lower: Column = (F.col("__k__") < F.col("__ck__")) | ((F.col("__k__") == F.col("__ck__")) & ((F.col("__x__") < F.col("__cx__")) | ((F.col("__x__") == F.col("__cx__")) & (y <= F.col("__cy__")))))
     return joined.withColumn("split", F.when(lower, "eval").otherwise("train")).drop(*names, "__k__", "__x__", "__y__", "__ck__", "__cx__", "__cy__")

@@ -13,6 +13,7 @@ from corvane.operators import nearest, retrieve
 def test_nearest_vectors(spark, monkeypatch, n, part, metric):
     monkeypatch.setattr(nearest, "ROW_PART", part)
     monkeypatch.setattr(nearest, "QUERY_PART", part)
+    monkeypatch.setattr(nearest, "CELL_ROWS", 30)
     r = np.random.default_rng(n)
     v = r.standard_normal((max(1, n // 30), 5))[r.integers(0, max(1, n // 30), n)] + 0.1 * r.standard_normal((n, 5))
     v[: n // 3] = v[0]  # a hot vector: ties by id
@@ -29,8 +30,9 @@ def test_nearest_vectors(spark, monkeypatch, n, part, metric):
         assert [found[q, k + 1][0] for k in range(len(order)) if order[k][0] > 1e-5] == exact or q < n // 3
 
 
-def test_nearest_vectors_skip_cells(spark):
+def test_nearest_vectors_skip_cells(spark, monkeypatch):
     """Where rows lie in groups, few of the cells are searched."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 60)
     r = np.random.default_rng(2)
     v = 50 * r.standard_normal((30, 8))[r.integers(0, 30, 3000)] + r.standard_normal((3000, 8))
     rows = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>")
