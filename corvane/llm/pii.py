@@ -1,12 +1,13 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped contextual extraction.
 
 All of it is DataFrame expressions. Base kinds are found by patterns and checked (ranges, Luhn, digits). Candidates are
-words of letters and digits; each has a lexical pattern (the word and marks before it) and a shape pattern (character class
-and prefix). Candidates that are seeds (base matches, or known key formats) start with score 1. Patterns are scored by the
-mean score of their distinct instances, instances by their patterns (noisy or), for a fixed number of rounds over the
-pattern-instance graph; patterns of high confidence then discover identifiers that no seed has. A plain word before a blank
-is no lexical pattern, since in prose any word may follow it. Numbers are identifiers by their lexical pattern only, since
-any number of that length has the same shape. The most frequent patterns are literals; all others are joined.
+words of letters and digits outside base spans; each has a lexical pattern (the word and marks before it) and a shape pattern
+(hex digits or a key's prefix with the length, else the classes of its characters). Seeds (known key formats, values assigned to names of secrets) have
+score 1; instances after a word that names something else (``NEGATIVES``) have 0, and so has whatever stands in prose without a lexical pattern.
+Patterns are scored by the mean score of their distinct instances, other instances by their two
+patterns (noisy or), for a fixed number of rounds over the pattern-instance graph; patterns of high confidence then discover identifiers that no seed
+has. A plain word before a blank is no lexical pattern, since in prose any word may follow it. A shape alone is never enough: checksums look like
+keys. It counts only where something is assigned. Numbers are identifiers by their lexical pattern only. The most frequent patterns are literals; all others are joined.
 
 Defined results: null text is empty and has no spans; an empty table gives an empty table; ``extract`` keeps extra columns but
 for ones named ``base`` and ``found``; without candidates nothing is learned and only base spans are found;
@@ -38,6 +39,10 @@ CANDIDATE = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_/-]
 #: Seed entities besides base matches: a public format of access keys, and what is assigned to a name of a secret. A run of
 #: hex digits alone is none: checksums look the same.
 SEEDS, SECRETS = r"^AKIA[0-9A-Z]{16}$", r"^(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|apikey|auth)[^\p{L}\p{N}_]{1,5}$\z"
+#: Words before a value that is public: such an instance counts against its shape, and its own lexical pattern is never accepted.
+NEGATIVES = r"^(?:commit|sha|md|digest|checksum|hash|etag|rev|revision|version|isbn|issn|doi|iso|utf|rfc|uuid|page|line|section|figure|table|build|release)[^\p{L}\p{N}_]{1,5}$\z"
+#: Marks by which something is assigned.
+ASSIGNED = "[=:>]"
 #: Rounds over the graph, least confidence of an accepted pattern, distinct instances it needs, patterns of a kind held as literals.
 ROUNDS, CONFIDENCE, INSTANCES, PATTERNS = 6, 0.8, 5, 500
 #: Up to so many further patterns are sent to all tasks; beyond, candidates are shuffled, each pattern's over so many parts.
@@ -111,7 +116,7 @@ def _shape(value: Column) -> Column:
         F.when(value.rlike("^[0-9]+$"), F.concat(F.lit("digits:"), F.char_length(value)))
         .when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.concat(F.lit("hex:"), F.char_length(value)))
         .when(value.rlike("^[A-Z]{3,5}[0-9A-Z]+$"), F.concat(F.lit("key:"), F.left(value, F.lit(4)), F.lit(":"), F.char_length(value)))
-        .otherwise(F.lit("mixed"))
+        .otherwise(F.concat(F.lit("form:"), F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[B-Z]", "A"), "[0-9]", "9")))
     )
 
 
@@ -126,6 +131,19 @@ def _overlaps(spans: Column, start: Column, value: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < start + F.char_length(value)) & (start < s["end"]))
 
 
+def _is_seed(c: Column) -> Column:
+    return c["value"].rlike(SEEDS) | F.coalesce(c["lexical"].rlike(SECRETS), F.lit(False))
+
+
+def _negative(lexical: Column) -> Column:
+    return F.coalesce(lexical.rlike(NEGATIVES), F.lit(False))
+
+
+def _shape_counts(c: Column) -> Column:
+    """Whether the shape may make this candidate an identifier: letters in it, and assigned to something that isn't public."""
+    return c["value"].rlike("[A-Za-z]") & F.coalesce(c["lexical"].rlike(ASSIGNED), F.lit(False)) & ~_negative(c["lexical"])
+
+
 @dataclass(frozen=True)
 class Patterns:
     """Accepted patterns: the most frequent of each kind, and a table (kind, pattern) of all others if there are any."""
@@ -140,8 +158,10 @@ def bootstrap(docs: DataFrame, text: str = "text") -> Patterns:
     body = F.coalesce(F.col(text), F.lit(""))
     with scratch(docs.sparkSession):
         arrays = docs.where(body.rlike("[0-9]")).select(base_spans(body).alias("b"), candidates(body).alias("cs"))
-        found = arrays.select("b", F.explode("cs").alias("c"))
-        seed = F.col("c.value").rlike(SEEDS) | F.coalesce(F.col("c.lexical").rlike(SECRETS), F.lit(False)) | _overlaps(F.col("b"), F.col("c.start"), F.col("c.value"))
+        # Pieces of e-mail addresses and the like are no instances: they'd make their shapes those of identifiers.
+        outside = F.filter("cs", lambda c: ~_overlaps(F.col("b"), c["start"], c["value"]))
+        found = arrays.select(F.explode(outside).alias("c"))
+        seed = _is_seed(F.col("c"))
         graph = stored(found.select("c.value", "c.lexical", "c.shape", seed.alias("seed")).groupBy("value", "lexical", "shape").agg(F.max("seed").alias("seed")), "pii-graph")
         scored = graph.withColumn("score", F.col("seed").cast("double"))
         patterns: dict[str, DataFrame] = {}
@@ -152,13 +172,14 @@ def bootstrap(docs: DataFrame, text: str = "text") -> Patterns:
             # Most instances have no lexical pattern: a key of their own each, so that nulls don't meet in one task.
             keyed = graph.withColumn("__l__", F.coalesce("lexical", F.concat(F.lit("\x00"), "value")))
             linked = keyed.join(patterns["lexical"].drop("n").withColumnRenamed("lexical", "__l__"), "__l__", "left").drop("__l__")
-            # Shapes are few: the kinds of ``_shape`` by the length of a candidate at most.
+            # A frequent shape's instances can be split over tasks: its score is one row.
             linked = linked.join(patterns["shape"].drop("n"), "shape", "left")
             either = 1 - (1 - F.coalesce("lexical_score", F.lit(0.0))) * (1 - F.coalesce("shape_score", F.lit(0.0)))
-            scored = stored(linked.select("value", "lexical", "shape", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(either).alias("score")), "pii-scores")
+            scored = stored(linked.select("value", "lexical", "shape", "seed", F.when(F.col("seed"), F.lit(1.0)).when(_negative(F.col("lexical")) | F.col("lexical").isNull(), F.lit(0.0)).otherwise(either).alias("score")), "pii-scores")
         best, rest = {}, []
         for kind, rows in patterns.items():
             accepted = rows.where((F.col(f"{kind}_score") >= CONFIDENCE) & (F.col("n") >= INSTANCES))
+            accepted = accepted.where(~_negative(F.col(kind))) if kind == "lexical" else accepted
             top = [r[kind] for r in accepted.orderBy(F.desc("n"), kind).limit(PATTERNS + 1).collect()]
             best[kind] = tuple(top[:PATTERNS])
             if len(top) > PATTERNS:
@@ -169,7 +190,7 @@ def bootstrap(docs: DataFrame, text: str = "text") -> Patterns:
 def _joined(rows: DataFrame, rest: DataFrame) -> DataFrame:
     """``rows`` with ``starts``: places of the open candidates that have one of the patterns."""
     c, part = F.col("c"), F.pmod(F.col("row"), F.lit(PARTS)).alias("part")
-    kinds = F.array(F.struct(F.lit("lexical").alias("kind"), c["lexical"].alias("pattern")), F.struct(F.lit("shape").alias("kind"), F.when(~c["number"], c["shape"]).alias("pattern")))
+    kinds = F.array(F.struct(F.lit("lexical").alias("kind"), c["lexical"].alias("pattern")), F.struct(F.lit("shape").alias("kind"), F.when(c["shaped"], c["shape"]).alias("pattern")))
     keys = rows.select("row", F.explode(F.filter("cs", lambda x: ~x["known"])).alias("c")).select("row", part, c["start"].alias("start"), F.explode(kinds).alias("k"))
     keys = keys.where(F.col("k.pattern").isNotNull()).select("row", "part", "start", "k.kind", "k.pattern")
     if rest.count() <= BROADCAST_ROWS:
@@ -185,13 +206,12 @@ def extract(docs: DataFrame, patterns: Patterns, text: str = "text") -> DataFram
     """``docs`` without its text, with ``base`` and ``found`` (spans of the method, kind ``id``)."""
     body = F.coalesce(F.col(text), F.lit(""))
     known = lambda c, names: F.coalesce(c.isin(*names), F.lit(False)) if names else F.lit(False)
-    number = lambda c: ~c["value"].rlike("[A-Za-z]")
-    chosen = lambda c: known(c["lexical"], patterns.lexical) | (~number(c) & known(c["shape"], patterns.shape))
+    chosen = lambda c: _is_seed(c) | known(c["lexical"], patterns.lexical) | (_shape_counts(c) & known(c["shape"], patterns.shape))
     free = lambda c: ~_overlaps(F.col("base"), c["start"], c["value"])
     based = docs.withColumn("base", base_spans(body))
     if patterns.rest is None:
         return based.withColumn("found", F.transform(F.filter(candidates(body), lambda c: chosen(c) & free(c)), lambda c: _span("id", c))).drop(text)
-    judged = F.transform(F.filter(candidates(body), free), lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), c["lexical"].alias("lexical"), c["shape"].alias("shape"), number(c).alias("number"), chosen(c).alias("known")))
+    judged = F.transform(F.filter(candidates(body), free), lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), c["lexical"].alias("lexical"), c["shape"].alias("shape"), _shape_counts(c).alias("shaped"), chosen(c).alias("known")))
     rows = kept(based.withColumn("cs", judged).drop(text).withColumn("row", F.monotonically_increasing_id()), "pii-candidates")
     passed = F.filter("cs", lambda c: c["known"] | F.coalesce(F.array_contains("starts", c["start"]), F.lit(False)))
     return _joined(rows, patterns.rest).withColumn("found", F.transform(passed, lambda c: _span("id", c))).drop("row", "cs", "starts")

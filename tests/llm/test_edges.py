@@ -1,7 +1,10 @@
 """Inputs that once crashed an operator, lost rows or took a caller's columns."""
 
+import collections
 import io
 import json
+import random
+import re
 
 import pytest
 
@@ -81,6 +84,57 @@ def test_checksums_are_no_secrets(spark):
     assert not any(got[k]["private"] for k, _ in sums) and not got[50]["private"]
 
 
+PROSE = "commit 3f786850e387550fdab836ed7e6dc881de23001b, iso-8859-1, covid-19-vaccine, utf-8-encoded, section12b/part3, sha1: 3f786850e387550fdab836ed7e6dc881de23001b"
+
+
+def test_prose_holds_no_identifiers(spark):
+    """Pieces of addresses teach nothing, and a shape that secrets have isn't enough."""
+    r = random.Random(2)
+    texts = [f"mail covid-19-vaccine{k}@iso-8859-{k}.example.org and utf-8-encoded.x{k}@section12b{k}.org" for k in range(30)]
+    texts += [f'set token = "{r.randrange(16**40):040x}" ok' for _ in range(30)] + [PROSE]
+    got = {x["doc_id"]: x["spans"] for x in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[len(texts) - 1] == ""
+    assert all("id:13:53" in got[k] for k in range(30, 60)) and not any("id:" in got[k] for k in range(30))
+
+
+def plain_bootstrap(texts):
+    """Accepted patterns by a plain loop over the same graph."""
+    graph = {}
+    for t in texts:
+        for m in re.finditer(r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*[0-9])[A-Za-z0-9][A-Za-z0-9_/-]{6,}(?<=[A-Za-z0-9])(?![A-Za-z0-9])", t):
+            near = re.search(r"([a-z_]{2,20}[^\w]{1,5})$", t[: m.start()].lower())
+            lexical = near[1] if near and re.search(r"[^\w\s]", near[1]) else None
+            v = m[0]
+            hexed = re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)
+            shape = f"digits:{len(v)}" if v.isdigit() else f"hex:{len(v)}" if hexed else f"key:{v[:4]}:{len(v)}" if re.fullmatch("[A-Z]{3,5}[0-9A-Z]+", v) else "form:" + re.sub("[0-9]", "9", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", v)))
+            graph[v, lexical, shape] = bool(re.fullmatch("AKIA[0-9A-Z]{16}", v) or lexical and re.match(r"(token|secret|password|apikey)[^\w]{1,5}$", lexical))
+    public = lambda x: x and re.match(r"(commit|sha|checksum)[^\w]{1,5}$", x)
+    score = {k: float(s) for k, s in graph.items()}
+    for _ in range(pii.ROUNDS):
+        mean = [collections.defaultdict(list), collections.defaultdict(list)]
+        for k in graph:
+            for side in (0, 1):
+                mean[side][k[side + 1]].append(score[k])
+        sizes = [{p: len(x) for p, x in own.items()} for own in mean]
+        mean = [{p: sum(x) / (len(x) + 1) for p, x in own.items()} for own in mean]
+        score = {k: 1.0 if s else 0.0 if k[1] is None or public(k[1]) else 1 - (1 - mean[0][k[1]]) * (1 - mean[1][k[2]]) for k, s in graph.items()}
+    chosen = [{p for p, s in mean[side].items() if p and s >= pii.CONFIDENCE and sizes[side][p] >= pii.INSTANCES and not (side == 0 and public(p))} for side in (0, 1)]
+    return chosen
+
+
+def test_bootstrap_against_a_plain_loop(spark):
+    r = random.Random(9)
+    hexed = lambda n: f"{r.randrange(16**n):0{n}x}"
+    base62 = lambda: "".join(r.choice("abXY19") for _ in range(10)) + "7q"
+    texts = [f"a {c}{hexed(40)} ok" for c in ["token=", 'secret: "', "login=(", "blob, ", "sha: ", "commit "] for _ in range(25)]
+    texts += [f"x {c}{base62()} y AKIA{r.randrange(10**15, 10**16)}" for c in ("apikey -> ", "pass: [", "see (") for _ in range(9)]
+    texts += [f"order no: {r.randrange(10**7, 10**8)} and {hexed(16)}" for _ in range(30)]
+    learned = pii.bootstrap(spark.createDataFrame([(t,) for t in [*texts, *texts, None, ""]], "text string"))
+    lexical, shape = plain_bootstrap(texts)
+    assert (set(learned.lexical), set(learned.shape)) == (lexical, shape) and learned.rest is None
+    assert "login=(" in lexical and not {"sha: ", "order no: ", "no: "} & lexical
+
+
 def test_every_byte_needs_a_rank(spark):
     from corvane.llm import bpe
 
