@@ -1,4 +1,4 @@
-"""Segmentation of books into addressable passages, by windows over numbered lines (book, line_no, line).
+"""Segmentation of books into addressable passages, by scans over numbered lines (book, line_no, line).
 
 A profile states how a book marks its parts and its passages; the engine is the same for all: boundaries are filtered lines,
 the current part is carried forward, passages run from one number to the next.
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
+from .scan import neighbours, scanned
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,32 +25,21 @@ def _by(*order: str) -> Window:
     return Window.partitionBy("book").orderBy(*(order or ("line_no",)))
 
 
-def carry_forward(value: Column) -> Column:
-    """The last value at or before each line; null before the first."""
-    return F.last(value, ignorenulls=True).over(_by().rowsBetween(Window.unboundedPreceding, 0))
-
-
 def ranges(headers: DataFrame, ends: DataFrame) -> DataFrame:
     """Headers (book, line_no) with ``until``: the next header's line, or the book's end."""
     after = F.lead("line_no").over(_by())
     return headers.withColumn("__next__", after).join(ends, "book").withColumn("until", F.coalesce("__next__", "end")).drop("__next__", "end")
 
 
-def isolated(line: str = "line") -> Column:
+def with_isolated(rows: DataFrame, line: str = "line", out: str = "isolated") -> DataFrame:
     """Whether the line before or after is blank or missing."""
-    blank = lambda c: F.coalesce(T.trim_all(c) == "", F.lit(True))
-    return blank(F.lag(line).over(_by())) | blank(F.lead(line).over(_by()))
-
-
-def resets(number: str, order: str = "line_no", keys: tuple[str, ...] = ("book",)) -> Column:
-    """How often the number has failed to rise so far; the number before the first is 0. Needs a second window."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return F.sum((F.col(number) <= F.col("__before__")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    blank = lambda c: F.coalesce(T.trim_all(F.col(c)) == "", F.lit(True))
+    return neighbours(rows, ["book"], "line_no", line).withColumn(out, blank("previous") | blank("following")).drop("previous", "following")
 
 
 def with_resets(rows: DataFrame, number: str, order: str = "line_no", keys: tuple[str, ...] = ("book",), out: str = "sub_chapter") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("__before__", F.lag(number, 1, 0).over(w)).withColumn(out, resets(number, order, keys)).drop("__before__")
+    """How often the number has failed to rise so far; the number before the first is 0."""
+    return scanned(rows, list(keys), order, resets={out: number})
 
 
 def longest_run(text: Column) -> Column:
@@ -96,30 +87,33 @@ PROFILES = {
 
 
 def passages(lines: DataFrame, profile: Profile) -> DataFrame:
-    """work, book, part, chapter_title, sub_chapter, aph_num, text_en, line_start, line_end, char_count."""
+    """work, book, part, chapter_title, sub_chapter, aph_num, text_en, line_start, line_end, char_count.
+
+    Parts, numbers and resets run along the lines as prefix scans, so a book may be as large as the table; a passage's own lines
+    are gathered.
+    """
     p = profile
     bare = F.regexp_replace("line", r"\s+$", "")
     named = F.regexp_extract(bare, p.part, 1)
     is_part = (named != "") & (F.col("line_no") >= p.guard) & ~T.trim_all(F.col("line")).isin(*(p.skip or ("",)))
-    if p.lonely:
-        is_part = is_part & isolated()
-    rows = lines.withColumn("title", F.when(is_part, named))
-    rows = rows.withColumn("first", F.min(F.when(F.col("title").isNotNull(), F.col("line_no"))).over(Window.partitionBy("book")))
+    rows = with_isolated(lines) if p.lonely else lines
+    rows = rows.withColumn("title", F.when(is_part & F.col("isolated") if p.lonely else is_part, named))
     stop = F.lit(False)
     for mark in p.end:
         stop = stop | ((T.trim_all(F.col("line")) == mark) if p.end_equals else F.contains("line", F.lit(mark)))
-    rows = rows.withColumn("end", F.min(F.when(stop & (F.col("line_no") > F.col("first")), F.col("line_no"))).over(Window.partitionBy("book")))
-    body = rows.where((F.col("line_no") >= F.col("first")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end"))))
-    seq = F.count("title").over(_by().rowsBetween(Window.unboundedPreceding, 0))
-    body = body.withColumn("seq", seq).withColumn("chapter_title", carry_forward(F.col("title")))
+    rows = stored(rows.withColumn("stop", stop), "book-lines")
+    first = rows.where("title is not null").groupBy("book").agg(F.min("line_no").alias("first"))
+    after = rows.where("stop").join(first, "book").where("line_no > first").groupBy("book").agg(F.min("line_no").alias("end"))
+    bounds = stored(first.join(after, "book", "left"), "book-bounds")
+    body = rows.join(bounds, "book").where((F.col("line_no") >= F.col("first")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end"))))
     digits = F.regexp_extract(bare, p.number, 1)
-    number = F.when((digits != "") & F.col("title").isNull(), digits.try_cast("int"))
-    body = body.withColumn("num", number)
-    within = Window.partitionBy("book", "seq").orderBy("line_no")
-    body = body.withColumn("item", F.count("num").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    body = body.withColumn("numbers", F.count("num").over(Window.partitionBy("book", "seq")))
+    body = body.withColumn("num", F.when((digits != "") & F.col("title").isNull(), digits.try_cast("int")))
+    body = scanned(body.drop("first", "end", "stop"), ["book"], "line_no", carried={"chapter_title": "title"}, counted={"seq": "title"})
+    body = scanned(body, ["book", "seq"], "line_no", counted={"item": "num"})
+    if p.whole:
+        body = body.join(body.groupBy("book", "seq").agg(F.count("num").alias("numbers")), ["book", "seq"])
+    wanted = (F.col("item") > 0) | (F.col("numbers") == 0) if p.whole else F.col("item") > 0
     keep_line = F.when(F.col("num").isNotNull(), inline(bare, digits) if p.may_inline else F.lit(False)).otherwise(F.col("title").isNull())
-    wanted = (F.col("item") > 0) | ((F.col("numbers") == 0) & F.lit(p.whole))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep_line, F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
     made = body.where(wanted).groupBy("book", "seq", "chapter_title", "item").agg(F.max("num").alias("aph_num"), T.trim_all(text).alias("text_en"), F.min("line_no").alias("line_start"), (F.max("line_no") + 1).alias("line_end"))
     made = made.withColumn("aph_num", F.coalesce("aph_num", F.lit(1))).where("text_en <> ''")

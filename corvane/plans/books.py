@@ -14,7 +14,7 @@ from .catalog import query, table
 
 #: Passages in a part.
 PART = 10
-# Titles of parts, in each profile's form.
+# Titles of parts and marks of the end, as each book has them.
 TITLES = {
     "JW": ["BOOK FIRST", "BOOK SECOND", "BOOK THIRD", "BOOK FOURTH", "BOOK FIFTH"],
     "BGE": [f"CHAPTER {r}. A TITLE" for r in ("I", "II", "III", "IV", "V")],
@@ -26,8 +26,8 @@ END = {"JW": "APPENDIX", "BGE": "FROM THE HEIGHTS", "GM": "PEOPLES AND COUNTRIES
 
 
 def body(text: str = "text") -> Column:
-    """A passage of two lines: a document's first words in small letters, without marks, and an end."""
-    words = F.trim(F.regexp_replace(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 60)), r"[^a-z]+", " "))
+    """A passage of two lines: all words of a document in small letters, without marks, and an end."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+", " "))
     return F.concat(F.lit("p "), words, F.lit("\nq"))
 
 
@@ -61,7 +61,7 @@ def cut(spark: SparkSession, d: str, work: str) -> DataFrame:
 
 
 def _sql(work: str) -> str:
-    text = r"'p ' || trim(regexp_replace(lower(substring(coalesce(text, ''), 1, 60)), '[^a-z]+', ' ', 'g')) || chr(10) || 'q'"
+    text = r"'p ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')) || chr(10) || 'q'"
     if G.PROFILES[work].may_inline:  # a passage that begins on its number's line keeps that line
         text = f"case when doc_id % 2 = 0 then doc_id % {PART} + 1 || '. ' else '' end || {text}"
     return f"""select '{work}' as work, doc_id // {size(work)} as book, cast(doc_id % {size(work)} // {PART} + 1 as int) as part, cast(doc_id % {PART} + 1 as int) as aph_num, md5({text}) as body, cast(length({text}) as int) as chars from documents"""

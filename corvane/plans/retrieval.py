@@ -12,6 +12,7 @@ from ..operators import planes as P
 from ..operators import retrieve as R
 from ..operators import segment as G
 from ..operators import setjoin as J
+from ..operators.scan import scanned
 from .catalog import SQL_SQUEEZE, SQL_STRIP, query, table
 
 _V = "cast(embedding as double[])"
@@ -236,7 +237,7 @@ def s06_numbered_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_LINES}, {_HEAD} select book, line_no, last_value(num ignore nulls) over (partition by book order by line_no rows between unbounded preceding and current row) as current from heads")
 def j12_carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    return numbered_lines(spark, d).select("book", "line_no", G.carry_forward(F.col("num")).alias("current"))
+    return scanned(numbered_lines(spark, d).drop("line"), ["book"], "line_no", carried={"current": "num"}).select("book", "line_no", "current")
 
 
 _RANGES = "ranges as (select book, line_no, num, coalesce(lead(line_no) over (partition by book order by line_no), fin) as until from heads join (select book, max(line_no) + 1 as fin from lines group by 1) using (book) where num is not null)"
@@ -251,10 +252,9 @@ def j13_header_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_LINES}, {_HEAD}, s as (select *, count(num) over (partition by book order by line_no rows between unbounded preceding and current row) as item from heads) select book, item, max(num) as num, md5(string_agg(line, chr(10) order by line_no) filter (num is null)) as body from s where item > 0 group by book, item")
 def w04_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = numbered_lines(spark, d)
-    item = F.count("num").over(Window.partitionBy("book").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    rows = scanned(numbered_lines(spark, d), ["book"], "line_no", counted={"item": "num"})
     text = F.collect_list(F.when(F.col("num").isNull(), F.struct("line_no", "line")))
-    made = rows.withColumn("item", item).where("item > 0").groupBy("book", "item").agg(F.max("num").alias("num"), F.array_sort(text).alias("t"))
+    made = rows.where("item > 0").groupBy("book", "item").agg(F.max("num").alias("num"), F.array_sort(text).alias("t"))
     return made.select("book", "item", "num", F.when(F.size("t") > 0, F.md5(F.array_join(F.transform("t", lambda x: x["line"]), "\n"))).alias("body"))
 
 
@@ -266,7 +266,7 @@ def w05_number_resets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_LINES} select book, line_no, coalesce(trim(lag(line) over w) = '', true) or coalesce(trim(lead(line) over w) = '', true) as isolated from lines window w as (partition by book order by line_no)")
 def w09_blank_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return G.lines_of(table(spark, d, "documents"), "doc_id", "text").select("book", "line_no", G.isolated().alias("isolated"))
+    return G.with_isolated(G.lines_of(table(spark, d, "documents"), "doc_id", "text")).select("book", "line_no", "isolated")
 
 
 @query("""with c as (select item_id, pos, substring(text, pos, 1) as c from (select item_id, text, unnest(range(1, length(text) + 1)) as pos from benchmark)),
