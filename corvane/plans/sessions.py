@@ -13,7 +13,7 @@ from ..operators import sessions as P
 from ..session import shared_path
 from ..sources import jsonl, tables
 from ..sources.prompts import text_file
-from ..streaming import twins
+from ..streaming import sse, twins
 from .catalog import query, table
 
 CONV = "conv_id long, turn long, role string, text string"
@@ -120,6 +120,33 @@ def t02_delta_accumulation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", F.md5("content").alias("content"), "usage", "finish_reason", "failed")
 
 
+#: Bytes of a piece of a stream, and the minutes between the two batches in which pieces arrive.
+PIECE, MINUTES = 53, 2
+
+
+@query("""select conv_id, case when conv_id % 10 <> 3 then md5(string_agg(text, '' order by turn)) end as content, case when conv_id % 10 not in (3, 4) then 7 end as usage,
+  case when conv_id % 10 not in (3, 4) then 'stop' end as finish_reason, conv_id % 10 = 3 as failed, case when conv_id % 10 = 4 then 'no_end' end as breach from conversations group by conv_id""")
+def t01_t02_byte_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The streams as bytes, cut into pieces anywhere, that arrive in two batches; a last row lets time go on."""
+    whole = sse_lines(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("x"))
+    whole = whole.select("conv_id", F.concat(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\n")).cast("binary").alias("b"))
+    last = F.floor((F.octet_length("b") - 1) / PIECE)
+    pieces = whole.select("conv_id", "b", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seq"))
+    batch = F.floor(F.col("seq") * 2 / (F.col("last") + 1))
+    at = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), batch * MINUTES, F.lit(0))
+    pieces = pieces.select("conv_id", "seq", F.substring("b", F.col("seq") * PIECE + 1, F.lit(PIECE)).alias("bytes"), at.alias("at"), batch.alias("batch"))
+    schema, path = "conv_id long, seq long, bytes binary, at timestamp", place(spark, "t01")
+    with sse.rocks(spark):
+        for k in (0, 1):
+            rows = pieces.where(F.col("batch") == k).drop("batch")
+            end = spark.sql("select -1L as conv_id, 0L as seq, cast('' as binary) as bytes, timestamp'2024-01-02 00:00:00' as at")
+            (rows.unionByName(end) if k else rows).write.mode("append").parquet(f"{path}/in")
+            stream = sse.answer_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), "conv_id")
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    out = spark.read.schema(f"conv_id long, {sse.ANSWER}").parquet(f"{path}/out")
+    return out.select("conv_id", F.md5("content").alias("content"), "usage", "finish_reason", "failed", "breach")
+
+
 @query("select conv_id, max(turn) * 2 + 2 as seq, 'no_end' as breach from conversations where conv_id % 10 = 4 group by conv_id")
 def t15_stream_contract(spark: SparkSession, d: str) -> DataFrame:
     return P.contract_breaches(P.frames(sse_lines(spark, d), "conv_id", "seq", "line"), "conv_id", "seq")
