@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import plugins as X
+from ..operators import reducers as N
 from ..operators import sessions as P
 from ..session import shared_path
 from ..sources import jsonl, tables
@@ -152,19 +153,36 @@ def t15_stream_contract(spark: SparkSession, d: str) -> DataFrame:
     return P.contract_breaches(P.frames(sse_lines(spark, d), "conv_id", "seq", "line"), "conv_id", "seq")
 
 
+def dialogue_events(spark: SparkSession, d: str, of: dict[str, list[str]], other: list[str]) -> DataFrame:
+    """conv_id, turn, at, kind: the events that each message stands for, by its role, in order."""
+    kinds = F.array(*map(F.lit, other))
+    for role, own in of.items():
+        kinds = F.when(F.col("role") == role, F.array(*map(F.lit, own))).otherwise(kinds)
+    rows = conversations(spark, d).select("conv_id", "turn", F.posexplode(kinds).alias("k", "kind"))
+    return rows.select("conv_id", "turn", (F.col("turn") * 2 + F.col("k")).alias("at"), "kind")
+
+
 @query("select conv_id, turn, count(*) filter (role = 'user') over (partition by conv_id order by turn rows between unbounded preceding and current row) >= 1 and role = 'assistant' as open from conversations")
 def t05_transition_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Open when the dialogue is idle (its last message is an answer) and the user has spoken."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    users = F.sum((F.col("role") == "user").cast("int")).over(w)
-    return conversations(spark, d).select("conv_id", "turn", ((users >= 1) & (F.col("role") == "assistant")).alias("open"))
+    """Open when the dialogue is idle (its last message is an answer) and the user has spoken. A question starts an answer, which
+    the assistant's message ends."""
+    events = dialogue_events(spark, d, {"user": ["user", "start"], "assistant": ["booting", "done"]}, ["booting", "booting"])
+    states = N.gate(N.states_along(events, "conv_id", "at", "kind", N.DIALOGUE))
+    return states.where("at % 2 = 1").select("conv_id", F.floor(F.col("at") / 2).alias("turn"), F.col("may_leave").alias("open"))
 
 
-@query()
+@query("select conv_id, 'idle' as status, count(*) filter (role = 'user') as user_turns, count(*) filter (role in ('user', 'assistant')) as messages, 'False' as open, cast(null as varchar) as error from conversations group by conv_id")
 def t03_t04_dialogue_state(spark: SparkSession, d: str) -> DataFrame:
-    return twins.dialogue_states(conversations(spark, d), "conv_id", "turn")
+    events = dialogue_events(spark, d, {"user": ["user"], "assistant": ["start", "done"]}, ["booting", "done"])
+    return N.final_states(events, "conv_id", "at", "kind", N.DIALOGUE)
+
+
+@query("""select conv_id, turn, turn // 4 || '' as screen, coalesce(last_value(case role when 'assistant' then 'streaming' when 'system' then 'booting' end ignore nulls) over w, 'idle') as status,
+  count(*) filter (role = 'user') over w as user_turns, count(*) filter (role in ('user', 'assistant')) over w as messages from conversations window w as (partition by conv_id, turn // 4 order by turn rows between unbounded preceding and current row)""")
+def t04_panel_states(spark: SparkSession, d: str) -> DataFrame:
+    """Every four messages are about another screen, with which the panel starts anew; the first message names it."""
+    rows = conversations(spark, d).select("conv_id", "turn", F.when(F.col("role") == "user", "user").when(F.col("role") == "assistant", "start").otherwise("booting").alias("kind"), F.when(F.col("turn") % 4 == 0, F.floor(F.col("turn") / 4).cast("string")).alias("screen"))
+    return N.panel_states(rows, "conv_id", "turn", "kind", "screen").select("conv_id", "turn", "screen", "status", "user_turns", "messages")
 
 
 @query("select user_id, max_by(event_id, (ts, event_id)) as event_id, max_by(substring(props, 1, 80), (ts, event_id)) as preview, true as ok from events group by user_id")
