@@ -12,7 +12,7 @@ from ..operators import plugins as X
 from ..operators import reducers as N
 from ..operators import sessions as P
 from ..session import shared_path
-from ..sources import jsonl, tables
+from ..sources import jsonl, keyed, tables
 from ..sources.prompts import text_file
 from ..streaming import sse, twins
 from .catalog import query, table
@@ -279,7 +279,30 @@ def s04_blank_lines(spark: SparkSession, d: str) -> DataFrame:
 def s05_s11_partitioned_folder(spark: SparkSession, d: str) -> DataFrame:
     path = place(spark, "s05")
     jsonl.write(conversations(spark, d), path, by=["role"])
-    return spark.read.schema(CONV).json(path).groupBy(F.col("role").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    rows = jsonl.read_directory(spark, path, CONV, "*/*.json")
+    return rows.groupBy(F.regexp_extract("folder", "role=([^/]*)$", 1).alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select conv_id, conv_id % 3 = 0 and conv_id in (select conv_id from conversations) as deleted from (select distinct conv_id * k as conv_id from conversations, range(1, 3) t(k)) where conv_id % 3 = 0")
+def t11_slot_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of all conversations; those asked for by ids, some of which don't exist, are deleted, and each id learns whether."""
+    rows = conversations(spark, d).groupBy("conv_id").agg(F.max_by("text", "turn").alias("preview"))
+    slots = keyed.KeyedTable(spark, place(spark, "t11"), "conv_id", "conv_id long, preview string")
+    slots.upsert(rows)
+    ids = conversations(spark, d).select(F.explode(F.array("conv_id", F.col("conv_id") * 2)).alias("conv_id")).where("conv_id % 3 = 0")
+    return slots.delete(ids)
+
+
+@query("select conv_id, max(turn) as last_turn, count(*) as n_turns, max(turn) + 1 = count(*) as whole from conversations where conv_id % 4 <> 1 group by conv_id")
+def s17_t11_migrated_slots(spark: SparkSession, d: str) -> DataFrame:
+    """A table of slots that is filled in two upserts, loses some rows, and gets two more columns by migrations."""
+    rows = conversations(spark, d).groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("n"))
+    slots = keyed.KeyedTable(spark, place(spark, "s17"), "conv_id", "conv_id long, last_turn long, n long")
+    slots.upsert(rows.withColumn("n", F.lit(0)))
+    slots.upsert(rows)
+    slots.delete(rows.where("conv_id % 4 = 1"))
+    slots.migrate([("rename", lambda t: t.withColumnRenamed("n", "n_turns")), ("whole", lambda t: t.withColumn("whole", F.col("last_turn") + 1 == F.col("n_turns")))])
+    return slots.rows()
 
 
 @query("select doc_id, lang from documents order by doc_id limit 50")

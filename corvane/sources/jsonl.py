@@ -55,8 +55,9 @@ def read_skipping_blank(spark: SparkSession, path: str, schema: str) -> DataFram
 
 
 def read_directory(spark: SparkSession, folder: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
-    """All files of a folder, each row with its file's name; files are ordered by name where order matters."""
-    return spark.read.schema(schema).json(f"{folder}/{pattern}").withColumn("file", F.col("_metadata.file_name"))
+    """All files of a folder, each row with its file's name and folder; files are ordered by name where order matters."""
+    rows = spark.read.schema(schema).json(f"{folder}/{pattern}").withColumn("file", F.col("_metadata.file_name"))
+    return rows.withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
