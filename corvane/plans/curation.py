@@ -72,10 +72,12 @@ def f05_f08_json_scores(spark: SparkSession, d: str) -> DataFrame:
     return j.select("doc_id", *[S.clamp(F.col("j")[k]).alias(k) for k in ("q1", "q2", "q3")], S.valid(F.col("j")["q1"]).alias("ok"))
 
 
-@query()
+@query("select doc_id, cast(length(coalesce(text, '')) % 5 + 1 as int) as q1, source as a from documents")
 def f06_first_json_value(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit('so {"q1": 3, "why": {"a": "'), F.col("doc_id").cast("string"), F.lit('"}} and more'))
-    return table(spark, d, "documents").select("doc_id", T.json_from_first_brace(raw, "q1 int, why struct<a:string>").alias("j")).select("doc_id", "j.q1", "j.why.a")
+    """A reply that quotes the whole text before its JSON, which holds an object of its own and is followed by words."""
+    quoted = F.translate(F.coalesce("text", F.lit("")), "{", "(")
+    reply = F.concat(quoted, F.to_json(F.struct((F.char_length(F.coalesce("text", F.lit(""))) % 5 + 1).alias("q1"), F.struct(F.col("source").alias("a")).alias("why"))), F.lit(" and more {"))
+    return table(spark, d, "documents").select("doc_id", T.json_from_first_brace(reply, "q1 int, why struct<a:string>").alias("j")).select("doc_id", "j.q1", "j.why.a")
 
 
 @query("select doc_id, k as item, 'v' || doc_id as value from documents, range(1, 4) t(k) where k <> 2 order by all")

@@ -15,7 +15,7 @@ from ..session import shared_path
 from ..sources import jsonl, keyed, tables
 from ..sources.prompts import text_file
 from ..streaming import sse, twins
-from .catalog import query, table
+from .catalog import CHUNKS, chunks, query, table
 
 CONV = "conv_id long, turn long, role string, text string"
 _KINDS = ("click", "view")
@@ -224,6 +224,15 @@ def x01_scorer(spark: SparkSession, d: str) -> DataFrame:
     return X.score(table(spark, d, "documents"), "doc_id", "text")
 
 
+#: Rubrics that are handed in, by category.
+RUBRICS = {"JW": "a >= 3 and sc >= 2", "GM": "a + b >= 6", "EH": "c = 5 or den > 4"}
+
+
+@query(f"with {CHUNKS} select id, work, case work when 'JW' then a >= 3 and sc >= 2 when 'GM' then a + b >= 6 when 'EH' then c = 5 or den > 4 else false end as passed from chunks")
+def x05_rubric_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("id", "work", X.gate_by(RUBRICS, "work").alias("passed"))
+
+
 @query()
 def x02_embedder(spark: SparkSession, d: str) -> DataFrame:
     return X.embed(table(spark, d, "benchmark"), "item_id", "text", X.hash_embedder(16))
