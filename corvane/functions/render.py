@@ -18,27 +18,29 @@ def cells(df: DataFrame) -> tuple[list[str], list[list]]:
     return df.columns, [list(r) for r in rows]
 
 
-def _shown(x) -> str:
-    return "--" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
+def _shown(x, digits: int = 3) -> str:
+    return "--" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
 
 
-def text(title: str, head: list[str], rows: list[list]) -> str:
-    body = [head, *[[_shown(x) for x in r] for r in rows]]
+def text(title: str, head: list[str], rows: list[list], digits: int = 3) -> str:
+    body = [head, *[[_shown(x, digits) for x in r] for r in rows]]
     widths = [max(len(r[k]) for r in body) for k in range(len(head))]
     lines = ["  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in body]
     return "\n".join([title, lines[0], "  ".join("-" * w for w in widths), *lines[1:]])
 
 
-def markdown(title: str, head: list[str], rows: list[list]) -> str:
+def markdown(title: str, head: list[str], rows: list[list], digits: int = 3) -> str:
     line = lambda xs: "| " + " | ".join(xs) + " |"
-    return "\n".join([f"### {title}", "", line(head), line(["---"] * len(head)), *[line([_shown(x) for x in r]) for r in rows]])
+    return "\n".join([f"### {title}", "", line(head), line(["---"] * len(head)), *[line([_shown(x, digits) for x in r]) for r in rows]])
 
 
-def as_json(title: str, head: list[str], rows: list[list]) -> str:
+def as_json(title: str, head: list[str], rows: list[list], digits: int = 3) -> str:
+    """Numbers are raw, whatever the digits."""
     return json.dumps({"title": title, "headers": head, "rows": rows}, ensure_ascii=False, default=str)
 
 
-def as_csv(title: str, head: list[str], rows: list[list]) -> str:
+def as_csv(title: str, head: list[str], rows: list[list], digits: int = 3) -> str:
+    """Numbers are raw, whatever the digits."""
     out = io.StringIO()
     csv.writer(out).writerows([head, *rows])
     return out.getvalue()
@@ -47,9 +49,9 @@ def as_csv(title: str, head: list[str], rows: list[list]) -> str:
 FORMATS = {"text": text, "markdown": markdown, "json": as_json, "csv": as_csv}
 
 
-def render(df: DataFrame, title: str, fmt: str = "text") -> str:
-    """One format by name, or ``all`` of them."""
+def render(df: DataFrame, title: str, fmt: str = "text", digits: int = 3) -> str:
+    """One format by name, or ``all`` of them; ``digits`` after the point in text and Markdown."""
     head, rows = cells(df)
     if fmt == "all":
-        return "\n\n".join(f(title, head, rows) for f in FORMATS.values())
-    return FORMATS[fmt](title, head, rows)
+        return "\n\n".join(f(title, head, rows, digits) for f in FORMATS.values())
+    return FORMATS[fmt](title, head, rows, digits)

@@ -9,11 +9,13 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import render
 from ..functions import scores as S
 from ..functions import text as T
+from ..sources import jsonl
 
 #: Characters of a token, where a response has no token count; tokens at which a response was cut.
 TOKEN_CHARS, CUT_TOKENS = 3, 768
@@ -98,18 +100,28 @@ def voice_defect(rows: DataFrame, models: list[str], threshold: int = 2) -> Data
     return out.withColumn("rate", F.col("low") / F.col("n"))
 
 
-def ending_top(rows: DataFrame, reason: Column, top: int) -> DataFrame:
-    """Quoted endings by frequency. The rank is over counts of endings, of which a sort keeps the first."""
+def ending_top(rows: DataFrame, reason: Column, top: int, models: list[str] | None = None, live: bool = False) -> DataFrame:
+    """Quoted endings by frequency, of some models' rows if they are named, and only of rows that aren't collapsed if ``live``.
+    The rank is over counts of endings, of which a sort keeps the first."""
+    rows = rows if models is None else rows.where(F.col("model_tag").isin(models))
+    rows = rows.where(~F.coalesce("collapsed", F.lit(False))) if live else rows
     counts = rows.select(F.explode(T.quoted_endings(reason)).alias("ending")).groupBy("ending").agg(F.count(F.lit(1)).alias("n"))
     first = counts.orderBy(F.desc("n"), "ending").limit(top)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "ending")))
 
 
-def compare_modes(a: DataFrame, b: DataFrame) -> DataFrame:
-    one = lambda rows, s: rows.groupBy("model_tag").agg(F.count(F.lit(1)).alias(f"n_{s}"), F.avg("score").alias(f"mean_{s}"))
+def compare_modes(a: DataFrame, b: DataFrame, axes: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and means of two runs by model, 0 where one has none; with ``axes`` also the means of these and their changes."""
+    named = ["score", *axes]
+    short = lambda c: "mean" if c == "score" else f"{c}_mean"
+    one = lambda rows, s: rows.groupBy("model_tag").agg(F.count(F.lit(1)).alias(f"n_{s}"), *[F.avg(c).alias(f"{short(c)}_{s}") for c in named])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     both = one(a, "a").join(one(b, "b"), "model_tag", "full_outer")
-    return both.select("model_tag", *[F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in "ab"], *[zero(f"mean_{s}").alias(f"mean_{s}") for s in "ab"], (zero("mean_b") - zero("mean_a")).alias("delta"))
+    out = [F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in "ab"]
+    for c in named:
+        m = short(c)
+        out += [*[zero(f"{m}_{s}").alias(f"{m}_{s}") for s in "ab"], (zero(f"{m}_b") - zero(f"{m}_a")).alias("delta" if c == "score" else f"{c}_delta")]
+    return both.select("model_tag", *out)
 
 
 def q_distribution(rows: DataFrame) -> DataFrame:
@@ -204,3 +216,9 @@ def run_command(name: str, rows: DataFrame, **options) -> DataFrame:
         raise KeyError(f"unknown command {name}; there are {', '.join(COMMANDS)}")
     known = inspect.signature(COMMANDS[name]).parameters
     return COMMANDS[name](rows, **{k: v for k, v in options.items() if k in known})
+
+
+def run_report(spark: SparkSession, name: str, path: str, schema: str, fmt: str = "text", digits: int = 3, **options) -> str:
+    """A command over the judged rows of a JSON-lines file or folder, rendered in one format or ``all``."""
+    rows = jsonl.read_required(spark, path, schema)
+    return render.render(run_command(name, rows, **options), name, fmt, digits)

@@ -197,6 +197,18 @@ def test_renderers(spark):
     assert render.render(df, "t", "all").count("name") >= 4
 
 
+def test_reports_of_files(spark, tmp_path):
+    schema = "sample_id long, model_tag string, score double, q1 int, q2 int, q3 int, collapsed boolean, q3_reason string"
+    rows = spark.createDataFrame([(1, "m0", 0.25, 1, 2, 3, False, "ends '~a'"), (2, "m0", 0.5, 3, 2, 3, True, "ends '~b'"), (3, "m1", 1.0, 5, 5, 5, False, "ends '~b'")], schema)
+    jsonl.write(rows, f"{tmp_path}/in")
+    shown = evaluate.run_report(spark, "q-distribution", f"{tmp_path}/in", schema, "markdown", 1, top=3)
+    assert "| m0 | q1 | 2 | 2.0 |" in shown
+    ends = lambda **o: {r["ending"]: r["n"] for r in evaluate.ending_top(rows, F.col("q3_reason"), 5, **o).collect()}
+    assert (ends(), ends(models=["m0"]), ends(live=True)) == ({"~a": 1, "~b": 2}, {"~a": 1, "~b": 1}, {"~a": 1, "~b": 1})
+    both = {r["model_tag"]: r for r in evaluate.compare_modes(rows, rows.where("model_tag = 'm1'"), ("q3",)).collect()}
+    assert (both["m0"]["q3_mean_a"], both["m0"]["q3_mean_b"], both["m0"]["q3_delta"], both["m1"]["q3_delta"]) == (3.0, 0.0, -3.0, 0.0)
+
+
 def test_dialogue_reducer():
     s = dict(twins.START)
     for kind in ("booting", "start", "done", "user", "start", "error"):
