@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-# --- session statistics ----------------------------------------------------------------------------------------------
+# --- session statistics ---
 def session_stats(events: DataFrame, session: str = "user_id", kind: str = "event_type", value: str = "value", kinds: tuple[str, ...] = ()) -> DataFrame:
     """Per session: events of each kind, mean value of each kind (0 if there is none), errors."""
     per = [x for k in kinds for x in (F.count_if(F.col(kind) == k).alias(f"n_{k}"), F.coalesce(F.avg(F.when(F.col(kind) == k, F.col(value))), F.lit(0.0)).alias(f"mean_{k}"))]
@@ -29,7 +29,7 @@ def turn_summary(rows: DataFrame, session: str, ts: str, kind: str, short: str,
     return out.withColumn("ms", F.unix_millis(F.col("ended").cast("timestamp")) - F.unix_millis(F.col("began").cast("timestamp")))
 
 
-# --- routing ---------------------------------------------------------------------------------------------------------
+# --- routing ---
 # Intents that end a turn with a canned answer.
 SHORT = ("OUT_OF_DOMAIN", "AMBIGUOUS")
 CANNED = {"OUT_OF_DOMAIN": "out of domain", "AMBIGUOUS": "please be more specific"}
@@ -49,7 +49,7 @@ def rewritten(rows: DataFrame, query: str, rewrite: str, history_size: str) -> D
     return rows.withColumn("final_query", F.when(F.col(history_size) == 0, F.col(query)).otherwise(F.coalesce(cleaned, F.col(query))))
 
 
-# --- history ---------------------------------------------------------------------------------------------------------
+# --- history ---
 def last_messages(messages: DataFrame, conversation: str, order: str, n: int) -> DataFrame:
     """The last n messages of each conversation."""
     rank = F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(order)))
@@ -61,7 +61,7 @@ def history_before(messages: DataFrame, conversation: str, order: str, text: str
     return messages.withColumn("history", F.collect_list(text).over(Window.partitionBy(conversation).orderBy(order).rowsBetween(-n, -1)))
 
 
-# --- token streams ---------------------------------------------------------------------------------------------------
+# --- token streams ---
 FRAME = "type string, content string, message string, usage int, finish_reason string"
 
 
@@ -97,7 +97,7 @@ def contract_breaches(events: DataFrame, stream: str, order: str) -> DataFrame:
     return events.withColumn("place", place).withColumn("after", after).withColumn("breach", wrong).where("breach is not null").select(stream, order, "breach")
 
 
-# --- conversations and slots -----------------------------------------------------------------------------------------
+# --- conversations and slots ---
 def upsert_latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The latest row of each key."""
     last = rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns if c != key]), order).alias("x"))

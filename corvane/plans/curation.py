@@ -37,7 +37,7 @@ def judged_samples(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("reason", C.hygiene_reason(enum, F.col("text"), F.col("shares"), F.col("difficulty"), PHRASES))
 
 
-# --- functions -------------------------------------------------------------------------------------------------------
+# --- functions ---
 @query(f"select doc_id, length({SQL_STRIP.format('text')}) as n, md5({SQL_STRIP.format('text')}) as h from documents")
 def f01_strip_marks(spark: SparkSession, d: str) -> DataFrame:
     s = T.strip_marks(F.col("text"))
@@ -155,7 +155,7 @@ def f28_chat_template(spark: SparkSession, d: str) -> DataFrame:
     return dialogues(spark, d).select("conv_id", F.md5(T.chat_template(F.col("messages"))).alias("h"))
 
 
-# --- projections and predicates --------------------------------------------------------------------------------------
+# --- projections and predicates ---
 @query(f"with {SAMPLES}, fixed as ({_FIXED}) select id, p2, c2 from fixed")
 def p01_enum_repair(spark: SparkSession, d: str) -> DataFrame:
     return fixed_samples(spark, d).select("id", "p2", "c2")
@@ -312,7 +312,7 @@ def p26_intent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.intent(raw).alias("intent"))
 
 
-# --- curation aggregates, joins and windows --------------------------------------------------------------------------
+# --- curation aggregates, joins and windows ---
 @query(f"with {SAMPLES}, {_SHARED}, {_REASON} select coalesce(split_part(reason, ':', 1), 'kept') as reason, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as pct from judged group by 1")
 def a01_reasons(spark: SparkSession, d: str) -> DataFrame:
     rows = judged_samples(spark, d).groupBy(F.coalesce(T.before(F.col("reason"), ":"), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))

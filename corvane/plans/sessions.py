@@ -14,7 +14,7 @@ from ..operators import sessions as P
 from ..session import shared_path
 from ..sources import jsonl, keyed, tables
 from ..sources.prompts import text_file
-from ..streaming import sse, twins
+from ..streaming import sinks, sse, twins
 from .catalog import CHUNKS, chunks, query, table
 
 CONV = "conv_id long, turn long, role string, text string"
@@ -121,6 +121,19 @@ def t02_delta_accumulation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", F.md5("content").alias("content"), "usage", "finish_reason", "failed")
 
 
+@query("select case when text is null or length(text) < 100 then 'short' when role = 'user' then 'search' else 'unrouted' end as route, count(*) as n, sum(length(text))::bigint as chars from conversations group by 1")
+def t07_routed_sinks(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as a stream with three sinks: short ones, the user's, all others."""
+    path = place(spark, "t07")
+    conversations(spark, d).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(CONV).parquet(f"{path}/in")
+    same = lambda df: df
+    routes = [("short", F.col("text").isNull() | (F.char_length("text") < 100), same), ("search", F.col("role") == "user", same)]
+    sinks.run_routes(stream, routes, f"{path}/out")
+    one = lambda name: sinks.routed(stream, name, f"{path}/out").agg(F.lit(name).alias("route"), F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    return one("short").unionByName(one("search")).unionByName(one("unrouted")).where("n > 0")
+
+
 #: Bytes of a piece of a stream, and the minutes between the two batches in which pieces arrive.
 PIECE, MINUTES = 53, 2
 
@@ -218,7 +231,7 @@ def t13_resumed_batch(spark: SparkSession, d: str) -> DataFrame:
     return twins.resumed(conversations(spark, d).select("conv_id", "turn"), "turn % 3 = 0", place(spark, "t13"), "conv_id long, turn long")
 
 
-# --- plug-ins --------------------------------------------------------------------------------------------------------
+# --- plug-ins ---
 @query()
 def x01_scorer(spark: SparkSession, d: str) -> DataFrame:
     return X.score(table(spark, d, "documents"), "doc_id", "text")
@@ -250,7 +263,7 @@ def x04_expand_samples(spark: SparkSession, d: str) -> DataFrame:
     return X.expand(table(spark, d, "documents").select("doc_id", raw.alias("raw")), "doc_id", "raw", ["question", "answer"])
 
 
-# --- sources and sinks -----------------------------------------------------------------------------------------------
+# --- sources and sinks ---
 @query("select conv_id, turn, role, text from conversations")
 def s01_s09_jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = place(spark, "s01")

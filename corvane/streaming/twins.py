@@ -52,7 +52,7 @@ def resumed(rows: DataFrame, skip: str, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/out")
 
 
-# --- reducers --------------------------------------------------------------------------------------------------------
+# --- reducers ---
 #: A reducer takes a state and an event and returns the next state.
 START = {"status": "idle", "user_turns": 0, "messages": 0, "open": False, "error": None}
 
