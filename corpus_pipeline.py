@@ -19,6 +19,10 @@ from corvane.llm import bpe, decontam, line_dedup, ngram_join, quality
 from corvane.llm.common import table
 from corvane.session import stored
 
+#: Bytes of the table of frequent pieces. Less than by default, since the driver has held four other stages' plans before; pieces
+#: beyond are folded where they stand, with the same result.
+HELD_BYTES = 24 << 20
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -47,7 +51,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the text that the ids decode to."""
     tokenizer = bpe.Tokenizer(spark, bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    coded = tokenizer.encode(docs.select("doc_id", "text"))
+    coded = tokenizer.encode(docs.select("doc_id", "text"), most=HELD_BYTES)
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
