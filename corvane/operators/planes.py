@@ -30,6 +30,8 @@ MISS = 1e-4
 TURNED = 4
 #: Rows by which the number of planes is chosen (which changes the work, not the result), and its limits.
 SAMPLE, PLANES = 4096, range(2, 25)
+#: Tables whose keys travel along, so that a pair speaks only in the first of them that both are in.
+FIRST = 8
 #: Words of 64 sides by which candidates are bounded, and the bound's distance from the mean in standard deviations.
 WORDS, DEVIATIONS = 4, 5.0
 
@@ -79,50 +81,79 @@ def _keyed(rows: DataFrame, dimension: int, bits: int, tables: int) -> DataFrame
                 weak = np.argsort(np.abs(at), axis=2)[:, :, : min(TURNED, bits)]
                 codes = np.concatenate([own[:, :, None], own[:, :, None] ^ powers[weak]], axis=2)
                 keys = (codes + (np.arange(tables, dtype=np.int64) << bits)[None, :, None]).reshape(len(v), -1)
-                words = np.packbits(v @ sides > 0, axis=1)
-                each = np.repeat(np.arange(len(v)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids[each]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), len(each), [None, pa.py_buffer(words[each].tobytes())]).cast(pa.binary())], ["bucket", "id", "sides"])
+                masks = (powers[weak]).sum(axis=2)
+                travel = np.stack([own[:, :FIRST], masks[:, :FIRST]], axis=2).astype(np.int32).reshape(len(v), -1)
+                words = np.concatenate([np.packbits(v @ sides > 0, axis=1), travel.view(np.uint8)], axis=1)
+                each, width = np.repeat(np.arange(len(v)), keys.shape[1]), words.shape[1]
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(each), [None, pa.py_buffer(words[each].tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids[each]), packed], ["bucket", "id", "sides"])
 
     return rows.mapInArrow(run, "bucket long, id long, sides binary")
 
 
-def _compared(groups: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Pairs i < j of rows (keys..., part, id, sides) that stand together and differ in at most ``most`` sides. Rows of two
+def _speaks(bucket: np.ndarray, bits: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs in a bucket, whether this is where they speak: not if they share a key in an earlier table, nor in the same
+    table a key that comes before. ``a`` and ``b`` are (pairs, tables, own key and turned sides), the smaller id first."""
+    table, code = bucket >> bits, (bucket & ((1 << bits) - 1)).astype(np.int32)
+    differ, wa, wb = a[:, :, 0] ^ b[:, :, 0], a[:, :, 1], b[:, :, 1]
+    n = np.bitwise_count(differ)
+    da, db = differ & wa, differ & wb
+    meet = (n == 0) | ((n == 1) & ((da | db) != 0)) | ((n == 2) & (da != 0) & (db != 0) & ((da | db) == differ))
+    tables = np.arange(meet.shape[1])
+    late = (meet & (tables[None, :] < table[:, None])).any(axis=1)
+    here = np.flatnonzero(table < meet.shape[1])
+    k = table[here]
+    own, n, d, x, y = a[here, k, 0], n[here, k], differ[here, k], da[here, k], db[here, k]
+    low = d & -d
+    high = d ^ low
+    # Keys that both have: their own if it is one, else those that a turned side of either leads to.
+    by_low, by_high = ((x & low) != 0) & ((y & high) != 0), ((x & high) != 0) & ((y & low) != 0)
+    two = np.where(by_low & by_high, np.minimum(own ^ low, own ^ high), np.where(by_low, own ^ low, own ^ high))
+    first = np.where(n == 0, own, np.where(n == 1, np.where(x != 0, own ^ d, own), two))
+    speaks = ~late
+    speaks[here] &= code[here] == first
+    return speaks
+
+
+def _compared(groups: DataFrame, keys: list[str], most: int, bits: int) -> DataFrame:
+    """Pairs i < j of rows (keys..., part, id, sides) that stand together, differ in at most ``most`` sides and speak here. Rows of two
     parts of a block pair meet only across."""
 
+    def pairs(own: np.ndarray, run_at: np.ndarray, part: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends, at = np.searchsorted(run_at, run_at, side="right"), np.arange(len(run_at))
+        words = np.ascontiguousarray(rows[:, : 8 * WORDS]).view(np.uint64)
+        travel = np.ascontiguousarray(rows[:, 8 * WORDS :]).view(np.int32).reshape(len(rows), -1, 2)
+        cross = own[:, 1] != own[:, 2]
+        for d in range(1, int((ends - at).max(initial=1))):
+            a = np.flatnonzero(ends - at > d)
+            b = a + d
+            fit = (~cross[a] | (part[a] != part[b])) & (ids[a] != ids[b])
+            a, b = a[fit], b[fit]
+            near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= most
+            a, b = a[near], b[near]
+            swap = ids[a] > ids[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            real = _speaks(own[a, 0], bits, travel[a], travel[b])
+            if real.any():
+                yield pa.RecordBatch.from_pydict({"i": ids[a[real]], "j": ids[b[real]]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] | None = None
-
-        def pairs(key: np.ndarray, part: np.ndarray, cross: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ends = np.searchsorted(key, key, side="right")
-            for d in range(1, int((ends - np.arange(len(key))).max(initial=1))):
-                a = np.flatnonzero(ends - np.arange(len(key)) > d)
-                b = a + d
-                fit = ~cross[a] | (part[a] != part[b])
-                a, b = a[fit], b[fit]
-                near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= most
-                a, b = ids[a[near]], ids[b[near]]
-                real = a != b
-                if real.any():
-                    yield pa.RecordBatch.from_pydict({"i": np.minimum(a, b)[real], "j": np.maximum(a, b)[real]})
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy() for k in range(len(keys))]
+            own = np.stack([batch.column(k).to_numpy() for k in range(len(keys))], axis=1)
             part, ids = batch.column(len(keys)).to_numpy(), batch.column(len(keys) + 1).to_numpy()
-            words = np.frombuffer(b"".join(batch.column(len(keys) + 2).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
-            own = np.stack(columns, axis=1)
+            rows = np.frombuffer(b"".join(batch.column(len(keys) + 2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
             if rest is not None:
-                own, part, ids, words = (np.concatenate([x, y]) for x, y in zip(rest, (own, part, ids, words)))
+                own, part, ids, rows = (np.concatenate([x, y]) for x, y in zip(rest, (own, part, ids, rows)))
             run_at = np.concatenate([[0], np.cumsum((own[1:] != own[:-1]).any(axis=1))])
             last = int(np.searchsorted(run_at, run_at[-1]))
-            rest = own[last:], part[last:], ids[last:], words[last:]
-            cross = own[:last, 1] != own[:last, 2]
-            yield from pairs(run_at[:last], part[:last], cross, ids[:last], words[:last])
-        if rest is not None and len(rest[2]):
-            own, part, ids, words = rest
-            yield from pairs(np.zeros(len(ids), dtype=np.int64), part, own[:, 1] != own[:, 2], ids, words)
+            rest = own[last:], part[last:], ids[last:], rows[last:]
+            yield from pairs(own[:last], run_at[:last], part[:last], ids[:last], rows[:last])
+        if rest is not None:
+            own, part, ids, rows = rest
+            yield from pairs(own, np.zeros(len(ids), dtype=np.int64), part, ids, rows)
 
     return groups.mapInArrow(run, "i long, j long")
 
@@ -162,7 +193,7 @@ def near_pairs(rows: DataFrame, key: str, vector: str, threshold: float, miss: f
     odds = math.acos(min(1.0, threshold)) / math.pi
     most = math.ceil(64 * WORDS * odds + DEVIATIONS * math.sqrt(64 * WORDS * odds * (1 - odds)))
     ordered = groups.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    pairs = stored(_compared(ordered, ["bucket", "lo", "hi"], most).distinct(), "plane-pairs")
+    pairs = stored(_compared(ordered, ["bucket", "lo", "hi"], most, bits).distinct(), "plane-pairs")
     return verified(pairs, held, threshold), members
 
 
