@@ -1,24 +1,29 @@
-"""Exact similarity join of texts by their character shingles: size classes, shared parts of the sets, verification.
+"""Similarity join of texts by their character shingles: size classes, shared parts of the sets, verification.
 
 Rows with equal shingle sets are collapsed into classes first. Two sets of sizes a and b with a Jaccard of at least t differ in at
 most (1 - t) / (1 + t) * (a + b) shingles. If the shingles are dealt into more parts than that by their hash, some parts of both sets
 are equal, so sets are joined by (size class, part, hash of the shingles in the part). A part holds several shingles, so
 it is far rarer than one: prefixes of single shingles, rarest first, gave some 40 times the work here, since no run of five
-characters is rare in a large corpus. There are 2q parts beyond those needed, so that each set may leave out its q parts that tell least
-(empty ones, or few frequent shingles by a table of counts) and still at least one equal part remains to both. The join
-is an equi-join that Spark's adaptive planner can split. Candidates must pass a bound on differing shingles by
-parity sketches, and are then verified on whole sets.
+characters is rare in a large corpus. A small set speaks of its parts, and there are 2q parts beyond those needed, so that each set may leave out its
+q parts that tell least (empty ones, or few frequent shingles by a table of counts) and still at least one equal part
+remains to both. That would be a row for every few characters of a long text, though more than a third of the parts of a pair just at the
+threshold are equal. So a large set speaks of so many parts only that the chance that none of them is equal is below ``MISS``, whatever its size.
+
+The parts of a set travel in one row until copies are gone; rows of parts that no other set has go before the join, which is
+an equi-join that Spark's adaptive planner can split. Texts are read again, and move only for candidates that pass a bound on differing
+shingles by parity sketches; these are verified on whole sets.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -32,6 +37,11 @@ SPARE = 0.25
 SKETCH = 2048
 #: The first parts' 16-bit fingerprints travel along: of a pair of which so many agree, later parts don't speak again.
 LANES, AGREED = 4, 3
+#: Chance that a pair of large sets just at the threshold has no part in common; of small sets none is missed.
+MISS = 1e-12
+#: Shingles of a large set's part, as a multiple of those with one differing shingle in a part on average; sets of so many
+#: shingles, among which chance has more in common and sketches are full, have parts of twice as many.
+WIDTH, FULL = 1.0, 6000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -72,27 +82,20 @@ def _map(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def classes(rows: DataFrame, key: str, texts: list[str], n: int) -> DataFrame:
-    """key, class_id of the rows without an empty text: the least key of those with the same shingle sets."""
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    both = np.array([np.bitwise_xor.reduce(s * _MIX), (s ^ (s >> np.uint64(31))).sum(dtype=np.uint64)], dtype=np.uint64).view(np.int64)
+    return int(both[0]), int(both[1])
 
-    def digests(keys: pa.Array, *columns: pa.Array) -> tuple:
-        a, b, size = [], [], []
-        for own in zip(*(c.to_pylist() for c in columns)):
-            s = _tagged(own, n)
-            a.append(int(np.bitwise_xor.reduce(s * _MIX)) if len(s) else 0)
-            b.append(int((s ^ (s >> np.uint64(31))).sum(dtype=np.uint64)) if len(s) else 0)
-            size.append(len(s))
-        return keys, np.array(a, dtype=np.uint64).view(np.int64), np.array(b, dtype=np.uint64).view(np.int64), np.array(size, dtype=np.int32)
 
-    real = rows.where(" and ".join(f"`{t}` <> ''" for t in texts))
-    digested = stored(_map(real, digests, "key long, a long, b long, n int"), "set-digests")
+def classes(digested: DataFrame) -> DataFrame:
+    """key, class_id: the least key of those with the same digests (a, b) and size n of their sets."""
     least = digested.groupBy("a", "b", "n").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("c"))
     # Only sets that stand more than once need the join back.
     shared = least.where("c > 1").drop("c")
     return stored(digested.join(shared, ["a", "b", "n"], "left").select("key", F.coalesce("class_id", "key").alias("class_id")), "set-classes")
 
 
-def _weights(reps: DataFrame, n: int) -> np.ndarray:
+def _weights(rows: DataFrame, n: int) -> np.ndarray:
     """How often each slot of the shingles' hashes is hit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +106,18 @@ def _weights(reps: DataFrame, n: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(at), "c": pa.array(total[at])})
 
-    found = reps.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
+    found = rows.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
     weights = np.zeros(SLOTS, dtype=np.float64)
     weights[found["slot"].to_numpy()] = found["c"].to_numpy()
     return weights
 
 
-@dataclass(frozen=True)
+def _at_least(mean: float, least: int) -> float:
+    """Chance of so many shingles in a part that holds ``mean`` on average."""
+    return 1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(least))
+
+
+@dataclass(frozen=True, eq=False)
 class Parts:
     """How sets of each size are dealt into parts, for a threshold."""
 
@@ -131,26 +139,70 @@ class Parts:
         """The least size of a class."""
         return math.ceil(self.threshold ** (-2 * g) - 1e-9)
 
-    def keys(self, s: np.ndarray, g: int, key: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the parts that a set speaks of in class g, and with each the fingerprints of the first parts."""
-        most = math.floor((self.first(g + 1) - 1) * (1 - self.threshold) / self.threshold + 1e-9)
-        spare = math.ceil(SPARE * (most + 1))
-        parts = most + 1 + 2 * spare
-        at = ((s >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
-        held = np.zeros(parts, dtype=np.uint64)
+    def most(self, g: int) -> int:
+        """Shingles in which a pair of class g at the threshold differs at most."""
+        return math.floor((self.first(g + 1) - 1) * (1 - self.threshold) / self.threshold + 1e-9)
+
+    def spare(self, g: int) -> int:
+        return math.ceil(SPARE * (self.most(g) + 1))
+
+    @functools.cache  # noqa: B019
+    def drawn(self, g: int) -> tuple[int, int, int]:
+        """Parts of a large set of class g, how many it speaks of, and the shingles that such a part has at least."""
+        width = WIDTH * (2 if self.first(g + 1) >= FULL else 1)
+        parts = max(1, round((self.most(g) + 1) / width))
+        least = max(1, round(width * self.threshold / (1 - self.threshold) / 2))
+        odds = []
+        for a in (self.first(g), self.first(g + 1) - 1):
+            for b in (a, a / self.threshold):
+                union = (a + b) / (1 + self.threshold)
+                odds.append(math.exp(-(1 - self.threshold) * union / parts) * _at_least(self.threshold * union / parts, least))
+        return parts, math.ceil(math.log(MISS) / math.log(1 - min(odds))), least
+
+    def small(self, g: int) -> bool:
+        """Whether sets of class g speak of all parts but the spare ones."""
+        return self.most(g) + 1 + self.spare(g) <= self.drawn(g)[1]
+
+    def _dealt(self, s: np.ndarray, deal: int, parts: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shingles in the first ``upto`` parts of a dealing, the part of each, and the parts' hashes."""
+        h = s if not deal else (s ^ (s >> np.uint64(23))) * (_ODD + np.uint64(2 * deal))
+        at = ((h >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
+        if upto < parts:
+            s, at = s[at < upto], at[at < upto]
+        held = np.zeros(upto, dtype=np.uint64)
         np.add.at(held, at, (s ^ (s >> np.uint64(29))) * _MIX)
-        told = np.bincount(at, weights=self.tells[(s & np.uint64(SLOTS - 1)).astype(np.int64)], minlength=parts)
-        numbers = np.arange(parts, dtype=np.uint64)
-        held = ((held ^ (numbers + np.uint64(g << 32))) + _ODD) * _MIX
+        return s, at, held
+
+    def keys(self, s: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the parts that a set speaks of in class g, and the parts' numbers."""
+        if self.small(g):
+            spare = self.spare(g)
+            parts = self.most(g) + 1 + 2 * spare
+            _, at, held = self._dealt(s, 0, parts, parts)
+            told = np.bincount(at, weights=self.tells[(s & np.uint64(SLOTS - 1)).astype(np.int64)], minlength=parts)
+            speaks = np.sort(np.argpartition(told, spare)[spare:])
+        else:
+            parts, wanted, least = self.drawn(g)
+            found, told = [], []
+            for deal in range(-(-wanted // parts)):
+                upto = min(parts, wanted - deal * parts)
+                _, at, own = self._dealt(s, deal, parts, upto)
+                found.append(own)
+                told.append(np.bincount(at, minlength=upto))
+            held, speaks = np.concatenate(found), np.flatnonzero(np.concatenate(told) >= least)
+        held = ((held ^ (np.arange(len(held), dtype=np.uint64) + np.uint64(g << 32))) + _ODD) * _MIX
         held ^= held >> np.uint64(31)
-        speaks = np.sort(np.argpartition(told, spare)[spare:])
+        return held[speaks], speaks
+
+    def lanes(self, held: np.ndarray, speaks: np.ndarray, key: int) -> tuple[int, int]:
+        """Fingerprints that travel with the first parts, and with the others."""
         # Parts that aren't spoken of have bits of the row's key, which agree with nobody's; so do all lanes of the first parts themselves.
         own = (np.arange(1, LANES + 1, dtype=np.uint64) * _ODD + np.uint64(key & (1 << 64) - 1)) * _MIX
         own ^= own >> np.uint64(32)
-        lanes, first = own.copy(), speaks[speaks < LANES]
-        lanes[first] = held[first]
+        lanes, first = own.copy(), speaks < LANES
+        lanes[speaks[first]] = held[first]
         packed = [((x & np.uint64(0xFFFF)) << (np.arange(LANES, dtype=np.uint64) * np.uint64(16))).sum(dtype=np.uint64) for x in (own, lanes)]
-        return held[speaks], np.where(speaks < LANES, packed[0], packed[1])
+        return tuple(int(x) for x in np.array(packed, dtype=np.uint64).view(np.int64))
 
 
 def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float = 0.85, n: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -161,39 +213,46 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
     texts in any order. Several texts are joined through the union of their sets, each with shingles of its own: if each pair of sets
     reaches the threshold, so does that of the unions.
     """
-    made = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), *[squeezed(F.col(t)).alias(f"t{k}") for k, t in enumerate(texts)])
     names = [f"t{k}" for k in range(len(texts))]
-    members = classes(made, "key", names, n)
-    ids = members.select(F.col("class_id").alias("key")).distinct()
-    reps = stored(made.join(ids, "key", "left_semi").dropDuplicates(["key"]), "set-reps")
-    weights = _weights(reps, n)
-
-    total = max(1.0, float(weights.sum()))
-    dealt = Parts(threshold, -np.log((weights + 1) / (total + SLOTS)))
+    made = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), *[squeezed(F.col(t)).alias(x) for x, t in zip(names, texts)])
+    made = made.where(" and ".join(f"{x} <> ''" for x in names))
+    # The table is for small sets only: those of long texts leave no part out for what it tells.
+    plain = Parts(threshold, np.zeros(SLOTS))
+    top = next(g for g in range(1 << 20) if not plain.small(g))
+    chars = sum((F.char_length(x) for x in names), F.lit(0))
+    weights = _weights(made.where(chars < plain.first(top + 1) + n * len(names)), n)
+    dealt = Parts(threshold, -np.log((weights + 1) / (max(1.0, float(weights.sum())) + SLOTS)))
 
     def spoken(keys: pa.Array, *columns: pa.Array) -> tuple:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list] = [[] for _ in range(9)]
         for k, own in zip(keys.to_pylist(), zip(*(c.to_pylist() for c in columns))):
             s = _tagged(own, n)
             g = dealt.class_of(len(s))
+            odd = np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
             for c in (g, g - 1) if g and threshold * len(s) < dealt.first(g) else (g,):
-                held, fingers = dealt.keys(s, c, k)
-                for column, x in zip(out, (held.view(np.int64), np.full(len(held), k, dtype=np.int64), fingers.view(np.int64))):
+                held, speaks = dealt.keys(s, c)
+                row = (k, *_digest(s), len(s), odd if c == g else None, held.view(np.int64), int((speaks < LANES).sum()), *dealt.lanes(held, speaks, k))
+                for column, x in zip(out, row):
                     column.append(x)
-        return tuple(np.concatenate(x) for x in out)
-
-    def sketches(keys: pa.Array, *columns: pa.Array) -> tuple:
-        sets = [_tagged(own, n) for own in zip(*(c.to_pylist() for c in columns))]
-        odd = [np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1 for s in sets]
-        return keys, np.array([len(s) for s in sets], dtype=np.int32), [np.packbits(x.astype(np.uint8)).tobytes() for x in odd]
-
-    index = _map(reps, spoken, "part long, key long, f long")
+        return tuple(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64())))
+
+    # A row for each set and class; that of its own class has the sketch.
+    sets = stored(_map(made, spoken, "key long, a long, b long, n int, bits binary, parts array<long>, first int, own long, lanes long"), "set-parts")
+    digested = sets.where("bits is not null").select("key", "a", "b", "n", "bits")
+    members = classes(digested.drop("bits"))
+    heads = stored(members.select(F.col("class_id").alias("key")).distinct(), "set-heads")
+
+    each = sets.join(heads, "key", "left_semi").select("key", "first", "own", "lanes", F.posexplode("parts").alias("at", "part"))
+    each = each.select("part", "key", F.when(F.col("at") < F.col("first"), F.col("own")).otherwise(F.col("lanes")).alias("f"))
+    # Most parts are one set's alone.
+    index = stored(each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("c > 1").drop("c"), "set-index")
     a, b = (index.toDF("part", x, f"f{x}") for x in "ij")
     lane = lambda c, k: F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(0xFFFF)
     agreed = sum(((lane("fi", k) == lane("fj", k)).cast("int") for k in range(LANES)), F.lit(0))
     pairs = a.join(b, "part").where((F.col("i") < F.col("j")) & (agreed < AGREED)).select("i", "j").distinct()
     # Bits that differ are fewer than shingles that differ.
-    sketched = stored(_map(reps, sketches, "key long, n int, bits binary"), "set-sketches")
+    met = index.select("key").distinct()
+    sketched = stored(digested.join(met, "key", "left_semi").select("key", "n", "bits").dropDuplicates(["key"]), "set-sketches")
     for x in "ij":
         pairs = pairs.join(sketched.toDF(x, f"n{x}", f"b{x}"), x)
 
@@ -205,9 +264,11 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
         return i.take(at), j.take(at)
 
     pairs = stored(_map(pairs.select("i", "j", "ni", "nj", "bi", "bj"), bounded, "i long, j long"), "set-candidates")
+    paired = stored(pairs.select(F.col("i").alias("key")).union(pairs.select("j")).distinct(), "set-paired")
+    held = stored(made.join(paired, "key", "left_semi").dropDuplicates(["key"]), "set-texts")
     both = pairs
     for x in "ij":
-        both = both.join(reps.toDF(x, *[f"{x}{t}" for t in names]), x)
+        both = both.join(held.toDF(x, *[f"{x}{t}" for t in names]), x)
     both = both.select("i", "j", *[f"i{t}" for t in names], *[f"j{t}" for t in names])
 
     def verified(i: pa.Array, j: pa.Array, *columns: pa.Array) -> tuple:

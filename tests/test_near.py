@@ -1,6 +1,7 @@
 """Near-duplicates against plain restatements: set joins, random planes, removal in rounds."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -64,6 +65,24 @@ def test_similar_pairs_of_nothing(spark):
         assert pairs.count() == members.count() == 0
 
 
+def test_long_sets_speak_of_few_parts():
+    """The rows of a set don't grow with it, and of pairs just at the threshold none of 300 is missed, whatever their size."""
+    r = np.random.default_rng(3)
+    for threshold in (0.85, 0.94):
+        dealt = setjoin.Parts(threshold, np.zeros(setjoin.SLOTS))
+        for size in (40, 330, 700, 2500, 9000, 60_000):
+            g = dealt.class_of(size)
+            wanted = dealt.drawn(g)[1]
+            assert wanted < 600 and len(dealt.keys(r.integers(0, 1 << 63, size).astype(np.uint64), g)[0]) <= wanted
+            for _ in range(50 if size < 10_000 else 3):
+                a = r.integers(0, 1 << 63, size).astype(np.uint64)
+                n = int(size * (1 - threshold) / (1 + threshold))
+                b = np.concatenate([a[n:], r.integers(0, 1 << 63, n).astype(np.uint64)])
+                assert len(np.intersect1d(dealt.keys(np.sort(a), g)[0], dealt.keys(np.sort(b), g)[0])) > 0
+    old_rows = math.floor(60_000 * 0.15 / 0.85)
+    assert len(setjoin.Parts(0.85, np.zeros(setjoin.SLOTS)).keys(np.arange(60_000, dtype=np.uint64) * setjoin._ODD, setjoin.Parts(0.85, np.zeros(1)).class_of(60_000))[0]) < old_rows / 10
+
+
 def clustered(seed, n, d, spread):
     r = np.random.default_rng(seed)
     centres = r.standard_normal((n // 12, d))
