@@ -158,12 +158,10 @@ def _compared(groups: DataFrame, keys: list[str], most: int, bits: int) -> DataF
     return groups.mapInArrow(run, "i long, j long")
 
 
-def near_pairs(rows: DataFrame, key: str, vector: str, threshold: float, miss: float = MISS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Pairs (i < j, similarity) of class representatives with a cosine of at least the threshold, and the membership
-    (key, class_id) of all rows; a class is rows with equal vectors, named by its least key.
+def vector_classes(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """The first row (key, v) of each class of rows with equal vectors, and the membership (key, class_id) of all rows.
 
-    Of the pairs just at the threshold a share of about ``miss`` isn't found, and less above it; ``dense_pairs`` is the exact
-    form. Keys are whole numbers. Rows with a null key, a null, empty or zero vector, or one with null or non-finite entries
+    Keys are whole numbers. Rows with a null key, a null, empty or zero vector, or one with null or non-finite entries
     are in no class; neither are rows of another dimension than most (the larger on a tie).
     """
     v = F.col(vector)
@@ -171,14 +169,25 @@ def near_pairs(rows: DataFrame, key: str, vector: str, threshold: float, miss: f
     clean = rows.where(F.col(key).isNotNull() & (F.size(v) > 0) & ~bad).select(F.col(key).cast("long").alias("key"), v.cast("array<double>").alias("v"))
     names = stored(clean.select("key", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"), F.size("v").alias("d")), "plane-digests")
     common = names.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
-    dimension = common["d"] if common else 1
-    names = names.where(F.col("d") == dimension)
+    names = names.where(F.col("d") == (common["d"] if common else 1))
     least = names.groupBy("a", "b").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("c"))
     members = stored(names.join(least.where("c > 1").drop("c"), ["a", "b"], "left").select("key", F.coalesce("class_id", "key").alias("class_id")), "plane-classes")
     held = stored(clean.join(members.select(F.col("class_id").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]), "plane-rows")
+    return held, members
+
+
+def near_pairs(rows: DataFrame, key: str, vector: str, threshold: float, miss: float = MISS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Pairs (i < j, similarity) of class representatives with a cosine of at least the threshold, and the membership
+    (key, class_id) of all rows; a class is rows with equal vectors, named by its least key (see ``vector_classes``).
+
+    Of the pairs just at the threshold a share of about ``miss`` isn't found, and less above it; ``dedup.dense_pairs`` is the exact
+    form.
+    """
+    held, members = vector_classes(rows, key, vector)
     n = held.count()
     if not n:
         return members.select(F.col("key").alias("i"), F.col("key").alias("j"), F.lit(0.0).alias("similarity")).limit(0), members
+    dimension = len(held.first()["v"])
     sample = np.array([r["v"] for r in held.orderBy(F.xxhash64("key")).limit(SAMPLE).collect()])
     bits = bits_for(sample, n, bucket)
     keyed = stored(_keyed(held, dimension, bits, tables_for(threshold, bits, miss)), "plane-keys")

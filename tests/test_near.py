@@ -108,6 +108,27 @@ def test_near_pairs_recall(spark, spread, bucket, offset):
     assert all(abs(sims[i, j] - s) < 1e-9 for (i, j), s in got.items())
 
 
+@pytest.mark.parametrize("block", [131_072, 200])
+def test_dense_links_and_edges_are_exact(spark, block):
+    """All pairs of few dimensions, of which random planes missed some; few and many blocks, copies, and rows in no pair."""
+    r = np.random.default_rng(5)
+    v = r.standard_normal((3000, 12))
+    v[700], v[900] = v[3], v[3]
+    bad = [None, [], [0.0] * 12, [float("nan")] * 12, [None] * 12, [1.0, 2.0]]
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(5000 + k, x) for k, x in enumerate(bad)] + [(None, [1.0] * 12)]
+    rows = spark.createDataFrame(rows, "id long, e array<double>").selectExpr("id", "slice(e, 1, 6) as a", "slice(e, 7, 6) as q")
+    a, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (v[:, :6], v[:, 6:]))
+    a, q = a @ a.T, q @ q.T
+    near = (a >= 0.85).sum(axis=1) - 1
+    got = {x["key"]: (x["class_id"], x["n_links"]) for x in dedup.dense_links(rows, "id", "a", 0.85, block).collect()}
+    assert got == {i: (3 if i in (700, 900) else i, int(near[i])) for i in range(3000)}
+    rule = np.where(a >= dedup.ANSWER, "answer", np.where((a >= dedup.BOTH) & (q >= dedup.QUESTION), "question_answer", ""))
+    want = {(int(i), int(j), str(rule[i, j])) for i, j in zip(*np.nonzero(np.triu(rule != "", 1)))}
+    found = [tuple(x) for x in dedup.dense_rule_edges(rows, "id", "a", "q", block).collect()]
+    assert set(found) == want and len(found) == len(want) > 500
+    assert dedup.dense_links(rows.limit(0), "id", "a", 0.85).count() == dedup.dense_rule_edges(rows.limit(0), "id", "a", "q").count() == 0
+
+
 def test_near_pairs_of_nothing(spark):
     pairs, members = planes.near_pairs(spark.createDataFrame([(1, None)], "id long, e array<float>"), "id", "e", 0.9)
     assert pairs.count() == members.count() == 0 and pairs.columns == ["i", "j", "similarity"]
