@@ -164,7 +164,7 @@ _ANSWERS = f"v as (select vec_id, {_V}[1:6] as x from embeddings), u as (select
 @query(f"with {_ANSWERS}, p as (select a.c, sum(b.n)::bigint as l from k a join k b on a.c <> b.c and list_inner_product(a.u, b.u) >= 0.85 group by a.c) select vec_id as key, k.c as class_id, n - 1 + coalesce(l, 0) as n_links from u join k using (x) left join p on p.c = k.c")
 def j10_semantic_links(spark: SparkSession, d: str) -> DataFrame:
     """For each row its class of equal answer vectors and the number of rows with a cosine of at least 0.85."""
-    return J.linked(*P.near_pairs(parts(spark, d), "vec_id", "answer", D.BOTH))
+    return D.dense_links(parts(spark, d), "vec_id", "answer", D.BOTH)
 
 
 @query(f"with v as (select vec_id, label, list_transform({_V}, lambda x: x / sqrt(list_inner_product({_V}, {_V}))) as u from embeddings) select a.vec_id as i, b.vec_id as j, case when a.label < b.label then a.vec_id else b.vec_id end as loser from v a join v b on a.vec_id < b.vec_id where list_inner_product(a.u, b.u) >= 0.5")
