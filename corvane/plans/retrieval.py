@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import dedup as D
 from ..operators import nearest as N
-from ..operators import planes as P
 from ..operators import retrieve as R
 from ..operators import segment as G
 from ..operators import setjoin as J
@@ -191,9 +190,7 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = parts(spark, d)
-    near = lambda part, threshold: J.expanded(*P.near_pairs(rows, "vec_id", part, threshold))
-    return D.rule_edges(near("answer", D.BOTH), near("question", D.QUESTION))
+    return D.dense_rule_edges(parts(spark, d), "vec_id", "answer", "question")
 
 
 @query(f"""with v as (select vec_id, {_unit(_V + '[1:6]')} as a, {_unit(_V + '[7:12]')} as q from embeddings),
