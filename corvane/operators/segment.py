@@ -89,37 +89,45 @@ PROFILES = {
 def passages(lines: DataFrame, profile: Profile) -> DataFrame:
     """work, book, part, chapter_title, sub_chapter, aph_num, text_en, line_start, line_end, char_count.
 
-    Parts, numbers and resets run along the lines as prefix scans, so a book may be as large as the table; a passage's own lines
-    are gathered.
+    Parts, numbers and resets run along the lines as prefix scans, so a book may be as large as the table. Marks alone are scanned;
+    the lines' texts move twice, to their places in a passage and to the passage.
     """
     p = profile
+    lines = stored(lines.select("book", "line_no", "line"), "book-lines")
     bare = F.regexp_replace("line", r"\s+$", "")
     named = F.regexp_extract(bare, p.part, 1)
     is_part = (named != "") & (F.col("line_no") >= p.guard) & ~T.trim_all(F.col("line")).isin(*(p.skip or ("",)))
-    rows = with_isolated(lines) if p.lonely else lines
-    rows = rows.withColumn("title", F.when(is_part & F.col("isolated") if p.lonely else is_part, named))
     stop = F.lit(False)
     for mark in p.end:
         stop = stop | ((T.trim_all(F.col("line")) == mark) if p.end_equals else F.contains("line", F.lit(mark)))
-    rows = stored(rows.withColumn("stop", stop), "book-lines")
+    digits = F.regexp_extract(bare, p.number, 1)
+    marks = lines.select("book", "line_no", F.when(is_part, named).alias("title"), stop.alias("stop"), (T.trim_all(F.col("line")) == "").alias("blank"),
+                         F.when(digits != "", digits.try_cast("int")).alias("number"), (inline(bare, digits) if p.may_inline else F.lit(False)).alias("inline"))
+    rows = stored(marks, "book-marks")
+    if p.lonely:
+        alone = F.coalesce("previous", F.lit(True)) | F.coalesce("following", F.lit(True))
+        rows = stored(neighbours(rows, ["book"], "line_no", "blank").withColumn("title", F.when(alone, F.col("title"))).drop("previous", "following"), "book-marks")
     first = rows.where("title is not null").groupBy("book").agg(F.min("line_no").alias("first"))
     after = rows.where("stop").join(first, "book").where("line_no > first").groupBy("book").agg(F.min("line_no").alias("end"))
     bounds = stored(first.join(after, "book", "left"), "book-bounds")
     body = rows.join(bounds, "book").where((F.col("line_no") >= F.col("first")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end"))))
-    digits = F.regexp_extract(bare, p.number, 1)
-    body = body.withColumn("num", F.when((digits != "") & F.col("title").isNull(), digits.try_cast("int")))
-    body = scanned(body.drop("first", "end", "stop"), ["book"], "line_no", carried={"chapter_title": "title"}, counted={"seq": "title"})
+    body = body.withColumn("num", F.when(F.col("title").isNull(), F.col("number")))
+    body = scanned(body.drop("first", "end", "stop", "number"), ["book"], "line_no", carried={"chapter_title": "title"}, counted={"seq": "title"})
     body = scanned(body, ["book", "seq"], "line_no", counted={"item": "num"})
     if p.whole:
         body = body.join(body.groupBy("book", "seq").agg(F.count("num").alias("numbers")), ["book", "seq"])
     wanted = (F.col("item") > 0) | (F.col("numbers") == 0) if p.whole else F.col("item") > 0
-    keep_line = F.when(F.col("num").isNotNull(), inline(bare, digits) if p.may_inline else F.lit(False)).otherwise(F.col("title").isNull())
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep_line, F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    made = body.where(wanted).groupBy("book", "seq", "chapter_title", "item").agg(F.max("num").alias("aph_num"), T.trim_all(text).alias("text_en"), F.min("line_no").alias("line_start"), (F.max("line_no") + 1).alias("line_end"))
-    made = made.withColumn("aph_num", F.coalesce("aph_num", F.lit(1))).where("text_en <> ''")
+    keep_line = F.when(F.col("num").isNotNull(), F.col("inline")).otherwise(F.col("title").isNull())
+    placed = stored(body.where(wanted).select("book", "line_no", "seq", "chapter_title", "item", "num", "blank", keep_line.alias("kept")), "book-places")
+    made = placed.groupBy("book", "seq", "chapter_title", "item").agg(F.max("num").alias("aph_num"), F.min("line_no").alias("line_start"), (F.max("line_no") + 1).alias("line_end"), F.max(F.col("kept") & ~F.col("blank")).alias("real"))
+    made = made.withColumn("aph_num", F.coalesce("aph_num", F.lit(1))).where("real").drop("real")
     part = F.col("seq").cast("int")
     for name, k in reversed(p.parts.items()):
         part = F.when(F.col("chapter_title") == name, F.lit(k)).otherwise(part)
     made = made.withColumn("part", part)
     made = with_resets(made, "aph_num", "line_start", ("book", "seq")) if p.sub else made.withColumn("sub_chapter", F.lit(None).cast("int"))
+    key = ["book", "seq", "item"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    texts = lines.join(placed.where("kept").select("line_no", *key), ["book", "line_no"]).groupBy(*key).agg(T.trim_all(text).alias("text_en"))
+    made = made.join(texts, key)
     return made.select(F.lit(p.work).alias("work"), "book", "part", "chapter_title", F.col("sub_chapter").cast("int").alias("sub_chapter"), "aph_num", "text_en", "line_start", "line_end", F.char_length("text_en").alias("char_count"))

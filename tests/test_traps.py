@@ -144,6 +144,21 @@ def test_segments(spark):
     assert got == [("PREFACE", 0, 1, "whole text"), ("WHY I AM SO WISE", 0, 1, "1. inline one"), ("WHY I AM SO WISE", 0, 2, "two"), ("WHY I AM SO WISE", 1, 1, "again")]
 
 
+@pytest.mark.parametrize("work", ["TI", "EH"])
+def test_scans_of_books_carry_no_text(spark, monkeypatch, work):
+    """Marks run along the lines; texts move once they are known to be kept. An empty passage counts no reset."""
+    seen = []
+    for name in ("scanned", "neighbours"):
+        real = getattr(segment, name)
+        monkeypatch.setattr(segment, name, lambda rows, *a, real=real, **k: (seen.append(set(rows.columns)), real(rows, *a, **k))[1])
+    lines = ["x"] * 200 + ["", "PREFACE", "", "2. two", "more", "", "1", " ", "3", "three"]
+    df = spark.createDataFrame([("b", k, x) for k, x in enumerate(lines)], "book string, line_no int, line string")
+    got = [(r["sub_chapter"], r["aph_num"], r["text_en"], r["line_start"], r["line_end"]) for r in segment.passages(df, segment.PROFILES[work]).orderBy("line_start").collect()]
+    sub = 0 if work == "EH" else None
+    assert got == [(sub, 2, "2. two\nmore", 203, 206), (sub, 3, "three", 208, 210)]
+    assert seen and not any(x & {"line", "text_en"} for x in seen)
+
+
 def test_resets(spark):
     df = spark.createDataFrame([("b", k, n) for k, n in enumerate([1, 2, 3, 1, 2, 1])], "book string, line_no int, n int")
     assert [r["sub_chapter"] for r in segment.with_resets(df, "n").orderBy("line_no").collect()] == [0, 0, 0, 1, 1, 2]
