@@ -211,7 +211,7 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
 
     Keys are whole numbers. Rows with a null key or an empty (or null) text are in no pair and no class; a key that repeats counts as one row with its
     texts in any order. Several texts are joined through the union of their sets, each with shingles of its own: if each pair of sets
-    reaches the threshold, so does that of the unions.
+    reaches the threshold, so does that of the unions. A pair of large sets just at the threshold is missed with a chance below ``MISS``.
     """
     names = [f"t{k}" for k in range(len(texts))]
     made = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), *[squeezed(F.col(t)).alias(x) for x, t in zip(names, texts)])

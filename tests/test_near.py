@@ -66,7 +66,7 @@ def test_similar_pairs_of_nothing(spark):
 
 
 def test_long_sets_speak_of_few_parts():
-    """The rows of a set don't grow with it, and of pairs just at the threshold none of 300 is missed, whatever their size."""
+    """The rows of a set don't grow with it, and of pairs just at the threshold none of 506 is missed, whatever their size."""
     r = np.random.default_rng(3)
     for threshold in (0.85, 0.94):
         dealt = setjoin.Parts(threshold, np.zeros(setjoin.SLOTS))
