@@ -10,8 +10,9 @@ remains to both. That would be a row for every few characters of a long text, th
 threshold are equal. So a large set speaks of so many parts only that the chance that none of them is equal is below ``MISS``, whatever its size.
 
 The parts of a set travel in one row until copies are gone; rows of parts that no other set has go before the join, which is
-an equi-join that Spark's adaptive planner can split. Texts are read again, and move only for candidates that pass a bound on differing
-shingles by parity sketches; these are verified on whole sets.
+an equi-join that Spark's adaptive planner can split. The rows that are left bear a sketch of ``SKETCH`` bits, so that pairs of sets that
+have little more than a part in common don't leave the join. Texts are read again, and move only for candidates: to the chunks that these are
+dealt into, once to each, not once for each candidate. There they are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -33,11 +34,14 @@ from ..session import stored
 SLOTS = 1 << 16
 #: Share of the least number of parts that a set may leave out.
 SPARE = 0.25
-#: Bits of the parity sketches.
-SKETCH = 2048
+#: Bits of the sketches, a multiple of 64.
+SKETCH = 256
+#: Texts of either side of a chunk of candidates, about.
+CHUNK = 128
 #: The first parts' 16-bit fingerprints travel along: of a pair of which so many agree, later parts don't speak again.
 LANES, AGREED = 4, 3
-#: Chance that a pair of large sets just at the threshold has no part in common; of small sets none is missed.
+#: Chance that a pair of large sets just at the threshold has no part in common, and that the sketches of a pair at the threshold differ in
+#: more bits than allowed. Sets of up to some 300 shingles, at 0.85, are missed by neither.
 MISS = 1e-12
 #: Shingles of a large set's part, as a multiple of those with one differing shingle in a part on average; sets of so many
 #: shingles, among which chance has more in common and sketches are full, have parts of twice as many.
@@ -87,6 +91,24 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A bit of the least hash of each of ``SKETCH`` bins (0 of an empty one), as whole numbers of 64 bits; ``s`` is sorted."""
+    least = np.zeros(SKETCH, dtype=np.uint64)
+    least[((s[::-1] >> np.uint64(40)) % np.uint64(SKETCH)).astype(np.int64)] = s[::-1]  # the last one that is written is the least
+    return np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def allowed(threshold: float) -> int:
+    """Bits in which the sketches of a pair may differ, by Chernoff's bound. The least hashes are drawn from both sets' union without replacement; one that only
+    one of the sets has changes a bit with a chance of a half."""
+    p = (1 - threshold) / 2
+    apart = lambda q: q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)
+    bits = math.ceil(SKETCH * p)
+    while bits < SKETCH and math.exp(-SKETCH * apart((bits + 1) / SKETCH)) > MISS:
+        bits += 1
+    return bits
+
+
 def classes(digested: DataFrame) -> DataFrame:
     """key, class_id: the least key of those with the same digests (a, b) and size n of their sets."""
     least = digested.groupBy("a", "b", "n").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("c"))
@@ -211,7 +233,7 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
 
     Keys are whole numbers. Rows with a null key or an empty (or null) text are in no pair and no class; a key that repeats counts as one row with its
     texts in any order. Several texts are joined through the union of their sets, each with shingles of its own: if each pair of sets
-    reaches the threshold, so does that of the unions. A pair of large sets just at the threshold is missed with a chance below ``MISS``.
+    reaches the threshold, so does that of the unions. A pair of large sets just at the threshold is missed with a chance below twice ``MISS``.
     """
     names = [f"t{k}" for k in range(len(texts))]
     made = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), *[squeezed(F.col(t)).alias(x) for x, t in zip(names, texts)])
@@ -223,61 +245,70 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
     weights = _weights(made.where(chars < plain.first(top + 1) + n * len(names)), n)
     dealt = Parts(threshold, -np.log((weights + 1) / (max(1.0, float(weights.sum())) + SLOTS)))
 
+    words = [f"s{k}" for k in range(SKETCH // 64)]
+    kinds = [("key", "long"), ("a", "long"), ("b", "long"), ("n", "int"), *[(w, "long") for w in words], ("parts", "array<long>"), ("first", "int"), ("own", "long"), ("lanes", "long")]
+    arrow = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+
     def spoken(keys: pa.Array, *columns: pa.Array) -> tuple:
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in kinds]
         for k, own in zip(keys.to_pylist(), zip(*(c.to_pylist() for c in columns))):
             s = _tagged(own, n)
             g = dealt.class_of(len(s))
-            odd = np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
             for c in (g, g - 1) if g and threshold * len(s) < dealt.first(g) else (g,):
                 held, speaks = dealt.keys(s, c)
-                row = (k, *_digest(s), len(s), odd if c == g else None, held.view(np.int64), int((speaks < LANES).sum()), *dealt.lanes(held, speaks, k))
+                # Null where the set visits the class below its own.
+                home = (*_digest(s), len(s), *sketch(s).tolist()) if c == g else (None,) * (3 + len(words))
+                row = (k, *home, held.view(np.int64), int((speaks < LANES).sum()), *dealt.lanes(held, speaks, k))
                 for column, x in zip(out, row):
                     column.append(x)
-        return tuple(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64())))
+        return tuple(pa.array(x, arrow[kind]) for x, (_, kind) in zip(out, kinds))
 
-    # A row for each set and class; that of its own class has the sketch.
-    sets = stored(_map(made, spoken, "key long, a long, b long, n int, bits binary, parts array<long>, first int, own long, lanes long"), "set-parts")
-    digested = sets.where("bits is not null").select("key", "a", "b", "n", "bits")
-    members = classes(digested.drop("bits"))
+    # A row for each set and class; that of its own class has the digests and the sketch.
+    sets = stored(_map(made, spoken, ", ".join(f"{x} {kind}" for x, kind in kinds)), "set-parts")
+    home = sets.where("n is not null")
+    members = classes(home.select("key", "a", "b", "n"))
     heads = stored(members.select(F.col("class_id").alias("key")).distinct(), "set-heads")
 
     each = sets.join(heads, "key", "left_semi").select("key", "first", "own", "lanes", F.posexplode("parts").alias("at", "part"))
     each = each.select("part", "key", F.when(F.col("at") < F.col("first"), F.col("own")).otherwise(F.col("lanes")).alias("f"))
-    # Most parts are one set's alone.
-    index = stored(each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("c > 1").drop("c"), "set-index")
-    a, b = (index.toDF("part", x, f"f{x}") for x in "ij")
+    # Most parts are one set's alone; only the others get the sketches.
+    shared = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("c > 1").drop("c")
+    index = stored(shared.join(home.select("key", *words).dropDuplicates(["key"]), "key").select("part", "key", "f", *words), "set-index")
+    a, b = (index.toDF("part", x, f"f{x}", *[f"{w}{x}" for w in words]) for x in "ij")
     lane = lambda c, k: F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(0xFFFF)
     agreed = sum(((lane("fi", k) == lane("fj", k)).cast("int") for k in range(LANES)), F.lit(0))
-    pairs = a.join(b, "part").where((F.col("i") < F.col("j")) & (agreed < AGREED)).select("i", "j").distinct()
-    # Bits that differ are fewer than shingles that differ.
-    met = index.select("key").distinct()
-    sketched = stored(digested.join(met, "key", "left_semi").select("key", "n", "bits").dropDuplicates(["key"]), "set-sketches")
-    for x in "ij":
-        pairs = pairs.join(sketched.toDF(x, f"n{x}", f"b{x}"), x)
-
-    def bounded(i: pa.Array, j: pa.Array, ni: pa.Array, nj: pa.Array, bi: pa.Array, bj: pa.Array) -> tuple:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(len(i), -1) for c in (bi, bj))
-        a, b = ni.to_numpy(), nj.to_numpy()
-        near = np.bitwise_count(x ^ y).sum(axis=1) <= (a + b) * (1 - threshold) / (1 + threshold) + 1e-9
-        at = pa.array(np.flatnonzero(near & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)))
-        return i.take(at), j.take(at)
-
-    pairs = stored(_map(pairs.select("i", "j", "ni", "nj", "bi", "bj"), bounded, "i long, j long"), "set-candidates")
-    paired = stored(pairs.select(F.col("i").alias("key")).union(pairs.select("j")).distinct(), "set-paired")
-    held = stored(made.join(paired, "key", "left_semi").dropDuplicates(["key"]), "set-texts")
-    both = pairs
-    for x in "ij":
-        both = both.join(held.toDF(x, *[f"{x}{t}" for t in names]), x)
-    both = both.select("i", "j", *[f"i{t}" for t in names], *[f"j{t}" for t in names])
-
-    def verified(i: pa.Array, j: pa.Array, *columns: pa.Array) -> tuple:
+    apart = sum((F.bit_count(F.col(f"{w}i").bitwiseXOR(F.col(f"{w}j"))) for w in words), F.lit(0))
+    met = a.join(b, "part").where((F.col("i") < F.col("j")) & (agreed < AGREED) & (apart <= allowed(threshold)))
+    pairs = stored(met.select("i", "j").distinct(), "set-candidates")
+    return _verified(pairs, made, names, threshold, n), members
+
+
+def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: float, n: int) -> DataFrame:
+    """i, j, similarity of the candidates (i < j) of which each text has a Jaccard of at least the threshold.
+
+    A candidate goes to the group of the least set that its first one is a candidate with, so those among near copies of one text are one group. Groups are
+    dealt into chunks by both sides, so no task holds more than some ``CHUNK`` texts of either; a text goes to each chunk once.
+    """
+    groups = pairs.groupBy(F.col("j").alias("i")).agg(F.min("i").alias("g"))
+    grouped = stored(pairs.join(groups, "i", "left").select(F.coalesce("g", "i").alias("g"), "i", "j"), "set-groups")
+    # Estimates are enough: they change the chunks, not the result.
+    sizes = grouped.groupBy("g").agg(*[F.ceil(F.approx_count_distinct(x) / CHUNK).alias(f"n{x}") for x in "ij"])
+    dealt = grouped.join(sizes, "g").select("g", *[F.pmod(F.xxhash64(x), F.col(f"n{x}")).alias(f"c{x}") for x in "ij"], "i", "j")
+    dealt = stored(dealt, "set-chunks")
+    chunk = ["g", "ci", "cj"]
+    wanted = dealt.select(*chunk, F.explode(F.array("i", "j")).alias("key")).distinct()
+    paired = stored(wanted.select("key").distinct(), "set-paired")
+    held = made.join(paired, "key", "left_semi").dropDuplicates(["key"])
+    sent = wanted.join(held, "key").select(*chunk, "key", *names).toDF("sg", "si", "sj", "key", *names)
+
+    def verified(candidates: pa.Table, texts: pa.Table) -> pa.Table:
+        sets = {k: [hashed_shingles(t, n) for t in own] for k, *own in zip(*(texts[x].to_pylist() for x in ("key", *names)))}
         keep, sims = [], []
-        lists = [c.to_pylist() for c in columns]
-        for at in range(len(i)):
+        for at, (i, j) in enumerate(zip(candidates["i"].to_pylist(), candidates["j"].to_pylist())):
             sim = 0.0
-            for k in range(len(names)):
-                x, y = (hashed_shingles(lists[side + k][at], n) for side in (0, len(names)))
+            for x, y in zip(sets[i], sets[j]):
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+                    break
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 sim = common / (len(x) + len(y) - common)
                 if sim < threshold:
@@ -285,10 +316,10 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
             else:
                 keep.append(at)
                 sims.append(sim)
-        at = pa.array(keep, pa.int64())
-        return i.take(at), j.take(at), np.array(sims, dtype=np.float64)
+        found = candidates.select(["i", "j"]).take(pa.array(keep, pa.int64()))
+        return found.append_column("similarity", pa.array(sims, pa.float64()))
 
-    return _map(both, verified, "i long, j long, similarity double"), members
+    return dealt.groupBy(*chunk).cogroup(sent.groupBy("sg", "si", "sj")).applyInArrow(verified, "i long, j long, similarity double")
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -303,7 +334,9 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """key, class_id and n_links of each row: the other rows that are its copies or paired with its class."""
     sizes = stored(members.groupBy("class_id").agg(F.count(F.lit(1)).alias("c")), "class-sizes")
-    both = pairs.select("i", "j").union(pairs.select("j", "i")).toDF("class_id", "other")
+    # Not a union, which would verify the pairs twice.
+    ends = [F.struct(F.col(x).alias("class_id"), F.col(y).alias("other")) for x, y in ("ij", "ji")]
+    both = pairs.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
     others = both.join(sizes.toDF("other", "c"), "other").groupBy("class_id").agg(F.sum("c").alias("l"))
     counted = sizes.join(others, "class_id", "left").select("class_id", (F.col("c") - 1 + F.coalesce("l", F.lit(0))).alias("n_links"))
     return members.join(counted, "class_id").select("key", "class_id", "n_links")

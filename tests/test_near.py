@@ -83,6 +83,41 @@ def test_long_sets_speak_of_few_parts():
     assert len(setjoin.Parts(0.85, np.zeros(setjoin.SLOTS)).keys(np.arange(60_000, dtype=np.uint64) * setjoin._ODD, setjoin.Parts(0.85, np.zeros(1)).class_of(60_000))[0]) < old_rows / 10
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    """Of pairs just at the threshold none is left out, whatever their size; of pairs with little in common nearly all are."""
+    r = np.random.default_rng(4)
+    for threshold in (0.5, 0.85, 0.94):
+        most = setjoin.allowed(threshold)
+        for size in (1, 12, 90, 700, 9000):
+            for _ in range(60):
+                a = r.integers(0, 1 << 64, size, dtype=np.uint64)
+                for shared, near in ((size - int(size * (1 - threshold) / (1 + threshold)), True), (size // 10, False)):
+                    b = np.concatenate([a[:shared], r.integers(0, 1 << 64, size - shared, dtype=np.uint64)])
+                    apart = int(np.bitwise_count((setjoin.sketch(np.sort(a)) ^ setjoin.sketch(np.sort(b))).view(np.uint64)).sum())
+                    assert apart <= most if near else apart > most or size < 700 or threshold == 0.5
+
+
+def test_near_copies_are_verified_in_chunks_once(spark, monkeypatch):
+    """Many near copies of a few texts: texts go to chunks, not to pairs, and counting links doesn't verify pairs twice."""
+    monkeypatch.setattr(setjoin, "CHUNK", 8)
+    r, texts = random.Random(9), []
+    for _ in range(3):
+        start = [r.choice("abcdefghij") + str(r.randrange(60)) for _ in range(200)]
+        texts += [" ".join(w if r.random() > 0.005 else f"x{r.randrange(10**4)}" for w in start) for _ in range(60)]
+    r.shuffle(texts)
+    pairs, members = setjoin.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", ["t"])
+    sets, least = [shingles(t) for t in texts], {}
+    for i, s in enumerate(sets):
+        least.setdefault(s, i)
+    heads = sorted(least.values())
+    want = {(i, j): jaccard(sets[i], sets[j]) for k, i in enumerate(heads) for j in heads[k + 1 :] if jaccard(sets[i], sets[j]) >= 0.85}
+    assert {(p["i"], p["j"]): p["similarity"] for p in pairs.collect()} == pytest.approx(want) and len(want) > 100
+    links = setjoin.linked(pairs, members)
+    assert {x["key"]: x["n_links"] for x in links.collect()} == {i: sum(jaccard(s, x) >= 0.85 for x in sets) - 1 for i, s in enumerate(sets)}
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow verified" not in plan.replace("FlatMapCoGroupsInArrow", "")
+
+
 def clustered(seed, n, d, spread):
     r = np.random.default_rng(seed)
     centres = r.standard_normal((n // 12, d))
