@@ -6,6 +6,9 @@ a bound that is always right, so results are those of comparing everything.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -140,6 +143,8 @@ def nearest_vectors(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 # --- sparse rows ---
 #: Documents of a block, about, and blocks of a doubling of a document's total weight.
 BLOCK, STEPS = 256, 4
+#: Query terms times queries up to which each task gets the queries' weights (32 MB of them), and places in its lists at which they are cut again.
+WEIGHTS, POOL = 1 << 22, 1 << 16
 
 
 def sparse_blocks(postings: DataFrame) -> DataFrame:
@@ -186,6 +191,60 @@ def sparse_top(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best(start.unionByName(sparse_scored(more, queries, postings)), k, "query", [F.desc("score"), "id"])
 
 
+def text_top(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, id, score, rank: ``sparse_top`` of texts (id, text), whose terms stand between blanks and weigh as often as they
+    stand; queries are (query, term, weight), one row for each term, with weights above 0.
+
+    While the queries' weights fit into ``WEIGHTS``, each text is scored where it stands, and tasks send the k best of each query. Beyond, rows for each term
+    go through ``sparse_top``. Rows with a null id are nobody's; those with the same id are one text.
+    """
+    queries = stored(queries.where("term is not null").select("query", "term", "weight"), "text-queries")
+    texts = texts.where("id is not null and text is not null").select("id", "text")
+    size = queries.agg(F.countDistinct("query").alias("q"), F.countDistinct("term").alias("t")).first()
+    if size["q"] * size["t"] > WEIGHTS:
+        return sparse_top(texts.select("id", F.explode(F.split("text", " ")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("weight")), queries, k)
+    asked = queries.toArrow()
+    names = asked["query"].unique()
+    known = {x: at for at, x in enumerate(asked["term"].unique().to_pylist())}
+    column = {x: at for at, x in enumerate(names.to_pylist())}
+    weights = np.zeros((len(known), len(column)))
+    weights[[known[x] for x in asked["term"].to_pylist()], [column[x] for x in asked["query"].to_pylist()]] = asked["weight"].to_numpy()
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, held = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))], 0
+        least = np.full(len(column), np.finfo(float).tiny)
+
+        def cut() -> tuple:
+            q, i, s = (np.concatenate(x) for x in zip(*pool))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == k - 1
+            least[q[last]] = s[last]
+            return q[place < k], i[place < k], s[place < k]
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = Counter(map(known.get, text.split(" ")))
+                counts.pop(None, None)
+                if counts:
+                    scores = np.fromiter(counts.values(), float, len(counts)) @ weights[np.fromiter(counts, np.int64, len(counts))]
+                    q = np.flatnonzero(scores >= least)
+                    pool.append((q, np.full(len(q), i, dtype=np.int64), scores[q]))
+                    held += len(q)
+                if held > POOL:
+                    pool, held = [cut()], 0
+        q, i, s = cut()
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(i), pa.array(s)], ["query", "id", "score"])
+
+    double = stored(texts.groupBy("id").count().where("count > 1").select("id"), "text-double")
+    if double.limit(1).count():
+        whole = texts.join(double, "id", "left_semi").groupBy("id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+        texts = texts.join(double, "id", "left_anti").unionByName(whole)
+    found = texts.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(scored, f"query {queries.schema['query'].dataType.simpleString()}, id long, score double")
+    return best(found.withColumn("score", F.col("score").cast(queries.schema["weight"].dataType)), k, "query", [F.desc("score"), "id"])
+
+
 # --- values ---
 def nearest_values(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, id, distance, rank: the k rows (id, value) nearest to each query (query, value); ties by id. Null values are

@@ -60,8 +60,8 @@ _SPARSE = f"c as ({_TERMS.format('doc_id', 'documents')}), q as (select id as qu
 
 
 def sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    terms = lambda name, key: table(spark, d, name).select(F.col(key).alias("id"), F.explode(F.split("text", " ")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    return N.sparse_top(terms("documents", "doc_id"), terms("benchmark", "item_id").withColumnRenamed("id", "query"), k)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.split("text", " ")).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("weight"))
+    return N.text_top(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), asked, k)
 
 
 @query(f"with {_SPARSE} select query, id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 10")

@@ -98,3 +98,28 @@ def test_nearest_values(spark, n, values):
     assert len(found) == len(got) == 60 * min(4, n)
     nothing = spark.createDataFrame([], "id long, value long")
     assert nearest.nearest_values(nothing, spark.createDataFrame(queries, "query long, value long"), 4).count() == 0
+
+
+@pytest.mark.parametrize(("weights", "pool"), [(1 << 22, 1 << 16), (1 << 22, 7), (0, 7)])
+def test_text_top(spark, monkeypatch, weights, pool):
+    """Texts are scored where they stand, or by rows for each term if the queries are too many; ties, repeated ids, nulls and empty texts."""
+    monkeypatch.setattr(nearest, "WEIGHTS", weights)
+    monkeypatch.setattr(nearest, "POOL", pool)
+    r = random.Random(8)
+    words = [f"w{x}" for x in range(25)] + [""]
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randrange(12)))) for i in range(300)]
+    texts += [(7, "w1 w1"), (7, None), (None, "w1 w2"), (900, None), (901, "none of them")]
+    asked = [(q, f"w{x}" if x < 25 else "", r.randrange(1, 4)) for q in range(9) for x in r.sample(range(26), 5)] + [(40, "unseen", 1), (41, None, 2)]
+    held = {}
+    for i, t in texts:
+        if i is not None and t is not None:
+            held.setdefault(i, []).extend(t.split(" "))
+    want = set()
+    for q in {x[0] for x in asked}:
+        scores = [(-sum(w * terms.count(t) for a, t, w in asked if a == q and t is not None), i) for i, terms in held.items()]
+        want |= {(q, i, -s, rank + 1) for rank, (s, i) in enumerate(sorted(x for x in scores if x[0])[:6])}
+    rows = spark.createDataFrame(texts, "id long, text string")
+    found = nearest.text_top(rows, spark.createDataFrame(asked, "query long, term string, weight long"), 6)
+    assert {(x["query"], x["id"], x["score"], x["rank"]) for x in found.collect()} == want and found.count() == len(want) == 54
+    assert nearest.text_top(rows, spark.createDataFrame([], "query long, term string, weight long"), 6).count() == 0
+    assert dict(found.dtypes)["score"] == "bigint"
