@@ -12,8 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -46,23 +45,23 @@ class Answers(StatefulProcessor):
         self.key, self.silence = key, silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        # Every use of state or timers is a call to the JVM, so there is one value for all but the deltas, and the timer's time is in it.
         self.handle = handle
-        self.rest = handle.getValueState("rest", "rest binary")
+        self.stream = handle.getValueState("stream", "rest binary, events long, usage int, finish_reason string, breach string, closed boolean, held boolean, timer long")
         self.deltas = handle.getListState("deltas", "delta string")
-        self.known = handle.getValueState("known", "events long, usage int, finish_reason string, breach string, closed boolean")
-
-    def _answer(self, key: tuple, usage: int | None, reason: str | None, failed: bool, done: bool, breach: str | None) -> pd.DataFrame:
-        content = None if failed else "".join(x[0] for x in self.deltas.get())
-        self.deltas.clear()
-        row = {self.key: [key[0]], "content": [content], "usage": pd.array([usage], dtype="Int32"), "finish_reason": [reason], "failed": [failed], "done": [done], "breach": [breach]}
-        return pd.DataFrame(row)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        events, usage, reason, breach, closed = self.known.get() if self.known.exists() else (0, None, None, None, False)
-        buffer = bytes(self.rest.get()[0]) if self.rest.exists() else b""
-        parts = pd.concat(list(rows)).sort_values("seq")
-        *lines, buffer = (buffer + b"".join(bytes(x) for x in parts["bytes"] if x is not None)).split(b"\n")
-        deltas: list[tuple] = []
+
+    def _answer(self, key: tuple, deltas: list[str], held: bool, usage: int | None, reason: str | None, failed: bool, done: bool, breach: str | None) -> Row:
+        before = [x[0] for x in self.deltas.get()] if held and not failed else []
+        if held:
+            self.deltas.clear()
+        content = None if failed else "".join(before + deltas)
+        return Row(**{self.key: key[0]}, content=content, usage=usage, finish_reason=reason, failed=failed, done=done, breach=breach)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        buffer, events, usage, reason, breach, closed, held, timer = self.stream.get() or (b"", 0, None, None, None, False, False, None)
+        parts = sorted(rows, key=lambda x: x["seq"])
+        *lines, buffer = (bytes(buffer) + b"".join(bytes(x["bytes"]) for x in parts if x["bytes"] is not None)).split(b"\n")
+        deltas: list[str] = []
         for line in lines:
             event = frame(line)
             if event is None or closed:  # what follows an end changes nothing
@@ -75,28 +74,27 @@ class Answers(StatefulProcessor):
             usage = event["usage"] if isinstance(event.get("usage"), int) else usage
             reason = event["finish_reason"] if isinstance(event.get("finish_reason"), str) else reason
             if kind == "delta":
-                deltas.append((str(event.get("content") or ""),))
+                deltas.append(str(event.get("content") or ""))
             elif kind in ("done", "error"):
                 closed = True
-                if deltas:
-                    self.deltas.appendList(deltas)
-                    deltas = []
-                yield self._answer(key, usage, reason, kind == "error", kind == "done", breach)
+                yield self._answer(key, deltas, held, usage, reason, kind == "error", kind == "done", breach)
+                deltas, held = [], False
         if deltas:
-            self.deltas.appendList(deltas)
-        self.rest.update((buffer,))
-        self.known.update((events, usage, reason, breach, closed))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(int(parts["at"].max().timestamp() * 1000) + self.silence)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+            self.deltas.appendList([(x,) for x in deltas])
+            held = True
+        end = max(x["ms"] for x in parts) + self.silence
+        if end != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(end)
+        self.stream.update((buffer, events, usage, reason, breach, closed, held, end))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         """The stream is silent: its answer so far, if it never ended; its state goes."""
-        events, usage, reason, breach, closed = self.known.get()
+        _, events, usage, reason, breach, closed, held, _ = self.stream.get()
         if events and not closed:
-            yield self._answer(key, usage, reason, False, False, breach or "no_end")
-        for state in (self.rest, self.deltas, self.known):
-            state.clear()
+            yield self._answer(key, [], held, usage, reason, False, False, breach or "no_end")
+        self.stream.clear()
 
     def close(self) -> None:
         pass
@@ -115,9 +113,9 @@ def rocks(spark: SparkSession) -> Iterator[None]:
 
 def answer_stream(chunks: DataFrame, key: str, late: str = "1 minute", silence: int = 600_000) -> DataFrame:
     """Streaming answers from chunks (key, seq, bytes, at), whose batches arrive in the order of ``seq`` for each stream."""
-    rows = chunks.select(key, "seq", "bytes", "at").withWatermark("at", late).groupBy(key)
+    rows = chunks.select(key, "seq", "bytes", "at", F.unix_millis("at").alias("ms")).withWatermark("at", late).groupBy(key)
     kind = chunks.schema[key].dataType.simpleString()
-    return rows.transformWithStateInPandas(Answers(key, silence), f"{key} {kind}, {ANSWER}", "Append", "EventTime")
+    return rows.transformWithState(Answers(key, silence), f"{key} {kind}, {ANSWER}", "Append", "EventTime")
 
 
 def answers_of_bytes(chunks: DataFrame, key: str) -> DataFrame:

@@ -53,3 +53,69 @@ def test_any_cut_gives_the_same_answers(spark, tmp_path, size):
     got = [tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert len(got) == len({x[0] for x in got}) and {x[0]: x for x in got} == twin
     assert {x[6] for x in got} == {None, "no_end", "no_metadata", "second_metadata"} and sum(x[4] for x in got) >= 2
+
+
+class Calls:
+    """State and timers of one key in memory; every use counts."""
+
+    def __init__(self):
+        self.made, self.value, self.items, self.timers = 0, None, [], set()
+
+    def getValueState(self, name, schema):
+        calls = self
+
+        class Value:
+            def get(self):
+                calls.made += 1
+                return calls.value
+
+            def update(self, value):
+                calls.made, calls.value = calls.made + 1, value
+
+            def clear(self):
+                calls.made, calls.value = calls.made + 1, None
+
+        return Value()
+
+    def getListState(self, name, schema):
+        calls = self
+
+        class Items:
+            def get(self):
+                calls.made += 1
+                return iter(calls.items)
+
+            def appendList(self, items):
+                calls.made, calls.items = calls.made + 1, calls.items + items
+
+            def clear(self):
+                calls.made, calls.items = calls.made + 1, []
+
+        return Items()
+
+    def registerTimer(self, at):
+        self.made += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.made += 1
+        self.timers.remove(at)
+
+
+def test_a_batch_uses_state_a_few_times():
+    """Each use of state is a call to the JVM, which took most of the time."""
+    calls = Calls()
+    answers = sse.Answers("id", 100)
+    answers.init(calls)
+    data = b'data: {"type":"metadata"}\ndata: {"type":"delta","content":"a"}\ndata: {"type":"delta","content":"b"}\ndata: {"type":"done","usage":7,"finish_reason":"stop"}\n'
+    row = lambda seq, a, b, ms: {"id": 5, "seq": seq, "bytes": data[a:b], "ms": ms}
+    assert not list(answers.handleInputRows((5,), iter([row(1, 30, 70, 7), row(0, 0, 30, 6)]), None))
+    assert calls.made <= 4 and calls.timers == {107}
+    calls.made = 0
+    (got,) = answers.handleInputRows((5,), iter([row(2, 70, len(data), 8)]), None)
+    assert tuple(got) == (5, "ab", 7, "stop", False, True, None) and calls.made <= 6 and calls.timers == {108}
+    assert not list(answers.handleInputRows((5,), iter([row(3, 0, len(data), 8)]), None)) and calls.timers == {108}
+    assert not list(answers.handleExpiredTimer((5,), None, None)) and calls.value is None and not calls.items
+    list(answers.handleInputRows((5,), iter([row(0, 0, 70, 6)]), None))
+    (got,) = answers.handleExpiredTimer((5,), None, None)
+    assert tuple(got) == (5, "a", None, None, False, False, "no_end") and calls.value is None and not calls.items
