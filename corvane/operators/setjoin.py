@@ -11,7 +11,8 @@ threshold are equal. So a large set speaks of so many parts only that the chance
 
 The parts of a set travel in one row until copies are gone; rows of parts that no other set has go before the join, which is
 an equi-join that Spark's adaptive planner can split. The rows that are left bear a sketch of ``SKETCH`` bits, so that pairs of sets that
-have little more than a part in common don't leave the join. Texts are read again, and move only for candidates: to the chunks that these are
+have little more than a part in common don't leave the join, and fingerprints of the set's first parts, so that near copies, which have dozens of
+parts in common, leave it about twice and not for each part. Texts are read again, and move only for candidates: to the chunks that these are
 dealt into, once to each, not once for each candidate. There they are verified on whole sets.
 """
 
@@ -38,8 +39,10 @@ SPARE = 0.25
 SKETCH = 256
 #: Texts of either side of a chunk of candidates, about.
 CHUNK = 128
-#: The first parts' 16-bit fingerprints travel along: of a pair of which so many agree, later parts don't speak again.
-LANES, AGREED = 4, 3
+#: 32-bit fingerprints of the first parts travel with rows of parts that more than ``FEW`` sets have: of a pair of which so many agree before a part, this one doesn't speak again.
+LANES, AGREED, FEW = 20, 2, 8
+#: Keys that are sent to all tasks, so that sets and texts needn't be shuffled to be chosen by key.
+SENT = 1 << 21
 #: Chance that a pair of large sets just at the threshold has no part in common, and that the sketches of a pair at the threshold differ in
 #: more bits than allowed. Sets of up to some 300 shingles, at 0.85, are missed by neither.
 MISS = 1e-12
@@ -109,6 +112,11 @@ def allowed(threshold: float) -> int:
     return bits
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """Stored keys, to be sent to all tasks unless they are many."""
+    return F.broadcast(keys) if keys.count() <= SENT else keys
+
+
 def classes(digested: DataFrame) -> DataFrame:
     """key, class_id: the least key of those with the same digests (a, b) and size n of their sets."""
     least = digested.groupBy("a", "b", "n").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("c"))
@@ -216,16 +224,6 @@ class Parts:
         held ^= held >> np.uint64(31)
         return held[speaks], speaks
 
-    def lanes(self, held: np.ndarray, speaks: np.ndarray, key: int) -> tuple[int, int]:
-        """Fingerprints that travel with the first parts, and with the others."""
-        # Parts that aren't spoken of have bits of the row's key, which agree with nobody's; so do all lanes of the first parts themselves.
-        own = (np.arange(1, LANES + 1, dtype=np.uint64) * _ODD + np.uint64(key & (1 << 64) - 1)) * _MIX
-        own ^= own >> np.uint64(32)
-        lanes, first = own.copy(), speaks < LANES
-        lanes[speaks[first]] = held[first]
-        packed = [((x & np.uint64(0xFFFF)) << (np.arange(LANES, dtype=np.uint64) * np.uint64(16))).sum(dtype=np.uint64) for x in (own, lanes)]
-        return tuple(int(x) for x in np.array(packed, dtype=np.uint64).view(np.int64))
-
 
 def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float = 0.85, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Pairs (i < j, similarity) of class representatives of which each of ``texts`` has a Jaccard of at least the threshold, and
@@ -246,43 +244,59 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
     dealt = Parts(threshold, -np.log((weights + 1) / (max(1.0, float(weights.sum())) + SLOTS)))
 
     words = [f"s{k}" for k in range(SKETCH // 64)]
-    kinds = [("key", "long"), ("a", "long"), ("b", "long"), ("n", "int"), *[(w, "long") for w in words], ("parts", "array<long>"), ("first", "int"), ("own", "long"), ("lanes", "long")]
+    kinds = [("key", "long"), ("a", "long"), ("b", "long"), ("n", "int"), *[(w, "long") for w in words], ("parts", "array<long>"), ("spoken", "int")]
     arrow = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
 
     def spoken(keys: pa.Array, *columns: pa.Array) -> tuple:
         out: list[list] = [[] for _ in kinds]
         for k, own in zip(keys.to_pylist(), zip(*(c.to_pylist() for c in columns))):
             s = _tagged(own, n)
-            g = dealt.class_of(len(s))
+            g, drawn = dealt.class_of(len(s)), sketch(s).tolist()
             for c in (g, g - 1) if g and threshold * len(s) < dealt.first(g) else (g,):
                 held, speaks = dealt.keys(s, c)
                 # Null where the set visits the class below its own.
-                home = (*_digest(s), len(s), *sketch(s).tolist()) if c == g else (None,) * (3 + len(words))
-                row = (k, *home, held.view(np.int64), int((speaks < LANES).sum()), *dealt.lanes(held, speaks, k))
+                home = (*_digest(s), len(s)) if c == g else (None,) * 3
+                row = (k, *home, *drawn, held.view(np.int64), int((1 << speaks[speaks < LANES]).sum()))
                 for column, x in zip(out, row):
                     column.append(x)
         return tuple(pa.array(x, arrow[kind]) for x, (_, kind) in zip(out, kinds))
 
-    # A row for each set and class; that of its own class has the digests and the sketch.
+    # A row for each set and class; that of its own class has the digests. ``spoken`` has a bit for each of the first ``LANES`` parts that the set speaks of.
     sets = stored(_map(made, spoken, ", ".join(f"{x} {kind}" for x, kind in kinds)), "set-parts")
     home = sets.where("n is not null")
     members = classes(home.select("key", "a", "b", "n"))
-    heads = stored(members.select(F.col("class_id").alias("key")).distinct(), "set-heads")
-
-    each = sets.join(heads, "key", "left_semi").select("key", "first", "own", "lanes", F.posexplode("parts").alias("at", "part"))
-    each = each.select("part", "key", F.when(F.col("at") < F.col("first"), F.col("own")).otherwise(F.col("lanes")).alias("f"))
-    # Most parts are one set's alone; only the others get the sketches.
-    shared = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("c > 1").drop("c")
-    index = stored(shared.join(home.select("key", *words).dropDuplicates(["key"]), "key").select("part", "key", "f", *words), "set-index")
-    a, b = (index.toDF("part", x, f"f{x}", *[f"{w}{x}" for w in words]) for x in "ij")
-    lane = lambda c, k: F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(0xFFFF)
-    agreed = sum(((lane("fi", k) == lane("fj", k)).cast("int") for k in range(LANES)), F.lit(0))
-    apart = sum((F.bit_count(F.col(f"{w}i").bitwiseXOR(F.col(f"{w}j"))) for w in words), F.lit(0))
-    met = a.join(b, "part").where((F.col("i") < F.col("j")) & (agreed < AGREED) & (apart <= allowed(threshold)))
-    pairs = stored(met.select("i", "j").distinct(), "set-candidates")
+    copies = stored(members.groupBy("key").agg(F.bool_or(F.col("class_id") == F.col("key")).alias("head")).where("not head").select("key"), "set-copies")
+
+    visits = F.col("n").isNull().alias("visits")
+    each = sets.join(_sent(copies), "key", "left_anti").select("key", visits, F.posexplode("parts").alias("at", "part"))
+    # Most parts are one set's alone; only the others get the sketches and fingerprints.
+    shared = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("c > 1")
+    shared = shared.select("part", "key", "visits", F.when(F.col("c") > FEW, F.col("at")).otherwise(0).alias("at"))
+    # Lane k is the fingerprint of part k, or 0 if the set doesn't speak of it; two go into a whole number. Parts that come before part k in the row.
+    before = [F.bit_count(F.col("spoken").bitwiseAND((1 << k) - 1)) for k in range(LANES)]
+    speaks = [F.col("spoken").bitwiseAND(1 << k) != 0 for k in range(LANES)]
+    prints = [F.when(speaks[k], F.get("parts", before[k]).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(0).cast("long")) for k in range(LANES)]
+    lanes = [f"l{k}" for k in range(LANES // 2)]
+    packed = [prints[2 * k].bitwiseOR(F.shiftleft(prints[2 * k + 1], 32)).alias(x) for k, x in enumerate(lanes)]
+    borne = sets.select("key", visits, "spoken", *words, *packed).dropDuplicates(["key", "visits"])
+    # Only lanes of parts before the row's own count.
+    mine = [F.when(before[k] < F.col("at"), F.lit(-1 << 32 if k % 2 else 0xFFFFFFFF)).otherwise(F.lit(0)).cast("long") for k in range(LANES)]
+    kept = [F.col(x).bitwiseAND(mine[2 * k].bitwiseOR(mine[2 * k + 1])).alias(x) for k, x in enumerate(lanes)]
+    index = stored(shared.join(borne, ["key", "visits"]).select("part", "key", "visits", *words, *kept), "set-index")
+    pairs = stored(_met(index, words, lanes, threshold).distinct(), "set-candidates")
     return _verified(pairs, made, names, threshold, n), members
 
 
+def _met(index: DataFrame, words: list[str], lanes: list[str], threshold: float) -> DataFrame:
+    """i, j of the sets with a part in common and sketches near each other; of near copies about twice, whatever the number of their parts."""
+    a, b = (index.toDF("part", x, f"v{x}", *[f"{w}{x}" for w in [*words, *lanes]]) for x in "ij")
+    apart = sum((F.bit_count(F.col(f"{w}i").bitwiseXOR(F.col(f"{w}j"))) for w in words), F.lit(0))
+    lane = lambda c, k: F.shiftrightunsigned(F.col(c), 32) if k else F.col(c).bitwiseAND(0xFFFFFFFF)
+    agreed = sum((((lane(f"{x}i", k) != 0) & (lane(f"{x}i", k) == lane(f"{x}j", k))).cast("int") for x in lanes for k in (0, 1)), F.lit(0))
+    # Two that visit a class meet in their own as well.
+    return a.join(b, "part").where("i < j and not (vi and vj)").where((apart <= allowed(threshold)) & (agreed < AGREED)).select("i", "j")
+
+
 def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: float, n: int) -> DataFrame:
     """i, j, similarity of the candidates (i < j) of which each text has a Jaccard of at least the threshold.
 
@@ -298,7 +312,7 @@ def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: fl
     chunk = ["g", "ci", "cj"]
     wanted = dealt.select(*chunk, F.explode(F.array("i", "j")).alias("key")).distinct()
     paired = stored(wanted.select("key").distinct(), "set-paired")
-    held = made.join(paired, "key", "left_semi").dropDuplicates(["key"])
+    held = made.join(_sent(paired), "key", "left_semi").dropDuplicates(["key"])
     sent = wanted.join(held, "key").select(*chunk, "key", *names).toDF("sg", "si", "sj", "key", *names)
 
     def verified(candidates: pa.Table, texts: pa.Table) -> pa.Table:

@@ -118,6 +118,24 @@ def test_near_copies_are_verified_in_chunks_once(spark, monkeypatch):
     assert plan.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow verified" not in plan.replace("FlatMapCoGroupsInArrow", "")
 
 
+@pytest.mark.parametrize("sent", [1 << 21, 0])
+def test_near_copies_meet_few_times(spark, monkeypatch, sent):
+    """Near copies have dozens of parts in common, but leave the join about twice, and none is lost, whether keys are sent or shuffled."""
+    monkeypatch.setattr(setjoin, "SENT", sent)
+    met, seen = setjoin._met, []
+    monkeypatch.setattr(setjoin, "_met", lambda *a: seen.append(met(*a)) or seen[-1])
+    r = random.Random(12)
+    start = [r.choice("abcdefghij") + str(r.randrange(60)) for _ in range(400)]
+    texts = [" ".join(w if r.random() > 0.01 else f"x{r.randrange(10**4)}" for w in start) for _ in range(120)] * 2
+    pairs, members = setjoin.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", ["t"])
+    sets = [shingles(t) for t in texts[:120]]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if jaccard(sets[i], sets[j]) >= 0.85}
+    assert {(p["i"], p["j"]) for p in pairs.collect()} == want and len(want) > 1000
+    rows, distinct = seen[0].count(), seen[0].distinct().count()
+    assert len(want) <= distinct <= 120 * 119 // 2 and rows <= 4 * distinct
+    assert {m["class_id"] for m in members.collect()} == set(range(120))
+
+
 def clustered(seed, n, d, spread):
     r = np.random.default_rng(seed)
     centres = r.standard_normal((n // 12, d))
