@@ -112,7 +112,7 @@ def allowed(threshold: float) -> int:
     return bits
 
 
-def _sent(keys: DataFrame) -> DataFrame:
+def sent(keys: DataFrame) -> DataFrame:
     """Stored keys, to be sent to all tasks unless they are many."""
     return F.broadcast(keys) if keys.count() <= SENT else keys
 
@@ -268,7 +268,7 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
     copies = stored(members.groupBy("key").agg(F.bool_or(F.col("class_id") == F.col("key")).alias("head")).where("not head").select("key"), "set-copies")
 
     visits = F.col("n").isNull().alias("visits")
-    each = sets.join(_sent(copies), "key", "left_anti").select("key", visits, F.posexplode("parts").alias("at", "part"))
+    each = sets.join(sent(copies), "key", "left_anti").select("key", visits, F.posexplode("parts").alias("at", "part"))
     # Most parts are one set's alone; only the others get the sketches and fingerprints.
     shared = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("c > 1")
     shared = shared.select("part", "key", "visits", F.when(F.col("c") > FEW, F.col("at")).otherwise(0).alias("at"))
@@ -312,8 +312,8 @@ def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: fl
     chunk = ["g", "ci", "cj"]
     wanted = dealt.select(*chunk, F.explode(F.array("i", "j")).alias("key")).distinct()
     paired = stored(wanted.select("key").distinct(), "set-paired")
-    held = made.join(_sent(paired), "key", "left_semi").dropDuplicates(["key"])
-    sent = wanted.join(held, "key").select(*chunk, "key", *names).toDF("sg", "si", "sj", "key", *names)
+    held = made.join(sent(paired), "key", "left_semi").dropDuplicates(["key"])
+    moved = wanted.join(held, "key").select(*chunk, "key", *names).toDF("sg", "si", "sj", "key", *names)
 
     def verified(candidates: pa.Table, texts: pa.Table) -> pa.Table:
         sets = {k: [hashed_shingles(t, n) for t in own] for k, *own in zip(*(texts[x].to_pylist() for x in ("key", *names)))}
@@ -333,7 +333,7 @@ def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: fl
         found = candidates.select(["i", "j"]).take(pa.array(keep, pa.int64()))
         return found.append_column("similarity", pa.array(sims, pa.float64()))
 
-    return dealt.groupBy(*chunk).cogroup(sent.groupBy("sg", "si", "sj")).applyInArrow(verified, "i long, j long, similarity double")
+    return dealt.groupBy(*chunk).cogroup(moved.groupBy("sg", "si", "sj")).applyInArrow(verified, "i long, j long, similarity double")
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:

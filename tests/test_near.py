@@ -238,6 +238,23 @@ def test_removals_of_a_large_component(spark):
     assert {x["removed"] for x in removed.collect()} == set(sequential(score, [(*p, "x") for p in pairs])[0])
 
 
+@pytest.mark.parametrize("sent", [1 << 21, 0])
+def test_removals_write_edges_once(spark, monkeypatch, sent):
+    """Edges may be as many as the square of the rows: rounds write rows, and nothing but the first table has edges."""
+    monkeypatch.setattr(setjoin, "SENT", sent)
+    written, stored = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, tag: written.append(stored(df, tag)) or written[-1])
+    r = random.Random(8)
+    score = [r.randrange(20) / 2 for _ in range(60)]
+    pairs = [(i, j, r.choice("xy")) for i in range(60) for j in range(i + 1, 60) if r.random() < 0.8]
+    removed, events = dedup.removals(*frames(spark, score, [*pairs, *pairs[:50], (pairs[3][0], pairs[3][1], "z"), (pairs[5][1], pairs[5][0], "a")]), "id", "s")
+    want = sequential(score, pairs)
+    assert {(x["removed"], x["rule"]) for x in removed.collect()} == set(want[0].items())
+    assert sorted(tuple(x) for x in events.collect()) == sorted(want[1])
+    rows = [x.count() for x in written]
+    assert rows.count(len(pairs)) == 1 and all(x <= 60 for x in rows if x != len(pairs)) and len(pairs) > 1000
+
+
 def test_counters_of_rules(spark):
     score = [0.5, 0.9, 0.4, 0.4, 0.7, 0.1]
     rows, surface = frames(spark, score, [(0, 2, "s"), (1, 3, "s")])
