@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import stored
+from ..session import kept, scratch, stored
 
 #: Entries of the table of shingle counts that each task gets.
 SLOTS = 1 << 16
@@ -122,7 +122,7 @@ def classes(digested: DataFrame) -> DataFrame:
     least = digested.groupBy("a", "b", "n").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("c"))
     # Only sets that stand more than once need the join back.
     shared = least.where("c > 1").drop("c")
-    return stored(digested.join(shared, ["a", "b", "n"], "left").select("key", F.coalesce("class_id", "key").alias("class_id")), "set-classes")
+    return kept(digested.join(shared, ["a", "b", "n"], "left").select("key", F.coalesce("class_id", "key").alias("class_id")), "set-classes")
 
 
 def _weights(rows: DataFrame, n: int) -> np.ndarray:
@@ -261,28 +261,31 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
                     column.append(x)
         return tuple(pa.array(x, arrow[kind]) for x, (_, kind) in zip(out, kinds))
 
-    # A row for each set and class; that of its own class has the digests. ``spoken`` has a bit for each of the first ``LANES`` parts that the set speaks of.
-    sets = stored(_map(made, spoken, ", ".join(f"{x} {kind}" for x, kind in kinds)), "set-parts")
-    home = sets.where("n is not null")
-    members = classes(home.select("key", "a", "b", "n"))
-    copies = stored(members.groupBy("key").agg(F.bool_or(F.col("class_id") == F.col("key")).alias("head")).where("not head").select("key"), "set-copies")
-
-    visits = F.col("n").isNull().alias("visits")
-    each = sets.join(sent(copies), "key", "left_anti").select("key", visits, F.posexplode("parts").alias("at", "part"))
-    # Most parts are one set's alone; only the others get the sketches and fingerprints.
-    shared = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("c > 1")
-    shared = shared.select("part", "key", "visits", F.when(F.col("c") > FEW, F.col("at")).otherwise(0).alias("at"))
-    # Lane k is the fingerprint of part k, or 0 if the set doesn't speak of it; two go into a whole number. Parts that come before part k in the row.
-    before = [F.bit_count(F.col("spoken").bitwiseAND((1 << k) - 1)) for k in range(LANES)]
-    speaks = [F.col("spoken").bitwiseAND(1 << k) != 0 for k in range(LANES)]
-    prints = [F.when(speaks[k], F.get("parts", before[k]).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(0).cast("long")) for k in range(LANES)]
-    lanes = [f"l{k}" for k in range(LANES // 2)]
-    packed = [prints[2 * k].bitwiseOR(F.shiftleft(prints[2 * k + 1], 32)).alias(x) for k, x in enumerate(lanes)]
-    borne = sets.select("key", visits, "spoken", *words, *packed).dropDuplicates(["key", "visits"])
-    # Only lanes of parts before the row's own count.
-    mine = [F.when(before[k] < F.col("at"), F.lit(-1 << 32 if k % 2 else 0xFFFFFFFF)).otherwise(F.lit(0)).cast("long") for k in range(LANES)]
-    kept = [F.col(x).bitwiseAND(mine[2 * k].bitwiseOR(mine[2 * k + 1])).alias(x) for k, x in enumerate(lanes)]
-    index = stored(shared.join(borne, ["key", "visits"]).select("part", "key", "visits", *words, *kept), "set-index")
+    # The table of all parts goes as soon as those in common are known.
+    with scratch(rows.sparkSession):
+        # A row for each set and class; that of its own class has the digests. ``spoken`` has a bit for each of the first ``LANES`` parts that the set speaks of.
+        sets = stored(_map(made, spoken, ", ".join(f"{x} {kind}" for x, kind in kinds)), "set-parts")
+        home = sets.where("n is not null")
+        members = classes(home.select("key", "a", "b", "n"))
+        copies = stored(members.groupBy("key").agg(F.bool_or(F.col("class_id") == F.col("key")).alias("head")).where("not head").select("key"), "set-copies")
+
+        visits = F.col("n").isNull().alias("visits")
+        each = sets.join(sent(copies), "key", "left_anti").select("key", visits, F.posexplode("parts").alias("at", "part"))
+        each = each.select("part", "key", (F.least("at", F.lit(LANES)) * 2 + F.col("visits").cast("int")).alias("tag"))
+        # Most parts are one set's alone; only the others get the sketches and fingerprints.
+        shared = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("c > 1")
+        shared = shared.select("part", "key", (F.col("tag") % 2 == 1).alias("visits"), F.when(F.col("c") > FEW, F.shiftright("tag", 1)).otherwise(0).alias("at"))
+        # Lane k is the fingerprint of part k, or 0 if the set doesn't speak of it; two go into a whole number. Parts that come before part k in the row.
+        before = [F.bit_count(F.col("spoken").bitwiseAND((1 << k) - 1)) for k in range(LANES)]
+        speaks = [F.col("spoken").bitwiseAND(1 << k) != 0 for k in range(LANES)]
+        prints = [F.when(speaks[k], F.get("parts", before[k]).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(0).cast("long")) for k in range(LANES)]
+        lanes = [f"l{k}" for k in range(LANES // 2)]
+        packed = [prints[2 * k].bitwiseOR(F.shiftleft(prints[2 * k + 1], 32)).alias(x) for k, x in enumerate(lanes)]
+        borne = sets.select("key", visits, "spoken", *words, *packed).dropDuplicates(["key", "visits"])
+        # Only lanes of parts before the row's own count.
+        mine = [F.when(before[k] < F.col("at"), F.lit(-1 << 32 if k % 2 else 0xFFFFFFFF)).otherwise(F.lit(0)).cast("long") for k in range(LANES)]
+        held = [F.col(x).bitwiseAND(mine[2 * k].bitwiseOR(mine[2 * k + 1])).alias(x) for k, x in enumerate(lanes)]
+        index = kept(shared.join(borne, ["key", "visits"]).select("part", "key", "visits", *words, *held), "set-index")
     pairs = stored(_met(index, words, lanes, threshold).distinct(), "set-candidates")
     return _verified(pairs, made, names, threshold, n), members
 
