@@ -21,7 +21,7 @@ and text are one document, of which the repeated lines fall together; null doc_i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +31,27 @@ from pyspark.sql import functions as F
 
 from ..operators.curate import numbered
 from ..session import kept, scratch, stored
-from .common import spread_join, utf8
+from .common import spread_join
 
 MIN_WORDS = 8
 #: Up to so many bytes (64 a document with candidate lines and 48 a line) their list is sent to all tasks; beyond, documents are
 #: shuffled.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of texts that a task splits at once. Words and their hashes take some 25 times as much.
+SPAN_BYTES = 1 << 20
+#: Distinct lines that a task remembers, at 8 bytes each.
+SEEN = 500_000
+#: White space as ``bytes.split`` has it, by byte.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_NEWLINE = 10
+#: Words with more bytes are hashed one by one.
+LONG_WORD = 64
+#: Masks of a word's lowest bytes, by their number.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _P = 0x9E3779B97F4A7C15  # odd: word hashes are weighted by powers of it, so that parts of a line can be moved
 _INVERSE = pow(_P, -1, 2**64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 class _Powers:
     """Powers of an odd number modulo 2**64, as many as were asked for."""
 
@@ -67,15 +70,13 @@ _UP, _DOWN = _Powers(_P), _Powers(_INVERSE)
 
 
 class Lines:
-    """Hashes of many lines at once. A line's hash is the sum of its word hashes times powers of their places, plus its
-    number of words; sums of any part come from one running sum."""
+    """Hashes of many lines at once, given their numbers of words and the words' hashes. A line's hash is the sum of its word
+    hashes times powers of their places, plus its number of words; sums of any part come from one running sum."""
 
-    def __init__(self, lines: list[list[bytes]], hashes: dict):
-        self.n = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-        total = int(self.n.sum())
-        self.h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), dtype=np.uint64, count=total)
+    def __init__(self, n: np.ndarray, h: np.ndarray):
+        self.n, self.h = n, h
         self.start = np.cumsum(self.n) - self.n
-        self.place = np.arange(total) - np.repeat(self.start, self.n)
+        self.place = np.arange(len(h)) - np.repeat(self.start, self.n)
         longest = int(self.n.max(initial=0)) + 1
         self.up, self.down = _UP.upto(longest), _DOWN.upto(longest)
         self.terms = self.h * self.up[self.place]
@@ -114,50 +115,132 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+class _Spans(NamedTuple):
+    """Adjacent bytes of texts, cut where a text or, in a long one, a line begins: for each part its row, the number of its
+    first line, and where it begins."""
+
+    data: np.ndarray
+    row: np.ndarray
+    line: np.ndarray
+    begin: np.ndarray
+
+
+def _spans(texts: pa.Array) -> Iterator[_Spans]:
+    """The bytes of a string column, about ``SPAN_BYTES`` at a time; more only where one line has more."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset :][: len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    held: list[tuple[int, int, int]] = []
+
+    def out(end: int) -> _Spans:
+        row, line, begin = (np.array(x, dtype=np.int64) for x in zip(*held, strict=True))
+        held.clear()
+        return _Spans(data[begin[0] : end], row, line, begin - begin[0])
+
+    for row, (at, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        held.append((row, 0, at))
+        if end - at > SPAN_BYTES:
+            below = at + 1 + np.flatnonzero(data[at:end] == _NEWLINE)  # where lines begin
+            while end - held[0][2] > SPAN_BYTES and (k := int(np.searchsorted(below, held[0][2] + SPAN_BYTES))) < len(below):
+                yield out(int(below[k]))
+                held.append((row, k + 1, int(below[k])))
+        if end - held[0][2] >= SPAN_BYTES:
+            yield out(end)
+    if held:
+        yield out(int(ends[-1]))
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """One to one, each bit of the result from all bits."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: their lengths and eight bytes after eight mixed in, for all words at once."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h = (end - begin).astype(np.uint64) * np.uint64(_P)
+    at, where = np.arange(len(begin)), begin
+    while len(at) and where[0] - begin[at[0]] < LONG_WORD:
+        left = end[at] - where
+        h[at] = _mixed(h[at] ^ (eight[where] & _LOWEST[np.minimum(left, 8)]))
+        at, where = at[left > 8], where[left > 8] + 8
+    for i in at.tolist():
+        h[i] = xxhash.xxh64_intdigest(data[begin[i] : end[i]])
+    return h
+
+
+def _words(span: _Spans) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end."""
+    word = ~_BLANK[span.data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edge = span.begin[span.begin < len(word)]
+    first[edge] = word[edge]
+    last[edge[edge > 0] - 1] = word[edge[edge > 0] - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _split(span: _Spans) -> tuple[np.ndarray, np.ndarray, Lines]:
+    """The lines with a word: their rows, their numbers in the text, their hashes."""
+    begin, end = _words(span)
+    above = np.cumsum(span.data == _NEWLINE, dtype=np.int64)
+    part = np.searchsorted(span.begin, begin, side="right") - 1
+    before = np.concatenate([[0], above])[span.begin]
+    row, line = span.row[part], span.line[part] + above[begin] - before[part]
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
+    at = np.flatnonzero(new)
+    return row[at], line[at], Lines(np.diff(np.append(at, len(begin))), _hashes(span.data, begin, end))
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """One row per line with a word: doc_id, text_hash, line, whole, and at a line's first place in a batch its halves."""
+    """One row per line with a word: doc_id, text_hash, line, whole, and at a line's first place that a task sees its halves
+    (again at a later one, if too many distinct lines came before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        seen = np.empty(0, dtype=np.uint64)
         for batch in batches:
-            held: list[list[bytes]] = []
-            doc: list[int] = []
-            place: list[int] = []
-            words = 0
-            for k, raw in enumerate(utf8(batch.column(2))):
-                for at, line in enumerate((raw or b"").split(b"\n")):
-                    if one := line.split():
-                        held.append(one)
-                        doc.append(k)
-                        place.append(at)
-                        words += len(one)
-                        if words > 2_000_000:
-                            yield out(batch, held, doc, place, hashes)
-                            held, doc, place, words = [], [], [], 0
-            if held:
-                yield out(batch, held, doc, place, hashes)
-
-    def out(batch: pa.RecordBatch, held: list[list[bytes]], doc: list[int], place: list[int], hashes: dict) -> pa.RecordBatch:
-        lines = Lines(held, hashes)
-        whole = lines.whole()
-        new = np.zeros(len(whole), dtype=bool)
-        new[np.unique(whole, return_index=True)[1]] = True
+            for span in _spans(batch.column(2)):
+                row, line, lines = _split(span)
+                if not len(row):
+                    continue
+                whole = lines.whole()
+                values, at = np.unique(whole, return_index=True)
+                fresh = ~_among(values, seen)
+                new = np.zeros(len(whole), dtype=bool)
+                new[at[fresh]] = True
+                # Both runs are sorted, which a stable sort makes use of.
+                seen = np.sort(np.concatenate([seen if len(seen) < SEEN else seen[:0], values[fresh]]), kind="stable")
+                yield out(batch, row, line, lines, whole, new)
+
+    def out(batch: pa.RecordBatch, row: np.ndarray, line: np.ndarray, lines: Lines, whole: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
         own, less = new & (lines.n >= min_words - 1), new & (lines.n >= min_words)
         n = np.maximum(lines.n, 2)
         columns = [*lines.halves(lines.n), *lines.halves(n - 1)]
         taken = np.stack([own, own, less, less], axis=1)
         ends = np.concatenate([[0], np.cumsum(taken.sum(axis=1))]).astype(np.int32)
         halves = np.stack(columns, axis=1)[taken]
-        index = pa.array(doc, pa.int64())
+        index = pa.array(row)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(index), batch.column(1).take(index), pa.array(place, pa.int64()), _signed(whole), pa.ListArray.from_arrays(pa.array(ends), _signed(halves))],
+            [batch.column(0).take(index), batch.column(1).take(index), pa.array(line), _signed(whole), pa.ListArray.from_arrays(pa.array(ends), _signed(halves))],
             ["doc_id", "text_hash", "line", "whole", "halves"],
         )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), F.col(text))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, line long, whole long, halves array<long>")
 
 
+def _among(values: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(those):
+        return np.zeros(len(values), dtype=bool)
+    return those[np.minimum(np.searchsorted(those, values), len(those) - 1)] == values
+
+
 def text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
@@ -183,20 +266,12 @@ def _variants(lines: DataFrame, min_words: int) -> DataFrame:
     """key, role and order of the deletion neighbourhood of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            lines, at = utf8(batch.column(3)), 0
-            while at < batch.num_rows:  # so many lines that their variants stay few
-                end, words = at, 0
-                held = []
-                while end < batch.num_rows and words < 200_000:
-                    held.append(lines[end].split())
-                    words += len(held[-1])
-                    end += 1
-                flag = lambda c: batch.column(c).slice(at, end - at).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                keys, roles, index = Lines(held, hashes).variants(flag(1), flag(2), min_words)
-                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(roles), batch.column(0).slice(at, end - at).take(pa.array(index))], ["key", "role", "o"])
-                at = end
+            flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)]
+            for span in _spans(batch.column(3)):  # so many lines that their variants stay few
+                row, _, words = _split(span)
+                keys, roles, index = words.variants(flags[0][row], flags[1][row], min_words)
+                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(roles), batch.column(0).take(pa.array(row[index]))], ["key", "role", "o"])
 
     return lines.select("o", "first", "last", "text").mapInArrow(run, "key long, role byte, o long")
 

@@ -5,7 +5,9 @@ import io
 import json
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from corvane.llm import chat, decontam, pii, quality, warc
@@ -140,3 +142,31 @@ def test_every_byte_needs_a_rank(spark):
 
     with pytest.raises(ValueError, match="every byte"):
         bpe.Tokenizer(spark, {"a": 0}, r"\p{L}+")
+
+
+def test_line_dedup_splits_long_texts_in_bounded_memory(monkeypatch):
+    """A task holds the words of about a megabyte at once, whatever the texts, and their lines are those of plain splitting."""
+    from corvane.llm import line_dedup
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ab\x00é\x85 ") for _ in range(rng.choice((1, 2, 7, 8, 9, 16, 17, 90))))
+    odd = ["", "\n", " \n\t", "a", "a ", "b\n\na", "\x0b\x0ca\r\n", *("".join(word() + rng.choice(" \n\r\t\x0b\x0c") for _ in range(60)) for _ in range(40))]
+    for most in (1, 100, 1 << 20):
+        monkeypatch.setattr(line_dedup, "SPAN_BYTES", most)
+        found = {}
+        for texts in (pa.array(odd), pa.array(["x y", *odd], pa.large_string())[1:]):
+            for span in line_dedup._spans(texts):
+                row, line, lines = line_dedup._split(span)
+                starts = lines.start
+                for k in range(len(row)):
+                    found.setdefault((int(row[k]), int(line[k])), set()).add(tuple(lines.h[starts[k] : starts[k] + lines.n[k]].tolist()))
+        plain = {(i, j): x.split() for i, t in enumerate(odd) for j, x in enumerate(t.encode().split(b"\n")) if x.split()}
+        assert found.keys() == plain.keys() and all(len(x) == 1 for x in found.values())
+        pairs = {(w, h) for k, x in plain.items() for w, h in zip(x, next(iter(found[k])), strict=True)}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+    long = pa.array(["some eight words stand in each line here\n" * 200_000])
+    tracemalloc.start()
+    assert sum(len(line_dedup._split(span)[0]) for span in line_dedup._spans(long)) == 200_000
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
