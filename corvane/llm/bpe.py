@@ -6,7 +6,7 @@ Spark puts the value into the plan as a literal, but neither the plan's text nor
 pair of lowest rank until none has a rank. Up to 64 bytes the state is one array of numbers (rank of the pair that a part begins,
 place, id), and pairs of ids are looked up; longer pieces hold parts as texts, so that all places of a pair can merge in one step. Distinct pieces are counted over the whole corpus and folded once each; the most
 frequent ones, up to a bound in bytes, are held in a second such table. Pieces beyond the bound, and those that stand once only, are folded where they stand. No document is shuffled. Decoding looks up the ids'
-bytes in the vocabulary and concatenates them.
+bytes in the vocabulary and concatenates them: for each piece when its ids are known, and a text's pieces are joined as bytes of both kinds.
 
 Inside expressions a byte is a character from U+0000 to U+00FF; results are turned into binary at the end.
 
@@ -30,15 +30,17 @@ from ..session import kept, scratch, stored
 #: White space as the tokenizer's pattern means it (Unicode White_Space), for Java's engine.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Bytes of the table of frequent pieces (by estimate: what an entry takes besides its piece and ids, and for each byte of a piece).
-HELD_BYTES, ENTRY, EACH = 54 << 20, 56, 2
+HELD_BYTES, ENTRY, EACH = 54 << 20, 88, 3
 #: Small maps of the ranks, of the pairs of ids, and of the table of frequent pieces.
 BUCKETS, PAIR_BUCKETS, HELD_BUCKETS = 32_768, 131_072, 262_144
+#: A byte in the table of first pairs: 256 stands for the fence.
+_BYTES = 257
 #: Bytes from which on all places of a pair are merged in one step where that gives the same parts.
 LONG = 64
 #: More than any list holds: a slice of so many takes what is left.
 _REST = 1 << 30
-#: What is held of a frequent piece: its ids.
-HELD = "array<int>"
+#: What is known of a coded piece: its ids as bytes, and the bytes that they decode to.
+CODED = "struct<i:string,d:string>"
 _OPEN, _CLOSE, _FENCE = "Ā", "ā", "Ă"
 #: A part as a number: rank of the pair it begins, its place (of ``LONG`` bytes and two fences), its id. The last id stands for none.
 ID_BITS, PLACE_BITS = 24, 7
@@ -136,15 +138,18 @@ def _long(piece: Column, ranks: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: F.transform(F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2), lambda p: _find(ranks, p)))
 
 
-def _short(piece: Column, pairs: Column, singles: Column) -> Column:
+def _short(piece: Column, pairs: Column, first: Column) -> Column:
     """Ids of a piece of up to ``LONG`` bytes, by the same merges. As places grow from left to right and no two parts have the
-    same, the least number is the leftmost pair of lowest rank."""
-    fence, low, end = F.array(F.lit(_NONE).cast("long")), F.lit((1 << _LOW) - 1), F.lit(_NONE << _LOW)
+    same, the least number is the leftmost pair of lowest rank. The numbers of single bytes, by the byte and the next one, are looked
+    up in ``first``. A piece that is no token ends as two parts at least, so two steps fewer than bytes do."""
+    fence, low, end = F.array(F.lit(_BYTES - 1)), F.lit((1 << _LOW) - 1), F.lit(_NONE << _LOW)
+    # A number's index is counted by places: array_position throws an exception to leave its loop, which took most of a merge.
+    places = F.lit((1 << _LOW) - 1 - _NONE)
     whose = lambda x: x.bitwiseAND(F.lit(_NONE))
     rank = lambda a, b: F.shiftleft(F.coalesce(_find(pairs, F.shiftleft(a, ID_BITS).bitwiseOR(b), PAIR_BUCKETS), F.lit(_NONE).cast("long")), _LOW)
-    part = lambda f: lambda x, k: rank(x, F.get(f, k + 1)).bitwiseOR(F.shiftleft(k.cast("long"), ID_BITS)).bitwiseOR(x)
-    ids = F.transform(F.split(piece, ""), lambda c: F.get(singles, F.ascii(c)))
-    start = bind(F.concat(fence, ids, fence), lambda f: F.transform(f, part(f)))
+    part = lambda f: lambda x, k: F.get(first, x * _BYTES + F.coalesce(F.get(f, k + 1), F.lit(_BYTES - 1))).bitwiseOR(F.shiftleft(k.cast("long"), ID_BITS))
+    values = F.transform(F.split(piece, ""), lambda c: F.ascii(c))
+    start = bind(F.concat(fence, values, fence), lambda f: F.transform(f, part(f)))
 
     def merged(s: Column, least: Column, i: Column) -> Column:
         before, new, after = F.get(s, i - 2), F.shiftright(least, _LOW), F.get(s, i + 1)
@@ -158,15 +163,16 @@ def _short(piece: Column, pairs: Column, singles: Column) -> Column:
         return F.flatten(F.array(F.slice(s, F.lit(1), i - 2), two, F.slice(s, i + 2, _REST)))
 
     def step(s: Column, _: Column) -> Column:
-        return bind(F.array_min(s), lambda least: F.when(least >= end, s).otherwise(bind(F.array_position(s, least).cast("int"), lambda i: merged(s, least, i))))
+        upto = lambda least: bind(least.bitwiseAND(places), lambda p: F.size(F.filter(s, lambda x: x.bitwiseAND(places) <= p)))
+        return bind(F.array_min(s), lambda least: F.when(least >= end, s).otherwise(bind(upto(least), lambda i: merged(s, least, i))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(piece)), start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: whose(x).cast("int")))
+    return F.aggregate(F.array_repeat(F.lit(0), F.char_length(piece) - 2), start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: whose(x).cast("int")))
 
 
 @dataclass(frozen=True)
 class Tables:
-    """What expressions look up: ranks by token, merged ids by pair of ids, ids of single bytes, bytes and code by id, ids of
-    frequent pieces."""
+    """What expressions look up: ranks by token, merged ids by pair of ids, bytes and code by id, parts by pair of single bytes,
+    frequent pieces with their ids and what these decode to."""
 
     ranks: Column
     pairs: Column
@@ -178,6 +184,11 @@ class Tables:
         known = F.when(F.char_length(piece) <= LONG, _short(piece, self.pairs, self.tokens["b"])).otherwise(_long(piece, self.ranks))
         return bind(_find(self.ranks, piece), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(known))
 
+    def coded(self, piece: Column) -> Column:
+        """A piece's ids as bytes, and the bytes that the vocabulary has for these ids."""
+        joined = lambda ids, table: F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+        return bind(self.fold(_bytes_of(piece)), lambda ids: F.struct(joined(ids, self.tokens["i"]).alias("i"), joined(ids, self.tokens["d"]).alias("d")))
+
 
 def _bytes_of(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
@@ -207,13 +218,16 @@ class Tokenizer:
             cuts = cuts.select("v", F.left("k", F.col("n")).alias("a"), F.substring("k", F.col("n") + 1, F.lit(_REST)).alias("b"))
             cuts = cuts.join(rows.select(F.col("k").alias("a"), long.alias("x")), "a").join(rows.select(F.col("k").alias("b"), long.alias("y")), "b")
             self.pairs = _one_row(cuts.select(F.shiftleft("x", ID_BITS).bitwiseOR(F.col("y")).alias("k"), "v"), "map<bigint,bigint>", PAIR_BUCKETS, "bpe-pairs")
-            # Dense arrays by id: each token's bytes, and each id as bytes; by byte: the ids of single bytes.
+            # Dense arrays by id: each token's bytes, and each id as bytes; by byte and next byte: the part that begins there.
             known, last = F.map_from_entries(F.collect_list(F.struct("v", "k"))), max(ranks.values())
             ids = F.sequence(F.lit(0), F.lit(last))
             dense = sorted(ranks.values()) == list(range(len(ranks)))
             tokens = F.transform(F.array_sort(F.collect_list(F.struct("v", "k"))), lambda x: x["k"]) if dense else bind(known, lambda m: F.transform(ids, lambda i: m[i]))
-            singles = F.array(*[F.lit(ranks[chr(b)]).cast("long") for b in range(256)])
-            self.tokens = kept(rows.agg(F.struct(tokens.alias("d"), F.transform(ids, _little_endian).alias("i"), singles.alias("b")).alias("a")), "bpe-tokens")
+            singles = [*(ranks[chr(b)] for b in range(256)), _NONE]
+            inside = lambda a, b: ranks.get(chr(a) + chr(b), _NONE) if max(a, b) < _BYTES - 1 else _NONE
+            first = spark.createDataFrame([([inside(a, b) << _LOW | singles[a] for a in range(_BYTES) for b in range(_BYTES)],)], "b array<bigint>")
+            by_id = rows.agg(tokens.alias("d"), F.transform(ids, _little_endian).alias("i"))
+            self.tokens = kept(by_id.crossJoin(first).select(F.struct("d", "i", "b").alias("a")), "bpe-tokens")
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -237,8 +251,8 @@ class Tokenizer:
             chosen = counts.where((F.col("n") > least) | ((F.col("n") == least) & (F.pmod(F.xxhash64("piece"), F.lit(parts)) < int(share * parts))))
             # Few counts are read, but each piece is costly: dealt out by hash over all cores.
             chosen = chosen.select("piece").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4, "piece")
-            coded = self.with_tables(chosen, "v", lambda t: t.fold(_bytes_of(F.col("piece"))))
-            return _one_row(coded.withColumnRenamed("piece", "k"), f"map<string,{HELD}>", HELD_BUCKETS, "bpe-held")
+            coded = self.with_tables(chosen, "v", lambda t: t.coded(F.col("piece")))
+            return _one_row(coded.withColumnRenamed("piece", "k"), f"map<string,{CODED}>", HELD_BUCKETS, "bpe-held")
 
     def with_tables(self, rows: DataFrame, out: str, body: Callable[[Tables], Column], held: DataFrame | None = None) -> DataFrame:
         """``rows`` with a column of an expression over the tables. They are columns of their own for the analyser, which allows
@@ -254,11 +268,11 @@ class Tokenizer:
     def encode(self, docs: DataFrame, text: str = "text", most: int = HELD_BYTES) -> DataFrame:
         """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary, from the ids)."""
         held = self.held(docs, text, most)
-        known = (lambda t, p: F.lit(None).cast(HELD)) if held is None else (lambda t, p: _find(t.held, p, HELD_BUCKETS))
-        piece = lambda t: lambda p: F.coalesce(known(t, p), t.fold(_bytes_of(p)))
-        joined = lambda ids, table: F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")
-        both = lambda t: lambda ids: F.struct(joined(ids, t["i"]).alias("i"), joined(ids, t["d"]).alias("d"))
-        coded = self.with_tables(docs, "__coded__", lambda t: bind(F.flatten(F.transform(self.pieces(F.col(text)), piece(t))), both(t.tokens)), held)
+        known = (lambda t, p: F.lit(None).cast(CODED)) if held is None else (lambda t, p: _find(t.held, p, HELD_BUCKETS))
+        piece = lambda t: lambda p: F.coalesce(known(t, p), t.coded(p))
+        joined = lambda c, f: F.encode(F.array_join(c[f], ""), "ISO-8859-1").alias(f)
+        both = lambda c: F.struct(joined(c, "i"), joined(c, "d"))
+        coded = self.with_tables(docs, "__coded__", lambda t: bind(F.transform(self.pieces(F.col(text)), piece(t)), both), held)
         return coded.withColumns({"ids": F.col("__coded__.i"), "decoded": F.col("__coded__.d")}).drop("__coded__")
 
 

@@ -170,3 +170,22 @@ def test_line_dedup_splits_long_texts_in_bounded_memory(monkeypatch):
     assert sum(len(line_dedup._split(span)[0]) for span in line_dedup._spans(long)) == 200_000
     assert tracemalloc.get_traced_memory()[1] < 64 << 20
     tracemalloc.stop()
+
+
+def test_byte_bpe_codes_and_decodes_each_frequent_piece_once(spark):
+    """Texts only join what is held of a piece: its ids as bytes, and what these decode to."""
+    import public_tokenizers
+    import tiktoken
+
+    from corvane.llm import bpe
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t.encode("latin-1"): r for t, r in ranks.items()}, special_tokens={})
+    text = "zq\xe9zq \u6f22\u5b57 unheardofness" + " " + "x" * 40 + "yz" * 11
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    tokenizer = bpe.Tokenizer(spark, ranks, public_tokenizers.PATTERN)
+    held = {k: v for m in tokenizer.held(docs, "text").first()["a"] for k, v in (m or {}).items()}
+    assert "".join(sorted(held)) and all(k in text for k in held)
+    for piece, coded in held.items():
+        ids = own.encode_ordinary(piece)
+        assert coded["i"].encode("latin-1") == b"".join(i.to_bytes(4, "little") for i in ids) and coded["d"].encode("latin-1") == piece.encode()
