@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
+#: Neighbours are looked up in spans of two to the power of so many places.
+SPAN = 12
+
 
 def scanned(rows: DataFrame, keys: list[str], order: str, carried: dict[str, str] | None = None, counted: dict[str, str] | None = None, resets: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with running columns, by name of the result and of its source.
@@ -66,10 +69,14 @@ def scanned(rows: DataFrame, keys: list[str], order: str, carried: dict[str, str
 
 def neighbours(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """``rows`` with ``previous`` and ``following``: the value of the rows whose whole-number order is one less and one more in
-    the same key, by joins on key and order, so that no key is gathered."""
-    other = rows.select(*[F.col(k).alias(f"__k{i}__") for i, k in enumerate(keys)], F.col(order).alias("__o__"), F.col(value).alias("__v__"))
-    for name, step in (("previous", -1), ("following", 1)):
-        side = other.withColumn("__o__", F.col("__o__") - step).withColumnRenamed("__v__", name)
-        same = [F.col(k).eqNullSafe(F.col(f"__k{i}__")) for i, k in enumerate(keys)] + [F.col(order) == F.col("__o__")]
-        rows = rows.join(side, same, "left").drop("__o__", *[f"__k{i}__" for i in range(len(keys))])
-    return rows
+    the same key; no key holds an order twice. Rows are dealt by key and span of the order, so that no key is gathered; those at a span's ends also go to the
+    next one. Joins would be planned by the size of files, in which such columns take next to nothing, and send all rows to the driver.
+    """
+    at = F.col(order).cast("long")
+    span = F.shiftright(at, SPAN)
+    inside = at.bitwiseAND((1 << SPAN) - 1)
+    spans = F.when(inside == 0, F.array(span, span - 1)).when(inside == (1 << SPAN) - 1, F.array(span, span + 1)).otherwise(F.array(span))
+    dealt = rows.withColumns({"__at__": at, "__own__": span}).withColumn("__span__", F.explode(spans))
+    near = Window.partitionBy(*keys, "__span__").orderBy("__at__")
+    beside = {name: F.when(F.col("__at__").isNotNull(), F.first(value).over(near.rangeBetween(step, step))) for name, step in (("previous", -1), ("following", 1))}
+    return dealt.withColumns(beside).where(F.col("__span__").eqNullSafe(F.col("__own__"))).drop("__at__", "__own__", "__span__")

@@ -90,7 +90,8 @@ def passages(lines: DataFrame, profile: Profile) -> DataFrame:
     """work, book, part, chapter_title, sub_chapter, aph_num, text_en, line_start, line_end, char_count.
 
     Parts, numbers and resets run along the lines as prefix scans, so a book may be as large as the table. Marks alone are scanned;
-    the lines' texts move twice, to their places in a passage and to the passage.
+    the lines' texts move twice, to their places in a passage and to the passage. Places and passages are as many as the lines, however small their files, so
+    they are merged with the texts and never sent to all tasks.
     """
     p = profile
     lines = stored(lines.select("book", "line_no", "line"), "book-lines")
@@ -119,15 +120,15 @@ def passages(lines: DataFrame, profile: Profile) -> DataFrame:
     wanted = (F.col("item") > 0) | (F.col("numbers") == 0) if p.whole else F.col("item") > 0
     keep_line = F.when(F.col("num").isNotNull(), F.col("inline")).otherwise(F.col("title").isNull())
     placed = stored(body.where(wanted).select("book", "line_no", "seq", "chapter_title", "item", "num", "blank", keep_line.alias("kept")), "book-places")
-    made = placed.groupBy("book", "seq", "chapter_title", "item").agg(F.max("num").alias("aph_num"), F.min("line_no").alias("line_start"), (F.max("line_no") + 1).alias("line_end"), F.max(F.col("kept") & ~F.col("blank")).alias("real"))
+    key = ["book", "seq", "item"]
+    made = placed.groupBy(*key).agg(F.max("chapter_title").alias("chapter_title"), F.max("num").alias("aph_num"), F.min("line_no").alias("line_start"), (F.max("line_no") + 1).alias("line_end"), F.max(F.col("kept") & ~F.col("blank")).alias("real"))
     made = made.withColumn("aph_num", F.coalesce("aph_num", F.lit(1))).where("real").drop("real")
     part = F.col("seq").cast("int")
     for name, k in reversed(p.parts.items()):
         part = F.when(F.col("chapter_title") == name, F.lit(k)).otherwise(part)
     made = made.withColumn("part", part)
     made = with_resets(made, "aph_num", "line_start", ("book", "seq")) if p.sub else made.withColumn("sub_chapter", F.lit(None).cast("int"))
-    key = ["book", "seq", "item"]
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    texts = lines.join(placed.where("kept").select("line_no", *key), ["book", "line_no"]).groupBy(*key).agg(T.trim_all(text).alias("text_en"))
-    made = made.join(texts, key)
+    texts = lines.join(placed.where("kept").select("line_no", *key).hint("merge"), ["book", "line_no"]).groupBy(*key).agg(T.trim_all(text).alias("text_en"))
+    made = made.join(texts.hint("merge"), key)
     return made.select(F.lit(p.work).alias("work"), "book", "part", "chapter_title", F.col("sub_chapter").cast("int").alias("sub_chapter"), "aph_num", "text_en", "line_start", "line_end", F.char_length("text_en").alias("char_count"))

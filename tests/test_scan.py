@@ -45,3 +45,14 @@ def test_neighbours(spark):
     for x in got:
         assert x["previous"] == (f"{x['b']}-{x['o'] - 1}" if x["o"] else None) and x["following"] == (f"{x['b']}-{x['o'] + 1}" if x["o"] < 5 else None)
     assert len(got) == 12
+
+
+def test_neighbours_across_spans(spark):
+    """The places beside a span's ends, gaps and null places; and the joins that Spark would send whole are gone."""
+    places = [-1, 0, 1, 4094, 4095, 4096, 4097, 8191, 8193, 12288, 2**31 - 1, None]
+    rows = [(b, k, f"{b}-{k}") for b in (1, 2, None) for k in places]
+    got = scan.neighbours(spark.createDataFrame(rows, "b int, o int, v string"), ["b"], "o", "v")
+    beside = lambda b, k: f"{b}-{k}" if k in places else None
+    want = [(b, k, v, *((beside(b, k - 1), beside(b, k + 1)) if k is not None else (None, None))) for b, k, v in rows]
+    assert got.columns == ["b", "o", "v", "previous", "following"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

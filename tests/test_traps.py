@@ -159,6 +159,22 @@ def test_scans_of_books_carry_no_text(spark, monkeypatch, work):
     assert seen and not any(x & {"line", "text_en"} for x in seen)
 
 
+@pytest.mark.parametrize("work", ["TI", "EH"])
+def test_rows_of_lines_are_not_sent(spark, monkeypatch, work):
+    """Marks and places compress to almost nothing; they aren't sent to all tasks for that."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    real = segment.neighbours
+    monkeypatch.setattr(segment, "neighbours", lambda *a: (out := real(*a), plans.append(plan(out)))[0])
+    lines = ["x"] * 200 + ["", "PREFACE", "", "1", "one", "2", "two"]
+    df = spark.createDataFrame([("b", k, x) for k, x in enumerate(lines)], "book string, line_no int, line string")
+    made = segment.passages(df, segment.PROFILES[work])
+    assert len(plans) == (work == "TI") and not any("BroadcastExchange" in x for x in plans)
+    # Of the scan for resets one row for each partition is sent.
+    assert plan(made).count("BroadcastHashJoin") == (work == "EH") and plan(made).count("SortMergeJoin") == 2
+    assert [r["text_en"] for r in made.orderBy("line_start").collect()] == ["one", "two"]
+
+
 def test_resets(spark):
     df = spark.createDataFrame([("b", k, n) for k, n in enumerate([1, 2, 3, 1, 2, 1])], "book string, line_no int, n int")
     assert [r["sub_chapter"] for r in segment.with_resets(df, "n").orderBy("line_no").collect()] == [0, 0, 0, 1, 1, 2]
