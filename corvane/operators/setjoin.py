@@ -225,9 +225,10 @@ class Parts:
         return held[speaks], speaks
 
 
-def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float = 0.85, n: int = 5) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float = 0.85, n: int = 5, signed: Callable[[str], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (i < j, similarity) of class representatives of which each of ``texts`` has a Jaccard of at least the threshold, and
-    the membership (key, class_id) of all rows. ``similarity`` is that of the last text.
+    the membership (key, class_id) of all rows. ``similarity`` is that of the last text. With ``signed``, which makes a squeezed text's signature, pairs
+    have ``estimate`` as well: the share of the places in which the signatures of their last texts agree.
 
     Keys are whole numbers. Rows with a null key or an empty (or null) text are in no pair and no class; a key that repeats counts as one row with its
     texts in any order. Several texts are joined through the union of their sets, each with shingles of its own: if each pair of sets
@@ -287,7 +288,7 @@ def similar_pairs(rows: DataFrame, key: str, texts: list[str], threshold: float
         held = [F.col(x).bitwiseAND(mine[2 * k].bitwiseOR(mine[2 * k + 1])).alias(x) for k, x in enumerate(lanes)]
         index = kept(shared.join(borne, ["key", "visits"]).select("part", "key", "visits", *words, *held), "set-index")
     pairs = stored(_met(index, words, lanes, threshold).distinct(), "set-candidates")
-    return _verified(pairs, made, names, threshold, n), members
+    return _verified(pairs, made, names, threshold, n, signed), members
 
 
 def _met(index: DataFrame, words: list[str], lanes: list[str], threshold: float) -> DataFrame:
@@ -300,11 +301,12 @@ def _met(index: DataFrame, words: list[str], lanes: list[str], threshold: float)
     return a.join(b, "part").where("i < j and not (vi and vj)").where((apart <= allowed(threshold)) & (agreed < AGREED)).select("i", "j")
 
 
-def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: float, n: int) -> DataFrame:
-    """i, j, similarity of the candidates (i < j) of which each text has a Jaccard of at least the threshold.
+def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: float, n: int, signed: Callable[[str], np.ndarray] | None) -> DataFrame:
+    """i, j, similarity (and estimate) of the candidates (i < j) of which each text has a Jaccard of at least the threshold.
 
     A candidate goes to the group of the least set that its first one is a candidate with, so those among near copies of one text are one group. Groups are
-    dealt into chunks by both sides, so no task holds more than some ``CHUNK`` texts of either; a text goes to each chunk once.
+    dealt into chunks by both sides, so no task holds more than some ``CHUNK`` texts of either; a text goes to each chunk once. Only texts of pairs that pass are
+    signed, where they are, so signatures aren't moved.
     """
     groups = pairs.groupBy(F.col("j").alias("i")).agg(F.min("i").alias("g"))
     grouped = stored(pairs.join(groups, "i", "left").select(F.coalesce("g", "i").alias("g"), "i", "j"), "set-groups")
@@ -334,17 +336,25 @@ def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: fl
                 keep.append(at)
                 sims.append(sim)
         found = candidates.select(["i", "j"]).take(pa.array(keep, pa.int64()))
-        return found.append_column("similarity", pa.array(sims, pa.float64()))
+        found = found.append_column("similarity", pa.array(sims, pa.float64()))
+        if not signed:
+            return found
+        last = dict(zip(texts["key"].to_pylist(), texts[names[-1]].to_pylist()))
+        marks = functools.cache(lambda k: signed(last[k]))
+        agreed = [float((marks(i) == marks(j)).mean()) for i, j in zip(found["i"].to_pylist(), found["j"].to_pylist())]
+        return found.append_column("estimate", pa.array(agreed, pa.float64()))
 
-    return dealt.groupBy(*chunk).cogroup(moved.groupBy("sg", "si", "sj")).applyInArrow(verified, "i long, j long, similarity double")
+    schema = "i long, j long, similarity double" + (", estimate double" if signed else "")
+    return dealt.groupBy(*chunk).cogroup(moved.groupBy("sg", "si", "sj")).applyInArrow(verified, schema)
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of rows (i < j, similarity) that class pairs and copies stand for; as many as the square of a class's size, so
-    only for results known to be small."""
-    copies = members.toDF("i", "c").join(members.toDF("j", "c"), "c").where("i < j").select("i", "j", F.lit(1.0).alias("similarity"))
+    """All pairs of rows (i < j, similarity and what else class pairs have, which is 1 of copies) that class pairs and copies stand for; as many as the square
+    of a class's size, so only for results known to be small."""
+    facts = [c for c in pairs.columns if c not in ("i", "j")]
+    copies = members.toDF("i", "c").join(members.toDF("j", "c"), "c").where("i < j").select("i", "j", *[F.lit(1.0).alias(x) for x in facts])
     a, b = members.toDF("x", "i"), members.toDF("y", "j")
-    across = pairs.join(a, "i").join(b, "j").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
+    across = pairs.join(a, "i").join(b, "j").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), *facts)
     return across.unionByName(copies)
 
 

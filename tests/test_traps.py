@@ -86,6 +86,27 @@ def test_minhash_pairs(spark):
     assert len(m[0]["m"]) == 128 and m[0]["m"] == m[3]["m"]
 
 
+def test_signatures_of_pairs(spark, monkeypatch):
+    """The same numbers as Spark's, of strings of all lengths; only texts in pairs are signed, each copy's class once."""
+    import random
+
+    r = random.Random(5)
+    texts = ["a", "äb", "한국", "😀é한a", "abcde", "😀" * 9, *("".join(r.choice("abcé한😀z") for _ in range(k)) for k in (5, 8, 40, 300, 9000))]
+    m = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string").select("id", dedup.minhash(F.col("t")).alias("m"))
+    assert all(list(dedup.signature(texts[x["id"]])) == x["m"] for x in m.collect())
+    base = [r.choice("abcdefgh") + str(r.randrange(100)) for _ in range(80)]
+    near = [" ".join(base), " ".join(base), "".join([*base[:40], "x", *base[41:]]), "*" + " ".join(base) + "*", *(str(r.random()) * 3 for _ in range(20))]
+    rows = spark.createDataFrame([(i, t, "q" * 9) for i, t in enumerate(near)], "id long, t string, q string")
+    signed = spark.sparkContext.accumulator(0)
+    real = dedup.signature
+    monkeypatch.setattr(dedup, "signature", lambda t: (signed.add(1), real(t))[1])
+    got = dedup.minhash_pairs(rows, "id", "q", "t", 0.8).collect()
+    marks = {x["id"]: x["m"] for x in rows.select("id", dedup.minhash(F.col("t")).alias("m")).collect()}
+    assert {(x["i"], x["j"]) for x in got} == {(i, j) for j in range(4) for i in range(j)} and len(got) == 6
+    assert all(x["estimate"] == sum(a == b for a, b in zip(marks[x["i"]], marks[x["j"]])) / 128 for x in got)
+    assert min(x["estimate"] for x in got) < 1 and signed.value == 2
+
+
 def test_minhash_pairs_against_exact_jaccard(spark):
     """At 0.5, where most pairs are far from copies; and both texts count."""
     import random
