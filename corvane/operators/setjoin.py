@@ -310,9 +310,10 @@ def _verified(pairs: DataFrame, made: DataFrame, names: list[str], threshold: fl
     """
     groups = pairs.groupBy(F.col("j").alias("i")).agg(F.min("i").alias("g"))
     grouped = stored(pairs.join(groups, "i", "left").select(F.coalesce("g", "i").alias("g"), "i", "j"), "set-groups")
-    # Estimates are enough: they change the chunks, not the result.
+    # Estimates are enough: they change the chunks, not the result. Only the few groups of more than one chunk are joined back, so that a large one isn't gathered.
     sizes = grouped.groupBy("g").agg(*[F.ceil(F.approx_count_distinct(x) / CHUNK).alias(f"n{x}") for x in "ij"])
-    dealt = grouped.join(sizes, "g").select("g", *[F.pmod(F.xxhash64(x), F.col(f"n{x}")).alias(f"c{x}") for x in "ij"], "i", "j")
+    sizes = sent(stored(sizes.where("ni > 1 or nj > 1"), "set-sizes"))
+    dealt = grouped.join(sizes, "g", "left").select("g", *[F.pmod(F.xxhash64(x), F.coalesce(f"n{x}", F.lit(1))).alias(f"c{x}") for x in "ij"], "i", "j")
     dealt = stored(dealt, "set-chunks")
     chunk = ["g", "ci", "cj"]
     wanted = dealt.select(*chunk, F.explode(F.array("i", "j")).alias("key")).distinct()

@@ -97,6 +97,24 @@ def test_sketches_keep_pairs_at_the_threshold():
                     assert apart <= most if near else apart > most or size < 700 or threshold == 0.5
 
 
+def test_large_groups_of_candidates_are_not_gathered(spark, monkeypatch):
+    """Candidates aren't dealt by their group, which near copies fill; groups of one chunk and of several give the same pairs."""
+    monkeypatch.setattr(setjoin, "CHUNK", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, real = {}, setjoin.stored
+    monkeypatch.setattr(setjoin, "stored", lambda df, tag: (plans.update({tag: df._jdf.queryExecution().executedPlan().toString()}), real(df, tag))[1])
+    try:
+        base = [f"w{k}" for k in range(200)]
+        texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(40)] + ["another text of its own", "another text of its own!"]
+        pairs, _ = setjoin.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", ["t"])
+        got = {(p["i"], p["j"]) for p in pairs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sets = [shingles(t) for t in texts]
+    assert got == {(i, j) for j in range(42) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.85} and len(got) == 781
+    assert "SortMergeJoin" not in plans["set-chunks"] and "Exchange hashpartitioning" not in plans["set-chunks"]
+
+
 def test_near_copies_are_verified_in_chunks_once(spark, monkeypatch):
     """Many near copies of a few texts: texts go to chunks, not to pairs, and counting links doesn't verify pairs twice."""
     monkeypatch.setattr(setjoin, "CHUNK", 8)
